@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, pii, secrets
+from palimpsest.llm import exact_dedup, langid, packing, pii, secrets
 from palimpsest.llm.common import table
 
 
@@ -15,6 +15,8 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": _over("documents", packing.op1_query),
+    "op2_language_id": _over("documents", langid.op2_query),
     "op4_pii": _over("documents", pii.op4_query),
     "op5_secret_scan": _over("documents", secrets.op5_query),
     "op8_exact_dedup": _over("documents", exact_dedup.op8_query),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, langid, packing, pii, repeats, secrets
+from palimpsest.llm import exact_dedup, jaccard_join, langid, packing, pii, repeats, secrets
 from palimpsest.llm.common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": _over("documents", langid.op2_query),
     "op4_pii": _over("documents", pii.op4_query),
     "op5_secret_scan": _over("documents", secrets.op5_query),
+    "op9_ngram_jaccard_join": _over("documents", jaccard_join.op9_query),
     "op10_suffix_array_dedup": _over("documents", repeats.op10_query),
     "op8_exact_dedup": _over("documents", exact_dedup.op8_query),
 }

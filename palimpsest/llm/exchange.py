@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import partitions_for
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+PACKING = pa.Codec("zstd", compression_level=1)
 MESSAGE = "bucket int, chunk int, data binary"
 MESSAGE_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("data", pa.binary())])
 
@@ -31,26 +32,54 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     return rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
 
 
+def bucket_width(n: int) -> int:
+    """Of each of n buckets, in units of 2**32."""
+    return -(-(1 << 32) // n)
+
+
 def buckets(sorted_hashes: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     """(bucket, slice) of each non-empty bucket of ascending uint64 hashes; a bucket is a range of the upper 32 bits."""
-    width = -(-(1 << 32) // n)
-    cuts = np.searchsorted(sorted_hashes, np.array([i * width << 32 for i in range(1, n)], dtype=np.uint64))
+    width = bucket_width(n)
+    cuts = np.searchsorted(sorted_hashes, np.array([i * width << 32 for i in range(1, n) if i * width < 1 << 32], dtype=np.uint64))
     cuts = [0, *cuts.tolist(), len(sorted_hashes)]
-    for i in range(n):
+    for i in range(len(cuts) - 1):
         if cuts[i] < cuts[i + 1]:
             yield i, slice(cuts[i], cuts[i + 1])
 
 
+def packed(a: np.ndarray) -> bytes:
+    """The array's bytes in column order, compressed, behind their number."""
+    if a.dtype.names:
+        raw = b"".join(np.ascontiguousarray(a[c].T).tobytes() for c in a.dtype.names)
+    else:
+        raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + PACKING.compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = PACKING.decompress(data[8:], decompressed_size=size, asbytes=True)
+    if not kind.names:
+        return np.frombuffer(raw, dtype=kind)
+    out, at = np.empty(size // kind.itemsize, kind), 0
+    for c in kind.names:
+        field = kind[c]
+        part = np.frombuffer(raw, dtype=field.base, count=len(out) * (field.itemsize // field.base.itemsize), offset=at)
+        out[c] = part.reshape(*field.shape, len(out)).T if field.shape else part
+        at += len(out) * field.itemsize
+    return out
+
+
 def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     bucket, chunk, data = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.table([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], schema=MESSAGE_SCHEMA)
 
 
 def seen_by_others(asked: DataFrame) -> DataFrame:
-    """Messages of uint32 fingerprints, distinct in each message -> messages of bits: does another chunk have it too?"""
+    """Messages of ascending uint32 fingerprints, distinct in each -> messages of bits: does another chunk have it too?"""
 
     def resolve(t: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, dtype="<u4") for x in t["data"].to_pylist()]
+        sent = [np.cumsum(unpacked(x, np.dtype("<u4")), dtype=np.uint32) for x in t["data"].to_pylist()]
         _, inverse, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
         shared, at, out = (counts > 1)[inverse], 0, []
         for bucket, chunk, x in zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), sent, strict=True):
@@ -62,8 +91,14 @@ def seen_by_others(asked: DataFrame) -> DataFrame:
 
 
 def ask_shared(uniq: np.ndarray, chunk: int, n: int) -> list[tuple[int, int, bytes]]:
-    """The messages that ask about ascending distinct hashes; their lower 32 bits tell them apart in a bucket."""
-    return [(b, chunk, uniq[s].astype(np.uint32).tobytes()) for b, s in buckets(uniq, n)]
+    """The messages that ask about ascending distinct hashes: in each bucket their leading 32 bits there, as differences.
+
+    Two hashes that agree in these bits may both be called shared; what is called unshared is."""
+    width, out = bucket_width(n), []
+    for b, s in buckets(uniq, n):
+        key = ((uniq[s] - np.uint64(b * width << 32)) >> np.uint64(width.bit_length())).astype(np.uint32)
+        out.append((b, chunk, packed(np.diff(key, prepend=np.uint32(0)))))
+    return out
 
 
 def answered(uniq: np.ndarray, n: int, answers: dict[int, bytes]) -> np.ndarray:

@@ -170,7 +170,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = np.array(best_fit_rounds(counts, capacity), dtype=np.int64).reshape(-1, 5)
     shared = cut.sparkSession.sparkContext.broadcast(plan)
     rows = ranked(cut, "length", ["doc_id", "piece"])
-    names = rows.columns
+    names, given = rows.columns, cut.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
@@ -179,7 +179,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             length, rank = (b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             _, first_rank, first_seq, each, offset = plan[np.searchsorted(keys, length << 44 | rank, side="right") - 1].T
             nth, within = np.divmod(rank - first_rank, each)
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in cut.columns), pa.array(first_seq + nth), pa.array(offset + within * length)], names=[*cut.columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in given), pa.array(first_seq + nth), pa.array(offset + within * length)], names=[*given, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes)
     return rows.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.exchange import MESSAGE, ask_shared, answered, buckets, chunked, messages, mix, seen_by_others
+from palimpsest.llm.exchange import MESSAGE, ask_shared, answered, buckets, chunked, messages, mix, packed, seen_by_others, unpacked
 
 MIN_LEN = 50
 GRAM = 32
@@ -67,18 +67,24 @@ class Chunk:
         self.rank = np.array([-(1 << 63) if i is None else i for i in self.ids], dtype=np.int64)
         self.reach, n = min_len - gram, len(self.raw)
         self.sums = np.zeros(n + 1, np.uint64)
+        spread = powers(BASE, max(n, 1))[:n]
+        spread *= byte_codes()[self.bytes]
+        np.cumsum(spread, out=self.sums[1:])
+        del spread
         self.back = powers(BASE_INVERSE, n + 1)
-        np.cumsum(byte_codes()[self.bytes] * powers(BASE, max(n, 1))[:n], out=self.sums[1:])
         self.at, self.hash, self.doc = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if n >= min_len:
-            h = mix(self.hashes(np.arange(n - gram + 1), gram))
+            h = self.sums[gram:] - self.sums[: n - gram + 1]
+            h *= self.back[: n - gram + 1]
+            h = mix(h)
             for i in range(1, gram):  # strings over the end of a document are no anchors
                 over = self.ends - i
                 h[over[(over >= 0) & (over < len(h))]] = NONE
             least = sliding(h, self.reach + 1, np.minimum)
             pad = np.zeros(self.reach, np.uint64)
-            most = sliding(np.concatenate((pad, least, pad)), self.reach + 1, np.maximum)
-            self.at = np.flatnonzero((most[: len(h)] == h) & (h != NONE))
+            least = sliding(np.concatenate((pad, least, pad)), self.reach + 1, np.maximum)
+            self.at = np.flatnonzero((least[: len(h)] == h) & (h != NONE))
+            del least
             self.hash = h[self.at]
             self.doc = np.searchsorted(self.ends, self.at, side="right")
 
@@ -176,10 +182,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             e["before"][has, i] = c.bytes[at[has] - 1 - i]
             has = e["right"] > i
             e["after"][has, i] = c.bytes[at[has] + gram + i]
-        return messages([(b, t["chunk"][0].as_py(), e[s].tobytes()) for b, s in buckets(e["hash"], n)])
+        return messages([(b, t["chunk"][0].as_py(), packed(e[s])) for b, s in buckets(e["hash"], n)])
 
     def judge(t: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, dtype=kind) for x in t["data"].to_pylist()]
+        sent = [unpacked(x, kind) for x in t["data"].to_pylist()]
         masks = np.split(previous_factors(np.concatenate(sent), reach), np.cumsum([len(x) for x in sent])[:-1])
         return messages([(b, c, m.tobytes()) for b, c, m in zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), masks, strict=True)])
 

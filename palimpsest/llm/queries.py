@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, jaccard_join, langid, packing, pii, repeats, secrets, suffix_tree_lm
+from palimpsest.llm import embedding_dedup, exact_dedup, jaccard_join, langid, packing, pii, repeats, secrets, suffix_tree_lm
 from palimpsest.llm.common import table
 
 
@@ -17,6 +17,7 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": _over("documents", packing.op1_query),
     "op2_language_id": _over("documents", langid.op2_query),
+    "op3_embedding_near_dedup": _over("embeddings", embedding_dedup.op3_query),
     "op4_pii": _over("documents", pii.op4_query),
     "op5_secret_scan": _over("documents", secrets.op5_query),
     "op9_ngram_jaccard_join": _over("documents", jaccard_join.op9_query),
@@ -25,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": _over("documents", exact_dedup.op8_query),
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_embedding_near_dedup": embedding_dedup.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

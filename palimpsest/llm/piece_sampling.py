@@ -1,0 +1,263 @@
+"""SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
+
+All segmentations of a text into vocabulary pieces form a lattice; a path's weight is the product of its pieces'
+weights. Forward filtering sums the weights of all paths into each place; backward sampling then draws the last
+piece, the one before it, and so on, each with its share of that sum. The draws come from a counter-based generator keyed by
+(seed, row key, place in the text), so a row's segmentation does not depend on partitions, batches or neighbours.
+
+A space is the mark U+2581 in a piece and stands at its start only, or fills the piece. No piece crosses the border before
+a run of spaces, so the lattice falls apart there into units, and each distinct unit of a batch is filtered once.
+A character that no piece covers, and U+2581 itself, goes to byte pieces. Nothing is normalised, so decoding gives
+back every text exactly.
+
+The vocabulary's scores are ranks, not probabilities; a piece of rank r has the weight (r + 1) ** -theta.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import map_rows
+from palimpsest.llm.exchange import mix
+
+MARK = "▁"
+#: Spaces and the word behind them.
+UNITS = re.compile(r" *[^ ]+| +")
+BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+#: log weight of a byte piece.
+BYTE_WEIGHT = -12.0
+STEP, ROW = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
+PRIME = np.uint64(0x100000001B3)
+
+
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+class Lattice:
+    def __init__(self, path: str, theta: float):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.text: list[bytes] = []
+        self.byte_ids = np.zeros(256, np.int32)
+        found = []
+        for i in range(sp.get_piece_size()):
+            piece = sp.id_to_piece(i)
+            if sp.is_byte(i):
+                value = int(BYTE_PIECE.fullmatch(piece)[1], 16)
+                self.byte_ids[value] = i
+                self.text.append(bytes([value]))
+            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
+                self.text.append(b"")
+            else:
+                plain = piece.replace(MARK, " ")
+                self.text.append(plain.encode())
+                if plain.lstrip(" ").find(" ") < 0:
+                    found.append((plain, i, -sp.get_score(i)))
+        # pieces without a merge of their own have a very low score; they rank after all others
+        order = np.argsort([s for _, _, s in found], kind="stable")
+        rank = np.empty(len(found))
+        rank[order] = np.arange(len(found))
+        self.weight = np.full(len(self.text), BYTE_WEIGHT)
+        for (_, i, _), r in zip(found, rank, strict=True):
+            self.weight[i] = -theta * np.log(r + 1)
+        self.by_length = []
+        for n in range(1, max(len(p) for p, _, _ in found) + 1):
+            some = [(p, i) for p, i, _ in found if len(p) == n]
+            codes = np.array([[ord(c) for c in p] for p, _ in some], dtype=np.uint64).reshape(len(some), n)
+            keys = self.fold(codes)
+            at = np.argsort(keys)
+            self.by_length.append((keys[at], np.array([i for _, i in some], dtype=np.int32)[at]))
+
+    @staticmethod
+    def fold(codes: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(codes), np.uint64)
+        for i in range(codes.shape[1]):
+            key = mix(key * PRIME + codes[:, i] + np.uint64(1))
+        return key
+
+    def edges(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, length, piece) of every piece in the units; room: characters from each place to its unit's end.
+
+        A character without a piece has the negated number of its UTF-8 bytes instead of one."""
+        firsts, lengths, pieces = [], [], []
+        key, live = np.zeros(len(codes), np.uint64), np.arange(len(codes))
+        single = np.zeros(len(codes), bool)
+        for n, (keys, ids) in enumerate(self.by_length, 1):
+            live = live[room[live] >= n]
+            if not len(live):
+                break
+            key[live] = mix(key[live] * PRIME + codes[live + n - 1].astype(np.uint64) + np.uint64(1))
+            if len(keys):
+                at = np.searchsorted(keys, key[live])
+                hit = keys[np.minimum(at, len(keys) - 1)] == key[live]
+                firsts.append(live[hit])
+                lengths.append(np.full(hit.sum(), n, np.int64))
+                pieces.append(ids[at[hit]])
+                if n == 1:
+                    single[live[hit]] = True
+        bare = np.flatnonzero(~single)
+        width = 1 + (codes[bare] >= 0x80) + (codes[bare] >= 0x800) + (codes[bare] >= 0x10000)
+        return np.concatenate([*firsts, bare]), np.concatenate([*lengths, np.ones(len(bare), np.int64)]), np.concatenate([*pieces, -width.astype(np.int32)])
+
+    def sample(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """The ids of a segmentation of each text, drawn with its key."""
+        split = [UNITS.findall(t) for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        distinct = list({u for us in split for u in us})
+        if not distinct:
+            return [np.zeros(0, np.int32) for _ in texts]
+        number = {u: i for i, u in enumerate(distinct)}
+        occ = np.fromiter((number[u] for us in split for u in us), np.int64, sizes.sum())
+
+        long = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        ends = np.cumsum(long)
+        codes = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        unit = np.repeat(np.arange(len(distinct)), long)
+        depth = np.arange(len(codes)) - (ends - long)[unit]
+        first, length, piece = self.edges(codes, ends[unit] - np.arange(len(codes)))
+        # node p is the place behind character p; edges by depth of their last node, then node, then length
+        node = first + length - 1
+        order = np.lexsort((length, node, depth[node]))
+        first, node, piece = first[order], node[order], piece[order]
+        weight = np.where(piece < 0, BYTE_WEIGHT * -piece, self.weight[np.maximum(piece, 0)])
+        # forward: alpha[p] = log of the summed weights of all paths to node p
+        alpha = np.zeros(len(codes))
+        share = np.zeros(len(node))
+        bounds = np.searchsorted(depth[node], np.arange(long.max() + 1))
+        for d in range(len(bounds) - 1):
+            lo, hi = bounds[d], bounds[d + 1]
+            total = weight[lo:hi] + np.where(depth[first[lo:hi]] > 0, alpha[first[lo:hi] - 1], 0.0)
+            start = np.flatnonzero(np.diff(node[lo:hi], prepend=-1))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, hi - lo)))
+            top = np.maximum.reduceat(total, start)
+            part = np.exp(total - top[group])
+            summed = np.add.reduceat(part, start)
+            alpha[node[lo + start]] = top + np.log(summed)
+            # cumulative shares in each node, exact in 32 bits, the last one full
+            running = np.cumsum(part)
+            running -= np.concatenate(([0.0], running[start[1:] - 1]))[group]
+            share[lo:hi] = np.minimum(running / summed[group], 1.0)
+            share[lo + np.append(start[1:], hi - lo) - 1] = 1.0
+        by_node = np.lexsort((np.arange(len(node)), node))
+        first, node, piece, share = first[by_node], node[by_node], piece[by_node], share[by_node]
+        cut = node.astype(np.uint64) << np.uint64(32) | np.minimum(np.round(share * 2.0**32), 2.0**32 - 1).astype(np.uint64)
+
+        # backward: all units of all texts step together
+        row = np.repeat(np.arange(len(texts)), sizes)
+        nth = np.arange(len(occ)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        seed = mix(np.array(keys, dtype=np.uint64)[row] + mix(nth.astype(np.uint64) * ROW))
+        begin = ends - long
+        at, steps = ends[occ] - 1, []
+        live = np.argsort(occ, kind="stable")  # neighbours in the table are looked up together
+        n = 0
+        while len(live):
+            u = mix(seed[live] + np.uint64((n + 1) * STEP % (1 << 64))) >> np.uint64(32)
+            u = np.minimum(u, np.uint64((1 << 32) - 2))
+            e = np.searchsorted(cut, at[live].astype(np.uint64) << np.uint64(32) | u, side="right")
+            steps.append((live, piece[e]))
+            at[live] = first[e] - 1
+            live = live[first[e] > begin[occ[live]]]
+            n += 1
+        taken = np.zeros(len(occ), np.int64)
+        for live, _ in steps:
+            taken[live] += 1
+        stop = np.cumsum(taken)
+        out = np.zeros(stop[-1], np.int32)
+        for k, (live, p) in enumerate(steps):
+            to = stop[live] - 1 - k  # drawn last to first
+            out[to] = p
+        place = np.repeat(row, taken)
+        return self.spell(out, place, texts)
+
+    def spell(self, pieces: np.ndarray, row: np.ndarray, texts: list[str]) -> list[np.ndarray]:
+        """Ids by row; a negative entry becomes the byte pieces of the character it stands for."""
+        upto = np.searchsorted(row, np.arange(len(texts) + 1))
+        out = []
+        for i, t in enumerate(texts):
+            ids = pieces[upto[i] : upto[i + 1]]
+            bare = np.flatnonzero(ids < 0)
+            if len(bare):
+                width = np.ones(len(ids), np.int64)
+                width[bare] = -ids[bare]
+                size = self.sizes[ids]
+                size[bare] = -ids[bare]
+                begin = np.cumsum(size) - size
+                raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                full = np.repeat(ids, width)
+                offset = np.arange(len(full)) - np.repeat(np.cumsum(width) - width, width)
+                from_byte = np.repeat(begin, width) + offset
+                escaped = full < 0
+                full[escaped] = self.byte_ids[raw[from_byte[escaped]]]
+                ids = full
+            out.append(ids)
+        return out
+
+    @property
+    def sizes(self) -> np.ndarray:
+        if not hasattr(self, "_sizes"):
+            self._sizes = np.array([len(x) for x in self.text], dtype=np.int64)
+        return self._sizes
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
+
+
+@lru_cache(maxsize=2)
+def lattice(path: str, theta: float) -> Lattice:
+    return Lattice(path, theta)
+
+
+def row_key(doc: object, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(str(doc).encode(), seed)
+
+
+def encode(docs: DataFrame, path: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: (doc_id, ids array<int>). Null text: null. Rows with one id draw the same numbers."""
+
+    def run(cols: list) -> list:
+        ids, texts = cols
+        drawn = lattice(path, theta).sample([t or "" for t in texts], [row_key(d, seed) for d in ids])
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in drawn]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, np.concatenate([*drawn, np.zeros(0, np.int32)]), mask=pa.array([t is None for t in texts]))
+        return [ids, lists]
+
+    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>", run, 1 << 20)
+
+
+def decoder(path: str, theta: float = 1.0):
+    """A column function: ids -> text; null stays null."""
+
+    @F.pandas_udf("string")
+    def decode(ids):
+        known = lattice(path, theta)
+        return ids.map(lambda x: None if x is None else known.decode(x.tolist()))
+
+    return decode
+
+
+def checksum(ids: Column) -> Column:
+    @F.pandas_udf("bigint")
+    def crc(values):
+        return values.map(lambda x: zlib.crc32(b"" if x is None else np.asarray(x, dtype="<u4").tobytes()))
+
+    return crc(ids)
+
+
+def op6_query(docs: DataFrame) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (unsigned little-endian ids), text_sha256 of the decoded text (null: empty)."""
+    path = model_path()
+    coded = encode(docs, path)
+    text = F.coalesce(decoder(path)(F.col("ids")), F.lit(""))
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), checksum(F.col("ids")).alias("ids_crc32"), F.sha2(text, 256).alias("text_sha256"))

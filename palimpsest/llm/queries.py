@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import embedding_dedup, exact_dedup, jaccard_join, langid, packing, pii, repeats, secrets, suffix_tree_lm
+from palimpsest.llm import embedding_dedup, exact_dedup, jaccard_join, langid, packing, piece_sampling, pii, repeats, secrets, suffix_tree_lm
 from palimpsest.llm.common import table
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": _over("documents", secrets.op5_query),
     "op9_ngram_jaccard_join": _over("documents", jaccard_join.op9_query),
     "op10_suffix_array_dedup": _over("documents", repeats.op10_query),
+    "op6_piece_sampling": _over("documents", piece_sampling.op6_query),
     "op7_suffix_tree_scores": _over("documents", suffix_tree_lm.op7_query),
     "op8_exact_dedup": _over("documents", exact_dedup.op8_query),
 }

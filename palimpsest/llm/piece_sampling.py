@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, theta: float = 1.0, seed: int = 0, id_col
         lists = pa.ListArray.from_arrays(offsets, np.concatenate([*drawn, np.zeros(0, np.int32)]), mask=pa.array([t is None for t in texts]))
         return [ids, lists]
 
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>", run, 1 << 20)
+    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>", run, 3 << 20)
 
 
 def decoder(path: str, theta: float = 1.0):

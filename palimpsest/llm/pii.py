@@ -138,13 +138,16 @@ def redact_text(text: str) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data replaced in ``text_col``; null stays null."""
+    """The same rows and columns with personal data replaced in ``text_col``; null stays null.
+
+    A column ``n_chars``, where there is one, is the length of the text as it is then."""
 
     @F.pandas_udf("string")
     def masked(texts):
         return texts.map(lambda t: None if t is None else redact_text(t))
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    clean = docs.withColumn(text_col, masked(F.col(text_col)))
+    return clean.withColumn("n_chars", F.char_length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
 def joined(spans: Column) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, slices
 from palimpsest.llm.components import components
 from palimpsest.llm.exchange import MESSAGE, ask_shared, answered, chunked, messages, mix, seen_by_others
 
@@ -35,6 +35,8 @@ from palimpsest.llm.exchange import MESSAGE, ask_shared, answered, chunked, mess
 ORDERS = (0x1B873593, 0x38495AB5, 0x5BD1E995)
 #: Predecessors under the same first token that a set is compared with in step 3.
 NEIGHBOURS = 3
+#: Bytes of sets that are taken up at once.
+SLICE = 4 << 20
 SETS = "id bigint, n bigint, shared bigint, tokens binary"
 
 
@@ -114,38 +116,40 @@ def document_sets(docs: DataFrame, size: int, percent: int, id_col: str, text_co
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(alive, SETS)
 
 
-def prefixes(batches: Iterator[pa.RecordBatch], percent: int, heads_only: bool) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int]]]]:
-    """(row of the batch, order, token) of the prefixes of each set."""
-    for b in batches:
-        out = []
-        for row, data in enumerate(b.column(b.schema.get_field_index("tokens")).to_pylist()):
-            tokens = np.frombuffer(data, dtype="<u8")
-            for k, seed in enumerate(ORDERS):
-                key = mix(tokens ^ np.uint64(seed))
+def prefixes(batches: Iterator[pa.RecordBatch], percent: int, heads_only: bool) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, pa.Array]]:
+    """(slice of a batch, row in it, order, token) of the prefixes of each set, or of its first tokens only."""
+    for batch in batches:
+        for b in slices(batch, SLICE, 2):
+            rows, orders, found = [], [], []
+            for row, data in enumerate(b.column(2).to_pylist()):
+                tokens = np.frombuffer(data, dtype="<u8")
                 length = 1 if heads_only else len(tokens) - int(least_overlap(len(tokens), percent)) + 1
-                first = np.argpartition(key, length - 1)[:length] if length < len(key) else np.arange(len(key))
-                out += [(row, k, t) for t in tokens[first].view(np.int64).tolist()]
-        yield b, out
+                for k, seed in enumerate(ORDERS):
+                    key = mix(tokens ^ np.uint64(seed))
+                    found.append(tokens[np.argpartition(key, length - 1)[:length]] if length < len(key) else tokens)
+                rows += [row] * len(ORDERS)
+                orders += range(len(ORDERS))
+            sizes = [len(f) for f in found]
+            yield b, pa.array(np.repeat(np.array(rows, np.int64), sizes)), pa.array(np.repeat(np.array(orders, np.int32), sizes)), pa.array(np.concatenate(found).view(np.int64))
 
 
 def links_by_head(nodes: DataFrame, percent: int) -> DataFrame:
     """Verified (a, b) between sets that have the same first token under an order, each with its predecessors by size."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in prefixes(batches, percent, True):
-            rows = b.take(pa.array([r for r, _, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in found], pa.int32()), pa.array([t for _, _, t in found], pa.int64()), *rows.columns], names=["k", "token", "id", "n", "tokens"])
+        for b, rows, orders, tokens in prefixes(batches, percent, True):
+            yield pa.RecordBatch.from_arrays([orders, tokens, b.column(0).take(rows), b.column(1).take(rows)], names=["k", "token", "id", "n"])
 
-    spread = nodes.select("id", "n", "tokens").mapInArrow(heads, "k int, token bigint, id bigint, n bigint, tokens binary")
+    spread = materialize(nodes.select("id", "n", "tokens").mapInArrow(heads, "k int, token bigint, id bigint, n bigint"))
     # only tokens that head several sets; the counts are combined map-side
-    common = nodes.select("id", "n", "tokens").mapInArrow(heads, "k int, token bigint, id bigint, n bigint, tokens binary").groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    near = spread.join(common, ["k", "token"]).select("k", "token", "n", "id", "tokens")
+    common = spread.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    near = spread.join(common, ["k", "token"]).join(nodes.select("id", "tokens"), "id").select("k", "token", "n", "id", "tokens")
     # ranges also split a token that heads a third of all sets
     near = near.repartitionByRange("k", "token", "n", "id").sortWithinPartitions("k", "token", "n", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, before = None, []
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, SLICE, 4)):
             found = []
             for k, token, _, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k, token) != group:
@@ -162,9 +166,8 @@ def links_between(nodes: DataFrame, component_of: DataFrame, percent: int) -> Da
     """Verified (a, b) of different components: share a prefix token under every order, fit in size, are similar."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in prefixes(batches, percent, False):
-            rows = b.take(pa.array([r for r, _, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in found], pa.int32()), pa.array([t for _, _, t in found], pa.int64()), *(rows.column(i) for i in (0, 1, 3))], names=["k", "token", "id", "n", "component"])
+        for b, rows, orders, tokens in prefixes(batches, percent, False):
+            yield pa.RecordBatch.from_arrays([orders, tokens, *(b.column(i).take(rows) for i in (0, 1, 3))], names=["k", "token", "id", "n", "component"])
 
     placed = nodes.join(component_of.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "tokens", F.coalesce("component", "id").alias("component"))
     tokens = placed.mapInArrow(spread, "k int, token bigint, id bigint, n bigint, component bigint")
@@ -178,7 +181,7 @@ def links_between(nodes: DataFrame, component_of: DataFrame, percent: int) -> Da
     full = candidates.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, SLICE, 2)):
             x, y = (b.column(i).to_pylist() for i in (2, 3))
             yes = [is_similar(np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8"), percent) for p, q in zip(x, y, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))

@@ -47,6 +47,14 @@ def partitions_for(df: DataFrame, text_col: str, bytes_each: int) -> int:
     return max(1, -(-total // bytes_each))
 
 
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is among ``ids`` (one column, no nulls), all columns; rows of one id collapse into one.
+
+    One shuffle of the documents: both steps use the same partitioning by id."""
+    wanted = ids.select(F.col(ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull())
+    return docs.join(wanted, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[list], list], slice_chars: int = 4_000_000) -> DataFrame:
     """mapInArrow over slices of rows of bounded text size.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower, materialize
+from palimpsest.llm.common import ascii_lower, materialize, with_ids
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -34,9 +34,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they came. Repeated rows of one winning id collapse into one."""
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, all columns as they came. Repeated rows of one winning id collapse into one, and so do
+    equal texts that have null ids only."""
+    groups = exact_groups(docs, id_col, text_col, salts)
+    stay = with_ids(docs, groups.where("kept AND doc_id IS NOT NULL").select("doc_id"), id_col)
+    text = F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256)
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__sha", text).dropDuplicates(["__sha"])
+    alone = groups.where("kept AND doc_id IS NULL").select(F.col("text_sha256").alias("__sha"))
+    return stay.unionByName(nameless.join(alone, "__sha", "left_semi").drop("__sha"))
 
 
 def op8_query(docs: DataFrame) -> DataFrame:

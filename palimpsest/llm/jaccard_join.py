@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, slices
+from palimpsest.llm.common import materialize, slices, with_ids
 from palimpsest.llm.components import components
 from palimpsest.llm.exchange import MESSAGE, ask_shared, answered, chunked, messages, mix, seen_by_others
 
@@ -210,9 +210,10 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The row with the smallest id of each group of similar documents, all columns as they came. Rows of one id collapse."""
-    first = similar_components(docs, size, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").dropDuplicates(["doc_id"])
+    """The row with the smallest id of each group of similar documents, all columns as they came. Rows of one id collapse;
+    rows with a null id stay."""
+    first = similar_components(docs, size, percent).where("doc_id = component_id").select("doc_id")
+    return with_ids(docs, first).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op9_query(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +116,11 @@ class Lattice:
         """The ids of a segmentation of each text, drawn with its key."""
         split = [UNITS.findall(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        distinct = list({u for us in split for u in us})
+        distinct = list(set().union(*split))
         if not distinct:
             return [np.zeros(0, np.int32) for _ in texts]
-        number = {u: i for i, u in enumerate(distinct)}
-        occ = np.fromiter((number[u] for us in split for u in us), np.int64, sizes.sum())
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        occ = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
 
         long = np.fromiter(map(len, distinct), np.int64, len(distinct))
         ends = np.cumsum(long)
@@ -127,31 +128,34 @@ class Lattice:
         unit = np.repeat(np.arange(len(distinct)), long)
         depth = np.arange(len(codes)) - (ends - long)[unit]
         first, length, piece = self.edges(codes, ends[unit] - np.arange(len(codes)))
-        # node p is the place behind character p; edges by depth of their last node, then node, then length
+        # node p is the place behind character p; edges by node, then length
         node = first + length - 1
-        order = np.lexsort((length, node, depth[node]))
+        order = np.argsort(node * len(self.by_length) + length)
         first, node, piece = first[order], node[order], piece[order]
+        level = depth[node]
+        # and by depth of the node, all units together
+        by_depth = np.argsort(level.astype(np.uint16) if len(depth) == 0 or depth.max() < 1 << 16 else level, kind="stable")
         weight = np.where(piece < 0, BYTE_WEIGHT * -piece, self.weight[np.maximum(piece, 0)])
         # forward: alpha[p] = log of the summed weights of all paths to node p
-        alpha = np.zeros(len(codes))
-        share = np.zeros(len(node))
-        bounds = np.searchsorted(depth[node], np.arange(long.max() + 1))
+        alpha = np.zeros(len(codes) + 1)  # the last one stands before every unit and stays 0
+        source = np.where(depth[first] > 0, first - 1, len(codes))
+        share = np.ones(len(node))
+        bounds = np.searchsorted(level[by_depth], np.arange(long.max() + 1))
         for d in range(len(bounds) - 1):
-            lo, hi = bounds[d], bounds[d + 1]
-            total = weight[lo:hi] + np.where(depth[first[lo:hi]] > 0, alpha[first[lo:hi] - 1], 0.0)
-            start = np.flatnonzero(np.diff(node[lo:hi], prepend=-1))
-            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, hi - lo)))
+            at = by_depth[bounds[d] : bounds[d + 1]]
+            total, own = weight[at] + alpha[source[at]], node[at]
+            start = np.flatnonzero(np.diff(own, prepend=-1))
+            width = np.diff(np.append(start, len(at)))
             top = np.maximum.reduceat(total, start)
-            part = np.exp(total - top[group])
+            part = np.exp(total - np.repeat(top, width))
             summed = np.add.reduceat(part, start)
-            alpha[node[lo + start]] = top + np.log(summed)
-            # cumulative shares in each node, exact in 32 bits, the last one full
+            alpha[own[start]] = top + np.log(summed)
+            # cumulative shares in each node, the last one full
             running = np.cumsum(part)
-            running -= np.concatenate(([0.0], running[start[1:] - 1]))[group]
-            share[lo:hi] = np.minimum(running / summed[group], 1.0)
-            share[lo + np.append(start[1:], hi - lo) - 1] = 1.0
-        by_node = np.lexsort((np.arange(len(node)), node))
-        first, node, piece, share = first[by_node], node[by_node], piece[by_node], share[by_node]
+            running -= np.repeat(np.concatenate(([0.0], running[start[1:] - 1])), width)
+            running /= np.repeat(summed, width)
+            running[start + width - 1] = 1.0
+            share[at] = np.minimum(running, 1.0)
         cut = node.astype(np.uint64) << np.uint64(32) | np.minimum(np.round(share * 2.0**32), 2.0**32 - 1).astype(np.uint64)
 
         # backward: all units of all texts step together

@@ -692,7 +692,10 @@ def _(c):
     return out.current.select("file_id", "current_version_id", F.col("size").isNull().alias("is_deleted"))
 
 
-@register("K12_apply_purge", "SELECT v.file_id, v.version_id, CASE WHEN b.kept THEN v.base_version_id END AS base_version_id, v.has_image OR (l.file_id IS NOT NULL AND t.version_id IS NOT NULL AND t.version_id = v.version_id) AS has_image FROM versions v JOIN pp p USING (file_id, version_id) LEFT JOIN pp b ON b.file_id = v.file_id AND b.version_id = v.base_version_id LEFT JOIN lost l ON l.file_id = v.file_id LEFT JOIN target t ON t.file_id = v.file_id WHERE p.kept", f"{PURGE}, {TARGET}, {LOST}")
+BLOCKED = "pq AS (SELECT file_id, version_id, kept OR file_id IN (SELECT l.file_id FROM lost l LEFT JOIN target t USING (file_id) WHERE t.version_id IS NULL) AS kept FROM pp)"
+
+
+@register("K12_apply_purge", "SELECT v.file_id, v.version_id, CASE WHEN b.kept THEN v.base_version_id END AS base_version_id, v.has_image OR (l.file_id IS NOT NULL AND t.version_id IS NOT NULL AND t.version_id = v.version_id) AS has_image FROM versions v JOIN pq p USING (file_id, version_id) LEFT JOIN pq b ON b.file_id = v.file_id AND b.version_id = v.base_version_id LEFT JOIN lost l ON l.file_id = v.file_id LEFT JOIN target t ON t.file_id = v.file_id WHERE p.kept", f"{PURGE}, {TARGET}, {LOST}, {BLOCKED}")
 def _(c):
     return mutators.apply_purge(c, tables.materialize(purge.purge_versions_plan(c, T)), T).versions.select("file_id", "version_id", "base_version_id", "has_image")
 

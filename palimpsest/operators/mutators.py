@@ -190,7 +190,11 @@ def migrate_soft_deletes(c: Catalog, deleted: DataFrame, sync_deleted: DataFrame
 
 
 def apply_purge(c: Catalog, plan: DataFrame, epoch: str) -> Catalog:
-    """Carry out the purge of versions (``plan``) and of obsolete files in all tables."""
+    """Carry out the purge of versions (``plan``) and of obsolete files in all tables.
+
+    A file that would lose its last image with no version to move it to stays as it is."""
+    blocked = purge_image_plan(c, plan, epoch).where("blocked").select("file_id", F.lit(True).alias("__blocked"))
+    plan = plan.join(blocked, "file_id", "left").select("file_id", "version_id", (F.col("kept") | F.coalesce("__blocked", F.lit(False))).alias("kept"))
     files_gone = purge_files_plan(c, epoch).select("file_id")
     gone, reroot, images, unlink = purged(plan), purge_reroot_plan(c, plan), purge_image_plan(c, plan, epoch), purge_sync_unlink_plan(c, plan)
     roots = reroot.select("file_id", "version_id", F.lit(True).alias("__root"))

@@ -4,15 +4,16 @@ A token is the 64-bit hash of a shingle. Under any global order of tokens, two s
 first ``n - ceil(t n) + 1`` tokens of each; so candidates must share a prefix token under every one of several orders,
 and only pairs that pass all of them are compared in full.
 
-1. Rarest first. Chunks ask which of their tokens occur in another document. Tokens that no other document has would
-   head every prefix under this order; a document with fewer than ``ceil(t n)`` shared tokens cannot have a partner and
-   leaves here with most others, before anything but packed fingerprints has moved.
+1. Rarest first. Chunks ask which of their tokens occur in another document. Those that none has come first under this
+   order and match nothing, so they are dropped from the set and from its prefix (the set keeps its size n). A document with fewer than
+   ``ceil(t n)`` shared tokens cannot have a partner and leaves here with most others, before anything but packed fingerprints has moved.
 2. Equal sets are one node from here on, whatever their number.
 3. Links for the large groups: under each hashed order, sets with the same first token are sorted by size and
    compared with their predecessors. Every link is a verified one. This joins near copies into components.
-4. The rest, exactly: prefix tokens under the orders that span more than one component, pairs of different components
-   that share such tokens under every order and fit in size, compared in full. Pairs within a component can
-   add nothing, so a group of thousands of near copies makes no pairs here.
+4. The rest, exactly. Prefix tokens under the first hashed order that span more than one component: where at most
+   ``HOT`` sets have the token, pairs of different components that fit in size are tested under the other orders, then in full.
+   Sets that share more frequent tokens form families; these are compared in full, block against block of similar size, in
+   matrix products that give back a spanning tree of links, never pairs.
 
 Only which sets are connected is kept, which is all that components need; no link between components is lost.
 """
@@ -37,6 +38,10 @@ ORDERS = (0x1B873593, 0x38495AB5, 0x5BD1E995)
 NEIGHBOURS = 3
 #: Bytes of sets that are taken up at once.
 SLICE = 4 << 20
+#: A prefix token of more sets than this is frequent.
+HOT = 32
+#: Sets in a block of a family.
+BLOCK = 256
 SETS = "id bigint, n bigint, shared bigint, tokens binary"
 
 
@@ -76,20 +81,27 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def is_similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, for ascending distinct arrays."""
-    n = len(a) + len(b)
-    least, most = sorted((len(a), len(b)))
-    if 100 * least < percent * most:
+def is_similar(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """100 * intersection >= percent * union, for the ascending distinct shared tokens of sets of n and m."""
+    if 100 * min(n, m) < percent * max(n, m) or (100 + percent) * min(len(a), len(b)) < percent * (n + m):
         return False
     both = np.concatenate((a, b))
     both.sort(kind="stable")
     common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (n - common)
+    return (100 + percent) * common >= percent * (n + m)
+
+
+def prefix(tokens: np.ndarray, n: int, percent: int, seed: int, most: int | None = None) -> np.ndarray:
+    """The first tokens of a set of n under an order, of which any partner has one."""
+    length = len(tokens) - int(least_overlap(n, percent)) + 1
+    length = length if most is None else min(length, most)
+    if length >= len(tokens):
+        return tokens
+    return tokens[np.argpartition(mix(tokens ^ np.uint64(seed)), length - 1)[:length]]
 
 
 def document_sets(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, shared, tokens) of every row; ``tokens`` only of those that can have a partner, else null."""
+    """(id, n, shared, tokens) of every row; ``tokens``: the shared ones, of rows that can have a partner, else null."""
     rows, n_chunks = chunked(docs, id_col, text_col)
     by_chunk = rows.groupBy("chunk")
 
@@ -106,44 +118,41 @@ def document_sets(docs: DataFrame, size: int, percent: int, id_col: str, text_co
         several |= answered(uniq, n_chunks, dict(zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True)))
         sizes, shared, tokens = [], [], []
         for s in sets:
-            common = int(np.count_nonzero(several[np.searchsorted(uniq, s)])) if len(s) else 0
+            common = s[several[np.searchsorted(uniq, s)]] if len(s) else s
             sizes.append(len(s))
-            shared.append(common)
-            tokens.append(s.tobytes() if len(s) and common >= least_overlap(len(s), percent) else None)
+            shared.append(len(common))
+            tokens.append(common.tobytes() if len(s) and len(common) >= least_overlap(len(s), percent) else None)
         return pa.table([t["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "n", "shared", "tokens"])
 
     answers = seen_by_others(by_chunk.applyInArrow(ask, MESSAGE))
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(alive, SETS)
 
 
-def prefixes(batches: Iterator[pa.RecordBatch], percent: int, heads_only: bool) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, pa.Array]]:
-    """(slice of a batch, row in it, order, token) of the prefixes of each set, or of its first tokens only."""
-    for batch in batches:
-        for b in slices(batch, SLICE, 2):
-            rows, orders, found = [], [], []
-            for row, data in enumerate(b.column(2).to_pylist()):
-                tokens = np.frombuffer(data, dtype="<u8")
-                length = 1 if heads_only else len(tokens) - int(least_overlap(len(tokens), percent)) + 1
-                for k, seed in enumerate(ORDERS):
-                    key = mix(tokens ^ np.uint64(seed))
-                    found.append(tokens[np.argpartition(key, length - 1)[:length]] if length < len(key) else tokens)
-                rows += [row] * len(ORDERS)
-                orders += range(len(ORDERS))
-            sizes = [len(f) for f in found]
-            yield b, pa.array(np.repeat(np.array(rows, np.int64), sizes)), pa.array(np.repeat(np.array(orders, np.int32), sizes)), pa.array(np.concatenate(found).view(np.int64))
+def prefix_tokens(nodes: DataFrame, percent: int, seeds: tuple[int, ...], most: int | None = None) -> DataFrame:
+    """(k, token, id, n): the prefix of each set (id, n, tokens) under each order k, or its first ``most`` tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, SLICE, 2):
+                found, rows, orders = [], [], []
+                for row, (n, data) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    tokens = np.frombuffer(data, dtype="<u8")
+                    found += [prefix(tokens, n, percent, seed, most) for seed in seeds]
+                    rows += [row] * len(seeds)
+                    orders += range(len(seeds))
+                sizes = [len(f) for f in found]
+                at = pa.array(np.repeat(np.array(rows, np.int64), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(orders, np.int32), sizes)), pa.array(np.concatenate(found).view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["k", "token", "id", "n"])
 
-def links_by_head(nodes: DataFrame, percent: int) -> DataFrame:
-    """Verified (a, b) between sets that have the same first token under an order, each with its predecessors by size."""
+    return nodes.select("id", "n", "tokens").mapInArrow(run, "k int, token bigint, id bigint, n bigint")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows, orders, tokens in prefixes(batches, percent, True):
-            yield pa.RecordBatch.from_arrays([orders, tokens, b.column(0).take(rows), b.column(1).take(rows)], names=["k", "token", "id", "n"])
 
-    spread = materialize(nodes.select("id", "n", "tokens").mapInArrow(heads, "k int, token bigint, id bigint, n bigint"))
+def links_by_head(nodes: DataFrame, percent: int) -> DataFrame:
+    """Verified (a, b) between sets that have the same first token under an order, each with its predecessors by size."""
+    heads = materialize(prefix_tokens(nodes, percent, ORDERS, 1))
     # only tokens that head several sets; the counts are combined map-side
-    common = spread.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    near = spread.join(common, ["k", "token"]).join(nodes.select("id", "tokens"), "id").select("k", "token", "n", "id", "tokens")
+    common = heads.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    near = heads.join(common, ["k", "token"]).join(nodes.select("id", "tokens"), "id").select("k", "token", "n", "id", "tokens")
     # ranges also split a token that heads a third of all sets
     near = near.repartitionByRange("k", "token", "n", "id").sortWithinPartitions("k", "token", "n", "id")
 
@@ -151,44 +160,94 @@ def links_by_head(nodes: DataFrame, percent: int) -> DataFrame:
         group, before = None, []
         for b in (x for batch in batches for x in slices(batch, SLICE, 4)):
             found = []
-            for k, token, _, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, token, n, node, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (k, token) != group:
                     group, before = (k, token), []
                 mine = np.frombuffer(data, dtype="<u8")
-                found += [(other, node) for other, theirs in before if is_similar(theirs, mine, percent)]
-                before = [*before[-(NEIGHBOURS - 1) :], (node, mine)]
+                found += [(other, node) for other, m, theirs in before if is_similar(theirs, mine, m, n, percent)]
+                before = [*before[-(NEIGHBOURS - 1) :], (node, n, mine)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return near.mapInArrow(compare, "a bigint, b bigint")
 
 
-def links_between(nodes: DataFrame, component_of: DataFrame, percent: int) -> DataFrame:
-    """Verified (a, b) of different components: share a prefix token under every order, fit in size, are similar."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, rows, orders, tokens in prefixes(batches, percent, False):
-            yield pa.RecordBatch.from_arrays([orders, tokens, *(b.column(i).take(rows) for i in (0, 1, 3))], names=["k", "token", "id", "n", "component"])
-
-    placed = nodes.join(component_of.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "tokens", F.coalesce("component", "id").alias("component"))
-    tokens = placed.mapInArrow(spread, "k int, token bigint, id bigint, n bigint, component bigint")
-    # min and max are combined map-side: the tokens of a large component disappear without meeting in a task
-    spanning = tokens.groupBy("k", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    left = materialize(tokens.join(spanning, ["k", "token"]))
-    right = left.select("k", "token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = left.withColumnRenamed("id", "a").join(right, ["k", "token"]).where(f"a < b AND component <> other AND 100 * least(n, m) >= {percent} * greatest(n, m)")
-    candidates = pairs.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, k))").alias("orders")).where(F.col("orders") == (1 << len(ORDERS)) - 1)
-    sets = nodes.select("id", "tokens")
-    full = candidates.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+def rare_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Verified (a, b) of different components that share one of the prefix tokens in rows (token, id, n, component)."""
+    right = rows.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = rows.withColumnRenamed("id", "a").join(right, "token").where(f"a < b AND component <> other AND 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
+    sets = nodes.select("id", "n", "tokens")
+    full = pairs.join(sets.select(F.col("id").alias("a"), "n", F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y", "n", "m")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in slices(batch, SLICE, 2)):
-            x, y = (b.column(i).to_pylist() for i in (2, 3))
-            yes = [is_similar(np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8"), percent) for p, q in zip(x, y, strict=True)]
+            yes = []
+            for x, y, n, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                p, q = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                passed = all(np.isin(prefix(p, n, percent, seed), prefix(q, m, percent, seed)).any() for seed in ORDERS[1:])
+                yes.append(passed and is_similar(p, q, n, m, percent))
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return full.mapInArrow(verify, "a bigint, b bigint")
 
 
+def family_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links that join all similar sets among those that share frequent prefix tokens, rows (token, id, n, component)."""
+    first = rows.groupBy("token").agg(F.min("id").alias("lead"))
+    stars = rows.join(first, "token").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    member = materialize(components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "family"))
+    # similar sets lie in one size class or in neighbouring ones
+    sized = member.join(nodes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    blocks = sized.groupBy("family", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = sized.join(blocks, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    beside = blocks.select("family", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above")).join(blocks.select("family", "class", "blocks"), ["family", "class"])
+    inner = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.col("class").alias("c1"), F.least("block", "other").alias("i"), F.col("class").alias("c2"), F.greatest("block", "other").alias("j"), "id")
+    low = own.join(beside.drop("blocks"), ["family", "class"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("above") - 1))).select("family", F.col("class").alias("c1"), F.col("block").alias("i"), (F.col("class") + 1).alias("c2"), F.col("other").alias("j"), "id")
+    high = own.join(beside.select("family", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")), ["family", "class"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("below") - 1))).select("family", (F.col("class") - 1).alias("c1"), F.col("other").alias("i"), F.col("class").alias("c2"), F.col("block").alias("j"), "id")
+    dealt = inner.unionByName(low).unionByName(high).join(nodes.select("id", "n", "tokens"), "id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, n = t["id"].to_pylist(), t["n"].to_numpy()
+        sets = [np.frombuffer(x, dtype="<u8") for x in t["tokens"].to_pylist()]
+        uniq, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(counts > 1) - 1
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        shared = (counts > 1)[at]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = 1 << 14
+        for lo in range(0, int(column[-1]) + 1, width):  # of the tokens that occur twice here, so many at once
+            inside = shared & (column[at] >= lo) & (column[at] < lo + width)
+            m = np.zeros((len(sets), min(width, int(column[-1]) + 1 - lo)), np.float32)
+            m[row[inside], column[at[inside]] - lo] = 1
+            common += m @ m.T
+        near = (100 + percent) * common.astype(np.int64) >= percent * (n[:, None] + n[None, :])
+        np.fill_diagonal(near, False)
+        # a spanning tree of what is connected here
+        left, found = set(range(len(ids))), []
+        while left:
+            todo = [left.pop()]
+            while todo:
+                x = todo.pop()
+                for y in np.flatnonzero(near[x]).tolist():
+                    if y in left:
+                        left.discard(y)
+                        todo.append(y)
+                        found.append((ids[x], ids[y]))
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy("family", "c1", "i", "c2", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def links_between(nodes: DataFrame, component_of: DataFrame, percent: int) -> DataFrame:
+    """Links that join all similar sets of different components."""
+    placed = nodes.select("id").join(component_of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    tokens = materialize(prefix_tokens(nodes, percent, ORDERS[:1]).drop("k").join(placed, "id"))
+    # min, max and count are combined map-side: the tokens of a large component disappear without meeting in a task
+    spanning = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).where("lo <> hi").drop("lo", "hi")
+    rows = materialize(tokens.join(spanning, "token"))
+    rare = rare_links(rows.where(F.col("sets") <= HOT).drop("sets"), nodes, percent)
+    return rare.unionByName(family_links(rows.where(F.col("sets") > HOT).drop("sets"), nodes, percent))
+
+
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id).
 
@@ -197,7 +256,9 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     with one id are one node, which has all their links."""
     all_rows = materialize(document_sets(docs, size, percent, id_col, text_col))
     alive = all_rows.where("tokens IS NOT NULL AND id IS NOT NULL")
-    same = alive.withColumn("digest", F.sha2("tokens", 256))
+    # a set with tokens that no other has equals none, though its shared ones may be another's too
+    alone = F.when(F.col("shared") < F.col("n"), F.col("id").cast("string")).otherwise("")
+    same = alive.withColumn("digest", F.concat_ws(":", F.sha2("tokens", 256), alone))
     nodes = materialize(same.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by("tokens", "id").alias("tokens")))
     equal = same.select(F.col("id").alias("a"), "digest").distinct().join(nodes.select("digest", F.col("id").alias("b")), "digest").where("a <> b").select("a", "b")
     # a repeated id may stand for different sets: nodes of one id are one node

@@ -301,8 +301,11 @@ def test_jaccard_join(docs, small_chunks, size, percent):
     assert got == jaccard_join.brute_force([(i, t) for i, t, *_ in corpus()], size, percent)
 
 
-def test_jaccard_links_between_components(spark, monkeypatch):
-    """Without the first pass every link must come from the prefix filters."""
+@pytest.mark.parametrize(("hot", "block"), [(32, 256), (2, 4)])
+def test_jaccard_links_between_components(spark, monkeypatch, hot, block):
+    """Without the first pass every link must come from the prefix filters: by pairs, or by blocks of families."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "links_by_head", lambda nodes, percent: nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false"))
     rng = random.Random(11)
     base = [prose(rng, 80).split() for _ in range(4)]

@@ -22,8 +22,13 @@ def piece(content: str, start: Column, length: Column) -> Column:
 
 def footprints(images: DataFrame, key: list[str], content: str = "content", k: int = FOOTPRINT, sample_mod: int = 1) -> DataFrame:
     """(key, pos, hash) of every window of k units; with sample_mod m, only of those whose hash is divisible by m."""
-    n = F.length(content)
-    windows = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.substring(F.col(content), i, F.lit(k)))))
+    # four bytes a character: a window is then found by arithmetic and not by walking through the text
+    text = dict(images.dtypes)[content] == "string"
+    raw, unit = (F.encode(F.col(content), "UTF-32"), 4) if text else (F.col(content), 1)
+    places = F.sequence(F.lit(0), F.length(content) - k)
+    # the outer transform binds the bytes once for all windows
+    windows = F.transform(F.array(raw), lambda r: F.transform(places, lambda i: F.xxhash64(F.substring(r, i * unit + 1, F.lit(k * unit)))))
+    windows = F.when(F.length(content) >= k, F.element_at(windows, 1))
     rows = images.select(*key, F.posexplode(windows).alias("pos", "hash"))
     return rows.where(F.pmod("hash", F.lit(sample_mod)) == 0) if sample_mod > 1 else rows
 

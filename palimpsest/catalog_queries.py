@@ -115,7 +115,7 @@ def _(c):
 @register("B4_filters_by_replica", "SELECT replica_id, path FROM listing WHERE CASE replica_id WHEN 1 THEN regexp_full_match(path, 'g[^/]/u1[^/]*(/.*)?') WHEN 2 THEN (path LIKE '%.doc' OR path LIKE '%.ods') AND path NOT LIKE 'g0/%' ELSE path NOT LIKE '%.tmp' END")
 def _(c):
     rules = paths.effective_filter(c.replicas, c.filters).join(paths.filter_rules(c.filter_elements), "filter_id", "left").drop("filter_id", "name")
-    return c.listing.join(F.broadcast(rules), "replica_id").where(paths.passes_rules("path")).select("replica_id", "path")
+    return c.listing.join(rules, "replica_id").where(paths.passes_rules("path")).select("replica_id", "path")
 
 
 @register("B5_effective_filter", "SELECT r.replica_id, coalesce(r.default_filter_id, d.filter_id) AS filter_id, (SELECT name FROM filters f WHERE f.filter_id = coalesce(r.default_filter_id, d.filter_id)) AS name, l.n AS n_files FROM replicas r JOIN (SELECT replica_id, count(*) AS n FROM listing GROUP BY replica_id) l USING (replica_id), (SELECT filter_id FROM filters WHERE name IN ('default', 'all') ORDER BY name = 'all' LIMIT 1) d")

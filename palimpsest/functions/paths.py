@@ -101,5 +101,5 @@ def effective_filter(replicas: DataFrame, filters: DataFrame, spec: str | None =
         named = named.where(F.col("name") == spec.lower())
         return replicas.select("replica_id").join(F.broadcast(named.limit(1)), how="left").select("replica_id", "filter_id", "name")
     common = named.where(F.col("name").isin("default", "all")).orderBy(F.col("name") == "all").limit(1).select(F.col("filter_id").alias("__id"), F.col("name").alias("__name"))
-    own = replicas.select("replica_id", F.col("default_filter_id").alias("filter_id")).join(F.broadcast(named), "filter_id", "left")
+    own = replicas.select("replica_id", F.col("default_filter_id").alias("filter_id")).join(named, "filter_id", "left")
     return own.join(F.broadcast(common), how="left").select("replica_id", F.coalesce("filter_id", "__id").alias("filter_id"), F.coalesce("name", "__name").alias("name"))

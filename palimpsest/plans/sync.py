@@ -44,7 +44,7 @@ def sync_present(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN"
 
 def sync_absent(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN") -> DataFrame:
     """Existing files without a local file, for every replica."""
-    rows = c.existing.select("path", "file_id", "current_version_id").join(F.broadcast(c.replicas.select("replica_id")))
+    rows = c.existing.select("path", "file_id", "current_version_id").crossJoin(c.replicas.select("replica_id"))
     rows = rows.join(listing.select("replica_id", "path"), ["replica_id", "path"], "left_anti").join(_synced(c), ["file_id", "replica_id"], "left")
     same = F.col("synced_version") == F.col("current_version_id")
     decision = F.when(F.col("has_sync").isNull() | F.col("synced_deleted"), "DISCARD").when(same, "UPDATE").otherwise(_otherwise(default_action))
@@ -75,5 +75,5 @@ def sync_plan(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN", p
         plan = plan.where(matches("path", pattern))
     if filtered:
         rules = effective_filter(c.replicas, c.filters).join(filter_rules(c.filter_elements), "filter_id", "left").select("replica_id", "include", "exclude")
-        plan = plan.join(F.broadcast(rules), "replica_id", "left").where(passes_rules("path"))
+        plan = plan.join(rules, "replica_id", "left").where(passes_rules("path"))
     return plan.select(*COLUMNS)

@@ -1,17 +1,61 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Works on distinct edges only, never on a component as a whole; the number of rounds grows with the logarithm of the
-longest path. A star's centre with very many leaves is only ever the key of a minimum, which Spark combines map-side.
+longest path. Before each round, every task contracts the edges it reads, ``LOCAL`` at a time, to stars of their own
+components, which leaves few rounds. A star's centre with very many leaves is only ever the key of a minimum, which Spark combines map-side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize
 
 
+#: Edges that a task contracts at once.
+LOCAL = 200_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), a > b, with the same components: in each lot of a task's edges, its nodes linked to their smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            path = []
+            while (y := up.setdefault(x, x)) != x:
+                path.append(x)
+                x = y
+            for p in path:
+                up[p] = x
+            return x
+
+        def stars() -> pa.RecordBatch:
+            made = [(x, top(x)) for x in list(up)]
+            made = [(x, y) for x, y in made if x != y]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in made], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        n = 0
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(a), top(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            n += batch.num_rows
+            if n >= LOCAL:
+                yield stars()
+                n = 0
+        yield stars()
+
+    return edges.mapInArrow(run, "a bigint, b bigint")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal sets of distinct edges."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
@@ -21,8 +65,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of (a, b) edges; the component is its smallest node.
 
     Loops, repeated and reversed edges do no harm; rows with a null end are left out; no edges give no rows."""
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     # each row: a > b
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = materialize(contracted(e).distinct())
     before = _mark(e)
     while True:
         # large star: each node's larger neighbours are linked to the smallest node of its neighbourhood
@@ -32,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = materialize(small)
+        e = materialize(contracted(materialize(small)).distinct())
         now = _mark(e)
         if now == before:
             break

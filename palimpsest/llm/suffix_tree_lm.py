@@ -1,24 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A text is its words (A-Z lower-cased) and an end. The tree's symbols are the ``SYMBOLS - 2`` most frequent words, the end
-(which also fills the context before the first word) and one symbol for all other words. A context of up to ``DEPTH``
-symbols becomes a state when it was seen ``min_count`` times and its next-symbol distribution diverges from that of its
-own suffix: count x Kullback-Leibler divergence, the code length that the longer context saves, must reach
-``min_gain`` nats. Distributions are smoothed with that of the next shorter state, and each symbol is predicted in the
-state of the longest retained suffix before it. A word under the common symbol then has probability c / (n + m), c its
-training count, n that of all such words and m the number of words seen once, the mass that Good and Turing leave to new
-words; any word that training does not have counts as one and the same new word, as in the baseline. So the score is the
-log10 of a proper probability over the same events as the word-frequency baseline beside it.
-
-The counts come from every training text and are summed on the cluster; the tree is cut to ``max_states`` states of
-the largest gain, so what is sent to the executors has a fixed size. Word counts of the whole corpus never meet in one
-place: chunks ask for the counts of their own words (see exchange).
+A text is its words (A-Z lower-cased) and an end. The tree's symbols are all words that training has ``min_count`` times,
+the end (which also fills the context before the first word) and one symbol for all other words. A context of up to
+``DEPTH`` symbols becomes a state when it was seen ``min_count`` times and its next-symbol distribution diverges from
+that of its own suffix: count x Kullback-Leibler divergence, the code length that the longer context saves, must reach
+``min_gain`` nats; a state's suffixes are states too. Distributions are smoothed with that of the next shorter state,
+and each symbol is predicted in the state of the longest retained suffix before it. A word under the common symbol then
+has probability c / (n + m), c its training count, n that of all such words and m the number of words seen once, the
+mass that Good and Turing leave to new words; any word that training does not have counts as one and the same new word,
+as in the baseline. So the score is the log10 of a proper probability over the same events as the word-frequency
+baseline beside it.
+
+Neither symbols nor states are limited in number: the tree grows with the corpus and never meets in one place. Chunks of
+documents ask for the counts of their own words, then of their own continuations of contexts, one symbol longer each
+time, where only contexts that were counted often enough go on; then for the gain of their contexts, and for whether a
+longer state retains them (see exchange). Words and contexts are asked for by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,17 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, slices
-from palimpsest.llm.exchange import MESSAGE, buckets, chunked, packed, unpacked
+from palimpsest.llm.common import materialize
+from palimpsest.llm.exchange import MESSAGE, PACKING, buckets, chunked, messages, mix
 from palimpsest.llm.langid import held_out
 
 DEPTH = 3
-BITS = 7
-SYMBOLS = 1 << BITS
-OTHER, END = SYMBOLS - 2, SYMBOLS - 1
-MASKS = [(1 << BITS * d) - 1 for d in range(DEPTH + 1)]
-#: Texts that are taken up at once, in bytes.
-SLICE = 4 << 20
+END, OTHER = 0, 1  # symbols; those of words follow
+FLAT = 0.1  # added to each symbol's count where there is no context
 
 
 def words_of(texts: list[str | None]) -> list[list[bytes]]:
@@ -45,119 +43,68 @@ def words_of(texts: list[str | None]) -> list[list[bytes]]:
     return [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
 
 
-def grams(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each symbol and the end of each text: the DEPTH symbols before it and itself, BITS each, itself lowest.
-
-    ``symbols``: of all texts' words, one text after the other; ``sizes``: words of each text."""
-    n = len(sizes)
-    stream = np.full(len(symbols) + DEPTH * (n + 1), END, np.uint32)
-    shift = np.repeat(np.arange(1, n + 1) * DEPTH, sizes)
-    stream[np.arange(len(symbols)) + shift] = symbols
-    out = np.zeros(len(stream) - DEPTH, np.uint32)
-    for i in range(DEPTH + 1):
-        out = (out << np.uint32(BITS)) | stream[i : i + len(out)]
-    own = np.arange(len(symbols) + n) + np.repeat(np.arange(n) * (DEPTH - 1), sizes + 1)
-    return out[own]
-
-
 @dataclass
 class SuffixTree:
-    symbol: dict[bytes, int]  #: of the frequent words
-    state: np.ndarray  #: state of each full context
+    symbol: dict[bytes, int]  #: of the words that have their own
+    state: dict[tuple[int, ...], int]  #: of each retained context, oldest symbol first
     logs: np.ndarray  #: log10 probability of each symbol in each state
-    common: int  #: training tokens under the common symbol
     n_states: int
 
-    def log_probs(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol and end, one text after the other."""
-        g = grams(symbols, sizes)
-        return self.logs[self.state[g >> np.uint32(BITS)], g & np.uint32(SYMBOLS - 1)].astype(np.float64)
-
-
-def frequent_words(texts: DataFrame) -> list[bytes]:
-    """The most frequent words: a task sends those with a hundred-thousandth of its tokens, their counts are summed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        for b in batches:
-            for part in slices(b, SLICE, 0):
-                for ws in words_of(part.column(0).to_pylist()):
-                    held.update(ws)
-        least = held.total() / 100_000
-        found = [(w, n) for w, n in held.items() if n >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["word", "n"])
-
-    summed = texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in summed.orderBy(F.desc("n"), "word").limit(SYMBOLS - 2).collect()]
-
-
-def gram_counts(texts: DataFrame, symbol: dict[bytes, int]) -> DataFrame:
-    """(gram, n), every training token in its context. A task sums its own grams before it sends them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            g, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            return g, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-
-        for b in batches:
-            for part in slices(b, SLICE, 0):
-                split = words_of(part.column(0).to_pylist())
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                symbols = np.fromiter((symbol.get(w, OTHER) for ws in split for w in ws), np.uint32, sizes.sum())
-                held.append(np.unique(grams(symbols, sizes), return_counts=True))
-                if len(held) > 8:
-                    held[:] = [merged()]
-        if held:
-            g, n = merged()
-            for i in range(0, len(g), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(g[i : i + (1 << 16)].astype(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["gram", "n"])
-
-    return texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, max_states: int = 30_000, weight: float = 8.0) -> SuffixTree:
-    """``texts``: one text column, all of it counted; null counts as empty. weight: of the shorter state's distribution."""
-    symbol = {w: i for i, w in enumerate(frequent_words(texts))}
-    counted = materialize(gram_counts(texts, symbol))
-    nodes = None
-    for d in range(DEPTH + 1):
-        of = counted.groupBy(F.shiftright("gram", BITS).bitwiseAND(F.lit(MASKS[d])).alias("ctx"), F.col("gram").bitwiseAND(F.lit(SYMBOLS - 1)).alias("next")).agg(F.sum("n").alias("n")).withColumn("depth", F.lit(d))
-        nodes = of if nodes is None else nodes.unionByName(of)
-    nodes = materialize(nodes)
-    totals = nodes.groupBy("depth", "ctx").agg(F.sum("n").alias("total"))
-    probs = nodes.join(totals, ["depth", "ctx"]).withColumn("p", F.col("n") / F.col("total"))
-    parent = probs.select((F.col("depth") + 1).alias("depth"), F.col("ctx").alias("suffix"), "next", F.col("p").alias("q"))
-    shorter = F.col("ctx").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in MASKS]), F.col("depth")))
-    gains = (
-        probs.where(f"depth > 0 AND total >= {min_count}").withColumn("suffix", shorter).join(parent, ["depth", "suffix", "next"])
-        .groupBy("depth", "ctx").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain")).where(F.col("gain") >= min_gain)
-    )
-    best = gains.orderBy(F.desc("gain"), "depth", "ctx").limit(max_states).select("depth", "ctx").collect()  # max_states rows
-    kept = {(0, 0)}
-    for d, ctx in best:
-        kept.update((k, ctx & MASKS[k]) for k in range(1, d + 1))  # a state's suffixes are states
-    states = sorted(kept)
-    number = {s: i for i, s in enumerate(states)}
-    wanted = texts.sparkSession.createDataFrame([(int(d), int(c)) for d, c in states], "depth int, ctx bigint")
-    counts = np.zeros((len(states), SYMBOLS))
-    for d, c, nxt, n in nodes.join(F.broadcast(wanted), ["depth", "ctx"]).select("depth", "ctx", "next", "n").toLocalIterator():
-        counts[number[d, c], nxt] = n
-    p = np.empty_like(counts)
-    state = np.zeros(1 << BITS * DEPTH, np.uint16 if len(states) < 1 << 16 else np.uint32)
-    p[0] = (counts[0] + 0.1) / (counts[0].sum() + 0.1 * SYMBOLS)
-    for i, (d, c) in enumerate(states):
-        if d:
-            p[i] = (counts[i] + weight * p[number[d - 1, c & MASKS[d - 1]]]) / (counts[i].sum() + weight)
-            state.reshape(-1, 1 << BITS * d)[:, c] = i  # deeper states come later and stay
-    return SuffixTree(symbol, state, np.log10(p).astype(np.float32), int(counts[0, OTHER]), len(states))
-
-
-COUNT_TYPE = np.dtype([("hash", "<u8"), ("n", "<i8")])
+    def log_probs(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """Each word's and the end's symbol and its log10 probability."""
+        ctx, out = (END,) * DEPTH, []
+        for s in (*(self.symbol.get(w, OTHER) for w in words), END):
+            row = next(self.state[ctx[i:]] for i in range(DEPTH + 1) if ctx[i:] in self.state)
+            out.append((s, float(self.logs[row, s])))
+            ctx = (*ctx[1:], s)
+        return out
+
+
+def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, weight: float = 8.0) -> SuffixTree:
+    """The tree of ``score_texts`` by brute force in one place, for small tables. ``texts``: one text column, null counts as empty."""
+    split = words_of([r[0] for r in texts.collect()])
+    symbol = {w: i for i, w in enumerate(sorted(w for w, n in Counter(w for ws in split for w in ws).items() if n >= min_count), 2)}
+    counts: dict[tuple[int, ...], Counter[int]] = {(): Counter()}
+    for ws in split:
+        ctx = (END,) * DEPTH
+        for s in (*(symbol.get(w, OTHER) for w in ws), END):
+            for i in range(DEPTH + 1):
+                counts.setdefault(ctx[i:], Counter())[s] += 1
+            ctx = (*ctx[1:], s)
+    kept = {()}
+    for ctx, c in counts.items():
+        if ctx and (total := c.total()) >= min_count:
+            shorter = counts[ctx[1:]]
+            if sum(n * math.log(n / total / (shorter[s] / shorter.total())) for s, n in c.items()) >= min_gain:
+                kept.update(ctx[i:] for i in range(len(ctx)))
+    state = {ctx: i for i, ctx in enumerate(sorted(kept, key=lambda c: (len(c), c)))}
+    p = np.zeros((len(state), len(symbol) + 2))
+    for ctx, i in state.items():
+        c = np.array([counts[ctx][s] for s in range(p.shape[1])], float)
+        p[i] = (c + weight * p[state[ctx[1:]]]) / (c.sum() + weight) if ctx else (c + FLAT) / (c.sum() + FLAT * len(c))
+    return SuffixTree(symbol, state, np.log10(p), len(state))
+
+
 END_WORD = b"\n"  # no word holds white space
 
 
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Arrays of known types in one compressed string, each with its first bytes before its second ones."""
+    sizes = np.array([len(a) for a in arrays], "<u4").tobytes()
+    raw = sizes + b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
+    return len(raw).to_bytes(8, "little") + PACKING.compress(raw, asbytes=True)
+
+
+def unbundle(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = PACKING.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
+    out, at = [], 4 * len(kinds)
+    for size, kind in zip(np.frombuffer(raw, "<u4", len(kinds)).tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T).reshape(-1).view(kind))
+        at += size * width
+    return out
+
+
 class ChunkWords:
     """The documents of a chunk as word numbers; distinct words in ascending order of their hashes. The end is a word."""
 
@@ -177,64 +124,214 @@ class ChunkWords:
         self.ends[self.starts + self.sizes - 1] = True
 
 
-def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, **fit_options) -> DataFrame:
+def asked(hashes: np.ndarray, values: np.ndarray, chunk: int, n: int) -> list[tuple[int, int, bytes]]:
+    """One message to each bucket about ascending distinct hashes, a value for each."""
+    return [(b, chunk, bundle(np.diff(hashes[s], prepend=np.uint64(0)), values[s])) for b, s in buckets(hashes, n)]
+
+
+def received(t: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """What a bucket was sent, by chunk: number of each entry's hash, values, distinct hashes and where messages end."""
+    sent = [unbundle(x, "<u8", kind) for x in t["data"].to_pylist()]
+    hashes, at = np.unique(np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in sent]), return_inverse=True)
+    return at, np.concatenate([v for _, v in sent]), hashes, np.cumsum([len(v) for _, v in sent])[:-1].tolist()
+
+
+def answers_to(asks: DataFrame, kind: str, step: int, resolve) -> DataFrame:
+    """(step, bucket, chunk, data): for each message the sums of its hashes' values over all chunks, as resolve gives them."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")  # sums of doubles do not depend on the order of arrival
+        at, values, hashes, ends = received(t, kind)
+        sums = np.zeros(len(hashes), kind)
+        np.add.at(sums, at, values)
+        parts = [bundle(x) for x in np.split(resolve(sums)[at], ends)]
+        return pa.table([pa.array([step] * len(parts), pa.int32()), t["bucket"], t["chunk"], pa.array(parts, pa.binary())], names=["step", "bucket", "chunk", "data"])
+
+    return materialize(asks.groupBy("bucket").applyInArrow(answer, "step int, bucket int, chunk int, data binary"))
+
+
+class ChunkGrams:
+    """The symbols of a chunk's documents in their contexts, and what the answers so far tell of them."""
+
+    def __init__(self, state: bytes, n: int, min_count: int, back: pa.Table | None = None):
+        self.ids, self.counts, self.tokens, sizes, train, self.totals = unbundle(state, "<u8", "<i8", "<u4", "<i8", "|u1", "<i8")
+        self.n, self.min_count = n, min_count
+        self.train = np.repeat(train, sizes).astype(bool)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
+        self.first, self.docs = place == 0, int(self.counts[0])  # the end comes first among the symbols
+        named = mix((self.ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        self.own, self.contexts, h = named[self.tokens], [], np.zeros(len(self.tokens), np.uint64)
+        for d in range(1, DEPTH + 1):
+            before = np.zeros_like(self.tokens)
+            before[d:] = self.tokens[:-d]
+            before[place < d] = 0
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + named[before] + np.uint64(d))
+            self.contexts.append(h)
+        self.back: dict[int, dict[int, bytes]] = {}
+        if back is not None:
+            for step, b, data in zip(back["step"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True):
+                self.back.setdefault(step, {})[b] = data
+        #: by depth: how often training has each symbol after its context, and the context; 0 where that was not asked
+        self.seen, self.total = [self.counts[self.tokens]], [np.full(len(self.tokens), self.totals[0])]
+
+    def answered(self, step: int, hashes: np.ndarray, kind: str) -> np.ndarray:
+        out, got = np.zeros(len(hashes), kind), self.back.get(step, {})
+        for b, s in buckets(hashes, self.n):
+            (out[s],) = unbundle(got[b], kind)
+        return out
+
+    def deepen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts one symbol longer: the places whose context is frequent, their distinct grams, each place's gram."""
+        d = len(self.seen)
+        total = np.where(self.first, self.docs, np.concatenate(([0], self.seen[-1][:-1])))
+        total[total < self.min_count] = 0
+        self.total.append(total)
+        at = np.flatnonzero(total)
+        return at, *np.unique(mix(self.contexts[d - 1][at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.own[at]), return_inverse=True)
+
+    def count(self) -> None:
+        at, hashes, gram = self.deepen()
+        seen = np.zeros(len(self.tokens), np.int64)
+        seen[at] = self.answered(len(self.seen), hashes, "<i8")[gram]
+        self.seen.append(seen)
+
+    def ask_counts(self, chunk: int) -> list[tuple[int, int, bytes]]:
+        at, hashes, gram = self.deepen()
+        return asked(hashes, np.bincount(gram[self.train[at]], minlength=len(hashes)).astype("<i8"), chunk, self.n)
+
+    def frequent(self, depths: range) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The places with a frequent context of each depth; all these contexts' distinct hashes; each place's, depth after depth."""
+        places = [np.flatnonzero(self.total[d]) for d in depths]
+        return places, *np.unique(np.concatenate([self.contexts[d - 1][at] for d, at in zip(depths, places, strict=True)]), return_inverse=True)
+
+    def ask_gains(self, chunk: int) -> list[tuple[int, int, bytes]]:
+        """Code length that each context saves in this chunk's training texts."""
+        places, hashes, number = self.frequent(range(1, DEPTH + 1))
+        saved = np.zeros(len(number))
+        ends = np.cumsum([len(at) for at in places])
+        for d, at, end in zip(range(1, DEPTH + 1), places, ends.tolist(), strict=True):
+            t = self.train[at]
+            a = at[t]
+            saved[end - len(at) : end][t] = np.log(self.seen[d][a] / self.total[d][a]) - np.log(self.seen[d - 1][a] / self.total[d - 1][a])
+        return asked(hashes, np.bincount(number, weights=saved, minlength=len(hashes)), chunk, self.n)
+
+    def states(self) -> list[np.ndarray]:
+        """By depth from 1: is the context before each place a state by its own gain?"""
+        places, hashes, number = self.frequent(range(1, DEPTH + 1))
+        passed, out, end = self.answered(DEPTH + 1, hashes, "|u1")[number].astype(bool), [], 0
+        for at in places:
+            out.append(np.zeros(len(self.tokens), bool))
+            out[-1][at] = passed[end : end + len(at)]
+            end += len(at)
+        return out
+
+    def ask_retained(self, chunk: int) -> list[tuple[int, int, bytes]]:
+        """For each context that could be longer: is there a longer state here?"""
+        states = self.states()
+        places, hashes, number = self.frequent(range(1, DEPTH))
+        longer = np.concatenate([np.logical_or.reduce(states[d:])[at] for d, at in zip(range(1, DEPTH), places, strict=True)])
+        return asked(hashes, np.minimum(np.bincount(number[longer], minlength=len(hashes)), 1).astype("<i8"), chunk, self.n)
+
+    def log_probs(self, weight: float) -> np.ndarray:
+        states = self.states()
+        places, hashes, number = self.frequent(range(1, DEPTH))
+        retained, end = self.answered(DEPTH + 2, hashes, "|u1")[number].astype(bool), 0
+        for d, at in zip(range(1, DEPTH), places, strict=True):
+            states[d - 1][at] |= retained[end : end + len(at)]
+            end += len(at)
+        p = (self.seen[0] + FLAT) / (self.totals[0] + FLAT * self.totals[1])
+        for d, s in enumerate(states, 1):
+            p[s] = (self.seen[d][s] + weight * p[s]) / (self.total[d][s] + weight)
+        return np.log10(p)
+
+
+def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, min_count: int = 50, min_gain: float = 30.0, weight: float = 8.0) -> DataFrame:
     """One row per input row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``fold``; a null id counts as empty text. Null text is
     empty: one end. base_score is the add-``add`` word-frequency score, score the suffix tree's; both log10. Rows may
-    repeat: each is counted and scored for itself."""
-    out = held_out(id_col, folds, fold)
-    tree = fit(docs.where(~out).select(F.col(text_col).cast("string").alias("text")), **fit_options)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    repeat: each is counted and scored for itself. weight: of the shorter state's distribution."""
     rows, n = chunked(docs, id_col, text_col)
     by_chunk = rows.withColumn("held_out", held_out("doc_id", folds, fold)).groupBy("chunk")
-    schema = "bucket int, chunk int, data binary, tokens bigint, distinct bigint, once bigint"
+    sums = ("tokens", "distinct", "once", "symbols", "common")
+    schema = "bucket int, chunk int, data binary, " + ", ".join(f"{s} bigint" for s in sums)
+    end_hash = np.uint64(xxhash.xxh3_64_intdigest(END_WORD))
 
     def ask(t: pa.Table) -> pa.Table:
-        c, chunk = ChunkWords(t), t["chunk"][0].as_py()
+        c = ChunkWords(t)
         train = np.repeat(~t["held_out"].to_numpy(zero_copy_only=False).astype(bool), c.sizes)
-        e = np.zeros(len(c.hashes), COUNT_TYPE)
-        e["hash"], e["n"] = c.hashes, np.bincount(c.words[train], minlength=len(c.hashes))
-        sent = [(b, chunk, packed(e[s])) for b, s in buckets(c.hashes, n)]
-        bucket, chunk, data = zip(*sent, strict=True)
-        return pa.table([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "chunk", "data"])
+        return messages(asked(c.hashes, np.bincount(c.words[train], minlength=len(c.hashes)).astype("<i8"), t["chunk"][0].as_py(), n))
 
     def count(t: pa.Table) -> pa.Table:
-        sent = [unpacked(x, COUNT_TYPE) for x in t["data"].to_pylist()]
-        e = np.concatenate(sent)
-        _, at = np.unique(e["hash"], return_inverse=True)
-        sums = np.zeros(at.max() + 1, np.int64)
-        np.add.at(sums, at, e["n"])
-        parts = np.split(sums[at], np.cumsum([len(x) for x in sent])[:-1])
+        at, values, hashes, ends = received(t, "<i8")
+        total = np.zeros(len(hashes), np.int64)
+        np.add.at(total, at, values)
+        is_end = hashes == end_hash
+        frequent = (total >= min_count) & ~is_end
+        # symbols are numbered within buckets, so that no two buckets give the same number
+        symbol = np.where(is_end, END, OTHER).astype("<u8")
+        symbol[frequent] = 2 + np.arange(np.count_nonzero(frequent)) * n + t["bucket"][0].as_py()
+        parts = [bundle(total[i], symbol[i]) for i in np.split(at, ends)]
         # the sums of the bucket stand in its first row
-        own = [[int(x)] + [0] * (t.num_rows - 1) for x in (sums.sum(), np.count_nonzero(sums), np.count_nonzero(sums == 1))]
-        return pa.table([t["bucket"], t["chunk"], pa.array([packed(p) for p in parts], pa.binary()), *(pa.array(x, pa.int64()) for x in own)], names=["bucket", "chunk", "data", "tokens", "distinct", "once"])
+        found = (total.sum(), np.count_nonzero(total), np.count_nonzero(total == 1), np.count_nonzero(frequent), total[symbol == OTHER].sum())
+        own = [[int(x)] + [0] * (t.num_rows - 1) for x in found]
+        return pa.table([t["bucket"], t["chunk"], pa.array(parts, pa.binary()), *(pa.array(x, pa.int64()) for x in own)], names=["bucket", "chunk", "data", *sums])
 
     counted = by_chunk.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(count, schema)
-    totals = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("tokens", "distinct", "once")])
-    answers = counted.select("bucket", "chunk", "data", *[totals.select(c).scalar().alias(c) for c in ("tokens", "distinct", "once")])
+    totals = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums])
+    answers = counted.select("bucket", "chunk", "data", *[totals.select(c).scalar().alias(c) for c in sums])
+    id_type = dict(rows.dtypes)["doc_id"]
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "within"]
 
-    def score(t: pa.Table, back: pa.Table) -> pa.Table:
+    def number(t: pa.Table, back: pa.Table) -> pa.Table:
         c, got = ChunkWords(t), dict(zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True))
-        total, distinct, once = (back[x][0].as_py() for x in ("tokens", "distinct", "once"))
-        known = np.zeros(len(c.hashes), np.int64)
+        total, distinct, once, symbols, common = (back[x][0].as_py() for x in sums)
+        known, symbol = np.zeros(len(c.hashes), np.int64), np.zeros(len(c.hashes), np.uint64)
         for b, s in buckets(c.hashes, n):
-            known[s] = unpacked(got[b], np.dtype("<i8"))
-        model = shared.value
+            known[s], symbol[s] = unbundle(got[b], "<i8", "<u8")
         base = (np.log10(known + add) - np.log10(total + add * (distinct + 1)))[c.words]
-        symbol = np.fromiter((model.symbol.get(w, OTHER) for w in c.distinct), np.uint32, len(c.distinct))
-        new_mass = once + 1
-        within = np.where(symbol == OTHER, np.log10(np.where(known > 0, known, new_mass)) - np.log10(model.common + new_mass), 0.0)
-        symbols = symbol[c.words]
-        each = model.log_probs(symbols[~c.ends], c.sizes - 1) + np.where(c.ends, 0.0, within[c.words])
-        sums = [np.add.reduceat(x, c.starts) for x in ((known > 0)[c.words].astype(np.int64), base, each)]
-        return pa.table(
-            [t["doc_id"], t["held_out"], pa.array(c.sizes), pa.array(sums[0]), pa.array(np.full(len(c.sizes), total)), pa.array(sums[1]), pa.array(sums[2])],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-    result = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(score, result)
+        within = np.where(symbol == OTHER, np.log10(np.where(known > 0, known, once + 1)) - np.log10(common + once + 1), 0.0)
+        ids, first, place = np.unique(symbol, return_index=True, return_inverse=True)
+        counts = np.where(ids == OTHER, common, known[first])
+        train = ~t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        state = bundle(ids, counts, place[c.words].astype("<u4"), c.sizes, train.astype(np.uint8), np.array([total, symbols + 2]))
+        n_known, bases, withins = (np.add.reduceat(x, c.starts) for x in ((known > 0)[c.words].astype(np.int64), base, within[c.words]))
+        made = [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(c.sizes), pa.array(n_known), pa.array(np.full(len(c.sizes), total)), pa.array(bases), pa.array(withins)]
+        ends = pa.array([0, len(c.sizes)], pa.int32())
+        return pa.table([t["chunk"][:1], pa.array([state], pa.binary()), *(pa.ListArray.from_arrays(ends, x) for x in made)], names=["chunk", "state", *columns])
+
+    kinds = [id_type, "boolean", "bigint", "bigint", "bigint", "double", "double"]
+    chunks = materialize(by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(number, "chunk int, state binary, " + ", ".join(f"{c} array<{k}>" for c, k in zip(columns, kinds, strict=True))))
+    states = chunks.select("chunk", "state")
+
+    def grams(t: pa.Table, back: pa.Table, depth: int) -> ChunkGrams:
+        g = ChunkGrams(t["state"][0].as_py(), n, min_count, back)
+        for _ in range(depth):
+            g.count()
+        return g
+
+    def asks(known: DataFrame, depth: int, of) -> DataFrame:
+        def run(t: pa.Table, back: pa.Table) -> pa.Table:
+            return messages(of(grams(t, back, depth), t["chunk"][0].as_py()))
+
+        return states.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, MESSAGE)
+
+    known = docs.sparkSession.createDataFrame([], "step int, bucket int, chunk int, data binary")
+    for d in range(1, DEPTH + 1):
+        known = known.unionByName(answers_to(asks(known, d - 1, ChunkGrams.ask_counts), "<i8", d, lambda x: x))
+    known = known.unionByName(answers_to(asks(known, DEPTH, ChunkGrams.ask_gains), "<f8", DEPTH + 1, lambda x: (x >= min_gain).astype("|u1")))
+    known = known.unionByName(answers_to(asks(known, DEPTH, ChunkGrams.ask_retained), "<i8", DEPTH + 2, lambda x: (x > 0).astype("|u1")))
+
+    def score(t: pa.Table, back: pa.Table) -> pa.Table:
+        each = grams(t, back, DEPTH).log_probs(weight)
+        made = [t[c].combine_chunks().flatten() for c in columns]
+        sizes = made[2].to_numpy()
+        tree = np.add.reduceat(each, np.cumsum(sizes) - sizes) + made[-1].to_numpy()
+        return pa.table([*made[:-1], pa.array(tree)], names=[*columns[:-1], "score"])
+
+    result = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, result)
 
 
 def op7_query(docs: DataFrame) -> DataFrame:

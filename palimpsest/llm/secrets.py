@@ -2,7 +2,8 @@
 
 The raw text is layer 0 and gives the base spans. Each layer is searched for encoded segments (URL escapes, \\uXXXX
 escapes, base64, and zlib or gzip data inside base64); each decodes to a new layer, which is scanned and searched in
-turn until nothing new appears. A layer whose content was seen before in this text is not entered again, so loops end.
+turn until nothing new appears. A layer is not entered again for the same content at the same place of the raw text, so
+loops end; content that occurs at several places is scanned once and found at each of them.
 Every layer keeps, for each of its characters, the span of the raw text that it comes from, so a secret found three
 layers deep is reported at its place in the input, with the layers in its kind, as in ``base64.url.assign``.
 """
@@ -127,17 +128,19 @@ def unwrap(text: str) -> Iterator[tuple[str, list[int], list[int], str]]:
 def find_secrets_in(text: str) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, stop, score, base) by start, then base kinds as listed, then layered kinds by name."""
     found = {(a, BASE_KINDS.index(k), k, b) for k, a, b in scan(text)}
-    seen, work = {text}, [(text, None, None, "")]
+    seen, scans, work = {(text, 0, len(text))}, {}, [(text, None, None, "")]
     while work:
         layer, first, end, names = work.pop()
         for plain, a, b, name in unwrap(layer):
-            if plain in seen:
-                continue
-            seen.add(plain)
             if first is not None:
                 a, b = [first[x] for x in a], [end[x - 1] for x in b]
+            if (plain, a[0], b[-1]) in seen:
+                continue
+            seen.add((plain, a[0], b[-1]))
             path = f"{names}{name}."
-            for kind, x, y in scan(plain):
+            if plain not in scans:
+                scans[plain] = list(scan(plain))
+            for kind, x, y in scans[plain]:
                 found.add((a[x], len(BASE_KINDS), path + kind, b[y - 1]))
             work.append((plain, a, b, path))
     return [(k, a, b, 1.0 if rank < len(BASE_KINDS) else 0.9, rank < len(BASE_KINDS)) for a, rank, k, b in sorted(found)]

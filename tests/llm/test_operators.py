@@ -228,6 +228,15 @@ def test_secrets_in_layers(wrap):
         assert 7 <= a < b <= 7 + len(inner)
 
 
+@pytest.mark.parametrize("wrap", [lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: b64encode(b64encode(zlib.compress(s.encode()))).decode()])
+def test_secrets_in_equal_layers(wrap):
+    inner = wrap(SECRET)
+    text = f"first {inner} then {inner} {inner}"
+    found = {(a, b) for k, a, b, _, base in secrets.find_secrets_in(text) if k.endswith(".assign")}
+    places = [m.start() for m in re.finditer(re.escape(inner), text)]
+    assert len(places) == 3 and all(any(at <= a < b <= at + len(inner) for a, b in found) for at in places)
+
+
 def test_secret_loops_end():
     assert isinstance(secrets.find_secrets_in("%2541" * 50 + " " + b64encode(b64encode(b"plain text here, nothing else")).decode()), list)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import exact_dedup, jaccard_join, langid, packing, pii
 from palimpsest.llm.common import materialize, table
 
-#: A text goes when less than this part of its n-gram evidence is for its best language; clean texts have 0.7 and more.
+#: A text goes when less than this part of its n-grams is known to its best language; texts of sf0.1 have 0.5 and more.
 LEAST_LANGUAGE_SCORE = 0.4
 
 

@@ -113,12 +113,13 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, sample_docs: int = 20_000, max_grams: int = 50_000, min_count: int = 3, min_share: float = 0.5, bits: int = 21) -> LanguageFilter:
     """Learn from (lang, text) rows; rows with a null in either are left out.
 
-    Fitted on a bounded sample: about ``sample_docs`` rows, chosen by the hash of their content. Each language keeps its
-    ``max_grams`` most frequent n-grams, so the model has a fixed size."""
+    Fitted on a sample that is bounded for each language: all rows of a language that has at most ``sample_docs``, about
+    so many of others, chosen by the hash of their content. Each language keeps its ``max_grams`` most frequent n-grams,
+    so the model grows with the number of languages only."""
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = labelled.count()
-    if rows > sample_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_docs / rows))
+    large = labelled.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") > sample_docs)
+    chosen = F.col("rows").isNull() | (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit((1 << 30) * sample_docs) / F.col("rows"))
+    labelled = labelled.join(F.broadcast(large), "lang", "left").where(chosen).select("lang", "text")
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     counted = gram_counts(labelled).withColumn("share", share)
     common = counted.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= min_share * F.col("most")) & (F.col("n") >= min_count))
@@ -160,9 +161,12 @@ def op2_query(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is known (with at least ``min_score``), all columns as they came."""
-    model = fit(docs.select("lang", "text"))
+def identified(docs: DataFrame, min_score: float = 0.0, **fit_options) -> DataFrame:
+    """The rows of ``docs`` whose language is known, all columns as they came.
+
+    At least ``min_score`` of a text's n-grams are its best language's, more than none; n-grams that other languages have
+    too count in full, so that the number of languages and how close they are do not matter."""
+    model = fit(docs.select("lang", "text"), **fit_options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -171,11 +175,11 @@ def identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
 
         m, keep = shared.value, []
         for at in range(0, len(texts), 256):
-            part = list(texts.iloc[at : at + 256])
-            s = m.scores([t or "" for t in part])
-            for t, row in zip(part, s, strict=True):
-                total = row.sum()
-                keep.append(bool(t and LETTER.search(t) and (not min_score or (total > 0 and row.max() / total >= min_score))))
+            part = [t or "" for t in texts.iloc[at : at + 256]]
+            s, total = m.scores(part), np.diff(ngrams(part)[1], prepend=0)
+            for t, row, n in zip(part, s, total.tolist(), strict=True):
+                best = row.max() if len(row) else 0.0
+                keep.append(bool(t and LETTER.search(t) and (not min_score or (best > 0 and best >= min_score * n))))
         return pd.Series(keep)
 
     return docs.where(known(F.col("text").cast("string")))

@@ -15,6 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palimpsest.llm import embedding_dedup, exact_dedup, jaccard_join, langid, packing, pii, piece_sampling, queries, repeats, secrets, suffix_tree_lm
 
 WORDS = {
@@ -118,6 +119,24 @@ def test_language_id(spark):
     assert langid.identified(df).where("doc_id IN (900, 901)").count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30), "en") for i in range(3000)] + [(5000 + i, prose(rng, 30, "de"), "de") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs.select("lang", "text"), sample_docs=100)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_close_languages_stay(spark):
+    """Six languages of the same words; a rare one; short texts. Noise goes, texts without a letter too."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30), f"en{i % 6}") for i in range(300)] + [(1000 + i, prose(rng, 30, "de"), "de") for i in range(15)]
+    rows += [(2000, "the river", "en1"), (2001, "wasser und garten", None), (3000, "qzxj vkqx zzqv xkjq " * 5, None), (3001, "12 34", "en0"), (3002, None, "en0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, *_ in rows if i < 3000}
+
+
 def test_language_filter_false_positives():
     m = langid.LanguageFilter(["a", "b"], bits=12)
     grams = np.arange(1, 900, dtype=np.uint32) * np.uint32(2654435761)

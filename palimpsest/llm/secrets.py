@@ -1,21 +1,32 @@
 """Secret scans with a recursive decoding worklist.
 
-The raw text is layer 0 and gives the base spans. Each layer is searched for encoded segments (URL escapes, \\uXXXX
-escapes, base64, and zlib or gzip data inside base64); each decodes to a new layer, which is scanned and searched in
-turn until nothing new appears. A layer is not entered again for the same content at the same place of the raw text, so
-loops end; content that occurs at several places is scanned once and found at each of them.
-Every layer keeps, for each of its characters, the span of the raw text that it comes from, so a secret found three
-layers deep is reported at its place in the input, with the layers in its kind, as in ``base64.url.assign``.
+The raw text is layer 0 and gives the base spans. Each layer is unwrapped to new layers, which are scanned and unwrapped in
+turn until nothing new appears:
+
+- all URL escapes, or all \\uXXXX escapes, of a layer decoded, the rest as it stands, so that a plain keyword and its
+  escaped value meet; escapes of the escape character itself (``%2525..41``) are undone in one step;
+- each base64 run that holds text;
+- each base64 run that holds zlib or gzip data: what it inflates to, in windows of bounded size, and again while that is
+  compressed itself.
+
+Content is not entered again at the same place of the raw text, so loops end, and nor is a stream that inflates to one
+of its own ancestors; equal segments at several places are found at each. Layers map their characters to places of the raw
+text, so a secret three layers deep is reported where it stands in the input, with the layers in its kind, as in
+``base64.url.assign``. Every decoding step of a reported span has touched one of its characters: what a layer shares
+with the one above is reported once. Work is linear in the decoded sizes; a stream is never held whole.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
-from urllib.parse import unquote_to_bytes
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +41,17 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}+")
 
-URL_TOKEN = re.compile(r"[^\s%]*+%[0-9A-Fa-f]{2}\S*+")
-UNICODE_TOKEN = re.compile(r"(?:[^\s\\]|\\(?!u[0-9A-Fa-f]{4}))*+\\u[0-9A-Fa-f]{4}\S*+")
-UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
-URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})++")
+URL_ESCAPE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+URL_ESCAPES = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})++")
+UNICODE_ESCAPE = re.compile(r"\\u(?:005[Cc]u)*([0-9A-Fa-f]{4})")
 #: Shorter runs are words more often than data; 16 characters hold 12 bytes, the least that a base kind reports.
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
-#: A compressed segment is inflated up to this many bytes, so that a hostile one cannot fill a worker's memory.
-MAX_INFLATED = 16 << 20
 #: Characters of decoded base64 that count as text.
 NOT_TEXT = re.compile(r"[^\x09\x0A\x0D\x20-\x7E\xA0-\U0010FFFF]")
-
+#: Bytes that are inflated at once; characters that a window repeats of the one before, more than any keyword, separator
+#: and least value take; the longest run without white space that is kept in one window of an inflated stream.
+WINDOW, OVERLAP, LONGEST_WORD = 1 << 20, 256, 16 << 20
+BLANKS = re.compile(" {3,}")
 
 
 def scan(text: str) -> Iterator[tuple[str, int, int]]:
@@ -58,96 +69,187 @@ def scan(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def unescaped(token: str, escapes: re.Pattern, decode) -> tuple[str, list[int], list[int]]:
-    """The token with its escapes decoded, and each new character's first and end place in the token."""
-    out, first, end, at = [], [], [], 0
-    for m in escapes.finditer(token):
-        out.append(token[at : m.start()])
-        first += range(at, m.start())
-        end += range(at + 1, m.start() + 1)
-        plain = decode(m)
-        out.append(plain)
-        first += [m.start()] * len(plain)
-        end += [m.end()] * len(plain)
-        at = m.end()
-    out.append(token[at:])
-    first += range(at, len(token))
-    end += range(at + 1, len(token) + 1)
-    return "".join(out), first, end
-
-
-def inflated(data: bytes) -> bytes | None:
-    """zlib or gzip content by its magic bytes; None if it is neither."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
-            return zlib.decompressobj(47).decompress(data, MAX_INFLATED)
-        except zlib.error:
+class Unescaped:
+    """A text with its escapes decoded, and where its parts come from."""
+
+    def __init__(self, text: str, escapes: re.Pattern, decode: Callable[[re.Match], str]):
+        parts, self.starts, self.sources, self.decoded, at, size = [], [], [], [0], 0, 0
+        for m in escapes.finditer(text):
+            for part, a, b, of in ((text[at : m.start()], at, m.start(), 0), (decode(m), m.start(), m.end(), 1)):
+                if part:
+                    parts.append(part)
+                    self.starts.append(size)
+                    self.sources.append((a, b, of))
+                    self.decoded.append(self.decoded[-1] + of)
+                    size += len(part)
+            at = m.end()
+        if at < len(text):
+            parts.append(text[at:])
+            self.starts.append(size)
+            self.sources.append((at, len(text), 0))
+            self.decoded.append(self.decoded[-1])
+        self.text = "".join(parts)
+
+    def place(self, x: int, y: int) -> tuple[int, int] | None:
+        """Where the characters x to y, y exclusive, come from; None if none of them was decoded."""
+        i, j = bisect_right(self.starts, x) - 1, bisect_left(self.starts, y) - 1
+        if self.decoded[j + 1] == self.decoded[i]:
             return None
-    return None
+        (a, _, first), (b, stop, last) = self.sources[i], self.sources[j]
+        return a if first else a + x - self.starts[i], stop if last else b + y - self.starts[j]
+
+
+@dataclass
+class Layer:
+    text: str
+    names: str = ""
+    steps: tuple[Unescaped, ...] = ()  #: from the raw text, or from what ``inside`` holds, to this one
+    inside: tuple[int, int] | None = None  #: place of the raw text that this layer was decoded from as a whole
+
+    def place(self, x: int, y: int) -> tuple[int, int] | None:
+        """Where the characters stand in the raw text; None if one of the steps did not touch them."""
+        for step in reversed(self.steps):
+            if (at := step.place(x, y)) is None:
+                return None
+            x, y = at
+        return self.inside or (x, y)
+
+
+def from_url(m: re.Match) -> str:
+    return bytes.fromhex("".join(URL_ESCAPE.findall(m[0]))).decode("utf-8", "replace")
+
+
+def from_unicode(m: re.Match) -> str:
+    """A lone surrogate cannot be text and becomes the replacement character."""
+    c = chr(int(m[1], 16))
+    return c if not 0xD800 <= ord(c) <= 0xDFFF else "�"
 
 
-def from_base64(run: str) -> tuple[str, str] | None:
-    """(text, layers) of a base64 run that holds text, plain or compressed; None if it holds none."""
+def from_base64(run: str) -> bytes | None:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data, names = base64.b64decode(body + "=" * (-len(body) % 4)), "base64"
+        return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    while (more := inflated(data)) is not None:
-        data, names = more, names + ".zip"
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if not text or NOT_TEXT.search(text) else (text, names)
 
 
-def utf16_pairs(m: re.Match) -> str:
-    """A lone surrogate cannot be text and becomes the replacement character."""
-    c = chr(int(m[1], 16))
-    return c if not 0xD800 <= ord(c) <= 0xDFFF else "�"
+def is_compressed(head: bytes) -> bool:
+    """zlib or gzip by its first bytes."""
+    return head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0)
+
+
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of a zlib or gzip stream, gzip members one after the other, up to its end or to where it is broken."""
+    stream = zlib.decompressobj(47)
+    for chunk in chunks:
+        while chunk or stream.eof:
+            if stream.eof:
+                chunk = stream.unused_data + chunk
+                if chunk[:2] != b"\x1f\x8b":
+                    return
+                stream = zlib.decompressobj(47)
+            try:
+                out = stream.decompress(chunk, WINDOW)
+            except zlib.error:
+                return
+            chunk = stream.unconsumed_tail
+            if out:
+                yield out
+            elif not chunk and not (stream.eof and stream.unused_data):
+                break
+
 
+def windows(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The stream as texts that end at white space. Each repeats the end of the one before, so that nothing a scan looks
+    for is cut; longer runs of blanks are shortened, since places inside a stream are not asked for."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+    for chunk in chunks:
+        part = BLANKS.sub("  ", decoder.decode(chunk))
+        held.append(part)
+        size += len(part)
+        if size < WINDOW:
+            continue
+        space = max(part.rfind(" "), part.rfind("\n"))
+        if space >= 0 or size > LONGEST_WORD:
+            text = "".join(held)
+            cut = len(text) - len(part) + space + 1 if space >= 0 else len(text)
+            yield text[:cut]
+            held = [text[max(0, cut - OVERLAP) :]]
+            size = len(held[0])
+    yield "".join(held) + decoder.decode(b"", True)
 
-def unwrap(text: str) -> Iterator[tuple[str, list[int], list[int], str]]:
-    """Every encoded segment of a layer: its content, each character's first and end place in the layer, the wrapping."""
-    if "%" in text:
-        for m in URL_TOKEN.finditer(text):
-            plain, first, end = unescaped(m[0], URL_ESCAPES, lambda e: unquote_to_bytes(e[0]).decode("utf-8", "replace"))
-            yield plain, [x + m.start() for x in first], [x + m.start() for x in end], "url"
-    if "\\u" in text:
-        for m in UNICODE_TOKEN.finditer(text):
-            plain, first, end = unescaped(m[0], UNICODE_ESCAPE, utf16_pairs)
-            yield plain, [x + m.start() for x in first], [x + m.start() for x in end], "unicode"
-    for m in BASE64_RUN.finditer(text):
-        if found := from_base64(m[0]):
-            yield found[0], [m.start()] * len(found[0]), [m.end()] * len(found[0]), found[1]
+
+def contents(data: bytes) -> Iterator[tuple[str, str]]:
+    """(text, layers) in the bytes of a base64 run: the text they are, or all that they inflate to."""
+    head, depth, known = data, 0, {hashlib.blake2b(data).digest()}
+    while is_compressed(head):
+        digest, first = hashlib.blake2b(), []
+
+        def noted(chunks: Iterator[bytes]) -> Iterator[bytes]:
+            for c in chunks:
+                digest.update(c)
+                if sum(map(len, first)) < 3:
+                    first.append(c[:3])
+                yield c
+
+        stream: Iterator[bytes] = iter([data])
+        for _ in range(depth + 1):
+            stream = inflated(stream)
+        for text in windows(noted(stream)):
+            if text:
+                yield text, "base64." + "zip." * (depth + 1)
+        if not first or digest.digest() in known:
+            break
+        known.add(digest.digest())
+        head, depth = b"".join(first), depth + 1
+    if not depth:
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            return
+        if text and not NOT_TEXT.search(text):
+            yield text, "base64."
+
+
+def unwrap(layer: Layer) -> Iterator[Layer]:
+    for sign, escapes, decode, name in (("%", URL_ESCAPES, from_url, "url."), ("\\u", UNICODE_ESCAPE, from_unicode, "unicode.")):
+        if sign in layer.text and escapes.search(layer.text):
+            step = Unescaped(layer.text, escapes, decode)
+            yield Layer(step.text, layer.names + name, (*layer.steps, step), layer.inside)
+    for m in BASE64_RUN.finditer(layer.text):
+        if (data := from_base64(m[0])) and (place := layer.place(*m.span())):
+            for text, names in contents(data):
+                yield Layer(text, layer.names + names, (), place)
 
 
 def find_secrets_in(text: str) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, stop, score, base) by start, then base kinds as listed, then layered kinds by name."""
     found = {(a, BASE_KINDS.index(k), k, b) for k, a, b in scan(text)}
-    seen, scans, work = {(text, 0, len(text))}, {}, [(text, None, None, "")]
-    while work:
-        layer, first, end, names = work.pop()
-        for plain, a, b, name in unwrap(layer):
-            if first is not None:
-                a, b = [first[x] for x in a], [end[x - 1] for x in b]
-            if (plain, a[0], b[-1]) in seen:
-                continue
-            seen.add((plain, a[0], b[-1]))
-            path = f"{names}{name}."
-            if plain not in scans:
-                scans[plain] = list(scan(plain))
-            for kind, x, y in scans[plain]:
-                found.add((a[x], len(BASE_KINDS), path + kind, b[y - 1]))
-            work.append((plain, a, b, path))
+    raw = Layer(text)
+    seen, work = {(hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest(), None)}, [unwrap(raw)]
+    while work:  # depth first, so that only one path of layers is held
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.inside)
+        if key in seen:
+            continue
+        seen.add(key)
+        for kind, x, y in scan(layer.text):
+            if place := layer.place(x, y):
+                found.add((place[0], len(BASE_KINDS), layer.names + kind, place[1]))
+        work.append(unwrap(layer))
     return [(k, a, b, 1.0 if rank < len(BASE_KINDS) else 0.9, rank < len(BASE_KINDS)) for a, rank, k, b in sorted(found)]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, spans). Null text counts as empty and has no spans; ids may repeat or be null."""
+    """One row per input row: (doc_id, spans), each span with kind, start, stop, score and base.
+
+    Null text counts as empty and has no spans. Ids may repeat or be null; each row is scanned for itself. Texts are scanned
+    whole, however long. Other columns are ignored, whatever their names; an empty table gives an empty result."""
 
     def run(cols: list) -> list:
         ids, texts = cols
@@ -157,4 +259,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
+    """Counts and digest of the base spans, all spans; nulls, repeats and empty tables as in ``find_secrets``."""
     return digest_columns(find_secrets(docs), BASE_KINDS)

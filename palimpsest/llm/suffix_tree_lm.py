@@ -4,7 +4,7 @@ A text is its words (A-Z lower-cased) and an end. The tree's symbols are all wor
 the end (which also fills the context before the first word) and one symbol for all other words. A context of up to
 ``DEPTH`` symbols becomes a state when it was seen ``min_count`` times and its next-symbol distribution diverges from
 that of its own suffix: count x Kullback-Leibler divergence, the code length that the longer context saves, must reach
-``min_gain`` nats; a state's suffixes are states too. Distributions are smoothed with that of the next shorter state,
+``min_gain`` nats; each context passes or fails by itself. Distributions are smoothed with that of the next shorter state,
 and each symbol is predicted in the state of the longest retained suffix before it. A word under the common symbol then
 has probability c / (n + m), c its training count, n that of all such words and m the number of words seen once, the
 mass that Good and Turing leave to new words; any word that training does not have counts as one and the same new word,
@@ -13,8 +13,9 @@ baseline beside it.
 
 Neither symbols nor states are limited in number: the tree grows with the corpus and never meets in one place. Chunks of
 documents ask for the counts of their own words, then of their own continuations of contexts, one symbol longer each
-time, where only contexts that were counted often enough go on; then for the gain of their contexts, and for whether a
-longer state retains them (see exchange). Words and contexts are asked for by 64-bit hashes.
+time, where only contexts that were counted often enough go on; then for the gain of their contexts (see exchange).
+Words are asked for by 64-bit hashes, contexts by as many bits as make it improbable (one in a million) that one of the
+corpus's continuations shares its hash with another, 64 at most.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from palimpsest.llm.langid import held_out
 
 DEPTH = 3
 END, OTHER = 0, 1  # symbols; those of words follow
+CHUNK_BYTES = 8 << 20
 FLAT = 0.1  # added to each symbol's count where there is no context
 
 
@@ -76,12 +78,13 @@ def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, weight: f
         if ctx and (total := c.total()) >= min_count:
             shorter = counts[ctx[1:]]
             if sum(n * math.log(n / total / (shorter[s] / shorter.total())) for s, n in c.items()) >= min_gain:
-                kept.update(ctx[i:] for i in range(len(ctx)))
+                kept.add(ctx)
     state = {ctx: i for i, ctx in enumerate(sorted(kept, key=lambda c: (len(c), c)))}
     p = np.zeros((len(state), len(symbol) + 2))
     for ctx, i in state.items():
         c = np.array([counts[ctx][s] for s in range(p.shape[1])], float)
-        p[i] = (c + weight * p[state[ctx[1:]]]) / (c.sum() + weight) if ctx else (c + FLAT) / (c.sum() + FLAT * len(c))
+        shorter = next((p[state[ctx[k:]]] for k in range(1, len(ctx) + 1) if ctx[k:] in state), None)
+        p[i] = (c + FLAT) / (c.sum() + FLAT * len(c)) if shorter is None else (c + weight * shorter) / (c.sum() + weight)
     return SuffixTree(symbol, state, np.log10(p), len(state))
 
 
@@ -142,7 +145,7 @@ def answers_to(asks: DataFrame, kind: str, step: int, resolve) -> DataFrame:
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")  # sums of doubles do not depend on the order of arrival
         at, values, hashes, ends = received(t, kind)
-        sums = np.zeros(len(hashes), kind)
+        sums = np.zeros(len(hashes), "<f8" if kind == "<f4" else kind)
         np.add.at(sums, at, values)
         parts = [bundle(x) for x in np.split(resolve(sums)[at], ends)]
         return pa.table([pa.array([step] * len(parts), pa.int32()), t["bucket"], t["chunk"], pa.array(parts, pa.binary())], names=["step", "bucket", "chunk", "data"])
@@ -153,9 +156,9 @@ def answers_to(asks: DataFrame, kind: str, step: int, resolve) -> DataFrame:
 class ChunkGrams:
     """The symbols of a chunk's documents in their contexts, and what the answers so far tell of them."""
 
-    def __init__(self, state: bytes, n: int, min_count: int, back: pa.Table | None = None):
+    def __init__(self, state: bytes, n: int, min_count: int, short: np.uint64, back: pa.Table | None = None):
         self.ids, self.counts, self.tokens, sizes, train, self.totals = unbundle(state, "<u8", "<i8", "<u4", "<i8", "|u1", "<i8")
-        self.n, self.min_count = n, min_count
+        self.n, self.min_count, self.short = n, min_count, short
         self.train = np.repeat(train, sizes).astype(bool)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
@@ -188,7 +191,7 @@ class ChunkGrams:
         total[total < self.min_count] = 0
         self.total.append(total)
         at = np.flatnonzero(total)
-        return at, *np.unique(mix(self.contexts[d - 1][at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.own[at]), return_inverse=True)
+        return at, *np.unique(mix(self.contexts[d - 1][at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.own[at]) >> self.short << self.short, return_inverse=True)
 
     def count(self) -> None:
         at, hashes, gram = self.deepen()
@@ -200,48 +203,31 @@ class ChunkGrams:
         at, hashes, gram = self.deepen()
         return asked(hashes, np.bincount(gram[self.train[at]], minlength=len(hashes)).astype("<i8"), chunk, self.n)
 
-    def frequent(self, depths: range) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def frequent(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """The places with a frequent context of each depth; all these contexts' distinct hashes; each place's, depth after depth."""
-        places = [np.flatnonzero(self.total[d]) for d in depths]
-        return places, *np.unique(np.concatenate([self.contexts[d - 1][at] for d, at in zip(depths, places, strict=True)]), return_inverse=True)
+        places = [np.flatnonzero(t) for t in self.total[1:]]
+        hashes = np.concatenate([c[at] for c, at in zip(self.contexts, places, strict=True)])
+        return places, *np.unique(hashes >> self.short << self.short, return_inverse=True)
 
     def ask_gains(self, chunk: int) -> list[tuple[int, int, bytes]]:
         """Code length that each context saves in this chunk's training texts."""
-        places, hashes, number = self.frequent(range(1, DEPTH + 1))
+        places, hashes, number = self.frequent()
         saved = np.zeros(len(number))
         ends = np.cumsum([len(at) for at in places])
         for d, at, end in zip(range(1, DEPTH + 1), places, ends.tolist(), strict=True):
             t = self.train[at]
             a = at[t]
             saved[end - len(at) : end][t] = np.log(self.seen[d][a] / self.total[d][a]) - np.log(self.seen[d - 1][a] / self.total[d - 1][a])
-        return asked(hashes, np.bincount(number, weights=saved, minlength=len(hashes)), chunk, self.n)
-
-    def states(self) -> list[np.ndarray]:
-        """By depth from 1: is the context before each place a state by its own gain?"""
-        places, hashes, number = self.frequent(range(1, DEPTH + 1))
-        passed, out, end = self.answered(DEPTH + 1, hashes, "|u1")[number].astype(bool), [], 0
-        for at in places:
-            out.append(np.zeros(len(self.tokens), bool))
-            out[-1][at] = passed[end : end + len(at)]
-            end += len(at)
-        return out
-
-    def ask_retained(self, chunk: int) -> list[tuple[int, int, bytes]]:
-        """For each context that could be longer: is there a longer state here?"""
-        states = self.states()
-        places, hashes, number = self.frequent(range(1, DEPTH))
-        longer = np.concatenate([np.logical_or.reduce(states[d:])[at] for d, at in zip(range(1, DEPTH), places, strict=True)])
-        return asked(hashes, np.minimum(np.bincount(number[longer], minlength=len(hashes)), 1).astype("<i8"), chunk, self.n)
+        return asked(hashes, np.bincount(number, weights=saved, minlength=len(hashes)).astype("<f4"), chunk, self.n)
 
     def log_probs(self, weight: float) -> np.ndarray:
-        states = self.states()
-        places, hashes, number = self.frequent(range(1, DEPTH))
-        retained, end = self.answered(DEPTH + 2, hashes, "|u1")[number].astype(bool), 0
-        for d, at in zip(range(1, DEPTH), places, strict=True):
-            states[d - 1][at] |= retained[end : end + len(at)]
-            end += len(at)
+        """Of each symbol, in the state of its longest retained context."""
+        places, hashes, number = self.frequent()
+        passed, end = self.answered(DEPTH + 1, hashes, "|u1")[number].astype(bool), 0
         p = (self.seen[0] + FLAT) / (self.totals[0] + FLAT * self.totals[1])
-        for d, s in enumerate(states, 1):
+        for d, at in enumerate(places, 1):
+            s = at[passed[end : end + len(at)]]
+            end += len(at)
             p[s] = (self.seen[d][s] + weight * p[s]) / (self.total[d][s] + weight)
         return np.log10(p)
 
@@ -252,7 +238,9 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``fold``; a null id counts as empty text. Null text is
     empty: one end. base_score is the add-``add`` word-frequency score, score the suffix tree's; both log10. Rows may
     repeat: each is counted and scored for itself. weight: of the shorter state's distribution."""
-    rows, n = chunked(docs, id_col, text_col)
+    rows, n = chunked(docs, id_col, text_col, CHUNK_BYTES)
+    # DEPTH continuations for each word at most, of two bytes with its space
+    short = np.uint64(max(0, 44 - (n * CHUNK_BYTES * DEPTH // 2).bit_length()))
     by_chunk = rows.withColumn("held_out", held_out("doc_id", folds, fold)).groupBy("chunk")
     sums = ("tokens", "distinct", "once", "symbols", "common")
     schema = "bucket int, chunk int, data binary, " + ", ".join(f"{s} bigint" for s in sums)
@@ -306,7 +294,7 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
     states = chunks.select("chunk", "state")
 
     def grams(t: pa.Table, back: pa.Table, depth: int) -> ChunkGrams:
-        g = ChunkGrams(t["state"][0].as_py(), n, min_count, back)
+        g = ChunkGrams(t["state"][0].as_py(), n, min_count, short, back)
         for _ in range(depth):
             g.count()
         return g
@@ -320,8 +308,7 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
     known = docs.sparkSession.createDataFrame([], "step int, bucket int, chunk int, data binary")
     for d in range(1, DEPTH + 1):
         known = known.unionByName(answers_to(asks(known, d - 1, ChunkGrams.ask_counts), "<i8", d, lambda x: x))
-    known = known.unionByName(answers_to(asks(known, DEPTH, ChunkGrams.ask_gains), "<f8", DEPTH + 1, lambda x: (x >= min_gain).astype("|u1")))
-    known = known.unionByName(answers_to(asks(known, DEPTH, ChunkGrams.ask_retained), "<i8", DEPTH + 2, lambda x: (x > 0).astype("|u1")))
+    known = known.unionByName(answers_to(asks(known, DEPTH, ChunkGrams.ask_gains), "<f4", DEPTH + 1, lambda x: (x >= min_gain).astype("|u1")))
 
     def score(t: pa.Table, back: pa.Table) -> pa.Table:
         each = grams(t, back, DEPTH).log_probs(weight)

@@ -57,7 +57,7 @@ def small_chunks():
     """Several chunks even for a small table."""
     old = repeats.chunked, jaccard_join.chunked, suffix_tree_lm.chunked
     for m in (repeats, jaccard_join, suffix_tree_lm):
-        m.chunked = lambda d, i, t, f=old[0]: f(d, i, t, 8_000)
+        m.chunked = lambda d, i, t, *_, f=old[0]: f(d, i, t, 8_000)
     yield
     repeats.chunked, jaccard_join.chunked, suffix_tree_lm.chunked = old
 

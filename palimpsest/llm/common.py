@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folder of each materialised frame.
+WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: str.translate table for "lower-case A-Z only".
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
@@ -33,7 +37,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, columnar and compressed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN[back] = path
+    return back
+
+
+def release(*made: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames that no later step reads."""
+    for df in made:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_split(big: DataFrame, small: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
+    """``big`` joined to ``small``, which has one row for each key of big and the number of its rows there in ``count``.
+
+    ``rows``: of big. A key of more than a thousandth of them, so one of a thousand keys at most, is joined by broadcast
+    wherever its rows are; all other keys are shuffled."""
+    limit = max(1000, rows // 1000)
+    hot, rest = small.where(F.col(count) > limit).drop(count), small.where(F.col(count) <= limit).drop(count)
+    often = F.broadcast(hot)
+    return big.join(often, on).unionByName(big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Works on distinct edges only, never on a component as a whole; the number of rounds grows with the logarithm of the
 longest path. Before each round, every task contracts the edges it reads, ``LOCAL`` at a time, to stars of their own
-components, which leaves few rounds. A star's centre with very many leaves is only ever the key of a minimum, which Spark combines map-side.
+components, which leaves few rounds. Minima are combined map-side, and a centre with very many leaves meets its minimum by
+broadcast (``join_split``), so no task gets all edges of a node.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import join_split, materialize, release
 
 
 #: Edges that a task contracts at once.
@@ -67,18 +68,21 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated and reversed edges do no harm; rows with a null end are left out; no edges give no rows."""
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     # each row: a > b
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    e = materialize(contracted(e).distinct())
+    first = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = materialize(contracted(first).distinct())
+    release(first)
     before = _mark(e)
     while True:
+        rows = before[0]
         # large star: each node's larger neighbours are linked to the smallest node of its neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = materialize(join_split(both, least, ["a"], "n", 2 * rows).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # small star: each node and its smaller neighbours are linked to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = materialize(contracted(materialize(small)).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = materialize(join_split(large, low, ["a"], "n", rows).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        last, e = e, materialize(contracted(small).distinct())
+        release(last, large, small)
         now = _mark(e)
         if now == before:
             break

@@ -4,8 +4,10 @@ Documents are dealt to *chunks* of a bounded amount of text. A chunk sends, to e
 space), one row that holds all of its fingerprints there as a packed array; a bucket's group compares what all chunks
 sent and sends each chunk one packed array back, in the order asked; the chunk's documents meet the answers in a
 cogroup. Spark does all moving, by chunk and by bucket, and reuses the shuffle of the documents between the steps of one
-query. Both groups are bounded: chunks by their text, buckets because their number grows with the chunks and each chunk
-asks about a fingerprint once, so a fingerprint that a third of all rows share counts once for each chunk.
+query. Chunks are bounded by their text. A bucket gets as many fingerprints as a chunk sends, on average, since there are
+as many buckets as chunks; a fingerprint that a third of all rows share is in it once for each chunk. With n chunks there
+are at most n * n messages; beyond some 10,000 chunks (40 GB of text) a message holds few fingerprints, and in the end one,
+as a plain shuffle of rows would.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ MESSAGE_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("dat
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of chunks. Null text counts as empty. The id may be null."""
+    """(chunk, doc_id, text) and the number of chunks. Null text counts as empty. The id may be null or repeat; only rows
+    that are equal in id and text always share a chunk."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = partitions_for(rows, "text", chunk_bytes)
-    return rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
 
 
 def bucket_width(n: int) -> int:
@@ -75,15 +78,16 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], schema=MESSAGE_SCHEMA)
 
 
-def seen_by_others(asked: DataFrame) -> DataFrame:
-    """Messages of ascending uint32 fingerprints, distinct in each -> messages of bits: does another chunk have it too?"""
+def seen_by_others(asked: DataFrame, more_than: tuple[int, ...] = (1,)) -> DataFrame:
+    """Messages of ascending uint32 fingerprints, distinct in each -> messages of bits, as many for each number in
+    ``more_than``: do more than so many chunks have it?"""
 
     def resolve(t: pa.Table) -> pa.Table:
         sent = [np.cumsum(unpacked(x, np.dtype("<u4")), dtype=np.uint32) for x in t["data"].to_pylist()]
         _, inverse, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-        shared, at, out = (counts > 1)[inverse], 0, []
+        counts, at, out = counts[inverse], 0, []
         for bucket, chunk, x in zip(t["bucket"].to_pylist(), t["chunk"].to_pylist(), sent, strict=True):
-            out.append((bucket, chunk, np.packbits(shared[at : at + len(x)]).tobytes()))
+            out.append((bucket, chunk, b"".join(np.packbits(counts[at : at + len(x)] > limit).tobytes() for limit in more_than)))
             at += len(x)
         return messages(out)
 
@@ -101,11 +105,12 @@ def ask_shared(uniq: np.ndarray, chunk: int, n: int) -> list[tuple[int, int, byt
     return out
 
 
-def answered(uniq: np.ndarray, n: int, answers: dict[int, bytes]) -> np.ndarray:
-    """The bits that came back for the same hashes."""
+def answered(uniq: np.ndarray, n: int, answers: dict[int, bytes], question: int = 0) -> np.ndarray:
+    """The bits that came back for the same hashes, to one of the questions of ``more_than``."""
     out = np.zeros(len(uniq), bool)
     for b, s in buckets(uniq, n):
-        out[s] = np.unpackbits(np.frombuffer(answers[b], dtype=np.uint8), count=s.stop - s.start)
+        asked = s.stop - s.start
+        out[s] = np.unpackbits(np.frombuffer(answers[b], dtype=np.uint8, count=-(-asked // 8), offset=question * -(-asked // 8)), count=asked)
     return out
 
 

@@ -1,28 +1,31 @@
 """Best-fit packing of tokenised documents into sequences, bulk-synchronous.
 
-Each round places all pieces of one length, longest first. Gaps are kept sorted by size; the sweep starts at the
-successor of the length, the smallest gap that fits, and goes on to the next larger ones. Pieces that want the same gaps
-are told apart by their rank: the first ranks take the first gaps, the next ranks the next. Then the gaps are updated
-and the next round begins. What finds no gap opens new sequences.
-
-Pieces of one length are interchangeable, and so are sequences with equal gaps. The rounds therefore run over *runs*:
-(length, number of pieces) and (gap, first sequence, number of sequences). There are at most ``capacity`` lengths, so
-the table of runs has a size that does not depend on the input; its outcome, a list of rank ranges, has at most
-``capacity`` x 2 x (distinct lengths in a sequence) entries and is broadcast. The rows themselves are range-ranked within their
-length on the cluster (by salted partial ranks, so a length that holds a third of all pieces is split), and look up
-their place by (length, rank). This gives exactly the sequences of best-fit decreasing.
+Pieces are placed in rounds, longest bands of lengths first (``BAND``: from each band to the next a factor). A round
+
+1. range-sorts the band's pieces and the open gaps by size,
+2. resolves conflicts by rank: pieces and gaps are dealt to tasks in the order of the sort, so that each task has its share
+   of all sizes, and no two pieces in different tasks can want the same gap,
+3. sweeps in each task: every piece, longest first, goes to its successor among the task's gaps, the smallest gap that fits;
+   pieces of one length go to the first gaps in their rank. The gap is updated at once. A piece that no gap fits opens a
+   new sequence, whose rest is a gap,
+4. writes the placed pieces and the gaps that a piece still to come may fit.
+
+Then the next round ranks all gaps anew. A task takes about ``SHARE`` rows; in a round of one task the result is exactly that of
+best-fit decreasing, and with more of them each leaves one sequence at most that another's pieces might have filled.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_rows, materialize
@@ -31,7 +34,12 @@ CAPACITY = 2048
 END_ID = 0
 #: Pre-tokens whose ids a worker remembers; at about 200 bytes each.
 CACHE_LIMIT = 700_000
-Segment = tuple[int, int, int, int, int]
+#: Lengths from a band's longest down to this part of it are placed in one round.
+BAND = 8
+#: Rows that a task sweeps.
+SHARE = 200_000
+#: A new sequence's number: round, task, number in the task.
+TASK_BITS, NUMBER_BITS = 27, 31
 
 
 def tokenizer_path() -> str:
@@ -40,11 +48,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Normaliser and byte step of the tokenizer files that ``Encoder`` can follow unit by unit.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BYTE_STEP = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, the same as the tokenizer's own.
 
-    Texts of Latin-1 characters are split into pre-tokens here, and the ids of each pre-token come from the tokenizer's
-    model once and then from a bounded cache. Any other text goes to the tokenizer whole."""
+    Where the tokenizer's file has the normaliser and the steps known here, texts of Latin-1 characters are split by the
+    file's own pattern, and the ids of each unit come from the tokenizer's model once and then from a bounded cache. Any
+    other text, and every text with any other file, goes to the tokenizer whole."""
 
     def __init__(self, path: str):
         import regex
@@ -52,8 +66,15 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.units = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.odd = regex.compile(r"[\x1c-\x1f]|<\|").search
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        steps = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_units = known["normalizer"] == NORMALIZER and len(steps) == 2 and steps[1] == BYTE_STEP and {**steps[0], "pattern": None} == {"type": "Split", "pattern": None, "behavior": "Removed", "invert": True} and not known["post_processor"]
+        if self.by_units:
+            self.units = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        # separators that the tokenizer's idea of white space leaves out, and tokens that are found before any splitting
+        special = [regex.escape(t["content"]) for t in known["added_tokens"]]
+        self.odd = regex.compile("|".join([r"[\x1c-\x1f]", *special])).search
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -64,7 +85,7 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        if self.odd(text):
+        if not self.by_units or self.odd(text):
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
         units, known = self.units(text.lower()), self.known
         if new := set(units).difference(known):
@@ -86,7 +107,9 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the ids of each text and an end id, cut every ``capacity`` ids."""
+    """(doc_id, piece, start, length, ids_crc32): the ids of each text and an end id, cut every ``capacity`` ids.
+
+    Null text: empty, a lone end id. Texts are encoded whole, however long. Other columns are ignored."""
 
     def run(cols: list) -> list:
         encode, out = encoder(path), ([], [], [], [], [])
@@ -103,88 +126,105 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), schema, run)
 
 
-def best_fit_rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[Segment]:
-    """(length, first rank, first sequence, pieces a sequence, offset) of each run of ranks, by length and rank.
-
-    ``counts``: number of pieces of each length. Rank r of a segment lies in sequence first + (r - first rank) // k, as
-    number (r - first rank) % k of its k equal pieces there."""
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    placed: list[Segment] = []
-    opened = 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if n and gap:
-            if gap not in runs:
-                insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-
-        def fill(gap: int, first: int, n: int) -> int:
-            """Put the next ranks into n sequences with this gap; the number of sequences that got any."""
-            nonlocal left, rank
-            k = gap // length
-            full = min(n, left // k)
-            for of, each in ((full, k), (1 if full < n and left - full * k else 0, left - full * k)):
-                if of:
-                    placed.append((length, rank, first, each, capacity - gap))
-                    leave(gap - each * length, first, of)
-                    left, rank, first = left - of * each, rank + of * each, first + of
-            return full + (1 if of else 0)
-
-        at = bisect_left(gaps, length)
-        while left and at < len(gaps):
-            gap = gaps.pop(at)
-            rest = []
-            for first, n in runs.pop(gap):
-                used = fill(gap, first, n) if left else 0
-                if used < n:
-                    rest.append((first + used, n - used))
-            if rest:
-                insort(gaps, gap)
-                runs[gap] = rest
-            at = bisect_left(gaps, max(length, gap + 1))
-        if left:
-            opened += fill(capacity, opened, left)
-    return sorted(placed)
-
-
-def ranked(rows: DataFrame, by: str, order: list[str], salts: int = 64) -> DataFrame:
-    """Adds ``rank`` (from 0) within ``by``, any order between salts: partial ranks plus the sizes of earlier salts."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy(by, "__salt").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    part = F.row_number().over(Window.partitionBy(by, "__salt").orderBy(*order)) - 1
-    return salted.withColumn("__part", part).join(before, [by, "__salt"]).withColumn("rank", F.col("__part") + F.col("__before")).drop("__salt", "__part", "__before")
-
-
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+class Gaps:
+    """Open gaps of one task by size; sequences of equal gaps in the order they came."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.open: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, size: int, sequence: int, offset: int) -> None:
+        if size not in self.open:
+            insort(self.sizes, size)
+            self.open[size] = []
+        self.open[size].append((sequence, offset))
+
+    def successor(self, length: int) -> tuple[int, int, int] | None:
+        """Takes the smallest gap that fits: (size, sequence, offset)."""
+        at = bisect_left(self.sizes, length)
+        if at == len(self.sizes):
+            return None
+        size = self.sizes[at]
+        found = self.open[size].pop()
+        if not self.open[size]:
+            del self.open[size], self.sizes[at]
+        return size, *found
+
+
+def sweep(t: pa.Table, capacity: int, least: int, task: int) -> pa.Table:
+    """Places the pieces of a task's rows (length, gap, sequence_id, offset, ...) and gives all that is left of the gaps.
+
+    A piece has a length, a gap has a size of at least one. ``least``: smaller gaps are closed."""
+    gaps, opened = Gaps(), task << NUMBER_BITS
+    is_gap = pa.compute.is_valid(t["gap"])
+    for size, sequence, offset in zip(*(t.filter(is_gap)[c].to_pylist() for c in ("gap", "sequence_id", "offset")), strict=True):
+        gaps.add(size, sequence, offset)
+    pieces = t.filter(pa.compute.invert(is_gap)).sort_by([("length", "descending"), ("rank", "ascending")])
+    sequences, offsets = [], []
+    for length in pieces["length"].to_pylist():
+        found = gaps.successor(length)
+        if found is None:
+            found, opened = (capacity, opened, 0), opened + 1
+        size, sequence, offset = found
+        sequences.append(sequence)
+        offsets.append(offset)
+        if size - length >= least:
+            gaps.add(size - length, sequence, offset + length)
+    for name, values in (("sequence_id", sequences), ("offset", offsets)):
+        pieces = pieces.set_column(pieces.schema.get_field_index(name), name, pa.array(values, pa.int64()))
+    left = [(size, *x) for size in gaps.sizes for x in gaps.open[size]]
+    names = [n for n in t.column_names if n not in ("rank", "task")]
+    made = {n: pa.nulls(len(left), t.schema.field(n).type) for n in names}
+    made |= {n: pa.array([x[i] for x in left], pa.int64()) for i, n in enumerate(("gap", "sequence_id", "offset"))}
+    pieces = pieces.select(names).cast(pa.schema([pa.field(n, t.schema.field(n).type) for n in names]))
+    return pa.concat_tables([pieces, pa.table(made, schema=pieces.schema)])
+
+
+def sweeper(capacity: int, least: int, first: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: sweep(t, capacity, least, first + t["task"][0].as_py())
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
     """Adds (sequence_id, offset) to rows of (doc_id, piece, start, length, ...) with 1 <= length <= capacity.
 
-    Equal lengths and repeated rows are told apart by rank only; an empty table gives an empty result."""
+    Equal lengths and repeated rows are told apart by rank only; ids may be null; an empty table gives an empty result."""
     cut = materialize(cut)
+    given = cut.columns
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
-    plan = np.array(best_fit_rounds(counts, capacity), dtype=np.int64).reshape(-1, 5)
-    shared = cut.sparkSession.sparkContext.broadcast(plan)
-    rows = ranked(cut, "length", ["doc_id", "piece"])
-    names, given = rows.columns, cut.columns
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = shared.value
-        keys = plan[:, 0] << 44 | plan[:, 1]
-        for b in batches:
-            length, rank = (b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            _, first_rank, first_seq, each, offset = plan[np.searchsorted(keys, length << 44 | rank, side="right") - 1].T
-            nth, within = np.divmod(rank - first_rank, each)
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in given), pa.array(first_seq + nth), pa.array(offset + within * length)], names=[*given, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes)
-    return rows.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    as_piece = ["*", *(F.lit(None).cast("long").alias(c) for c in ("gap", "sequence_id", "offset"))]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in cut.dtypes), "gap bigint", "sequence_id bigint", "offset bigint"])
+    gaps, placed, top = None, [], capacity
+    while lengths := [x for x in counts if x <= top]:
+        top = max(lengths)
+        band = [x for x in lengths if x * BAND > top]
+        later = [x for x in lengths if x * BAND <= top]
+        # a task's rest is of use as long as a piece of this band or a later one fits
+        least, first = min(lengths), len(placed) << TASK_BITS
+        rows = cut.where(F.col("length").between(min(band), top)).select(*as_piece)
+        n = sum(counts[x] for x in band)
+        if gaps is not None:
+            rows, n = rows.unionByName(gaps), n + open_gaps
+        tasks = -(-n // share)
+        size = F.coalesce("gap", "length")
+        order = [F.col("gap").isNull(), size, F.coalesce("sequence_id", F.lit(-1)), F.hash(*given)]
+        ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+        dealt = ranked.withColumn("task", F.pmod("rank", F.lit(tasks)).cast("int"))
+
+        done = materialize(dealt.groupBy("task").applyInArrow(sweeper(capacity, least, first), schema))
+        placed.append(done.where("gap IS NULL").select(*given, "sequence_id", "offset"))
+        if later:
+            gaps = done.where("gap IS NOT NULL").select(*given, "gap", "sequence_id", "offset")
+            open_gaps = gaps.count()
+        top = min(band) - 1
+    if not placed:
+        return cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def op1_query(docs: DataFrame) -> DataFrame:
-    """Null text: empty, a lone end id. Ids may be null or repeat: each row is packed for itself."""
+    """The pieces of all documents and their places. Null text: empty, a lone end id. Ids may be null or repeat: each row is
+    packed for itself. Other columns are ignored, whatever their names; an empty table gives an empty result."""
     return pack(pieces(docs, tokenizer_path()))

@@ -62,29 +62,6 @@ def small_chunks():
     repeats.chunked, jaccard_join.chunked, suffix_tree_lm.chunked = old
 
 
-def test_packing_is_best_fit_decreasing():
-    rng = random.Random(3)
-    counts = Counter(rng.choice([rng.randint(1, 2048), rng.randint(1, 90), 700]) for _ in range(3000))
-    gaps, n = [], 0
-    for length in sorted(counts.elements(), reverse=True):
-        fit = [g for g in gaps if g >= length]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - length)
-        else:
-            n += 1
-            gaps.append(2048 - length)
-    plan = packing.best_fit_rounds(counts)
-    used = Counter()
-    for length in counts:
-        own = [s for s in plan if s[0] == length]
-        for r in range(counts[length]):
-            _, first_rank, first_seq, each, _ = max(s for s in own if s[1] <= r)
-            used[first_seq + (r - first_rank) // each] += length
-    assert len(used) == n
-    assert max(used.values()) <= 2048
-
-
 def test_packing(docs):
     from tokenizers import Tokenizer
 

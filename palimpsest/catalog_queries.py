@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import paths, sizes
@@ -23,10 +22,10 @@ ORACLES: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None, more: str = "", whole: bool = False):
-    """The function gets the derived catalog, or (spark, sf_dir) if ``whole``."""
+    """The function gets the derived catalog, saved once in a session, or (spark, sf_dir) if ``whole``."""
 
     def add(f):
-        QUERIES[name] = f if whole else lambda spark, sf_dir: f(derived.catalog(spark, sf_dir))
+        QUERIES[name] = f if whole else lambda spark, sf_dir: f(derived.saved_catalog(spark, sf_dir))
         if oracle:
             ORACLES[name] = sql(oracle, more)
         return f
@@ -41,25 +40,45 @@ def local_paths(c: Catalog) -> DataFrame:
 # sources and sinks
 
 
-@register("A1_scan_listing", whole=True)
+@register("A1_scan_listing", "SELECT 'r_name=' || r_name || '/n_name=' || n_name AS folder, 1 AS n_files, true AS has_size FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT LIKE 'A%' AND n_name NOT LIKE '%S%' AND n_name NOT LIKE '_____'", whole=True)
 def _(spark, sf_dir):
-    return tables.scan_listing(spark, sf_dir, "**").select("path", "size")
-
-
-@register("A2_load_catalog", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("files", "versions", "last_sync", "replicas", "filters", "op_log", "op_log_params", "listing")), whole=True)
+    """A tree of folders, one file in each, scanned with a pattern and a filter."""
+    folder = tables.new_folder(spark, "tree")
+    nations = derived.read(spark, sf_dir, "nation").join(derived.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations.select("r_name", "n_name", "n_nationkey").repartition(1).write.partitionBy("r_name", "n_name").parquet(folder)
+    rows = tables.scan_listing(spark, folder, "r_name=*/**/*.parquet", [("EXCLUDE", "r_name=A*/**"), ("EXCLUDE", "*/n_name=*S*/*"), ("EXCLUDE", "**/n_name=?????/*")])
+    return rows.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").cast("int").alias("n_files"), F.bool_and((F.col("size") > 0) & F.col("mtime").isNotNull()).alias("has_size"))
+
+
+#: For each table the columns whose sums tell that its content came back.
+CONTENT = {
+    "files": ("file_id * current_version_id", "length(path)"),
+    "versions": ("file_id * version_id", "coalesce(size, 0) + coalesce(base_version_id, 0)", "coalesce(cdelta_len, 0) + 3 * coalesce(fdelta_len, 0) + 7 * coalesce(rdelta_len, 0)", "CASE WHEN has_image THEN file_id ELSE 0 END"),
+    "last_sync": ("file_id * replica_id", "coalesce(version_id, 0)", "coalesce(size, 0)"),
+    "replicas": ("replica_id", "length(host)", "length(root)", "coalesce(default_filter_id, 0)"),
+    "replica_defaults": ("replica_id", "length(host)"),
+    "filters": ("filter_id", "length(name)"),
+    "filter_elements": ("filter_id * number", "length(type)", "length(pattern)"),
+    "op_log": ("entry * coalesce(replica_id, 0)", "coalesce(filter_id, 0)", "length(operation)", "CASE WHEN status IS NULL THEN entry ELSE length(status) END", "CASE WHEN filter_inverted THEN entry ELSE 0 END"),
+    "op_log_params": ("entry", "length(name)", "length(value)"),
+    "listing": ("replica_id * size", "length(path)"),
+}
+LITERALS = "replica_defaults AS (SELECT * FROM (VALUES ('h1', 'ann', 2)) t(host, usr, replica_id)), filter_elements AS (SELECT * FROM (VALUES (2, 'INCLUDE', 1, '**/*.doc'), (2, 'INCLUDE', 2, '**/*.ods'), (2, 'EXCLUDE', 1, 'g0/**'), (3, 'EXCLUDE', 1, '**/*.tmp'), (4, 'INCLUDE', 1, 'g?/u1*/**')) t(filter_id, type, number, pattern))"
+
+
+@register("A2_load_catalog", " UNION ALL ".join(f"SELECT '{t}' AS name, '{e.replace(chr(39), chr(39) * 2)}' AS what, count(*) AS n, CAST(sum({e}) AS BIGINT) AS total FROM {t}" for t, es in CONTENT.items() for e in es), LITERALS, whole=True)
 def _(spark, sf_dir):
-    folder = f"{tables.shared_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    folder = tables.new_folder(spark, "catalog")
     tables.save_catalog(derived.catalog(spark, sf_dir), folder)
-    c = tables.load_catalog(spark, folder)
-    out = None
-    for t in TABLES:
-        if t not in ("replica_defaults", "filter_elements"):
-            n = getattr(c, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n")
-            out = n if out is None else out.unionByName(n)
+    c, out = tables.load_catalog(spark, folder), None
+    for t, sums in CONTENT.items():
+        rows = getattr(c, t).agg(F.count("*").alias("n"), F.array(*[F.struct(F.lit(e).alias("what"), F.sum(F.expr(e)).cast("long").alias("total")) for e in sums]).alias("x"))
+        rows = rows.select(F.lit(t).alias("name"), "n", F.explode("x").alias("x")).select("name", "x.what", "n", "x.total")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-DOCS = "d AS (SELECT doc_id AS file_id, text, '[edit ' || doc_id || ']' AS marker, length(text) AS n, length('[edit ' || doc_id || ']') AS m FROM documents WHERE length(text) >= 400)"
+DOCS = "d AS (SELECT doc_id AS file_id, coalesce(text, '') AS text, '[edit ' || doc_id || ']' AS marker, coalesce(length(text), 0) AS n, length('[edit ' || doc_id || ']') AS m, coalesce(length(text), 0) // 2 AS h, coalesce(length(text), 0) // 4 AS q FROM documents)"
 
 
 @register("A3_read_images", "SELECT file_id, 1 AS version_id, sha256(text) AS content_sha256 FROM d", DOCS, whole=True)
@@ -73,11 +92,11 @@ def _(c):
     return trees.delta_lengths(c.versions)
 
 
-@register("A5_write_restored", "SELECT 'd' || file_id AS path, n AS size FROM d", DOCS, whole=True)
+@register("A5_write_restored", "SELECT 'd' || file_id AS path, n AS size, sha256(text) AS sha256 FROM d", DOCS, whole=True)
 def _(spark, sf_dir):
     _, images, _ = derived.edit_chain(derived.read(spark, sf_dir, "documents"))
     rows = images.where("version_id = 1").select(F.concat(F.lit("d"), F.col("file_id").cast("string")).alias("path"), F.lit(NOW).cast("timestamp_ntz").alias("modified"), "content")
-    return tables.write_restored(rows, f"{tables.shared_dir(spark).rstrip('/')}/restored-{uuid.uuid4().hex}").select("path", F.char_length("content").alias("size"))
+    return tables.write_restored(rows, tables.new_folder(spark, "restored")).select("path", F.char_length("content").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 # predicates
@@ -226,6 +245,11 @@ def _(c):
     return lookups.replicas_of(c).join(c.listing.groupBy("replica_id").agg(F.count("*").alias("n_files")), "replica_id")
 
 
+@register("C16_find_files", "SELECT k.file_id, f.path, f.current_version_id, f.file_id IS NOT NULL AS found FROM (SELECT file_id FROM files UNION SELECT file_id + 1 FROM files) k LEFT JOIN files f USING (file_id)")
+def _(c):
+    return lookups.find_files(c, c.files.select("file_id").unionByName(c.files.select((F.col("file_id") + 1).alias("file_id"))))
+
+
 @register("C16_find_versions", "SELECT k.file_id, k.version_id, v.size, v.modified, v.file_id IS NOT NULL AS found FROM (SELECT file_id, current_version_id + 1 AS version_id FROM files UNION SELECT file_id, 1 FROM files) k LEFT JOIN versions v USING (file_id, version_id)")
 def _(c):
     keys = c.files.select("file_id", (F.col("current_version_id") + 1).alias("version_id")).unionByName(c.files.select("file_id", F.lit(1).alias("version_id")))
@@ -431,9 +455,19 @@ def _(c):
     return sync.sync_plan(c, c.listing)
 
 
-@register("I5_restore_plan", "SELECT r.replica_id, w.path, w.file_id, w.version_id, CASE WHEN w.size IS NOT NULL THEN 'WRITE' WHEN l.path IS NOT NULL THEN 'DELETE' ELSE 'NONE' END AS action FROM winner w CROSS JOIN replicas r LEFT JOIN listing l ON l.replica_id = r.replica_id AND l.path = w.path WHERE w.path LIKE 'g1/%' UNION ALL SELECT replica_id, path, NULL, NULL, 'DELETE_EXTRA' FROM listing WHERE path LIKE 'g1/%' AND path NOT IN (SELECT path FROM winner)", as_of(T) + ", " + WINNER)
+@register("I4_sync_plan_by_ids", "SELECT * FROM (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3) WHERE file_id IN (SELECT file_id FROM rfiles WHERE path LIKE 'moved/%')", f"{PRESENT}, {ABSENT}, {NEW}")
+def _(c):
+    return sync.sync_plan(c, c.listing, file_ids=derived.renamed(c).files.where("path LIKE 'moved/%'"))
+
+
+@register("I2_sync_absent_with_rows", "SELECT * FROM i2 WHERE reason <> 'never synced'", ABSENT)
 def _(c):
-    return restore.restore_plan(c, c.listing, T, "g1/**")
+    return sync.sync_absent(c, c.listing, never_synced=False)
+
+
+@register("I5_restore_plan", "SELECT r.replica_id, w.path, w.file_id, w.version_id, CASE WHEN w.size IS NOT NULL THEN 'WRITE' WHEN l.path IS NOT NULL THEN 'DELETE' ELSE 'NONE' END AS action FROM winner w CROSS JOIN replicas r LEFT JOIN listing l ON l.replica_id = r.replica_id AND l.path = w.path UNION ALL SELECT replica_id, path, NULL, NULL, 'DELETE_EXTRA' FROM listing WHERE path NOT IN (SELECT path FROM winner)", as_of(T) + ", " + WINNER)
+def _(c):
+    return restore.restore_plan(c, c.listing, T, "**")
 
 
 @register("I6_restore_snapshot_plan", "SELECT path, file_id, version_id, size, path IN (SELECT path FROM listing WHERE replica_id = 3) AS blocked FROM winner WHERE size IS NOT NULL", as_of(T) + ", " + WINNER)
@@ -514,8 +548,13 @@ def _(c):
 
 # deltas
 
-FRAGMENTS = DOCS + ", s2 AS (SELECT *, substring(text, 1, 200) || marker || substring(text, 201) AS second FROM d), fr AS (SELECT file_id, 2 AS version_id, 'COMMON' AS kind, 0 AS rev_off, 0 AS fwd_off, 200 AS len, NULL AS data FROM s2 UNION ALL SELECT file_id, 2, 'COMMON', 200, 200 + m, n - 200, NULL FROM s2 UNION ALL SELECT file_id, 2, 'FORWARD', NULL, 200, m, marker FROM s2 UNION ALL SELECT file_id, 3, 'COMMON', 0, 0, 50, NULL FROM s2 UNION ALL SELECT file_id, 3, 'COMMON', 100, 50, n + m - 100, NULL FROM s2 UNION ALL SELECT file_id, 3, 'REVERSE', 50, NULL, 50, substring(second, 51, 50) FROM s2)"
-SIZES = "sz AS (SELECT file_id, 2 AS version_id, n AS rev_size, n + m AS fwd_size FROM s2 UNION ALL SELECT file_id, 3, n + m, n + m - 50 FROM s2)"
+FRAGMENTS = (
+    DOCS + ", s2 AS (SELECT *, substring(text, 1, h) || marker || substring(text, h + 1) AS second FROM d), "
+    "fr AS (SELECT * FROM (SELECT file_id, 2 AS version_id, 'COMMON' AS kind, 0 AS rev_off, 0 AS fwd_off, h AS len, NULL AS data FROM s2 UNION ALL SELECT file_id, 2, 'COMMON', h, h + m, n - h, NULL FROM s2 "
+    "UNION ALL SELECT file_id, 2, 'FORWARD', NULL, h, m, marker FROM s2 UNION ALL SELECT file_id, 3, 'COMMON', 0, 0, q, NULL FROM s2 UNION ALL SELECT file_id, 3, 'COMMON', 2 * q, q, n + m - 2 * q, NULL FROM s2 "
+    "UNION ALL SELECT file_id, 3, 'REVERSE', q, NULL, q, substring(second, q + 1, q) FROM s2) WHERE len > 0)"
+)
+SIZES = "sz AS (SELECT file_id, 2 AS version_id, n AS rev_size, n + m AS fwd_size FROM s2 UNION ALL SELECT file_id, 3, n + m, n + m - q FROM s2)"
 KEY = ["file_id", "version_id"]
 
 
@@ -529,19 +568,25 @@ def edits(spark: SparkSession, sf_dir: str):
     return derived.edit_chain(derived.read(spark, sf_dir, "documents"))
 
 
-@register("J1_footprints", "SELECT file_id, n - 11 AS n_windows FROM d", DOCS, whole=True)
+@register("J1_footprints", "SELECT file_id, count(*) AS n_windows, CAST(sum(i) AS BIGINT) AS positions, count(DISTINCT substring(text, i + 1, 12)) AS n_distinct FROM (SELECT file_id, text, unnest(range(0, n - 11)) AS i FROM d WHERE n >= 12) GROUP BY file_id", DOCS, whole=True)
 def _(spark, sf_dir):
+    """Number and sum of the places, and how many windows differ: as many as their hashes."""
     _, images, _ = edits(spark, sf_dir)
-    return deltas.footprints(images.where("version_id = 1"), ["file_id"]).groupBy("file_id").agg(F.count("*").alias("n_windows"))
+    rows = deltas.footprints(images.where("version_id = 1"), ["file_id"])
+    return rows.groupBy("file_id").agg(F.count("*").alias("n_windows"), F.sum("pos").alias("positions"), F.count_distinct("hash").alias("n_distinct"))
 
 
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive documents of a source, where near copies occur."""
-    from pyspark.sql import Window
+def neighbours(spark: SparkSession, sf_dir: str, block: int = 1000) -> DataFrame:
+    """Consecutive documents of a source, where near copies occur.
 
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = derived.read(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", "doc_id", F.col("text").alias("fwd"))
-    return d.withColumn("rev", F.lag("fwd").over(w)).where("rev IS NOT NULL").select("doc_id", "rev", "fwd")
+    Predecessors are found among ids, in blocks of them; the block before gives that of a block's first. No task sees a whole source."""
+    d = derived.read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    ids = d.select("source", "doc_id", F.floor(F.col("doc_id") / block).alias("block"))
+    ends = ids.groupBy("source", "block").agg(F.max("doc_id").alias("end")).withColumn("before", F.lag("end").over(Window.partitionBy("source").orderBy("block")))
+    own = ids.withColumn("own", F.lag("doc_id").over(Window.partitionBy("source", "block").orderBy("doc_id")))
+    pair = own.join(ends, (own["source"].eqNullSafe(ends["source"])) & (own["block"] == ends["block"])).select("doc_id", F.coalesce("own", "before").alias("before")).where("before IS NOT NULL")
+    text = d.select("doc_id", "text")
+    return pair.join(text.withColumnRenamed("text", "fwd"), "doc_id").join(text.select(F.col("doc_id").alias("before"), F.col("text").alias("rev")), "before").select("doc_id", "rev", "fwd")
 
 
 PAIRED = "SELECT doc_id, length(prev) AS rev_size, length(text) AS fwd_size, sha256(text) AS fwd_sha256, sha256(prev) AS rev_sha256, 0 AS n_problems FROM (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents WHERE text IS NOT NULL) WHERE prev IS NOT NULL"
@@ -578,7 +623,7 @@ def _(c):
     return deltas.content_changed(c)
 
 
-@register("J6_compose_deltas", "SELECT file_id, 'COMMON' AS kind, 0 AS rev_off, 0 AS fwd_off, 50 AS len, NULL AS data FROM d UNION ALL SELECT file_id, 'COMMON', 100, 50, 100, NULL FROM d UNION ALL SELECT file_id, 'COMMON', 200, 150 + m, n - 200, NULL FROM d WHERE n > 200 UNION ALL SELECT file_id, 'FORWARD', NULL, 150, m, marker FROM d", DOCS, whole=True)
+@register("J6_compose_deltas", "SELECT * FROM (SELECT file_id, 'COMMON' AS kind, 0 AS rev_off, 0 AS fwd_off, q AS len, NULL AS data FROM d UNION ALL SELECT file_id, 'COMMON', 2 * q, q, h - 2 * q, NULL FROM d UNION ALL SELECT file_id, 'COMMON', h, h + m - q, n - h, NULL FROM d UNION ALL SELECT file_id, 'FORWARD', NULL, h - q, m, marker FROM d) WHERE len > 0", DOCS, whole=True)
 def _(spark, sf_dir):
     _, _, f = edits(spark, sf_dir)
     return deltas.compose_deltas(f.where("version_id = 2").drop("version_id"), f.where("version_id = 3").drop("version_id"), ["file_id"])
@@ -594,7 +639,7 @@ def _(spark, sf_dir):
     return ahead.join(back, "file_id")
 
 
-@register("J8_validate_delta", "SELECT file_id, version_id, side, problem FROM (SELECT file_id, version_id, 'forward' AS side, 'gap' AS problem FROM sz UNION ALL SELECT file_id, version_id, 'reverse', 'gap' FROM sz)", FRAGMENTS + ", " + SIZES, whole=True)
+@register("J8_validate_delta", "SELECT file_id, version_id, side, problem FROM (SELECT file_id, 2 AS version_id, h AS first FROM s2 UNION ALL SELECT file_id, 3, q FROM s2), (VALUES ('forward', 'gap'), ('reverse', 'gap')) t(side, problem) WHERE first > 0", FRAGMENTS + ", " + SIZES, whole=True)
 def _(spark, sf_dir):
     """Every delta with its first COMMON fragment left out: a gap at the start of either side, and nothing else."""
     _, images, f = edits(spark, sf_dir)
@@ -606,12 +651,16 @@ def _(c):
     return c.versions.where("size IS NOT NULL").select("file_id", "version_id", sizes.encoded_size(F.col("size")).alias("bytes"), sizes.encoded_size(F.col("size") * 1000003).alias("bytes_large"))
 
 
-@register("J10_storage_policy", "SELECT v.file_id, v.version_id, coalesce(c.chain_size, 0) + v.cdelta_len + v.fdelta_len AS new_chain, CASE WHEN coalesce(c.chain_size, 0) + v.cdelta_len + v.fdelta_len <= 0.01 * v.size AND coalesce(c.chain_size, 0) + v.cdelta_len + v.fdelta_len <= 100 THEN 'DELTAS' WHEN b.has_image THEN 'IMAGE' ELSE 'DELTAS_AND_IMAGE' END AS decision FROM versions v JOIN versions b ON b.file_id = v.file_id AND b.version_id = v.base_version_id LEFT JOIN chain c ON c.file_id = b.file_id AND c.version_id = b.version_id WHERE v.size IS NOT NULL AND v.cdelta_len IS NOT NULL", CHAIN)
+@register("J10_storage_policy", "SELECT v.file_id, v.version_id, coalesce(c.chain_size, 0) + v.cdelta_len + v.fdelta_len AS new_chain, CASE WHEN v.cdelta_len + v.fdelta_len + v.rdelta_len >= greatest(v.size, b.size) // 40 THEN CASE WHEN b.has_image THEN 'IMAGE' ELSE 'IMAGE_AND_BASE_IMAGE' END WHEN coalesce(c.chain_size, 0) + v.cdelta_len + v.fdelta_len <= 0.01 * v.size AND coalesce(c.chain_size, 0) + v.cdelta_len + v.fdelta_len <= 100 THEN 'DELTAS' WHEN b.has_image THEN 'IMAGE' ELSE 'DELTAS_AND_IMAGE' END AS decision FROM versions v JOIN versions b ON b.file_id = v.file_id AND b.version_id = v.base_version_id LEFT JOIN chain c ON c.file_id = b.file_id AND c.version_id = b.version_id WHERE v.size IS NOT NULL AND v.cdelta_len IS NOT NULL", CHAIN)
 def _(c):
-    return deltas.storage_policy(c, trees.chain_size(c.versions), None, 0.01, 100)
+    """With a diff that stops at a fortieth of the larger image, so that aborted ones occur."""
+    base = c.versions.select("file_id", F.col("version_id").alias("base_version_id"), F.col("size").alias("base_size"))
+    total = F.col("cdelta_len") + F.col("fdelta_len") + F.col("rdelta_len")
+    stats = c.versions.join(base, ["file_id", "base_version_id"]).select("file_id", "version_id", (total >= F.floor(F.greatest("size", "base_size") / 40)).alias("aborted"))
+    return deltas.storage_policy(c, trees.chain_size(c.versions), stats, 0.01, 100)
 
 
-@register("J11_rebuild_images", "SELECT file_id, 1 AS version_id, sha256(text) AS content_sha256 FROM s2 UNION ALL SELECT file_id, 2, sha256(second) FROM s2 UNION ALL SELECT file_id, 3, sha256(substring(second, 1, 50) || substring(second, 101)) FROM s2", FRAGMENTS, whole=True)
+@register("J11_rebuild_images", "SELECT file_id, 1 AS version_id, sha256(text) AS content_sha256 FROM s2 UNION ALL SELECT file_id, 2, sha256(second) FROM s2 UNION ALL SELECT file_id, 3, sha256(substring(second, 1, q) || substring(second, 2 * q + 1)) FROM s2", FRAGMENTS, whole=True)
 def _(spark, sf_dir):
     v, images, f = edits(spark, sf_dir)
     return deltas.rebuild_images(v, images.where("version_id = 1"), f).select("file_id", "version_id", F.sha2("content", 256).alias("content_sha256"))
@@ -669,14 +718,33 @@ def _(c):
     return out.versions.select("file_id", "version_id", "path").join(out.files.select("file_id", F.col("path").alias("file_path")), "file_id")
 
 
-@register("K8_update_replicas", "SELECT file_id, replica_id, version_id FROM last_sync WHERE replica_id <> 2")
-def _(c):
-    return mutators.drop_replica(mutators.designate_default(mutators.set_default_filter(c, 1, 2), "h1", "ann", 1), 2).last_sync.select("file_id", "replica_id", "version_id")
-
-
-@register("K9_update_filters", "SELECT entry, CASE WHEN filter_id <> 3 THEN filter_id END AS filter_id FROM op_log")
+@register("K8_update_replicas", "SELECT 'replica' AS what, host || ':' || usr || ':' || root || ':' || coalesce(CAST(CASE WHEN replica_id = 1 THEN 2 ELSE default_filter_id END AS VARCHAR), '') AS value FROM replicas WHERE replica_id <> 2 UNION ALL SELECT 'replica', 'h' || n_regionkey || ':' || n_name || ':/r:' FROM nation UNION ALL SELECT 'default', 'h1:ann:1' UNION ALL SELECT 'default', 'h2:bob:3' UNION ALL SELECT 'sync', file_id || ':' || replica_id FROM last_sync WHERE replica_id <> 2 UNION ALL SELECT 'log', entry || ':' || coalesce(CAST(CASE WHEN replica_id <> 2 THEN replica_id END AS VARCHAR), '') FROM op_log", whole=True)
+def _(spark, sf_dir):
+    """Replicas of all nations registered, one twice and one that is known; a default filter set, defaults designated, a replica dropped."""
+    c = derived.saved_catalog(spark, sf_dir)
+    n = derived.read(spark, sf_dir, "nation").select(F.concat(F.lit("h"), F.col("n_regionkey").cast("string")).alias("host"), F.col("n_name").alias("user"), F.lit("/r").alias("root"))
+    c = mutators.register_replicas(c, n.unionByName(n.limit(1)).unionByName(c.replicas.where("replica_id = 3").select("host", "user", "root")))
+    c = mutators.designate_default(mutators.designate_default(mutators.set_default_filter(c, 1, 2), "h1", "ann", 1), "h2", "bob", 3)
+    c = mutators.drop_replica(c, 2)
+    text = lambda *cs: F.concat_ws(":", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in cs]).alias("value")
+    rows = lambda what, df, *cs: df.select(F.lit(what).alias("what"), text(*cs))
+    return rows("replica", c.replicas, "host", "user", "root", "default_filter_id").unionByName(rows("default", c.replica_defaults, "host", "user", "replica_id")).unionByName(rows("sync", c.last_sync, "file_id", "replica_id")).unionByName(rows("log", c.op_log, "entry", "replica_id"))
+
+
+@register(
+    "K9_update_filters",
+    "SELECT 'log' AS what, entry || ':' || coalesce(CAST(CASE WHEN filter_id <> 3 THEN filter_id END AS VARCHAR), '') AS value FROM op_log UNION ALL SELECT 'filter', filter_id || ':' || name FROM filters WHERE filter_id <> 3 UNION ALL SELECT 'filter', '5:drafts' "
+    "UNION ALL SELECT 'element', filter_id || ':' || type || ':' || number || ':' || pattern FROM filter_elements WHERE filter_id NOT IN (2, 3) UNION ALL SELECT 'element', x FROM (VALUES ('5:INCLUDE:1:**/*.txt'), ('5:EXCLUDE:1:old/**'), ('5:INCLUDE:2:*.md'), ('2:INCLUDE:1:**/*.odt')) t(x) "
+    "UNION ALL SELECT 'replica', replica_id || ':' || coalesce(CAST(CASE WHEN default_filter_id <> 3 THEN default_filter_id END AS VARCHAR), '') FROM replicas",
+    LITERALS,
+)
 def _(c):
-    return mutators.drop_filter(mutators.save_filter(c, "Drafts", [("INCLUDE", "**/*.txt")]), "no temp files", force=True).op_log.select("entry", "filter_id")
+    """A filter added, one replaced, and one dropped that is in use."""
+    c = mutators.save_filter(c, "Drafts", [("INCLUDE", "**/*.txt"), ("EXCLUDE", "old/**"), ("INCLUDE", "*.md")])
+    c = mutators.drop_filter(mutators.save_filter(c, "OFFICE", [("INCLUDE", "**/*.odt")]), "no temp files", force=True)
+    text = lambda *cs: F.concat_ws(":", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in cs]).alias("value")
+    rows = lambda what, df, *cs: df.select(F.lit(what).alias("what"), text(*cs))
+    return rows("log", c.op_log, "entry", "filter_id").unionByName(rows("filter", c.filters, "filter_id", "name")).unionByName(rows("element", c.filter_elements, "filter_id", "type", "number", "pattern")).unionByName(rows("replica", c.replicas, "replica_id", "default_filter_id"))
 
 
 @register("K10_log_operations", "SELECT entry, coalesce(status, '') AS status FROM op_log UNION ALL SELECT -entry, 'copied' FROM op_log WHERE filter_inverted")

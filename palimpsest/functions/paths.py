@@ -77,15 +77,20 @@ def apply_filter(df: DataFrame, elements: list[tuple[str, str]], invert: bool =
     return df.where(passes(path_col, elements, invert))
 
 
+def glob_regex_of(pattern: Column | str) -> Column:
+    """``glob_regex`` of a column of patterns."""
+    literal = lambda e: F.regexp_replace(e, r"([\p{Punct}&&[^*?]])", r"\\$1")
+    one = lambda e: F.concat(F.replace(F.replace(literal(e), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("/"))
+    parts = F.transform(split_path(pattern), lambda e: F.when(e == "**", F.lit("(?:[^/]*/)*")).otherwise(one(e)))
+    return F.concat(F.lit("^"), F.array_join(parts, ""), F.lit("$"))
+
+
 def filter_rules(filter_elements: DataFrame) -> DataFrame:
-    """(filter_id, include, exclude): the regular expressions of each filter, joined; null where there are none.
-
-    Patterns are few and short; they are translated on the driver and come back as one small table."""
-    rules: dict[int, dict[str, list[str]]] = {}
-    for r in filter_elements.select("filter_id", "type", "pattern").toLocalIterator():
-        rules.setdefault(r["filter_id"], {}).setdefault(r["type"], []).append(glob_regex(r["pattern"]))
-    rows = [(f, *("|".join(sorted(k[t])) if t in k else None for t in ("INCLUDE", "EXCLUDE"))) for f, k in sorted(rules.items())]
-    return filter_elements.sparkSession.createDataFrame(rows, "filter_id int, include string, exclude string")
+    """(filter_id, include, exclude): the regular expressions of each filter, joined; null where there are none."""
+    regex = filter_elements.select("filter_id", "type", glob_regex_of("pattern").alias("regex"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col("regex"))))
+    rules = regex.groupBy("filter_id").agg(of("INCLUDE").alias("i"), of("EXCLUDE").alias("e"))
+    return rules.select("filter_id", *[F.when(F.size(c) > 0, F.array_join(c, "|")).alias(n) for c, n in (("i", "include"), ("e", "exclude"))])
 
 
 def passes_rules(path: Column | str, include: str = "include", exclude: str = "exclude") -> Column:

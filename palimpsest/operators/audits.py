@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import prefixes
-from palimpsest.operators.trees import chain_edges, nearest_image_path
+from palimpsest.operators.trees import chain_edges, first_hops, way_sums
 from palimpsest.schema import Catalog
 
 
@@ -55,9 +55,10 @@ def audit_path_nesting(c: Catalog) -> DataFrame:
 
 def audit_restorability(c: Catalog) -> DataFrame:
     """Versions, no marks, without a stored image and without a way over stored deltas to one."""
-    hops = chain_edges(nearest_image_path(c.versions), c.versions)
+    hops = chain_edges(first_hops(c.versions), c.versions)
     d = c.versions.select("file_id", F.col("version_id").alias("edge_version_id"), "cdelta_len", "fdelta_len", "rdelta_len")
     lacking = F.col("cdelta_len").isNull() | F.when(F.col("direction") == "FORWARD", F.col("fdelta_len").isNull()).otherwise(F.col("rdelta_len").isNull())
-    ways = hops.join(d, ["file_id", "edge_version_id"], "left").groupBy("file_id", F.col("source").alias("version_id")).agg(F.count_if(lacking | (F.col("direction") == "BROKEN")).alias("bad"))
+    bad = F.coalesce(lacking, F.lit(True)) | (F.col("direction") == "BROKEN")
+    ways = way_sums(hops.join(d, ["file_id", "edge_version_id"], "left").select("file_id", F.col("source").alias("version_id"), "next", bad.cast("long").alias("amount"))).withColumnRenamed("amount", "bad")
     need = c.versions.where("size IS NOT NULL AND NOT has_image").select("file_id", "version_id").join(ways, ["file_id", "version_id"], "left")
     return need.where("bad IS NULL OR bad > 0").select("file_id", "version_id", F.when(F.col("bad").isNull(), "no way").otherwise("missing delta").alias("reason"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size, encoded_size
-from palimpsest.operators.trees import chain_edges, nearest_image_path
+from palimpsest.operators.trees import chain_edges, first_hops, image_distances
 from palimpsest.schema import Catalog
 
 FOOTPRINT = 12
@@ -186,12 +186,10 @@ def rebuild_images(versions: DataFrame, images: DataFrame, fragments: DataFrame)
     A hop rebuilds all versions of all files that are equally far from an image."""
     from palimpsest.sources.tables import materialize
 
-    hops = materialize(chain_edges(nearest_image_path(versions), versions))
-    far = hops.groupBy("file_id", "source").agg(F.max("step").alias("far"))
-    first = hops.where("step = 0").join(far, ["file_id", "source"]).select("file_id", F.col("source").alias("version_id"), "next", "direction", "edge_version_id", "far")
+    first = materialize(chain_edges(first_hops(versions), versions).join(image_distances(versions).select("file_id", F.col("version_id").alias("source"), "far"), ["file_id", "source"]).select("file_id", F.col("source").alias("version_id"), "next", "direction", "edge_version_id", "far"))
     level = images.join(versions.where("has_image").select("file_id", "version_id"), ["file_id", "version_id"], "left_semi").select("file_id", "version_id", "content")
-    done, d = level, 0
-    deepest = far.agg(F.max("far")).first()[0]
+    done, d = level, 1
+    deepest = first.agg(F.max("far")).first()[0]
     while deepest is not None and d <= deepest:
         step = first.where(F.col("far") == d)
         edge = ["file_id", "version_id"]

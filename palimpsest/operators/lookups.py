@@ -108,6 +108,12 @@ def replicas_of(c: Catalog) -> DataFrame:
     return c.replicas.join(d, ["host", "user"], "left").select("replica_id", "host", "user", "root", (F.col("replica_id") == F.coalesce("designated", least)).alias("is_default"))
 
 
+def find_files(c: Catalog, ids: DataFrame) -> DataFrame:
+    """Requested (file_id) with ``found``, path and current version."""
+    f = c.files.select("file_id", "path", "current_version_id", F.lit(True).alias("__found"))
+    return ids.select("file_id").distinct().join(f, "file_id", "left").select("file_id", "path", "current_version_id", F.col("__found").isNotNull().alias("found"))
+
+
 def find_versions(c: Catalog, keys: DataFrame) -> DataFrame:
     """Requested (file_id, version_id) with ``found``, size and time."""
     v = c.versions.select("file_id", "version_id", "size", "modified", F.lit(True).alias("__found"))
@@ -171,7 +177,7 @@ def file_history(c: Catalog, paths: DataFrame) -> DataFrame:
 
 def list_filters(c: Catalog, replica_id: int) -> DataFrame:
     chosen = effective_filter(c.replicas.where(F.col("replica_id") == replica_id), c.filters).select("filter_id", F.lit(True).alias("__chosen"))
-    return c.filters.join(F.broadcast(chosen), "filter_id", "left").select("name", F.col("__chosen").isNotNull().alias("is_default")).orderBy("name")
+    return c.filters.join(chosen, "filter_id", "left").select("name", F.col("__chosen").isNotNull().alias("is_default")).orderBy("name")
 
 
 def version_as_of(c: Catalog, moments: DataFrame) -> DataFrame:

@@ -157,8 +157,8 @@ def drop_filter(c: Catalog, name: str, force: bool = False) -> Catalog:
     if not force and not used.isEmpty():
         raise ValueError(f"the filter '{name}' is some replica's default")
     ids = gone.withColumnRenamed("filter_id", "default_filter_id").withColumn("__gone", F.lit(True))
-    replicas = c.replicas.join(F.broadcast(ids), "default_filter_id", "left").withColumn("default_filter_id", F.when(F.col("__gone").isNull(), F.col("default_filter_id"))).select(*c.replicas.columns)
-    log = c.op_log.join(F.broadcast(gone.withColumn("__gone", F.lit(True))), "filter_id", "left").withColumn("filter_id", F.when(F.col("__gone").isNull(), F.col("filter_id"))).select(*c.op_log.columns)
+    replicas = c.replicas.join(ids, "default_filter_id", "left").withColumn("default_filter_id", F.when(F.col("__gone").isNull(), F.col("default_filter_id"))).select(*c.replicas.columns)
+    log = c.op_log.join(gone.withColumn("__gone", F.lit(True)), "filter_id", "left").withColumn("filter_id", F.when(F.col("__gone").isNull(), F.col("filter_id"))).select(*c.op_log.columns)
     return replace(c, filters=c.filters.join(gone, "filter_id", "left_anti"), filter_elements=c.filter_elements.join(gone, "filter_id", "left_anti"), replicas=replicas, op_log=log)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import prefixes
-from palimpsest.sources.tables import materialize
+from palimpsest.sources.tables import materialize, release
 
 
 def build_name_tree(paths: DataFrame) -> DataFrame:
@@ -52,32 +52,100 @@ def version_closure(versions: DataFrame) -> DataFrame:
     return own.unionByName(known)
 
 
+KEY = ["file_id", "version_id"]
+#: Rounds of doubling, more than any depth needs; a chain of bases that runs in a circle ends here too.
+ROUNDS = 40
+
+
+def _pointers_left(s: DataFrame) -> bool:
+    return not s.where("up IS NOT NULL").isEmpty()
+
+
+def _doubled(s: DataFrame, down: Column | None, value: str, combine, up_value: Column | None) -> DataFrame:
+    """One round over (file_id, version_id, up, value), where ``up`` is the version 2**k steps above: ``down`` aggregates the
+    values of those that point to a version, ``up_value`` is taken from the version pointed to; ``up`` doubles its reach."""
+    above = s.select("file_id", F.col("version_id").alias("up"), F.col("up").alias("__up"), *([up_value.alias("__more")] if up_value is not None else []))
+    new = s.join(above, ["file_id", "up"], "left")
+    if down is not None:
+        below = s.where("up IS NOT NULL").groupBy("file_id", F.col("up").alias("version_id")).agg(down.alias("__more"))
+        new = new.join(below, KEY, "left")
+    out = materialize(new.select(*KEY, F.col("__up").alias("up"), combine(F.col(value), F.col("__more")).alias(value)))
+    release(s)
+    return out
+
+
+def subtree_sums(nodes: DataFrame) -> DataFrame:
+    """(file_id, version_id, amount) summed over each version's subtree, itself included; from these and base_version_id.
+
+    Doubling: a version knows the sum of what lies less than 2**k steps below it; those exactly 2**k steps below add theirs."""
+    s = materialize(nodes.select(*KEY, F.col("base_version_id").alias("up"), F.col("amount").cast("long").alias("amount")))
+    for _ in range(ROUNDS):
+        if not _pointers_left(s):
+            break
+        s = _doubled(s, F.sum("amount"), "amount", lambda own, more: own + F.coalesce(more, F.lit(0)), None)
+    return s.select(*KEY, "amount")
+
+
+def image_distances(versions: DataFrame) -> DataFrame:
+    """(file_id, version_id, next, far): edges to the nearest version with an image, in either direction of the tree, and
+    the first version on the way; next is null at images (far 0), no row where there is no way.
+
+    Doubling again: first the nearest image below each version, then that of its ancestors. Of equally near ways a version takes
+    its base, then the child with the lowest id. Deletion marks have no content and lead nowhere."""
+    v = versions.where("size IS NOT NULL").select(*KEY, "base_version_id", "has_image")
+    there = v.select("file_id", F.col("version_id").alias("base_version_id"), F.lit(True).alias("__there"))
+    tree = materialize(v.join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base"), F.when(F.col("has_image"), F.lit(0)).cast("long").alias("far")))
+    s = materialize(tree.select(*KEY, F.col("base").alias("up"), "far"))
+    for k in range(ROUNDS):
+        if not _pointers_left(s):
+            break
+        s = _doubled(s, F.min("far") + F.lit(1 << k), "far", lambda own, more: F.least(own, more), None)
+    below = s
+    s = materialize(below.drop("up").join(tree.select(*KEY, F.col("base").alias("up")), KEY).select(*KEY, "up", "far"))
+    release(below)
+    for k in range(ROUNDS):
+        if not _pointers_left(s):
+            break
+        s = _doubled(s, None, "far", lambda own, more: F.least(own, more), F.col("far") + F.lit(1 << k))
+    near = materialize(s.where("far IS NOT NULL").select(*KEY, "far").join(tree.select(*KEY, "base"), KEY))
+    release(s, tree)
+    over = near.select("file_id", F.col("version_id").alias("base"), F.col("far").alias("base_far"))
+    both = near.join(over, ["file_id", "base"], "left")
+    child = both.where("base_far = far + 1").groupBy("file_id", F.col("base").alias("version_id")).agg(F.min("version_id").alias("child"))
+    step = F.when(F.col("base_far") == F.col("far") - 1, F.col("base")).otherwise(F.col("child"))
+    return materialize(both.join(child, KEY, "left").select(*KEY, F.when(F.col("far") > 0, step).alias("next"), "far"))
+
+
 def nearest_image_path(versions: DataFrame) -> DataFrame:
-    """(file_id, source, step, at, next): the shortest way over tree edges, either direction, from each version without an
-    image (no marks) to one that has it. Versions with an image, and those without a way, have no rows.
-
-    All sources of all files advance together, and a round settles every version whose neighbour was settled before it:
-    the search starts from the images, so no version is visited twice. Of equally near ways a version takes its base, then
-    the child with the lowest id. Deletion marks have no content and lead nowhere."""
-    v = versions.where("size IS NOT NULL")
-    up = v.where("base_version_id IS NOT NULL").select("file_id", "version_id", F.col("base_version_id").alias("next"), F.lit(0).alias("down"))
-    down = up.select("file_id", F.col("next").alias("version_id"), F.col("version_id").alias("next"), F.lit(1).alias("down"))
-    edges = materialize(up.unionByName(down))
-    settled = materialize(v.where("has_image").select("file_id", "version_id", F.lit(None).cast("int").alias("next"), F.lit(0).alias("far")))
-    front, far = settled, 0
-    while not front.isEmpty():
-        far += 1
-        reached = edges.join(front.select("file_id", F.col("version_id").alias("next")), ["file_id", "next"]).join(settled.select("file_id", "version_id"), ["file_id", "version_id"], "left_anti")
-        best = reached.groupBy("file_id", "version_id").agg(F.min(F.struct("down", "next"))["next"].alias("next"))
-        front = materialize(best.select("file_id", "version_id", "next", F.lit(far).alias("far")))
-        settled = settled.unionByName(front)
-    step = settled.select("file_id", F.col("version_id").alias("at"), "next", "far").where("far > 0")
-    walk = materialize(step.select("file_id", F.col("at").alias("source"), F.lit(0).alias("step"), "at", "next"))
-    done = walk
-    for i in range(1, far):
-        walk = materialize(walk.select("file_id", "source", F.col("next").alias("at")).join(step.drop("far"), ["file_id", "at"]).select("file_id", "source", F.lit(i).alias("step"), "at", "next"))
-        done = done.unionByName(walk)
-    return done
+    """(file_id, source, step, at, next): the way of ``image_distances`` hop by hop, for each version without an image (no marks).
+
+    Versions with an image, and those without a way, have no rows. The ways double in length with each join."""
+    hop = materialize(image_distances(versions).where("next IS NOT NULL").select("file_id", F.col("version_id").alias("at"), "next"))
+    jump = hop.join(hop.select("file_id", F.col("at").alias("next")), ["file_id", "next"], "left_semi").select("file_id", "at", F.col("next").alias("to"))
+    ways, jump, reach = hop.select("file_id", F.col("at").alias("source"), F.lit(0).alias("step"), "at"), materialize(jump), 1
+    while not jump.isEmpty():
+        more = ways.join(jump, ["file_id", "at"]).select("file_id", "source", (F.col("step") + reach).alias("step"), F.col("to").alias("at"))
+        ways = materialize(ways.unionByName(more))
+        last, jump = jump, materialize(jump.join(jump.select("file_id", F.col("at").alias("to"), F.col("to").alias("on")), ["file_id", "to"]).select("file_id", "at", F.col("on").alias("to")))
+        release(last)
+        reach *= 2
+    return ways.join(hop, ["file_id", "at"]).select("file_id", "source", "step", "at", "next")
+
+
+def way_sums(hops: DataFrame) -> DataFrame:
+    """(file_id, version_id, amount): the amounts of (file_id, version_id, next, amount) summed along each version's way."""
+    s = materialize(hops.select(*KEY, F.col("next").alias("up"), F.col("amount").cast("long").alias("amount")))
+    for _ in range(ROUNDS):
+        if not _pointers_left(s):
+            break
+        s = _doubled(s, None, "amount", lambda own, more: own + F.coalesce(more, F.lit(0)), F.col("amount"))
+    return s.select(*KEY, "amount")
+
+
+def first_hops(versions: DataFrame) -> DataFrame:
+    """(file_id, source, step, at, next, far): the first hop, step 0, of every way."""
+    hop = image_distances(versions).where("next IS NOT NULL")
+    return hop.select("file_id", F.col("version_id").alias("source"), F.lit(0).alias("step"), F.col("version_id").alias("at"), "next", "far")
 
 
 def chain_edges(ways: DataFrame, versions: DataFrame) -> DataFrame:
@@ -99,9 +167,9 @@ def delta_lengths(versions: DataFrame) -> DataFrame:
 
 def chain_size(versions: DataFrame) -> DataFrame:
     """(file_id, version_id, chain_size): common and directional deltas on the way to the nearest image; 0 where there is one."""
-    hops = chain_edges(nearest_image_path(versions), versions)
+    hops = chain_edges(first_hops(versions), versions)
     d = delta_lengths(versions).withColumnRenamed("version_id", "edge_version_id")
     cost = F.col("cdelta_len") + F.when(F.col("direction") == "FORWARD", F.col("fdelta_len")).otherwise(F.col("rdelta_len"))
-    sums = hops.join(d, ["file_id", "edge_version_id"]).groupBy("file_id", F.col("source").alias("version_id")).agg(F.sum(cost).alias("chain_size"))
+    sums = way_sums(hops.join(d, ["file_id", "edge_version_id"]).select("file_id", F.col("source").alias("version_id"), "next", cost.alias("amount")))
     stored = versions.where("has_image AND size IS NOT NULL").select("file_id", "version_id", F.lit(0).cast("long").alias("chain_size"))
-    return stored.unionByName(sums)
+    return stored.unionByName(sums.withColumnRenamed("amount", "chain_size"))

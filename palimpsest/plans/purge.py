@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import passes
 from palimpsest.operators.lookups import image_transfer_target, obsolete_files
-from palimpsest.operators.trees import version_closure
+from palimpsest.operators.trees import subtree_sums
 from palimpsest.schema import Catalog
+from palimpsest.sources.tables import materialize
 
 
 def purge_versions_plan(c: Catalog, epoch: str, elements: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -24,9 +25,8 @@ def purge_versions_plan(c: Catalog, epoch: str, elements: list[tuple[str, str]]
     marks = v.where("size IS NULL AND base_version_id IS NOT NULL").select("file_id", F.col("base_version_id").alias("version_id")).distinct().withColumn("__over_mark", F.lit(True))
     fixed = (F.col("modified") >= F.lit(epoch).cast("timestamp_ntz")) | (F.col("version_id") == F.col("current_version_id")) | F.col("__over_mark").isNotNull()
     v = v.join(marks, ["file_id", "version_id"], "left").select("file_id", "version_id", "base_version_id", fixed.alias("fixed"))
-    pairs = version_closure(v)
-    k = v.where("fixed").select("file_id", F.col("version_id").alias("descendant"))
-    held = pairs.join(k, ["file_id", "descendant"]).groupBy("file_id", F.col("ancestor").alias("version_id")).agg(F.count("*").alias("held"))
+    v = materialize(v)
+    held = subtree_sums(v.select("file_id", "version_id", "base_version_id", F.col("fixed").cast("long").alias("amount"))).withColumnRenamed("amount", "held")
     total = v.groupBy("file_id").agg(F.count_if("fixed").alias("total"))
     rows = v.join(held, ["file_id", "version_id"], "left").join(total, "file_id")
     branches = rows.where("held > 0 AND base_version_id IS NOT NULL").groupBy("file_id", F.col("base_version_id").alias("version_id")).agg(F.count("*").alias("branches"))

@@ -20,7 +20,9 @@ def restore_plan(c: Catalog, listing: DataFrame, t: str, pattern: str | None = N
     DELETE_EXTRA for matching local files that the snapshot does not have (these are synced first)."""
     target = path_collision_winner(snapshot_as_of(c, t).where(_chosen("path", pattern, elements))).select("path", "file_id", "version_id", "size")
     local = listing.where(_chosen("path", pattern, elements)).select("replica_id", "path").withColumn("__local", F.lit(True))
-    rows = target.crossJoin(c.replicas.select("replica_id")).join(local, ["replica_id", "path"], "left")
+    # every replica gets every file of the snapshot
+    ids = c.replicas.agg(F.coalesce(F.collect_set("replica_id"), F.array().cast("array<int>")).alias("ids")).scalar()
+    rows = target.withColumn("replica_id", F.explode(ids)).join(local, ["replica_id", "path"], "left")
     action = F.when(F.col("size").isNotNull(), "WRITE").when(F.col("__local"), "DELETE").otherwise("NONE")
     planned = rows.select("replica_id", "path", "file_id", "version_id", action.alias("action"))
     extra = local.join(target.select("path"), "path", "left_anti").select("replica_id", "path", F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("int").alias("version_id"), F.lit("DELETE_EXTRA").alias("action"))

@@ -42,10 +42,19 @@ def sync_present(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN"
     return rows.withColumn("decision", decision).withColumn("reason", reason).select("replica_id", "path", "file_id", "decision", "reason", record.alias("version_id"))
 
 
-def sync_absent(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN") -> DataFrame:
-    """Existing files without a local file, for every replica."""
-    rows = c.existing.select("path", "file_id", "current_version_id").crossJoin(c.replicas.select("replica_id"))
-    rows = rows.join(listing.select("replica_id", "path"), ["replica_id", "path"], "left_anti").join(_synced(c), ["file_id", "replica_id"], "left")
+def sync_absent(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN", never_synced: bool = True) -> DataFrame:
+    """Existing files without a local file, for every replica that has a sync row of them.
+
+    With ``never_synced`` also for the replicas that have none, which get the file: a row for each such file and replica, since
+    each is an action; without it the plan grows with the sync rows only."""
+    existing = c.existing.select("path", "file_id", "current_version_id")
+    rows = existing.join(_synced(c), "file_id")
+    if never_synced:
+        has = c.last_sync.groupBy("file_id").agg(F.collect_set("replica_id").alias("has"))
+        ids = c.replicas.agg(F.coalesce(F.collect_set("replica_id"), F.array().cast("array<int>")).alias("ids")).scalar()
+        lacking = existing.join(has, "file_id", "left").withColumn("replica_id", F.explode(F.array_except(ids, F.coalesce("has", F.array().cast("array<int>"))))).drop("has")
+        rows = rows.unionByName(lacking, allowMissingColumns=True)
+    rows = rows.join(listing.select("replica_id", "path"), ["replica_id", "path"], "left_anti")
     same = F.col("synced_version") == F.col("current_version_id")
     decision = F.when(F.col("has_sync").isNull() | F.col("synced_deleted"), "DISCARD").when(same, "UPDATE").otherwise(_otherwise(default_action))
     reason = F.when(F.col("has_sync").isNull(), "never synced").when(F.col("synced_deleted"), "was deleted").when(same, "deleted locally").when(F.col("synced_version").isNull(), "deleted, purged version").otherwise("deleted, older version")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size
 from palimpsest.schema import Catalog
+from palimpsest.sources.tables import load_catalog, new_folder, save_catalog
 
 REPLICA_ROWS = [(1, "h1", "ann", "/r1", None), (2, "h1", "ann", "/r2", 2), (3, "h2", "bob", "/r3", 3)]
 DEFAULT_ROWS = [("h1", "ann", 2)]
@@ -45,9 +46,8 @@ def versions_with_paths(events: DataFrame) -> DataFrame:
     )
 
 
-def last_sync(files: DataFrame, versions: DataFrame, replicas: DataFrame) -> DataFrame:
-    r = F.broadcast(replicas.select("replica_id"))
-    rows = files.join(r, F.pmod(F.col("file_id") * 7 + F.col("replica_id"), F.lit(5)) != 0)
+def last_sync(files: DataFrame, versions: DataFrame) -> DataFrame:
+    rows = files.withColumn("replica_id", F.explode(F.array(*[F.lit(r[0]) for r in REPLICA_ROWS]))).where(F.pmod(F.col("file_id") * 7 + F.col("replica_id"), F.lit(5)) != 0)
     rows = rows.withColumn("version_id", F.greatest(F.lit(1), F.col("current_version_id") - F.pmod(F.col("file_id") + F.col("replica_id"), F.lit(3))).cast("int"))
     rows = rows.join(versions.select("file_id", "version_id", "size", "modified"), ["file_id", "version_id"])
     cut = F.pmod(F.col("file_id") + F.col("replica_id"), F.lit(11)) == 0
@@ -57,7 +57,7 @@ def last_sync(files: DataFrame, versions: DataFrame, replicas: DataFrame) -> Dat
     )
 
 
-def listing(spark: SparkSession, files: DataFrame, versions: DataFrame, synced: DataFrame, replicas: DataFrame) -> DataFrame:
+def listing(spark: SparkSession, files: DataFrame, versions: DataFrame, synced: DataFrame) -> DataFrame:
     at = versions.select("file_id", "version_id", "size", "modified")
     cur = files.join(at.withColumnRenamed("version_id", "current_version_id"), ["file_id", "current_version_id"])
     existing = cur.where("size IS NOT NULL")
@@ -72,7 +72,7 @@ def listing(spark: SparkSession, files: DataFrame, versions: DataFrame, synced:
     newest = gone.groupBy("path").agg(F.max(F.struct("file_id", "current_version_id")).alias("f")).select("path", "f.file_id", F.greatest(F.lit(1), F.col("f.current_version_id") - 1).alias("version_id"))
     dead = synced.select("file_id", "replica_id").join(newest, "file_id").join(at, ["file_id", "version_id"]).select("replica_id", "path", "size", F.col("modified").alias("mtime"))
     stamp = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    fresh = spark.range(20).join(F.broadcast(replicas.select("replica_id"))).select("replica_id", F.concat(F.lit("new/r"), F.col("replica_id").cast("string"), F.lit("/u"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), (F.col("id") * 10).alias("size"), stamp.alias("mtime"))
+    fresh = spark.range(20).withColumn("replica_id", F.explode(F.array(*[F.lit(r[0]) for r in REPLICA_ROWS]))).select("replica_id", F.concat(F.lit("new/r"), F.col("replica_id").cast("string"), F.lit("/u"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), (F.col("id") * 10).alias("size"), stamp.alias("mtime"))
     under = existing.agg(F.min("path").alias("p")).where("p IS NOT NULL").select(F.lit(1).alias("replica_id"), F.concat("p", F.lit("/under.txt")).alias("path"), F.lit(1).cast("long").alias("size"), stamp.alias("mtime"))
     return main.unionByName(dead).unionByName(fresh).unionByName(under).where("size IS NOT NULL")
 
@@ -94,14 +94,28 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     versions = full.drop("file_path")
     files = full.groupBy("file_id").agg(F.first("file_path").alias("path"), F.max("version_id").alias("current_version_id"))
     replicas = spark.createDataFrame(REPLICA_ROWS, schema.REPLICAS)
-    synced = last_sync(files, versions, replicas)
+    synced = last_sync(files, versions)
     log, params = op_log(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
     return Catalog(
         files, versions, synced.drop("synced"), replicas, spark.createDataFrame(DEFAULT_ROWS, schema.REPLICA_DEFAULTS), spark.createDataFrame(FILTER_ROWS, schema.FILTERS),
-        spark.createDataFrame(ELEMENT_ROWS, schema.FILTER_ELEMENTS), log, params, listing(spark, files, versions, synced, replicas),
+        spark.createDataFrame(ELEMENT_ROWS, schema.FILTER_ELEMENTS), log, params, listing(spark, files, versions, synced),
     )
 
 
+#: Saved catalogs by application and tables.
+SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The same, written as a snapshot folder once in a session, so that no query plans the derivation again."""
+    of = (spark.sparkContext.applicationId, sf_dir)
+    if of not in SAVED:
+        folder = new_folder(spark, "catalog")
+        save_catalog(catalog(spark, sf_dir), folder)
+        SAVED[of] = folder
+    return load_catalog(spark, SAVED[of])
+
+
 def renamed(c: Catalog) -> Catalog:
     """Files with file_id % 7 = 0 and two versions or more now lie under ``moved/``; all but their last version keep the old path."""
     moved = (F.col("file_id") % 7 == 0) & (F.col("current_version_id") >= 2)
@@ -112,12 +126,15 @@ def renamed(c: Catalog) -> Catalog:
 
 
 def edit_chain(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(versions, images of all three versions, fragments) of documents with 400 characters or more; offsets are characters."""
-    d = documents.where(F.char_length("text") >= 400).select(F.col("doc_id").alias("file_id"), "text")
+    """(versions, images of all three versions, fragments) of all documents, null text: empty; offsets are characters.
+
+    The second version has a marker in the middle of the text, the third lacks the second quarter (of the first version's length)."""
+    d = documents.select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("text"))
     marker = F.concat(F.lit("[edit "), F.col("file_id").cast("string"), F.lit("]"))
     d = d.withColumn("marker", marker).withColumn("n", F.char_length("text").cast("long")).withColumn("m", F.char_length("marker").cast("long"))
-    second = F.concat(F.substring("text", 1, 200), "marker", F.expr("substring(text, 201)"))
-    d = d.withColumn("second", second).withColumn("third", F.concat(F.substring("second", 1, 50), F.expr("substring(second, 101)")))
+    d = d.withColumn("h", F.expr("n div 2").cast("int")).withColumn("q", F.expr("n div 4").cast("int"))
+    second = F.concat(F.expr("substring(text, 1, h)"), "marker", F.expr("substring(text, h + 1)"))
+    d = d.withColumn("second", second).withColumn("third", F.concat(F.expr("substring(second, 1, q)"), F.expr("substring(second, 2 * q + 1)")))
     image = lambda v, c: d.select("file_id", F.lit(v).alias("version_id"), F.col(c).alias("content"))
     images = image(1, "text").unionByName(image(2, "second")).unionByName(image(3, "third"))
     none = F.lit(None)
@@ -126,11 +143,11 @@ def edit_chain(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         longs = {"rev_off": rev, "fwd_off": fwd, "len": length}
         return F.struct(F.lit(version).alias("version_id"), F.lit(kind).alias("kind"), *[(c if isinstance(c, Column) else F.lit(c)).cast("long").alias(k) for k, c in longs.items()], data.cast("string").alias("data"))
 
-    n, m = F.col("n"), F.col("m")
+    n, m, h, q = (F.col(c) for c in "nmhq")
     rows = F.array(
-        fragment(2, "COMMON", 0, 0, 200), fragment(2, "COMMON", 200, m + 200, n - 200), fragment(2, "FORWARD", None, 200, m, F.col("marker")),
-        fragment(3, "COMMON", 0, 0, 50), fragment(3, "COMMON", 100, 50, n + m - 100), fragment(3, "REVERSE", 50, None, 50, F.expr("substring(second, 51, 50)")),
+        fragment(2, "COMMON", 0, 0, h), fragment(2, "COMMON", h, m + h, n - h), fragment(2, "FORWARD", None, h, m, F.col("marker")),
+        fragment(3, "COMMON", 0, 0, q), fragment(3, "COMMON", 2 * q, q, n + m - 2 * q), fragment(3, "REVERSE", q, None, q, F.expr("substring(second, q + 1, q)")),
     )
-    fragments = d.select("file_id", F.explode(rows).alias("f")).select("file_id", "f.*")
+    fragments = d.select("file_id", F.explode(rows).alias("f")).select("file_id", "f.*").where("len > 0")
     versions = images.select("file_id", "version_id", F.char_length("content").cast("long").alias("size"), F.when(F.col("version_id") > 1, F.col("version_id") - 1).alias("base_version_id"), (F.col("version_id") == 1).alias("has_image"))
     return versions, images, fragments

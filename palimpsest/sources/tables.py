@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +14,39 @@ from palimpsest import schema
 from palimpsest.functions.paths import apply_filter, glob_match
 from palimpsest.schema import Catalog
 
+#: Folder of each materialised frame.
+WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one of our own only where the session names none."""
+    """The folder that all executors see. Where the session names none, a local one of our own, on one machine only."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         known = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
+def new_folder(spark: SparkSession, kind: str = "palimpsest") -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage of iterations and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, columnar and compressed."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    WRITTEN[back] = path
+    return back
+
+
+def release(*made: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames that no later step reads."""
+    for df in made:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scan_listing(spark: SparkSession, root: str, pattern: str | None = None, elements: list[tuple[str, str]] | None = None) -> DataFrame:

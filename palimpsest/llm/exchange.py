@@ -51,9 +51,9 @@ def buckets(sorted_hashes: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
 
 
 def packed(a: np.ndarray) -> bytes:
-    """The array's bytes in column order, compressed, behind their number."""
+    """The array's bytes in column order, texts row by row, compressed, behind their number."""
     if a.dtype.names:
-        raw = b"".join(np.ascontiguousarray(a[c].T).tobytes() for c in a.dtype.names)
+        raw = b"".join(np.ascontiguousarray(a[c] if c == "text" else a[c].T).tobytes() for c in a.dtype.names)
     else:
         raw = a.tobytes()
     return len(raw).to_bytes(8, "little") + PACKING.compress(raw, asbytes=True)
@@ -68,7 +68,7 @@ def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     for c in kind.names:
         field = kind[c]
         part = np.frombuffer(raw, dtype=field.base, count=len(out) * (field.itemsize // field.base.itemsize), offset=at)
-        out[c] = part.reshape(*field.shape, len(out)).T if field.shape else part
+        out[c] = part.reshape(len(out), *field.shape) if c == "text" else part.reshape(*field.shape, len(out)).T if field.shape else part
         at += len(out) * field.itemsize
     return out
 

@@ -39,7 +39,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: An anchor that more chunks have sends its windows each to a bucket of its own.
-HOT = 32
+HOT = 100
 SHARED, ENTRIES, WINDOWS = 0, 1, 2
 KINDS = MESSAGE_SCHEMA.append(pa.field("kind", pa.int32()))
 
@@ -167,12 +167,12 @@ class Chunk:
 
 
 def entry_type(gram: int, reach: int) -> np.dtype:
-    """An anchor with its surroundings: bytes before it read outwards, its own and those after it; how many are there."""
-    return np.dtype([("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("before", "u1", (reach,)), ("suffix", "u1", (gram + reach,))])
+    """An anchor with its surroundings: the bytes before it, its own and those after it; how many there are on either side."""
+    return np.dtype([("doc", "<i8"), ("left", "u1"), ("right", "u1"), ("text", "u1", (gram + 2 * reach,))])
 
 
 def window_type(length: int) -> np.dtype:
-    return np.dtype([("doc", "<i8"), ("suffix", "u1", (length,))])
+    return np.dtype([("doc", "<i8"), ("text", "u1", (length,))])
 
 
 def in_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +194,8 @@ def run_numbers(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
 def previous_factors(e: np.ndarray, reach: int) -> np.ndarray:
     """For each entry, bit a: has the suffix that starts a bytes before the anchor a previous factor of a whole window?"""
     n, masks = len(e), np.zeros(len(e), np.uint32)
-    after, before = in_order(e["suffix"]), in_order(e["before"])
-    length = e["suffix"].shape[1]
+    after, before = in_order(e["text"][:, reach:]), in_order(e["text"][:, :reach][:, ::-1])
+    length = e["text"].shape[1] - reach
     by_doc = np.argsort(e["doc"], kind="stable")
     left, right = e["left"][by_doc], e["right"][by_doc]
     for a in range(reach + 1):
@@ -217,9 +217,9 @@ def later_in_run(run: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def repeated_windows(w: np.ndarray) -> np.ndarray:
     """For each window: is it in an earlier document too?"""
     by_doc = np.argsort(w["doc"], kind="stable")
-    order, lcp = in_order(w["suffix"][by_doc])
+    order, lcp = in_order(w["text"][by_doc])
     out = np.zeros(len(w), bool)
-    out[by_doc[order]] = later_in_run(np.cumsum(lcp < w["suffix"].shape[1]), w["doc"][by_doc[order]])
+    out[by_doc[order]] = later_in_run(np.cumsum(lcp < w["text"].shape[1]), w["doc"][by_doc[order]])
     return out
 
 
@@ -255,15 +255,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lead = c.lead[~c.hot]
         e, at = np.zeros(len(lead), kind), c.at[lead]
         e["doc"], e["left"], e["right"] = c.rank[c.doc[lead]], c.left[lead], c.right[lead]
-        e["suffix"][:, :gram] = c.bytes[at[:, None] + np.arange(gram)]
-        for i in range(reach):
-            has = e["left"] > i
-            e["before"][has, i] = c.bytes[at[has] - 1 - i]
-            has = e["right"] > i
-            e["suffix"][has, gram + i] = c.bytes[at[has] + gram + i]
+        places = np.arange(-reach, gram + reach)
+        inside = (places >= -c.left[lead][:, None]) & (places < gram + c.right[lead][:, None])
+        e["text"] = np.where(inside, c.bytes[np.clip(at[:, None] + places, 0, max(0, len(c.bytes) - 1))], 0) if len(lead) else 0
         c.windows(min_len)
         w = np.zeros(len(c.window_at), window)
-        w["doc"], w["suffix"] = c.window_doc, c.bytes[c.window_at[:, None] + np.arange(min_len)]
+        w["doc"], w["text"] = c.window_doc, c.bytes[c.window_at[:, None] + np.arange(min_len)]
         own = t["chunk"][0].as_py()
         sent = [(b, own, packed(x[s]), k) for k, h, x in ((ENTRIES, c.hash[lead], e), (WINDOWS, c.window_hash, w)) for b, s in buckets(h, n)]
         return pa.Table.from_pylist([dict(zip(KINDS.names, m, strict=True)) for m in sent], schema=KINDS)

@@ -57,12 +57,12 @@ def test_previous_factors_against_all_pairs():
     kind = repeats.entry_type(2, 3)
     e = np.zeros(400, kind)
     e["doc"], e["left"], e["right"] = rng.integers(0, 30, 400), rng.integers(0, 4, 400), rng.integers(0, 4, 400)
-    e["before"], e["suffix"] = rng.integers(0, 2, (400, 3)), rng.integers(0, 2, (400, 5))
+    e["text"] = rng.integers(0, 2, (400, 8))
     masks = repeats.previous_factors(e, 3)
     for i in range(400):
         for a in range(4):
             want = e["left"][i] >= a and e["right"][i] >= 3 - a and any(
-                f["doc"] < e["doc"][i] and f["left"] >= a and f["right"] >= 3 - a and (f["before"][:a] == e["before"][i][:a]).all() and (f["suffix"][: 5 - a] == e["suffix"][i][: 5 - a]).all()
+                f["doc"] < e["doc"][i] and f["left"] >= a and f["right"] >= 3 - a and (f["text"][3 - a : 8 - a] == e["text"][i][3 - a : 8 - a]).all()
                 for f in e
             )
             assert bool(masks[i] >> a & 1) == want

@@ -17,6 +17,8 @@ best-fit decreasing, and with more of them each leaves one sequence at most that
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
@@ -61,7 +63,6 @@ class Encoder:
     other text, and every text with any other file, goes to the tokenizer whole."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -71,10 +72,13 @@ class Encoder:
         steps = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_units = known["normalizer"] == NORMALIZER and len(steps) == 2 and steps[1] == BYTE_STEP and {**steps[0], "pattern": None} == {"type": "Split", "pattern": None, "behavior": "Removed", "invert": True} and not known["post_processor"]
         if self.by_units:
-            self.units = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            pattern = steps[0]["pattern"]["Regex"]
+            for kind in "LN":  # letters and numbers among Latin-1 characters
+                pattern = pattern.replace(rf"\p{{{kind}}}", "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind))
+            self.by_units = r"\p" not in pattern
+            self.units = re.compile(pattern).findall if self.by_units else None
         # separators that the tokenizer's idea of white space leaves out, and tokens that are found before any splitting
-        special = [regex.escape(t["content"]) for t in known["added_tokens"]]
-        self.odd = regex.compile("|".join([r"[\x1c-\x1f]", *special])).search
+        self.odd = [*map(chr, range(0x1C, 0x20)), *(t["content"] for t in known["added_tokens"])]
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -85,7 +89,7 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        if not self.by_units or self.odd(text):
+        if not self.by_units or any(x in text for x in self.odd):
             return self.packed(self.whole.encode(text, add_special_tokens=False).ids)
         units, known = self.units(text.lower()), self.known
         if new := set(units).difference(known):

@@ -1,19 +1,21 @@
 """Jaccard similarity join on word n-grams, by filtering under several global token orders.
 
-A token is the 64-bit hash of a shingle. Under any global order of tokens, two sets of similarity t share one of the
-first ``n - ceil(t n) + 1`` tokens of each; so candidates must share a prefix token under every one of several orders,
-and only pairs that pass all of them are compared in full.
+A token is the 62-bit hash of a shingle behind two bits that say how many chunks have it. Under any global order of tokens, two sets of
+similarity t share one of the first ``n - ceil(t n) + 1`` tokens of each; so candidates must share a prefix token under
+every one of several orders, and only pairs that pass all of them are compared in full.
 
-1. Rarest first. Chunks ask which of their tokens occur in another document. Those that none has come first under this
-   order and match nothing, so they are dropped from the set and from its prefix (the set keeps its size n). A document with fewer than
+1. Rarest first. Chunks ask how many others have their tokens. Those that none has come first under this order and
+   match nothing, so they are dropped from the set and from its prefix (the set keeps its size n). A document with fewer than
    ``ceil(t n)`` shared tokens cannot have a partner and leaves here with most others, before anything but packed fingerprints has moved.
 2. Equal sets are one node from here on, whatever their number.
 3. Links for the large groups: under each hashed order, sets with the same first token are sorted by size and
    compared with their predecessors. Every link is a verified one. This joins near copies into components.
-4. The rest, exactly. Prefix tokens under the first hashed order that span more than one component: where at most
-   ``HOT`` sets have the token, pairs of different components that fit in size are tested under the other orders, then in full.
-   Sets that share more frequent tokens form families; these are compared in full, block against block of similar size, in
-   matrix products that give back a spanning tree of links, never pairs.
+4. The rest, exactly. Prefix tokens under the rarest-first order that span more than one component give the candidates:
+   pairs of different components that fit in size must share prefix tokens under the hashed orders too, then are compared in full.
+   A token of more than ``HOT`` sets does not give pairs but families: sets that are connected by such tokens and then, within a family, by
+   prefix tokens under a hashed order. A family's similar sets share tokens under both orders, so none is lost; they are
+   compared in full, block against block of similar size, in matrix products that give back a spanning tree of links, never
+   pairs. Its cost grows with the square of the sets that are in one family without being equal.
 
 Only which sets are connected is kept, which is all that components need; no link between components is lost.
 """
@@ -28,11 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, slices, with_ids
+from palimpsest.llm.common import join_split, materialize, release, slices, with_ids
 from palimpsest.llm.components import components
 from palimpsest.llm.exchange import MESSAGE, ask_shared, answered, chunked, messages, mix, seen_by_others
 
-#: Seeds of the hashed orders.
+#: A token in more chunks than each of these is of a more frequent class.
+CLASSES = (1, 4, 32)
+#: Seeds of the hashed orders; the rarest-first order is that of the tokens as numbers.
+RAREST = None
 ORDERS = (0x1B873593, 0x38495AB5, 0x5BD1E995)
 #: Predecessors under the same first token that a set is compared with in step 3.
 NEIGHBOURS = 3
@@ -91,12 +96,14 @@ def is_similar(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bo
     return (100 + percent) * common >= percent * (n + m)
 
 
-def prefix(tokens: np.ndarray, n: int, percent: int, seed: int, most: int | None = None) -> np.ndarray:
+def prefix(tokens: np.ndarray, n: int, percent: int, seed: int | None, most: int | None = None) -> np.ndarray:
     """The first tokens of a set of n under an order, of which any partner has one."""
     length = len(tokens) - int(least_overlap(n, percent)) + 1
     length = length if most is None else min(length, most)
     if length >= len(tokens):
         return tokens
+    if seed is RAREST:
+        return tokens[:length]
     return tokens[np.argpartition(mix(tokens ^ np.uint64(seed)), length - 1)[:length]]
 
 
@@ -115,20 +122,24 @@ def document_sets(docs: DataFrame, size: int, percent: int, id_col: str, text_co
 
     def alive(t: pa.Table, back: pa.Table) -> pa.Table:
         sets, uniq, several = per_document(t)
-        several |= answered(uniq, n_chunks, dict(zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True)))
+        got = dict(zip(back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True))
+        several |= answered(uniq, n_chunks, got)
+        kind = sum((answered(uniq, n_chunks, got, i).astype(np.uint64) for i in range(1, len(CLASSES))), np.zeros(len(uniq), np.uint64))
+        named = kind << np.uint64(62) | uniq >> np.uint64(2)
         sizes, shared, tokens = [], [], []
         for s in sets:
-            common = s[several[np.searchsorted(uniq, s)]] if len(s) else s
+            at = np.searchsorted(uniq, s)
+            common = np.sort(named[at[several[at]]])
             sizes.append(len(s))
             shared.append(len(common))
             tokens.append(common.tobytes() if len(s) and len(common) >= least_overlap(len(s), percent) else None)
         return pa.table([t["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "n", "shared", "tokens"])
 
-    answers = seen_by_others(by_chunk.applyInArrow(ask, MESSAGE))
+    answers = seen_by_others(by_chunk.applyInArrow(ask, MESSAGE), CLASSES)
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(alive, SETS)
 
 
-def prefix_tokens(nodes: DataFrame, percent: int, seeds: tuple[int, ...], most: int | None = None) -> DataFrame:
+def prefix_tokens(nodes: DataFrame, percent: int, seeds: tuple[int | None, ...], most: int | None = None) -> DataFrame:
     """(k, token, id, n): the prefix of each set (id, n, tokens) under each order k, or its first ``most`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,26 +194,42 @@ def rare_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yes = []
             for x, y, n, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 p, q = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                passed = all(np.isin(prefix(p, n, percent, seed), prefix(q, m, percent, seed)).any() for seed in ORDERS[1:])
+                passed = all(np.isin(prefix(p, n, percent, seed), prefix(q, m, percent, seed)).any() for seed in ORDERS)
                 yes.append(passed and is_similar(p, q, n, m, percent))
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return full.mapInArrow(verify, "a bigint, b bigint")
 
 
+def families(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(id, family) of the sets that share frequent prefix tokens, rows (token, id), and prefix tokens of the first hashed order."""
+
+    def joined(tokens: DataFrame) -> DataFrame:
+        tokens = materialize(tokens)
+        first = tokens.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("c"))
+        stars = join_split(tokens, first, ["token"], "c", tokens.count()).select(F.col("id").alias("a"), F.col("lead").alias("b"))
+        made = materialize(components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "family"))
+        release(tokens)
+        return made
+
+    rare = joined(rows.select("token", "id"))
+    again = prefix_tokens(nodes.join(rare, "id", "left_semi"), percent, ORDERS[:1]).join(rare, "id")
+    return joined(again.select(F.xxhash64("family", "token").alias("token"), "id"))
+
+
 def family_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links that join all similar sets among those that share frequent prefix tokens, rows (token, id, n, component)."""
-    first = rows.groupBy("token").agg(F.min("id").alias("lead"))
-    stars = rows.join(first, "token").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    member = materialize(components(stars).withColumnRenamed("node", "id").withColumnRenamed("component", "family"))
+    member = families(rows, nodes, percent)
     # similar sets lie in one size class or in neighbouring ones
-    sized = member.join(nodes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    blocks = sized.groupBy("family", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = sized.join(blocks, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    beside = blocks.select("family", (F.col("class") - 1).alias("class"), F.col("blocks").alias("above")).join(blocks.select("family", "class", "blocks"), ["family", "class"])
+    sized = materialize(member.join(nodes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")).drop("n"))
+    total, of = sized.count(), ["family", "class"]
+    blocks = materialize(sized.groupBy(*of).agg(F.count("*").alias("c"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    own = materialize(join_split(sized, blocks, of, "c", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    neighbour = lambda step, name: blocks.select("family", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)).join(blocks.drop("blocks"), of)
+    beside = lambda step, name: join_split(own, neighbour(step, name), of, "c", total).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(name) - 1)))
     inner = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.col("class").alias("c1"), F.least("block", "other").alias("i"), F.col("class").alias("c2"), F.greatest("block", "other").alias("j"), "id")
-    low = own.join(beside.drop("blocks"), ["family", "class"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("above") - 1))).select("family", F.col("class").alias("c1"), F.col("block").alias("i"), (F.col("class") + 1).alias("c2"), F.col("other").alias("j"), "id")
-    high = own.join(beside.select("family", (F.col("class") + 1).alias("class"), F.col("blocks").alias("below")), ["family", "class"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("below") - 1))).select("family", (F.col("class") - 1).alias("c1"), F.col("other").alias("i"), F.col("class").alias("c2"), F.col("block").alias("j"), "id")
+    low = beside(1, "above").select("family", F.col("class").alias("c1"), F.col("block").alias("i"), (F.col("class") + 1).alias("c2"), F.col("other").alias("j"), "id")
+    high = beside(-1, "below").select("family", (F.col("class") - 1).alias("c1"), F.col("other").alias("i"), F.col("class").alias("c2"), F.col("block").alias("j"), "id")
     dealt = inner.unionByName(low).unionByName(high).join(nodes.select("id", "n", "tokens"), "id")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -240,12 +267,14 @@ def family_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def links_between(nodes: DataFrame, component_of: DataFrame, percent: int) -> DataFrame:
     """Links that join all similar sets of different components."""
     placed = nodes.select("id").join(component_of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    tokens = materialize(prefix_tokens(nodes, percent, ORDERS[:1]).drop("k").join(placed, "id"))
+    tokens = materialize(prefix_tokens(nodes, percent, (RAREST,)).drop("k").join(placed, "id"))
     # min, max and count are combined map-side: the tokens of a large component disappear without meeting in a task
     spanning = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).where("lo <> hi").drop("lo", "hi")
-    rows = materialize(tokens.join(spanning, "token"))
+    rows = materialize(join_split(tokens, spanning.withColumn("c", F.col("sets")), ["token"], "c", tokens.count()))
+    release(tokens)
     rare = rare_links(rows.where(F.col("sets") <= HOT).drop("sets"), nodes, percent)
-    return rare.unionByName(family_links(rows.where(F.col("sets") > HOT).drop("sets"), nodes, percent))
+    frequent = rows.where(F.col("sets") > HOT).drop("sets")
+    return rare if frequent.isEmpty() else rare.unionByName(family_links(frequent, nodes, percent))
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,14 +282,17 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     Sets link when 100 * intersection >= percent * union; component_id is the smallest id reachable by links, itself
     included. Null, empty and blank texts have no shingles and link with nothing. A null id is its own component; rows
-    with one id are one node, which has all their links."""
+    with one id are one node, which has all their links. Ids are whole numbers. Texts are read whole, however long;
+    repeated rows are counted each. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    Shingles are compared by 62-bit hashes."""
     all_rows = materialize(document_sets(docs, size, percent, id_col, text_col))
     alive = all_rows.where("tokens IS NOT NULL AND id IS NOT NULL")
     # a set with tokens that no other has equals none, though its shared ones may be another's too
     alone = F.when(F.col("shared") < F.col("n"), F.col("id").cast("string")).otherwise("")
     same = alive.withColumn("digest", F.concat_ws(":", F.sha2("tokens", 256), alone))
-    nodes = materialize(same.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by("tokens", "id").alias("tokens")))
-    equal = same.select(F.col("id").alias("a"), "digest").distinct().join(nodes.select("digest", F.col("id").alias("b")), "digest").where("a <> b").select("a", "b")
+    nodes = materialize(same.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min_by("tokens", "id").alias("tokens"), F.count("*").alias("c")))
+    total = nodes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    equal = join_split(same.select(F.col("id").alias("a"), "digest"), nodes.select("digest", F.col("id").alias("b"), "c"), ["digest"], "c", total).where("a <> b").select("a", "b")
     # a repeated id may stand for different sets: nodes of one id are one node
     sets = nodes.select("id", "n", "tokens")
     near = materialize(links_by_head(sets, percent))
@@ -272,12 +304,13 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The row with the smallest id of each group of similar documents, all columns as they came. Rows of one id collapse;
-    rows with a null id stay."""
+    rows with a null id stay. Null, blank and empty texts stay; an empty table gives an empty result."""
     first = similar_components(docs, size, percent).where("doc_id = component_id").select("doc_id")
     return with_ids(docs, first).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op9_query(docs: DataFrame) -> DataFrame:
+    """Three words, 90 %; nulls, repeats and empty tables as in ``similar_components``."""
     return similar_components(docs, 3, 90)
 
 

@@ -97,7 +97,7 @@ class Chunk:
             least = sliding(np.concatenate((pad, least, pad)), self.reach + 1, np.maximum)
             self.at = np.flatnonzero((least[: len(h)] == h) & (h != NONE))
             del least
-            self.hash = h[self.at]
+            self.hash = mix(h[self.at])  # anchors are the least of their neighbours; mixed again they fill all buckets alike
             self.doc = np.searchsorted(self.ends, self.at, side="right")
 
     def hashes(self, at: np.ndarray, length) -> np.ndarray:

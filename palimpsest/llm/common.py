@@ -1,54 +1,24 @@
-"""Helpers that the training-data operators share: shared-folder materialisation and Arrow batching."""
+"""Helpers that the training-data operators share: joins that hot keys do not slow down, and Arrow batching."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of each materialised frame.
-WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+from palimpsest.sources.derived import read as table
+from palimpsest.sources.tables import materialize, release
+
+__all__ = ["ASCII_LOWER", "ascii_lower", "join_split", "map_rows", "materialize", "partitions_for", "release", "slices", "table", "with_ids"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: str.translate table for "lower-case A-Z only".
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a local one of our own only where the session names none."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, columnar and compressed."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    WRITTEN[back] = path
-    return back
-
-
-def release(*made: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for frames that no later step reads."""
-    for df in made:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop(df))
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_split(big: DataFrame, small: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
     """``big`` joined to ``small``, which has one row for each key of big and the number of its rows there in ``count``.
 

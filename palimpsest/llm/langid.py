@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_rows
+from palimpsest.llm.common import join_split, map_rows, materialize
 
 N = 4
 PROBES = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -111,21 +111,34 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample_docs: int = 20_000, max_grams: int = 50_000, min_count: int = 3, min_share: float = 0.5, bits: int = 21) -> LanguageFilter:
-    """Learn from (lang, text) rows; rows with a null in either are left out.
+    """Learn from (lang, text, doc_id) rows; rows with a null in lang or text are left out. doc_id, which may be missing,
+    only takes part in the choice of the sample.
 
     Fitted on a sample that is bounded for each language: all rows of a language that has at most ``sample_docs``, about
-    so many of others, chosen by the hash of their content. Each language keeps its ``max_grams`` most frequent n-grams,
-    so the model grows with the number of languages only."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    large = labelled.groupBy("lang").agg(F.count("*").alias("rows")).where(F.col("rows") > sample_docs)
-    chosen = F.col("rows").isNull() | (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit((1 << 30) * sample_docs) / F.col("rows"))
-    labelled = labelled.join(F.broadcast(large), "lang", "left").where(chosen).select("lang", "text")
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    counted = gram_counts(labelled).withColumn("share", share)
-    common = counted.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= min_share * F.col("most")) & (F.col("n") >= min_count))
-    top = common.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= max_grams)
+    so many of others, chosen by a hash of id and text. Each language keeps about ``max_grams`` of its most frequent
+    n-grams at most, so the model grows with the number of languages only. No language with an n-gram is lost: one whose
+    n-grams are all rarer than ``min_count`` keeps these, one that has none of its own keeps all."""
+    key = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string") if "doc_id" in labelled.columns else F.lit(None), "text")
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(key, F.lit(1 << 30)).alias("key"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    n = labelled.count()
+    chosen = F.col("key") < F.lit((1 << 30) * sample_docs) / F.col("rows")
+    labelled = join_split(labelled, sizes.withColumn("c", F.col("rows")), ["lang"], "c", n).where(chosen).select("lang", "text")
+    counted = materialize(gram_counts(labelled))
+    rows = counted.count()
+    of_lang = counted.groupBy("lang").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.count("*").alias("c"))
+    counted = join_split(counted, of_lang, ["lang"], "c", rows).withColumn("share", F.col("n") / F.col("all"))
+    most = F.max("share").over(Window.partitionBy("gram"))  # of a gram, one row for each language
+    own = (F.col("share") >= min_share * F.col("most")) & (F.col("n") >= F.least(F.lit(min_count), "top"))
+    marked = materialize(counted.withColumn("most", most).select("lang", "gram", "n", own.alias("own")))
+    # how many n-grams each language has of each count: from this, the least count that it keeps
+    histogram = marked.groupBy("lang", "own", "n").agg(F.count("*").alias("c"))
+    some = histogram.groupBy("lang").agg(F.max("own").alias("some"))
+    ranked = histogram.join(some, "lang").where("own = some").withColumn("upto", F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
+    least = ranked.where((F.col("upto") <= max_grams) | (F.col("upto") == F.col("c"))).groupBy("lang", "own").agg(F.min("n").alias("least"), F.sum("c").alias("c"))
+    kept = join_split(marked, least, ["lang", "own"], "c", rows).where("n >= least")
     grams: dict[str, list[int]] = {}
-    for lang, gram in top.select("lang", "gram").toLocalIterator():  # at most max_grams for each language
+    for lang, gram in kept.select("lang", "gram").toLocalIterator():  # about max_grams for each language
         grams.setdefault(lang, []).append(gram)
     model = LanguageFilter(sorted(grams), bits)
     for lang, g in grams.items():
@@ -134,7 +147,8 @@ def fit(labelled: DataFrame, sample_docs: int = 20_000, max_grams: int = 50_000,
 
 
 def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, lang_pred, score).
+    """One row per input row: (doc_id, lang_pred, score). Ids may repeat or be null; texts are read whole, however long.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
 
     ``und`` with score 0 for null texts and texts without a letter (or if nothing was learned); a text with letters but
     no known n-gram gets the first language with score 0. score: the winner's part of all languages' n-grams. Ties go to
@@ -156,8 +170,9 @@ def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text
 
 
 def op2_query(docs: DataFrame) -> DataFrame:
+    """The language of every document, learned from those that are not held out; nulls and ties as in ``predict``."""
     out = held_out("doc_id", 3, 1)
-    model = fit(docs.where(~out).select("lang", "text"))
+    model = fit(docs.where(~out).select("lang", "text", "doc_id"))
     return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
@@ -165,8 +180,9 @@ def identified(docs: DataFrame, min_score: float = 0.0, **fit_options) -> DataFr
     """The rows of ``docs`` whose language is known, all columns as they came.
 
     At least ``min_score`` of a text's n-grams are its best language's, more than none; n-grams that other languages have
-    too count in full, so that the number of languages and how close they are do not matter."""
-    model = fit(docs.select("lang", "text"), **fit_options)
+    too count in full, so that the number of languages and how close they are do not matter. Null texts and those without
+    a letter go; repeated rows are judged each for itself; an empty table gives an empty result."""
+    model = fit(docs.select("lang", "text", *(c for c in docs.columns if c == "doc_id")), **fit_options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -306,7 +306,9 @@ def row_key(doc: object, seed: int) -> int:
 
 
 def encode(docs: DataFrame, path: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, ids array<int>). Null text: null. Rows with one id draw the same numbers."""
+    """One row per input row: (doc_id, ids array<int>). Null text: null, empty text: no ids. Rows with one id, null included,
+    draw the same numbers. Texts are encoded whole, however long. Other columns are ignored, whatever their names; an empty table gives an
+    empty result."""
 
     def run(cols: list) -> list:
         ids, texts = cols

@@ -118,7 +118,10 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, spans). Null text counts as empty and has no spans; ids may repeat or be null."""
+    """One row per input row: (doc_id, spans), each span with kind, start, stop, score and base.
+
+    Null text counts as empty and has no spans. Ids may repeat or be null; each row is searched for itself. Texts are read
+    whole, however long. Other columns are ignored, whatever their names; an empty table gives an empty result."""
 
     def run(cols: list) -> list:
         ids, texts = cols
@@ -138,7 +141,7 @@ def redact_text(text: str) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data replaced in ``text_col``; null stays null.
+    """The same rows and columns with personal data replaced in ``text_col``; null stays null, repeated rows stay.
 
     A column ``n_chars``, where there is one, is the length of the text as it is then."""
 
@@ -159,13 +162,16 @@ def _is_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def digest_columns(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """doc_id, a count per base kind, the digest of the base spans, all spans."""
+def digest_columns(found: DataFrame, kinds: tuple[str, ...], *more: Column) -> DataFrame:
+    """doc_id, a count per base kind, the digest of the base spans, all spans, ``more``."""
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
-        "doc_id", *[F.size(F.filter(base, _is_kind(k))).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+        "doc_id", *[F.size(F.filter(base, _is_kind(k))).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more
     )
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
-    return digest_columns(find_pii(docs), BASE_KINDS)
+    """Counts and digest of the base spans, all spans, and the score of each; nulls, repeats and empty tables as in ``find_pii``."""
+    found = find_pii(docs)
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 1)), ",")
+    return digest_columns(found, BASE_KINDS, scores.alias("scores"))

@@ -237,7 +237,8 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``fold``; a null id counts as empty text. Null text is
     empty: one end. base_score is the add-``add`` word-frequency score, score the suffix tree's; both log10. Rows may
-    repeat: each is counted and scored for itself. weight: of the shorter state's distribution."""
+    repeat: each is counted and scored for itself. Texts are read whole, however long. Other columns are ignored, whatever
+    their names; an empty table gives an empty result. weight: of the shorter state's distribution."""
     rows, n = chunked(docs, id_col, text_col, CHUNK_BYTES)
     # DEPTH continuations for each word at most, of two bytes with its space
     short = np.uint64(max(0, 44 - (n * CHUNK_BYTES * DEPTH // 2).bit_length()))
@@ -322,4 +323,5 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
 
 
 def op7_query(docs: DataFrame) -> DataFrame:
+    """All documents, those of fold 0 of 10 held out; nulls, repeats and empty tables as in ``score_texts``."""
     return score_texts(docs)

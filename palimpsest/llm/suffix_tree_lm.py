@@ -2,20 +2,20 @@
 
 A text is its words (A-Z lower-cased) and an end. The tree's symbols are all words that training has ``min_count`` times,
 the end (which also fills the context before the first word) and one symbol for all other words. A context of up to
-``DEPTH`` symbols becomes a state when it was seen ``min_count`` times and its next-symbol distribution diverges from
-that of its own suffix: count x Kullback-Leibler divergence, the code length that the longer context saves, must reach
-``min_gain`` nats; each context passes or fails by itself. Distributions are smoothed with that of the next shorter state,
-and each symbol is predicted in the state of the longest retained suffix before it. A word under the common symbol then
-has probability c / (n + m), c its training count, n that of all such words and m the number of words seen once, the
+``DEPTH`` symbols becomes a state when its own suffix is one, it was seen ``min_count`` times and its next-symbol distribution diverges from
+that of its suffix: the code length that it saves must reach ``min_gain`` nats, where each next symbol is predicted from
+all others (its own count is left out), so that a context does not pass by what it has seen once. Distributions are smoothed
+with that of the next shorter state, and each symbol is predicted in the state of the longest retained suffix before it. A word
+under the common symbol then has probability c / (n + m), c its training count, n that of all such words and m the number of words seen once, the
 mass that Good and Turing leave to new words; any word that training does not have counts as one and the same new word,
 as in the baseline. So the score is the log10 of a proper probability over the same events as the word-frequency
 baseline beside it.
 
 Neither symbols nor states are limited in number: the tree grows with the corpus and never meets in one place. Chunks of
-documents ask for the counts of their own words, then of their own continuations of contexts, one symbol longer each
-time, where only contexts that were counted often enough go on; then for the gain of their contexts (see exchange).
-Words are asked for by 64-bit hashes, contexts by as many bits as make it improbable (one in a million) that one of the
-corpus's continuations shares its hash with another, 64 at most.
+documents ask for the counts of their own words, then, one symbol longer each time, for those of their own continuations of
+contexts that may be states, and for the gain of these contexts (see exchange). Words are asked for by 64-bit hashes,
+contexts by as many bits as make it improbable (one in a million) that one of the corpus's continuations shares its
+hash with another, 64 at most.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -74,10 +75,14 @@ def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, weight: f
                 counts.setdefault(ctx[i:], Counter())[s] += 1
             ctx = (*ctx[1:], s)
     kept = {()}
-    for ctx, c in counts.items():
-        if ctx and (total := c.total()) >= min_count:
-            shorter = counts[ctx[1:]]
-            if sum(n * math.log(n / total / (shorter[s] / shorter.total())) for s, n in c.items()) >= min_gain:
+    for ctx in sorted(counts, key=len):
+        c = counts[ctx]
+        if ctx and ctx[1:] in kept and (total := c.total()) >= min_count:
+            shorter, saved = counts[ctx[1:]], 0.0
+            for s, n in c.items():
+                q = shorter[s] / shorter.total()
+                saved += n * (math.log((n - 1 + weight * q) / (total - 1 + weight)) - math.log(q))
+            if saved >= min_gain:
                 kept.add(ctx)
     state = {ctx: i for i, ctx in enumerate(sorted(kept, key=lambda c: (len(c), c)))}
     p = np.zeros((len(state), len(symbol) + 2))
@@ -153,30 +158,35 @@ def answers_to(asks: DataFrame, kind: str, step: int, resolve) -> DataFrame:
     return materialize(asks.groupBy("bucket").applyInArrow(answer, "step int, bucket int, chunk int, data binary"))
 
 
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the number of each one's own."""
+    codes, distinct = pd.factorize(hashes)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[codes]
+
+
 class ChunkGrams:
-    """The symbols of a chunk's documents in their contexts, and what the answers so far tell of them."""
+    """The symbols of a chunk's documents in their contexts, and what the answers so far tell of them.
+
+    By depth, for the place of each symbol: ``total``, how often training has the context before it, 0 if that cannot be a
+    state; ``seen``, how often it has the symbol there; ``state``, whether the context is one."""
 
-    def __init__(self, state: bytes, n: int, min_count: int, short: np.uint64, back: pa.Table | None = None):
+    def __init__(self, state: bytes, n: int, min_count: int, weight: float, short: np.uint64, back: pa.Table | None = None):
         self.ids, self.counts, self.tokens, sizes, train, self.totals = unbundle(state, "<u8", "<i8", "<u4", "<i8", "|u1", "<i8")
-        self.n, self.min_count, self.short = n, min_count, short
+        self.n, self.min_count, self.weight, self.short = n, min_count, weight, short
         self.train = np.repeat(train, sizes).astype(bool)
         starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
-        self.first, self.docs = place == 0, int(self.counts[0])  # the end comes first among the symbols
-        named = mix((self.ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        self.own, self.contexts, h = named[self.tokens], [], np.zeros(len(self.tokens), np.uint64)
-        for d in range(1, DEPTH + 1):
-            before = np.zeros_like(self.tokens)
-            before[d:] = self.tokens[:-d]
-            before[place < d] = 0
-            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + named[before] + np.uint64(d))
-            self.contexts.append(h)
+        self.place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
+        self.docs = int(self.counts[0])  # the end comes first among the symbols
+        self.named = mix((self.ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        self.context, self.contexts = np.zeros(len(self.tokens), np.uint64), [None]
         self.back: dict[int, dict[int, bytes]] = {}
         if back is not None:
             for step, b, data in zip(back["step"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True):
                 self.back.setdefault(step, {})[b] = data
-        #: by depth: how often training has each symbol after its context, and the context; 0 where that was not asked
-        self.seen, self.total = [self.counts[self.tokens]], [np.full(len(self.tokens), self.totals[0])]
+        self.seen, self.total, self.state = [self.counts[self.tokens]], [np.full(len(self.tokens), self.totals[0])], [np.ones(len(self.tokens), bool)]
 
     def answered(self, step: int, hashes: np.ndarray, kind: str) -> np.ndarray:
         out, got = np.zeros(len(hashes), kind), self.back.get(step, {})
@@ -185,50 +195,55 @@ class ChunkGrams:
         return out
 
     def deepen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts one symbol longer: the places whose context is frequent, their distinct grams, each place's gram."""
+        """Contexts one symbol longer: the places whose context may be a state, their distinct grams, each place's gram."""
         d = len(self.seen)
-        total = np.where(self.first, self.docs, np.concatenate(([0], self.seen[-1][:-1])))
-        total[total < self.min_count] = 0
+        before = np.zeros_like(self.tokens)
+        before[d:] = self.tokens[:-d]
+        before[self.place < d] = 0
+        self.context = mix(self.context * np.uint64(0xD6E8FEB86659FD93) + self.named[before] + np.uint64(d))
+        self.contexts.append(self.context)
+        total = np.where(self.place == 0, self.docs, np.concatenate(([0], self.seen[-1][:-1])))
+        # the gram that ends in the context's last symbol was asked for at the place before
+        total[(total < self.min_count) | ~self.state[-1]] = 0
         self.total.append(total)
         at = np.flatnonzero(total)
-        return at, *np.unique(mix(self.contexts[d - 1][at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.own[at]) >> self.short << self.short, return_inverse=True)
+        grams = mix(self.context[at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.named[self.tokens[at]])
+        return at, *numbered(grams >> self.short << self.short)
 
     def count(self) -> None:
         at, hashes, gram = self.deepen()
         seen = np.zeros(len(self.tokens), np.int64)
-        seen[at] = self.answered(len(self.seen), hashes, "<i8")[gram]
+        seen[at] = self.answered(2 * len(self.seen) - 1, hashes, "<i8")[gram]
         self.seen.append(seen)
 
+    def possible(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places whose deepest context may be a state, these distinct contexts' hashes, each place's."""
+        at = np.flatnonzero(self.total[-1])
+        return at, *numbered(self.contexts[-1][at] >> self.short << self.short)
+
+    def judge(self) -> None:
+        at, hashes, number = self.possible()
+        state = np.zeros(len(self.tokens), bool)
+        state[at] = self.answered(2 * (len(self.seen) - 1), hashes, "|u1")[number].astype(bool)
+        self.state.append(state)
+
     def ask_counts(self, chunk: int) -> list[tuple[int, int, bytes]]:
         at, hashes, gram = self.deepen()
         return asked(hashes, np.bincount(gram[self.train[at]], minlength=len(hashes)).astype("<i8"), chunk, self.n)
 
-    def frequent(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """The places with a frequent context of each depth; all these contexts' distinct hashes; each place's, depth after depth."""
-        places = [np.flatnonzero(t) for t in self.total[1:]]
-        hashes = np.concatenate([c[at] for c, at in zip(self.contexts, places, strict=True)])
-        return places, *np.unique(hashes >> self.short << self.short, return_inverse=True)
-
     def ask_gains(self, chunk: int) -> list[tuple[int, int, bytes]]:
-        """Code length that each context saves in this chunk's training texts."""
-        places, hashes, number = self.frequent()
-        saved = np.zeros(len(number))
-        ends = np.cumsum([len(at) for at in places])
-        for d, at, end in zip(range(1, DEPTH + 1), places, ends.tolist(), strict=True):
-            t = self.train[at]
-            a = at[t]
-            saved[end - len(at) : end][t] = np.log(self.seen[d][a] / self.total[d][a]) - np.log(self.seen[d - 1][a] / self.total[d - 1][a])
+        """Code length that each of the deepest contexts saves in this chunk's training texts."""
+        at, hashes, number = self.possible()
+        number, at = number[self.train[at]], at[self.train[at]]
+        q = self.seen[-2][at] / self.total[-2][at]
+        saved = np.log((self.seen[-1][at] - 1 + self.weight * q) / (self.total[-1][at] - 1 + self.weight)) - np.log(q)
         return asked(hashes, np.bincount(number, weights=saved, minlength=len(hashes)).astype("<f4"), chunk, self.n)
 
-    def log_probs(self, weight: float) -> np.ndarray:
+    def log_probs(self) -> np.ndarray:
         """Of each symbol, in the state of its longest retained context."""
-        places, hashes, number = self.frequent()
-        passed, end = self.answered(DEPTH + 1, hashes, "|u1")[number].astype(bool), 0
         p = (self.seen[0] + FLAT) / (self.totals[0] + FLAT * self.totals[1])
-        for d, at in enumerate(places, 1):
-            s = at[passed[end : end + len(at)]]
-            end += len(at)
-            p[s] = (self.seen[d][s] + weight * p[s]) / (self.total[d][s] + weight)
+        for seen, total, s in zip(self.seen[1:], self.total[1:], self.state[1:], strict=True):
+            p[s] = (seen[s] + self.weight * p[s]) / (total[s] + self.weight)
         return np.log10(p)
 
 
@@ -294,25 +309,25 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
     chunks = materialize(by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(number, "chunk int, state binary, " + ", ".join(f"{c} array<{k}>" for c, k in zip(columns, kinds, strict=True))))
     states = chunks.select("chunk", "state")
 
-    def grams(t: pa.Table, back: pa.Table, depth: int) -> ChunkGrams:
-        g = ChunkGrams(t["state"][0].as_py(), n, min_count, short, back)
-        for _ in range(depth):
-            g.count()
+    def grams(t: pa.Table, back: pa.Table, answers: int) -> ChunkGrams:
+        g = ChunkGrams(t["state"][0].as_py(), n, min_count, weight, short, back)
+        for step in range(1, answers + 1):
+            g.count() if step % 2 else g.judge()
         return g
 
-    def asks(known: DataFrame, depth: int, of) -> DataFrame:
+    def asks(known: DataFrame, answers: int, of) -> DataFrame:
         def run(t: pa.Table, back: pa.Table) -> pa.Table:
-            return messages(of(grams(t, back, depth), t["chunk"][0].as_py()))
+            return messages(of(grams(t, back, answers), t["chunk"][0].as_py()))
 
         return states.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, MESSAGE)
 
     known = docs.sparkSession.createDataFrame([], "step int, bucket int, chunk int, data binary")
-    for d in range(1, DEPTH + 1):
-        known = known.unionByName(answers_to(asks(known, d - 1, ChunkGrams.ask_counts), "<i8", d, lambda x: x))
-    known = known.unionByName(answers_to(asks(known, DEPTH, ChunkGrams.ask_gains), "<f4", DEPTH + 1, lambda x: (x >= min_gain).astype("|u1")))
+    for step in range(1, 2 * DEPTH, 2):
+        known = known.unionByName(answers_to(asks(known, step - 1, ChunkGrams.ask_counts), "<i8", step, lambda x: x))
+        known = known.unionByName(answers_to(asks(known, step, ChunkGrams.ask_gains), "<f4", step + 1, lambda x: (x >= min_gain).astype("|u1")))
 
     def score(t: pa.Table, back: pa.Table) -> pa.Table:
-        each = grams(t, back, DEPTH).log_probs(weight)
+        each = grams(t, back, 2 * DEPTH).log_probs()
         made = [t[c].combine_chunks().flatten() for c in columns]
         sizes = made[2].to_numpy()
         tree = np.add.reduceat(each, np.cumsum(sizes) - sizes) + made[-1].to_numpy()

@@ -293,13 +293,15 @@ def test_suffix_tree_grows_with_the_corpus(spark, small_chunks):
     """Hundreds of words are symbols and their contexts states; scores are those of the tree built in one place."""
     rng = random.Random(5)
     names = [f"word{i}" for i in range(400)]
-    texts = [(i, " ".join(w for _ in range(20) for k in [rng.randrange(200)] for w in (names[2 * k], names[2 * k + 1], rng.choice(["", "rare%d" % rng.randrange(900), "the"])))) for i in range(400)]
+    # a word tells the next one, and the last but one tells what follows "mid"
+    texts = [(i, " ".join(w for _ in range(20) for k, r in [(rng.randrange(200), rng.randrange(5))] for w in (names[2 * k], names[2 * k + 1], rng.choice(["", "rare%d" % rng.randrange(900), "the"]), f"left{r}", "mid", f"right{r}"))) for i in range(400)]
     docs = spark.createDataFrame([*texts, (900, None), (901, "word0 word1 new")], "doc_id bigint, text string")
     options = {"min_count": 10, "min_gain": 5.0}
     got = {r.doc_id: r for r in suffix_tree_lm.score_texts(docs, **options).collect()}
     held = {i: r.held_out for i, r in got.items()}
     tree = suffix_tree_lm.fit(docs.where(~suffix_tree_lm.held_out("doc_id", 10, 0)).select("text"), **options)
     assert len(tree.symbol) > 350 and any(len(s) == 1 and s[0] > 127 for s in tree.state) and any(len(s) > 1 for s in tree.state)
+    assert (tree.symbol[b"left0"], tree.symbol[b"mid"]) in tree.state
     rows = {r.doc_id: [*suffix_tree_lm.words_of([r.text])[0]] for r in docs.collect()}
     c = Counter(w for i, ws in rows.items() if not held[i] for w in ws)
     common, once = sum(n for w, n in c.items() if w not in tree.symbol), sum(n == 1 for n in c.values())

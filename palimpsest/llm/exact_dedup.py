@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import ascii_lower, materialize, with_ids
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest id stays. Null text counts as
     empty. Null ids never win over others (a group of null ids only has keep_id null, and its rows are kept). Repeated
-    rows with the winning id are all marked kept. An empty table gives an empty result; other columns are ignored."""
+    rows with the winning id are all marked kept. An empty table gives an empty result; other columns are ignored.
+
+    salts: as many as the session has shuffle partitions, 64 at least. A row's salt is that of its input partition, so copies
+    with null or equal ids are dealt out too; no result depends on it."""
+    salts = salts or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(ascii_lower(F.col(text_col)), F.lit("")).alias("norm"))
-    keyed = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    keyed = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("h2"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
     salted = keyed.groupBy("sha", "h2", "norm", "salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     winners = salted.groupBy("sha", "h2", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).drop("norm")
     back = materialize(keyed.drop("norm"))
@@ -33,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they came. Repeated rows of one winning id collapse into one, and so do
     equal texts that have null ids only."""
     groups = exact_groups(docs, id_col, text_col, salts)

@@ -671,6 +671,16 @@ def _(spark, sf_dir):
 SYNC_COLS = "file_id, replica_id, version_id, size, modified"
 
 
+def told(what: str, df: DataFrame, *columns: str) -> DataFrame:
+    """(what, value): rows of any table as text, nulls empty."""
+    return df.select(F.lit(what).alias("what"), F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+
+
+def told_sql(what: str, source: str, *columns: str) -> str:
+    values = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"SELECT '{what}' AS what, concat_ws(':', {values}) AS value FROM {source}"
+
+
 def sync_of(c: Catalog) -> DataFrame:
     return c.last_sync.select("file_id", "replica_id", "version_id", "size", "modified")
 
@@ -685,16 +695,40 @@ def _(c):
     return sync_of(mutators.delete_sync(c, c.existing, 2))
 
 
-@register("K3_mark_deleted", f"SELECT file_id, version_id, size, modified, base_version_id, has_image FROM versions UNION ALL SELECT file_id, current_version_id + 1, NULL, greatest(TIMESTAMP '{T}', CASE WHEN modified >= '{T}' THEN modified + INTERVAL 1 MILLISECOND END), current_version_id, false FROM existing WHERE path LIKE '%.tmp'")
+K3 = f"gone AS (SELECT file_id, current_version_id + 1 AS version_id, greatest(TIMESTAMP '{T}', CASE WHEN modified >= '{T}' THEN modified + INTERVAL 1 MILLISECOND END) AS modified, current_version_id FROM existing WHERE path LIKE '%.tmp')"
+
+
+@register(
+    "K3_mark_deleted",
+    " UNION ALL ".join([
+        told_sql("version", "versions", "file_id", "version_id", "size", "modified", "base_version_id", "has_image"), told_sql("version", "gone", "file_id", "version_id", "NULL", "modified", "current_version_id", "false"),
+        told_sql("file", "files LEFT JOIN gone USING (file_id)", "file_id", "path", "coalesce(gone.version_id, files.current_version_id)"),
+        told_sql("sync", "last_sync WHERE NOT (replica_id = 1 AND file_id IN (SELECT file_id FROM gone))", "file_id", "replica_id", "version_id", "size", "modified"), told_sql("sync", "gone", "file_id", "1", "version_id", "NULL", "NULL"),
+    ]),
+    K3,
+)
 def _(c):
     out = mutators.mark_deleted(c, c.existing.where("path LIKE '%.tmp'"), T, 1)
-    return out.versions.select("file_id", "version_id", "size", "modified", "base_version_id", "has_image")
+    versions = told("version", out.versions, "file_id", "version_id", "size", "modified", "base_version_id", "has_image")
+    return versions.unionByName(told("file", out.files, "file_id", "path", "current_version_id")).unionByName(told("sync", out.last_sync, "file_id", "replica_id", "version_id", "size", "modified"))
+
 
+K4 = f"fresh AS (SELECT f.file_id, c.current_version_id + 1 AS version_id, f.size, CASE WHEN least(f.mtime, TIMESTAMP '{T}') < c.modified THEN c.modified + INTERVAL 1 MILLISECOND ELSE least(f.mtime, TIMESTAMP '{T}') END AS modified, c.current_version_id AS base_version_id, c.size IS NULL AS refused FROM (SELECT file_id, file_id % 1000 AS size, modified + INTERVAL 1 DAY * (file_id % 3 - 1) AS mtime FROM cur) f JOIN cur c USING (file_id))"
 
-@register("K4_add_versions", f"SELECT f.file_id, c.current_version_id + 1 AS version_id, f.size, CASE WHEN least(f.mtime, TIMESTAMP '{T}') < c.modified THEN c.modified + INTERVAL 1 MILLISECOND ELSE least(f.mtime, TIMESTAMP '{T}') END AS modified, c.current_version_id AS base_version_id, c.size IS NULL AS refused FROM (SELECT file_id, file_id % 1000 AS size, modified + INTERVAL 1 DAY * (file_id % 3 - 1) AS mtime FROM cur) f JOIN cur c USING (file_id)")
+
+@register(
+    "K4_add_versions",
+    " UNION ALL ".join([
+        told_sql("refused", "fresh", "file_id", "refused"), told_sql("version", "versions", "file_id", "version_id", "size", "modified", "base_version_id"),
+        told_sql("version", "fresh WHERE NOT refused", "file_id", "version_id", "size", "modified", "base_version_id"), told_sql("file", "files JOIN fresh USING (file_id)", "file_id", "CASE WHEN refused THEN files.current_version_id ELSE fresh.version_id END"),
+    ]),
+    K4,
+)
 def _(c):
     rows = c.current.select("file_id", (F.col("file_id") % 1000).alias("size"), (F.col("modified") + F.expr("make_dt_interval(CAST(file_id % 3 - 1 AS INT))")).alias("modified"))
-    return mutators.new_versions(c, rows, T).drop("has_image")
+    out = mutators.add_versions(c, rows, T)
+    refused = told("refused", mutators.new_versions(c, rows, T), "file_id", "refused")
+    return refused.unionByName(told("version", out.versions, "file_id", "version_id", "size", "modified", "base_version_id")).unionByName(told("file", out.files, "file_id", "current_version_id"))
 
 
 @register("K5_add_files", "SELECT path, CAST(size AS BIGINT) AS size, 1 AS version_id FROM (SELECT path, any_value(size) AS size FROM listing WHERE path LIKE 'new/%' GROUP BY path)")
@@ -711,11 +745,17 @@ def _(c):
     return out.current.select("file_id", "path", "current_version_id", "size")
 
 
-@register("K7_rename_files", "SELECT file_id, version_id, CASE WHEN file_id % 7 = 0 THEN coalesce(path, now_path) ELSE path END AS path, CASE WHEN file_id % 7 = 0 THEN 'again/' || now_path ELSE now_path END AS file_path FROM rversions")
+@register(
+    "K7_rename_files",
+    " UNION ALL ".join([
+        told_sql("version", "rversions", "file_id", "version_id", "CASE WHEN file_id % 7 = 0 THEN coalesce(path, now_path) ELSE path END"), told_sql("file", "rfiles", "file_id", "CASE WHEN file_id % 7 = 0 THEN 'again/' || path ELSE path END"),
+        told_sql("sync", "last_sync s JOIN rfiles f USING (file_id)", "file_id", "replica_id", "version_id", "CASE WHEN file_id % 7 = 0 AND version_id IS NULL THEN f.path END"),
+    ]),
+)
 def _(c):
     r = derived.renamed(c)
     out = mutators.rename_files(r, r.files.where("file_id % 7 = 0").select("file_id", F.concat(F.lit("again/"), F.col("path")).alias("new_path")))
-    return out.versions.select("file_id", "version_id", "path").join(out.files.select("file_id", F.col("path").alias("file_path")), "file_id")
+    return told("version", out.versions, "file_id", "version_id", "path").unionByName(told("file", out.files, "file_id", "path")).unionByName(told("sync", out.last_sync, "file_id", "replica_id", "version_id", "path"))
 
 
 @register("K8_update_replicas", "SELECT 'replica' AS what, host || ':' || usr || ':' || root || ':' || coalesce(CAST(CASE WHEN replica_id = 1 THEN 2 ELSE default_filter_id END AS VARCHAR), '') AS value FROM replicas WHERE replica_id <> 2 UNION ALL SELECT 'replica', 'h' || n_regionkey || ':' || n_name || ':/r:' FROM nation UNION ALL SELECT 'default', 'h1:ann:1' UNION ALL SELECT 'default', 'h2:bob:3' UNION ALL SELECT 'sync', file_id || ':' || replica_id FROM last_sync WHERE replica_id <> 2 UNION ALL SELECT 'log', entry || ':' || coalesce(CAST(CASE WHEN replica_id <> 2 THEN replica_id END AS VARCHAR), '') FROM op_log", whole=True)
@@ -726,9 +766,7 @@ def _(spark, sf_dir):
     c = mutators.register_replicas(c, n.unionByName(n.limit(1)).unionByName(c.replicas.where("replica_id = 3").select("host", "user", "root")))
     c = mutators.designate_default(mutators.designate_default(mutators.set_default_filter(c, 1, 2), "h1", "ann", 1), "h2", "bob", 3)
     c = mutators.drop_replica(c, 2)
-    text = lambda *cs: F.concat_ws(":", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in cs]).alias("value")
-    rows = lambda what, df, *cs: df.select(F.lit(what).alias("what"), text(*cs))
-    return rows("replica", c.replicas, "host", "user", "root", "default_filter_id").unionByName(rows("default", c.replica_defaults, "host", "user", "replica_id")).unionByName(rows("sync", c.last_sync, "file_id", "replica_id")).unionByName(rows("log", c.op_log, "entry", "replica_id"))
+    return told("replica", c.replicas, "host", "user", "root", "default_filter_id").unionByName(told("default", c.replica_defaults, "host", "user", "replica_id")).unionByName(told("sync", c.last_sync, "file_id", "replica_id")).unionByName(told("log", c.op_log, "entry", "replica_id"))
 
 
 @register(
@@ -742,30 +780,56 @@ def _(c):
     """A filter added, one replaced, and one dropped that is in use."""
     c = mutators.save_filter(c, "Drafts", [("INCLUDE", "**/*.txt"), ("EXCLUDE", "old/**"), ("INCLUDE", "*.md")])
     c = mutators.drop_filter(mutators.save_filter(c, "OFFICE", [("INCLUDE", "**/*.odt")]), "no temp files", force=True)
-    text = lambda *cs: F.concat_ws(":", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in cs]).alias("value")
-    rows = lambda what, df, *cs: df.select(F.lit(what).alias("what"), text(*cs))
-    return rows("log", c.op_log, "entry", "filter_id").unionByName(rows("filter", c.filters, "filter_id", "name")).unionByName(rows("element", c.filter_elements, "filter_id", "type", "number", "pattern")).unionByName(rows("replica", c.replicas, "replica_id", "default_filter_id"))
+    return told("log", c.op_log, "entry", "filter_id").unionByName(told("filter", c.filters, "filter_id", "name")).unionByName(told("element", c.filter_elements, "filter_id", "type", "number", "pattern")).unionByName(told("replica", c.replicas, "replica_id", "default_filter_id"))
 
 
-@register("K10_log_operations", "SELECT entry, coalesce(status, '') AS status FROM op_log UNION ALL SELECT -entry, 'copied' FROM op_log WHERE filter_inverted")
+@register(
+    "K10_log_operations",
+    " UNION ALL ".join([
+        told_sql("log", "op_log", "entry", "coalesce(status, '')"), told_sql("log", "op_log WHERE filter_inverted", "-entry", "'copied'"), told_sql("param", "op_log_params", "entry", "name", "value"),
+        told_sql("param", "op_log WHERE filter_inverted", "-entry", "'of'", "operation"), told_sql("param", "op_log WHERE filter_inverted", "-entry", "'from'", "entry"),
+    ]),
+)
 def _(c):
-    more = c.op_log.where("filter_inverted").withColumn("entry", -F.col("entry")).withColumn("status", F.lit("copied"))
-    return mutators.set_status(mutators.log_operations(c, more), c.op_log.where("status IS NULL").select("entry", F.lit("").alias("status"))).op_log.select("entry", "status")
+    more = c.op_log.where("filter_inverted").withColumn("params", F.create_map(F.lit("of"), "operation", F.lit("from"), F.col("entry").cast("string")))
+    more = more.withColumn("entry", -F.col("entry")).withColumn("status", F.lit("copied"))
+    out = mutators.set_status(mutators.log_operations(c, more), c.op_log.where("status IS NULL").select("entry", F.lit("").alias("status")))
+    return told("log", out.op_log, "entry", "status").unionByName(told("param", out.op_log_params, "entry", "name", "value"))
 
 
-@register("K11_migrate_soft_deletes", "SELECT file_id, current_version_id + CASE WHEN size IS NOT NULL AND file_id % 3 = 0 THEN 1 ELSE 0 END AS current_version_id, size IS NULL OR file_id % 3 = 0 AS is_deleted FROM cur")
+@register(
+    "K11_migrate_soft_deletes",
+    " UNION ALL ".join([
+        told_sql("file", "cur", "file_id", "current_version_id + CASE WHEN size IS NOT NULL AND file_id % 3 = 0 THEN 1 ELSE 0 END", "size IS NULL OR file_id % 3 = 0"),
+        told_sql("sync", "last_sync s JOIN cur c USING (file_id)", "file_id", "replica_id", "CASE WHEN c.size IS NOT NULL AND file_id % 3 = 0 THEN c.current_version_id + 1 ELSE s.version_id END", "CASE WHEN c.size IS NOT NULL AND file_id % 3 = 0 THEN NULL ELSE s.size END"),
+    ]),
+)
 def _(c):
     gone = c.existing.where("file_id % 3 = 0").select("file_id", F.lit(NOW).cast("timestamp_ntz").alias("deleted"))
     out = mutators.migrate_soft_deletes(c, gone, c.last_sync.join(gone, "file_id", "left_semi").select("file_id", "replica_id"))
-    return out.current.select("file_id", "current_version_id", F.col("size").isNull().alias("is_deleted"))
+    files = out.current.select("file_id", "current_version_id", F.col("size").isNull().alias("is_deleted"))
+    return told("file", files, "file_id", "current_version_id", "is_deleted").unionByName(told("sync", out.last_sync, "file_id", "replica_id", "version_id", "size"))
 
 
 BLOCKED = "pq AS (SELECT file_id, version_id, kept OR file_id IN (SELECT l.file_id FROM lost l LEFT JOIN target t USING (file_id) WHERE t.version_id IS NULL) AS kept FROM pp)"
 
 
-@register("K12_apply_purge", "SELECT v.file_id, v.version_id, CASE WHEN b.kept THEN v.base_version_id END AS base_version_id, v.has_image OR (l.file_id IS NOT NULL AND t.version_id IS NOT NULL AND t.version_id = v.version_id) AS has_image FROM versions v JOIN pq p USING (file_id, version_id) LEFT JOIN pq b ON b.file_id = v.file_id AND b.version_id = v.base_version_id LEFT JOIN lost l ON l.file_id = v.file_id LEFT JOIN target t ON t.file_id = v.file_id WHERE p.kept", f"{PURGE}, {TARGET}, {LOST}, {BLOCKED}")
+OBSOLETE = f"(SELECT file_id FROM cur WHERE size IS NULL AND modified < '{T}')"
+
+
+@register(
+    "K12_apply_purge",
+    " UNION ALL ".join([
+        told_sql("version", "versions v JOIN pq p USING (file_id, version_id) LEFT JOIN pq b ON b.file_id = v.file_id AND b.version_id = v.base_version_id LEFT JOIN lost l ON l.file_id = v.file_id LEFT JOIN target t ON t.file_id = v.file_id WHERE p.kept", "v.file_id", "v.version_id", "CASE WHEN b.kept THEN v.base_version_id END", "v.has_image OR (l.file_id IS NOT NULL AND t.version_id IS NOT NULL AND t.version_id = v.version_id)"),
+        told_sql("file", f"files WHERE file_id NOT IN {OBSOLETE}", "file_id", "path", "current_version_id"),
+        told_sql("sync", f"last_sync s LEFT JOIN pq p ON p.file_id = s.file_id AND p.version_id = s.version_id LEFT JOIN versions v ON v.file_id = s.file_id AND v.version_id = s.version_id JOIN files f ON f.file_id = s.file_id WHERE s.file_id NOT IN {OBSOLETE}", "s.file_id", "replica_id", "CASE WHEN coalesce(p.kept, true) THEN s.version_id END", "CASE WHEN coalesce(p.kept, true) THEN s.size ELSE v.size END", "CASE WHEN coalesce(p.kept, true) THEN s.path ELSE f.path END"),
+    ]),
+    f"{PURGE}, {TARGET}, {LOST}, {BLOCKED}",
+)
 def _(c):
-    return mutators.apply_purge(c, tables.materialize(purge.purge_versions_plan(c, T)), T).versions.select("file_id", "version_id", "base_version_id", "has_image")
+    out = mutators.apply_purge(c, tables.materialize(purge.purge_versions_plan(c, T)), T)
+    versions = told("version", out.versions, "file_id", "version_id", "base_version_id", "has_image")
+    return versions.unionByName(told("file", out.files, "file_id", "path", "current_version_id")).unionByName(told("sync", out.last_sync, "file_id", "replica_id", "version_id", "size", "path"))
 
 
 # audits

@@ -117,19 +117,21 @@ class ChunkWords:
     """The documents of a chunk as word numbers; distinct words in ascending order of their hashes. The end is a word."""
 
     def __init__(self, t: pa.Table):
-        split = words_of(t["text"].to_pylist())
-        words = [w for ws in split for w in (*ws, END_WORD)]
-        distinct = list(set(words))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        number: dict[bytes, int] = {}
+        parts = []
+        for text in t["text"].to_pylist():  # one text's words at a time
+            (words,) = words_of([text])
+            words.append(END_WORD)
+            for w in set(words).difference(number):
+                number[w] = len(number)
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.distinct = [distinct[i] for i in order.tolist()]
-        number = dict(zip(self.distinct, range(len(distinct)), strict=True))
-        self.words = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.hashes, self.words = hashes[order], rank[np.concatenate(parts)]
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.ends = np.zeros(len(words), bool)
-        self.ends[self.starts + self.sizes - 1] = True
 
 
 def asked(hashes: np.ndarray, values: np.ndarray, chunk: int, n: int) -> list[tuple[int, int, bytes]]:

@@ -137,9 +137,18 @@ def _(c):
     return c.listing.join(rules, "replica_id").where(paths.passes_rules("path")).select("replica_id", "path")
 
 
-@register("B5_effective_filter", "SELECT r.replica_id, coalesce(r.default_filter_id, d.filter_id) AS filter_id, (SELECT name FROM filters f WHERE f.filter_id = coalesce(r.default_filter_id, d.filter_id)) AS name, l.n AS n_files FROM replicas r JOIN (SELECT replica_id, count(*) AS n FROM listing GROUP BY replica_id) l USING (replica_id), (SELECT filter_id FROM filters WHERE name IN ('default', 'all') ORDER BY name = 'all' LIMIT 1) d")
-def _(c):
-    return paths.effective_filter(c.replicas, c.filters).join(c.listing.groupBy("replica_id").agg(F.count("*").alias("n_files")), "replica_id")
+#: A replica for each customer, a filter for each supplier.
+MANY = (
+    "wreplicas AS (SELECT CAST(c_custkey + 1 AS INT) AS replica_id, 'h' || c_nationkey AS host, c_mktsegment AS usr, '/r' || c_custkey AS root, CAST(CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 10 + 1 END AS INT) AS default_filter_id FROM customer), "
+    "wdefaults AS (SELECT host, usr, max(replica_id) AS replica_id FROM wreplicas WHERE replica_id % 3 = 0 GROUP BY host, usr), "
+    "wfilters AS (SELECT 1 AS filter_id, 'all' AS name UNION ALL SELECT 2, 'default' UNION ALL SELECT CAST(s_suppkey + 3 AS INT), s_name FROM supplier)"
+)
+
+
+@register("B5_effective_filter", "SELECT replica_id, filter_id, lower(name) AS name FROM (SELECT replica_id, coalesce(default_filter_id, 2) AS filter_id FROM wreplicas) JOIN wfilters USING (filter_id)", MANY, whole=True)
+def _(spark, sf_dir):
+    c = derived.many_replicas(spark, sf_dir)
+    return paths.effective_filter(c.replicas, c.filters)
 
 
 @register("B6_in_time_frame", f"SELECT file_id, version_id FROM versions WHERE modified >= '{EARLY}' AND modified < '{T}'")
@@ -240,9 +249,9 @@ def _(c):
     return lookups.operation_log(c, "1996-01-01", "1998-01-01").withColumn("params", flat)
 
 
-@register("C15_replicas_of", "SELECT r.replica_id, r.host, r.usr AS user, r.root, r.replica_id = CASE WHEN r.host = 'h1' AND r.usr = 'ann' THEN 2 ELSE 3 END AS is_default, l.n AS n_files FROM replicas r JOIN (SELECT replica_id, count(*) AS n FROM listing GROUP BY replica_id) l USING (replica_id)")
-def _(c):
-    return lookups.replicas_of(c).join(c.listing.groupBy("replica_id").agg(F.count("*").alias("n_files")), "replica_id")
+@register("C15_replicas_of", "SELECT r.replica_id, r.host, r.usr AS user, r.root, r.replica_id = coalesce(d.replica_id, min(r.replica_id) OVER (PARTITION BY r.host, r.usr)) AS is_default FROM wreplicas r LEFT JOIN wdefaults d ON d.host = r.host AND d.usr = r.usr", MANY, whole=True)
+def _(spark, sf_dir):
+    return lookups.replicas_of(derived.many_replicas(spark, sf_dir))
 
 
 @register("C16_find_files", "SELECT k.file_id, f.path, f.current_version_id, f.file_id IS NOT NULL AS found FROM (SELECT file_id FROM files UNION SELECT file_id + 1 FROM files) k LEFT JOIN files f USING (file_id)")
@@ -274,10 +283,9 @@ def _(c):
     return lookups.next_version_id(c)
 
 
-@register("D4_filter_usage", "SELECT f.filter_id, count(r.replica_id) AS n_replicas, CASE WHEN f.filter_id IS NULL THEN (SELECT count(*) FROM op_log WHERE filter_id IS NULL) ELSE (SELECT count(*) FROM op_log o WHERE o.filter_id = f.filter_id) END AS n_log FROM (SELECT filter_id FROM filters UNION ALL SELECT NULL) f LEFT JOIN replicas r ON r.default_filter_id IS NOT DISTINCT FROM f.filter_id GROUP BY f.filter_id")
-def _(c):
-    used = c.op_log.groupBy(F.col("filter_id").alias("of")).agg(F.count("*").alias("n_log"))
-    return lookups.filter_usage(c).join(used, F.col("filter_id").eqNullSafe(F.col("of")), "left").select("filter_id", "n_replicas", F.coalesce("n_log", F.lit(0)).alias("n_log"))
+@register("D4_filter_usage", "SELECT f.filter_id, count(r.replica_id) AS n_replicas FROM (SELECT filter_id FROM wfilters UNION ALL SELECT NULL) f LEFT JOIN wreplicas r ON r.default_filter_id IS NOT DISTINCT FROM f.filter_id GROUP BY f.filter_id", MANY, whole=True)
+def _(spark, sf_dir):
+    return lookups.filter_usage(derived.many_replicas(spark, sf_dir))
 
 
 @register("D5_obsolete_files", f"SELECT file_id, path FROM cur WHERE size IS NULL AND modified < '{T}'")
@@ -368,10 +376,9 @@ def _(c):
     return lookups.file_history(derived.renamed(c), local_paths(c))
 
 
-@register("F5_list_filters", "SELECT f.name, f.filter_id = 2 AS is_default, count(o.entry) AS n_log FROM filters f LEFT JOIN op_log o USING (filter_id) GROUP BY ALL")
-def _(c):
-    used = c.op_log.join(c.filters, "filter_id").groupBy("name").agg(F.count("*").alias("n_log"))
-    return lookups.list_filters(c, 2).join(used, "name", "left").withColumn("n_log", F.coalesce("n_log", F.lit(0)))
+@register("F5_list_filters", "SELECT name, filter_id = (SELECT coalesce(default_filter_id, 2) FROM wreplicas WHERE replica_id = 8) AS is_default FROM wfilters", MANY, whole=True)
+def _(spark, sf_dir):
+    return lookups.list_filters(derived.many_replicas(spark, sf_dir), 8)
 
 
 # hierarchies

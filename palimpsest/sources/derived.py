@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +118,17 @@ def saved_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return load_catalog(spark, SAVED[of])
 
 
+def many_replicas(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The catalog with a replica for each customer and a filter for each supplier, besides ``all`` and ``default``."""
+    n, f = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    key = F.col("c_custkey")
+    own = F.when(key % 4 != 0, key % 10 + 1).cast("int")
+    replicas = n.select((key + 1).cast("int").alias("replica_id"), F.concat(F.lit("h"), F.col("c_nationkey").cast("string")).alias("host"), F.col("c_mktsegment").alias("user"), F.concat(F.lit("/r"), key.cast("string")).alias("root"), own.alias("default_filter_id"))
+    defaults = replicas.where("replica_id % 3 = 0").groupBy("host", "user").agg(F.max("replica_id").alias("replica_id"))
+    filters = spark.createDataFrame([(1, "all"), (2, "default")], schema.FILTERS).unionByName(f.select((F.col("s_suppkey") + 3).cast("int").alias("filter_id"), F.col("s_name").alias("name")))
+    return replace(saved_catalog(spark, sf_dir), replicas=replicas, replica_defaults=defaults, filters=filters)
+
+
 def renamed(c: Catalog) -> Catalog:
     """Files with file_id % 7 = 0 and two versions or more now lie under ``moved/``; all but their last version keep the old path."""
     moved = (F.col("file_id") % 7 == 0) & (F.col("current_version_id") >= 2)

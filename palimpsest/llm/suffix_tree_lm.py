@@ -2,8 +2,8 @@
 
 A text is its words (A-Z lower-cased) and an end. The tree's symbols are all words that training has ``min_count`` times,
 the end (which also fills the context before the first word) and one symbol for all other words. A context of up to
-``DEPTH`` symbols becomes a state when its own suffix is one, it was seen ``min_count`` times and its next-symbol distribution diverges from
-that of its suffix: the code length that it saves must reach ``min_gain`` nats, where each next symbol is predicted from
+``DEPTH`` symbols becomes a state when its suffix is one, the part before its last symbol was tested too, it was seen
+``min_count`` times and its next-symbol distribution diverges from that of its suffix: the code length that it saves must reach ``min_gain`` nats, where each next symbol is predicted from
 all others (its own count is left out), so that a context does not pass by what it has seen once. Distributions are smoothed
 with that of the next shorter state, and each symbol is predicted in the state of the longest retained suffix before it. A word
 under the common symbol then has probability c / (n + m), c its training count, n that of all such words and m the number of words seen once, the
@@ -13,7 +13,8 @@ baseline beside it.
 
 Neither symbols nor states are limited in number: the tree grows with the corpus and never meets in one place. Chunks of
 documents ask for the counts of their own words, then, one symbol longer each time, for those of their own continuations of
-contexts that may be states, and for the gain of these contexts (see exchange). Words are asked for by 64-bit hashes,
+contexts that may be states, and for the gain of these contexts (see exchange). Only places whose context is a state
+go on to the next length. Words are asked for by 64-bit hashes,
 contexts by as many bits as make it improbable (one in a million) that one of the corpus's continuations shares its
 hash with another, 64 at most.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,10 +76,11 @@ def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, weight: f
             for i in range(DEPTH + 1):
                 counts.setdefault(ctx[i:], Counter())[s] += 1
             ctx = (*ctx[1:], s)
-    kept = {()}
+    kept, possible = {()}, {()}
     for ctx in sorted(counts, key=len):
         c = counts[ctx]
-        if ctx and ctx[1:] in kept and (total := c.total()) >= min_count:
+        if ctx and ctx[1:] in kept and ctx[:-1] in possible and (total := c.total()) >= min_count:
+            possible.add(ctx)
             shorter, saved = counts[ctx[1:]], 0.0
             for s, n in c.items():
                 q = shorter[s] / shorter.total()
@@ -146,18 +149,21 @@ def received(t: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at, np.concatenate([v for _, v in sent]), hashes, np.cumsum([len(v) for _, v in sent])[:-1].tolist()
 
 
-def answers_to(asks: DataFrame, kind: str, step: int, resolve) -> DataFrame:
-    """(step, bucket, chunk, data): for each message the sums of its hashes' values over all chunks, as resolve gives them."""
+def answers_to(asks: DataFrame, kind: int, of: str, resolve) -> DataFrame:
+    """(kind, bucket, chunk, data): for each message the sums of its hashes' values over all chunks, as resolve gives them."""
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")  # sums of doubles do not depend on the order of arrival
-        at, values, hashes, ends = received(t, kind)
-        sums = np.zeros(len(hashes), "<f8" if kind == "<f4" else kind)
+        at, values, hashes, ends = received(t, of)
+        sums = np.zeros(len(hashes), "<f8" if of == "<f4" else of)
         np.add.at(sums, at, values)
         parts = [bundle(x) for x in np.split(resolve(sums)[at], ends)]
-        return pa.table([pa.array([step] * len(parts), pa.int32()), t["bucket"], t["chunk"], pa.array(parts, pa.binary())], names=["step", "bucket", "chunk", "data"])
+        return pa.table([pa.array([kind] * len(parts), pa.int32()), t["bucket"], t["chunk"], pa.array(parts, pa.binary())], names=["kind", "bucket", "chunk", "data"])
 
-    return materialize(asks.groupBy("bucket").applyInArrow(answer, "step int, bucket int, chunk int, data binary"))
+    return materialize(asks.groupBy("bucket").applyInArrow(answer, "kind int, bucket int, chunk int, data binary"))
+
+
+COUNTS, GAINS = 0, 1  # kinds of answers
 
 
 def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,84 +175,101 @@ def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], place[codes]
 
 
-class ChunkGrams:
-    """The symbols of a chunk's documents in their contexts, and what the answers so far tell of them.
-
-    By depth, for the place of each symbol: ``total``, how often training has the context before it, 0 if that cannot be a
-    state; ``seen``, how often it has the symbol there; ``state``, whether the context is one."""
-
-    def __init__(self, state: bytes, n: int, min_count: int, weight: float, short: np.uint64, back: pa.Table | None = None):
-        self.ids, self.counts, self.tokens, sizes, train, self.totals = unbundle(state, "<u8", "<i8", "<u4", "<i8", "|u1", "<i8")
-        self.n, self.min_count, self.weight, self.short = n, min_count, weight, short
-        self.train = np.repeat(train, sizes).astype(bool)
-        starts = np.cumsum(sizes) - sizes
-        self.place = np.arange(len(self.tokens)) - np.repeat(starts, sizes)
-        self.docs = int(self.counts[0])  # the end comes first among the symbols
-        self.named = mix((self.ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        self.context, self.contexts = np.zeros(len(self.tokens), np.uint64), [None]
-        self.back: dict[int, dict[int, bytes]] = {}
+class Level:
+    """The places of a chunk whose context of ``depth`` symbols may be a state, in order: the place's symbol and those of its
+    context, the nearest first; how often training has the context (``total``), and in its suffix the symbol (``inner``) and
+    anything (``inner_total``); the symbol's probability so far (``p``); number of its text and place there, whether that is a
+    training text, and whether the row above is the place before."""
+
+    FIRST = ("<u8", "<i8", "<u4", "<i8", "|u1", "<i8")
+    KINDS = ("<u8", "<u4", "<u4", "<i8", "<i8", "<i8", "<f8", "<u4", "<u4", "|u1", "|u1")
+
+    def __init__(self, depth: int, data: bytes, n: int, min_count: int, weight: float, short: np.uint64, back: pa.Table | None = None):
+        self.n, self.min_count, self.weight = n, min_count, weight
+        columns = self.first(*unbundle(data, *self.FIRST), min_count) if depth == 1 else unbundle(data, *self.KINDS)
+        self.ids, self.symbol, context, self.total, self.inner, self.inner_total, self.p, self.text, self.place, train, after = columns
+        self.train, self.after, self.context = train.astype(bool), after.astype(bool), context.reshape(depth, -1)
+        named = mix((self.ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        h = np.zeros(len(self.symbol), np.uint64)
+        for d in range(depth):
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + named[self.context[d]] + np.uint64(d + 1))
+        self.contexts, self.number = numbered(h >> short << short)
+        self.grams, self.gram = numbered(mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + named[self.symbol]) >> short << short)
+        self.back: tuple[dict[int, bytes], ...] = ({}, {})
         if back is not None:
-            for step, b, data in zip(back["step"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True):
-                self.back.setdefault(step, {})[b] = data
-        self.seen, self.total, self.state = [self.counts[self.tokens]], [np.full(len(self.tokens), self.totals[0])], [np.ones(len(self.tokens), bool)]
-
-    def answered(self, step: int, hashes: np.ndarray, kind: str) -> np.ndarray:
-        out, got = np.zeros(len(hashes), kind), self.back.get(step, {})
+            for kind, b, answer in zip(back["kind"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist(), strict=True):
+                self.back[kind][b] = answer
+            self.seen = self.answered(COUNTS, self.grams, "<i8")[self.gram]
+
+    @staticmethod
+    def first(ids, counts, tokens, sizes, train, totals, min_count: int) -> tuple:
+        """Contexts of one symbol. The end comes first among the symbols, so its count is that of the training texts."""
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        before = np.concatenate((np.zeros(1, tokens.dtype), tokens[:-1]))[: len(tokens)]
+        before[place == 0] = END
+        on = np.flatnonzero(counts[before] >= min_count)
+        symbol, inner = tokens[on], counts[tokens[on]]
+        return ids, symbol, before[on], counts[before[on]], inner, np.full(len(on), totals[0]), flat(inner, *totals), text[on], place[on], train[text[on]], follows(text[on], place[on])
+
+    def answered(self, kind: int, hashes: np.ndarray, of: str) -> np.ndarray:
+        out = np.zeros(len(hashes), of)
         for b, s in buckets(hashes, self.n):
-            (out[s],) = unbundle(got[b], kind)
+            (out[s],) = unbundle(self.back[kind][b], of)
         return out
 
-    def deepen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts one symbol longer: the places whose context may be a state, their distinct grams, each place's gram."""
-        d = len(self.seen)
-        before = np.zeros_like(self.tokens)
-        before[d:] = self.tokens[:-d]
-        before[self.place < d] = 0
-        self.context = mix(self.context * np.uint64(0xD6E8FEB86659FD93) + self.named[before] + np.uint64(d))
-        self.contexts.append(self.context)
-        total = np.where(self.place == 0, self.docs, np.concatenate(([0], self.seen[-1][:-1])))
-        # the gram that ends in the context's last symbol was asked for at the place before
-        total[(total < self.min_count) | ~self.state[-1]] = 0
-        self.total.append(total)
-        at = np.flatnonzero(total)
-        grams = mix(self.context[at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.named[self.tokens[at]])
-        return at, *numbered(grams >> self.short << self.short)
-
-    def count(self) -> None:
-        at, hashes, gram = self.deepen()
-        seen = np.zeros(len(self.tokens), np.int64)
-        seen[at] = self.answered(2 * len(self.seen) - 1, hashes, "<i8")[gram]
-        self.seen.append(seen)
-
-    def possible(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places whose deepest context may be a state, these distinct contexts' hashes, each place's."""
-        at = np.flatnonzero(self.total[-1])
-        return at, *numbered(self.contexts[-1][at] >> self.short << self.short)
-
-    def judge(self) -> None:
-        at, hashes, number = self.possible()
-        state = np.zeros(len(self.tokens), bool)
-        state[at] = self.answered(2 * (len(self.seen) - 1), hashes, "|u1")[number].astype(bool)
-        self.state.append(state)
-
     def ask_counts(self, chunk: int) -> list[tuple[int, int, bytes]]:
-        at, hashes, gram = self.deepen()
-        return asked(hashes, np.bincount(gram[self.train[at]], minlength=len(hashes)).astype("<i8"), chunk, self.n)
+        return asked(self.grams, np.bincount(self.gram[self.train], minlength=len(self.grams)).astype("<i8"), chunk, self.n)
 
     def ask_gains(self, chunk: int) -> list[tuple[int, int, bytes]]:
-        """Code length that each of the deepest contexts saves in this chunk's training texts."""
-        at, hashes, number = self.possible()
-        number, at = number[self.train[at]], at[self.train[at]]
-        q = self.seen[-2][at] / self.total[-2][at]
-        saved = np.log((self.seen[-1][at] - 1 + self.weight * q) / (self.total[-1][at] - 1 + self.weight)) - np.log(q)
-        return asked(hashes, np.bincount(number, weights=saved, minlength=len(hashes)).astype("<f4"), chunk, self.n)
+        """Code length that each context saves in this chunk's training texts, each symbol predicted from the others."""
+        at = np.flatnonzero(self.train)
+        q = self.inner[at] / self.inner_total[at]
+        saved = np.log((self.seen[at] - 1 + self.weight * q) / (self.total[at] - 1 + self.weight)) - np.log(q)
+        return asked(self.contexts, np.bincount(self.number[at], weights=saved, minlength=len(self.contexts)).astype("<f4"), chunk, self.n)
+
+    def deeper(self, texts: int) -> tuple[bytes, np.ndarray]:
+        """The next level, and what the states of this one add to each text's log10 probability."""
+        state = self.answered(GAINS, self.contexts, "|u1")[self.number].astype(bool)
+        p = np.where(state, (self.seen + self.weight * self.p) / (self.total + self.weight), self.p)
+        gained = np.bincount(self.text, weights=np.log10(p) - np.log10(self.p), minlength=texts)
+        # the context one longer is the place before with its own context; at a text's start it is ends only
+        longer, oldest = np.where(self.place == 0, self.total, 0), np.full(len(p), END, np.uint32)
+        above = np.flatnonzero(self.after) - 1
+        longer[self.after], oldest[self.after] = self.seen[above], self.context[-1][above]
+        on = np.flatnonzero(state & (longer >= self.min_count))
+        text, place, context = self.text[on], self.place[on], [*(c[on] for c in self.context), oldest[on]]
+        columns = (self.ids, self.symbol[on], np.concatenate(context), longer[on], self.seen[on], self.total[on], p[on], text, place, self.train[on], follows(text, place))
+        return bundle(*(c.astype(k) for c, k in zip(columns, self.KINDS, strict=True))), gained
+
+
+def flat(count: np.ndarray, total: int, symbols: int) -> np.ndarray:
+    """Probability of symbols without a context."""
+    return (count + FLAT) / (total + FLAT * symbols)
+
+
+def follows(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Is the row above the place before, in the same text?"""
+    out = np.zeros(len(text), bool)
+    out[1:] = (text[1:] == text[:-1]) & (place[1:] == place[:-1] + 1)
+    return out
+
 
-    def log_probs(self) -> np.ndarray:
-        """Of each symbol, in the state of its longest retained context."""
-        p = (self.seen[0] + FLAT) / (self.totals[0] + FLAT * self.totals[1])
-        for seen, total, s in zip(self.seen[1:], self.total[1:], self.state[1:], strict=True):
-            p[s] = (seen[s] + self.weight * p[s]) / (total[s] + self.weight)
-        return np.log10(p)
+def counter(level) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: messages(level(t).ask_counts(t["chunk"][0].as_py()))
+
+
+def asker(level) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda t, back: messages(level(t, back).ask_gains(t["chunk"][0].as_py()))
+
+
+def deepener(level) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(t: pa.Table, back: pa.Table) -> pa.Table:
+        texts = t["texts"][0].as_py()
+        data, gained = level(t, back).deeper(texts)
+        return pa.table([t["chunk"], pa.array([data], pa.binary()), pa.array([texts], pa.int32()), pa.array([gained.tolist()], pa.list_(pa.float64()))], names=["chunk", "state", "texts", "gained"])
+
+    return run
 
 
 def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, min_count: int = 50, min_gain: float = 30.0, weight: float = 8.0) -> DataFrame:
@@ -302,41 +325,33 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
         counts = np.where(ids == OTHER, common, known[first])
         train = ~t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         state = bundle(ids, counts, place[c.words].astype("<u4"), c.sizes, train.astype(np.uint8), np.array([total, symbols + 2]))
-        n_known, bases, withins = (np.add.reduceat(x, c.starts) for x in ((known > 0)[c.words].astype(np.int64), base, within[c.words]))
+        alone = within[c.words] + np.log10(flat(counts, total, symbols + 2))[place[c.words]]
+        n_known, bases, withins = (np.add.reduceat(x, c.starts) for x in ((known > 0)[c.words].astype(np.int64), base, alone))
         made = [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(c.sizes), pa.array(n_known), pa.array(np.full(len(c.sizes), total)), pa.array(bases), pa.array(withins)]
         ends = pa.array([0, len(c.sizes)], pa.int32())
         return pa.table([t["chunk"][:1], pa.array([state], pa.binary()), *(pa.ListArray.from_arrays(ends, x) for x in made)], names=["chunk", "state", *columns])
 
     kinds = [id_type, "boolean", "bigint", "bigint", "bigint", "double", "double"]
     chunks = materialize(by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(number, "chunk int, state binary, " + ", ".join(f"{c} array<{k}>" for c, k in zip(columns, kinds, strict=True))))
-    states = chunks.select("chunk", "state")
-
-    def grams(t: pa.Table, back: pa.Table, answers: int) -> ChunkGrams:
-        g = ChunkGrams(t["state"][0].as_py(), n, min_count, weight, short, back)
-        for step in range(1, answers + 1):
-            g.count() if step % 2 else g.judge()
-        return g
-
-    def asks(known: DataFrame, answers: int, of) -> DataFrame:
-        def run(t: pa.Table, back: pa.Table) -> pa.Table:
-            return messages(of(grams(t, back, answers), t["chunk"][0].as_py()))
+    levels, sums_of = chunks.select("chunk", "state", F.size("doc_id").alias("texts")), None
+    for depth in range(1, DEPTH + 1):
 
-        return states.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, MESSAGE)
+        def level(t: pa.Table, back: pa.Table | None = None, depth: int = depth) -> Level:
+            return Level(depth, t["state"][0].as_py(), n, min_count, weight, short, back)
 
-    known = docs.sparkSession.createDataFrame([], "step int, bucket int, chunk int, data binary")
-    for step in range(1, 2 * DEPTH, 2):
-        known = known.unionByName(answers_to(asks(known, step - 1, ChunkGrams.ask_counts), "<i8", step, lambda x: x))
-        known = known.unionByName(answers_to(asks(known, step, ChunkGrams.ask_gains), "<f4", step + 1, lambda x: (x >= min_gain).astype("|u1")))
+        counts = answers_to(levels.groupBy("chunk").applyInArrow(counter(level), MESSAGE), COUNTS, "<i8", lambda x: x)
+        gains = levels.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(asker(level), MESSAGE)
+        known = counts.unionByName(answers_to(gains, GAINS, "<f4", lambda x: (x >= min_gain).astype("|u1")))
+        levels = materialize(levels.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(deepener(level), "chunk int, state binary, texts int, gained array<double>"))
+        sums_of = levels.select("chunk", "gained") if sums_of is None else sums_of.unionByName(levels.select("chunk", "gained"))
 
-    def score(t: pa.Table, back: pa.Table) -> pa.Table:
-        each = grams(t, back, 2 * DEPTH).log_probs()
+    def score(t: pa.Table, gained: pa.Table) -> pa.Table:
         made = [t[c].combine_chunks().flatten() for c in columns]
-        sizes = made[2].to_numpy()
-        tree = np.add.reduceat(each, np.cumsum(sizes) - sizes) + made[-1].to_numpy()
+        tree = made[-1].to_numpy() + sum(np.array(x) for x in sorted(gained["gained"].to_pylist()))
         return pa.table([*made[:-1], pa.array(tree)], names=[*columns[:-1], "score"])
 
     result = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, result)
+    return chunks.groupBy("chunk").cogroup(sums_of.groupBy("chunk")).applyInArrow(score, result)
 
 
 def op7_query(docs: DataFrame) -> DataFrame:

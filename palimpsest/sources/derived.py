@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size
 from palimpsest.schema import Catalog
-from palimpsest.sources.tables import load_catalog, new_folder, save_catalog
+from palimpsest.sources.tables import load_catalog, materialize, new_folder, save_catalog
 
 REPLICA_ROWS = [(1, "h1", "ann", "/r1", None), (2, "h1", "ann", "/r2", 2), (3, "h2", "bob", "/r3", 3)]
 DEFAULT_ROWS = [("h1", "ann", 2)]
@@ -90,13 +91,13 @@ def op_log(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame
     return log, params.select(F.col("l_orderkey").alias("entry"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("name"), "value")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """All tables, lazily; an operator that uses two of them plans only those."""
-    full = versions_with_paths(read(spark, sf_dir, "events"))
+def catalog(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Catalog:
+    """All tables, lazily; an operator that uses two of them plans only those. ``keep`` stores what several are derived from."""
+    full = keep(versions_with_paths(read(spark, sf_dir, "events")))
     versions = full.drop("file_path")
-    files = full.groupBy("file_id").agg(F.first("file_path").alias("path"), F.max("version_id").alias("current_version_id"))
+    files = keep(full.groupBy("file_id").agg(F.first("file_path").alias("path"), F.max("version_id").alias("current_version_id")))
     replicas = spark.createDataFrame(REPLICA_ROWS, schema.REPLICAS)
-    synced = last_sync(files, versions)
+    synced = keep(last_sync(files, versions))
     log, params = op_log(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
     return Catalog(
         files, versions, synced.drop("synced"), replicas, spark.createDataFrame(DEFAULT_ROWS, schema.REPLICA_DEFAULTS), spark.createDataFrame(FILTER_ROWS, schema.FILTERS),
@@ -113,7 +114,7 @@ def saved_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     of = (spark.sparkContext.applicationId, sf_dir)
     if of not in SAVED:
         folder = new_folder(spark, "catalog")
-        save_catalog(catalog(spark, sf_dir), folder)
+        save_catalog(catalog(spark, sf_dir, materialize), folder)
         SAVED[of] = folder
     return load_catalog(spark, SAVED[of])
 

@@ -2,7 +2,7 @@
 
 A text is its words (A-Z lower-cased) and an end. The tree's symbols are all words that training has ``min_count`` times,
 the end (which also fills the context before the first word) and one symbol for all other words. A context of up to
-``DEPTH`` symbols becomes a state when its own suffix is one, it was seen ``min_count`` times and its next-symbol distribution diverges from
+``DEPTH`` symbols becomes a state when its own suffix is one, the part before its last symbol was tested too, it was seen ``min_count`` times and its next-symbol distribution diverges from
 that of its suffix: the code length that it saves must reach ``min_gain`` nats, where each next symbol is predicted from
 all others (its own count is left out), so that a context does not pass by what it has seen once. Distributions are smoothed
 with that of the next shorter state, and each symbol is predicted in the state of the longest retained suffix before it. A word
@@ -74,10 +74,11 @@ def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, weight: f
             for i in range(DEPTH + 1):
                 counts.setdefault(ctx[i:], Counter())[s] += 1
             ctx = (*ctx[1:], s)
-    kept = {()}
+    kept, tested = {()}, {()}
     for ctx in sorted(counts, key=len):
         c = counts[ctx]
-        if ctx and ctx[1:] in kept and (total := c.total()) >= min_count:
+        if ctx and ctx[1:] in kept and ctx[:-1] in tested and (total := c.total()) >= min_count:
+            tested.add(ctx)
             shorter, saved = counts[ctx[1:]], 0.0
             for s, n in c.items():
                 q = shorter[s] / shorter.total()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import embedding_dedup, exact_dedup, jaccard_join, langid, packing, piece_sampling, pii, repeats, secrets, suffix_tree_lm
+from palimpsest.llm import clustering, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, packing, piece_sampling, pii, repeats, secrets, suffix_tree_lm, whitening
 from palimpsest.llm.common import table
 
 
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_piece_sampling": _over("documents", piece_sampling.op6_query),
     "op7_suffix_tree_scores": _over("documents", suffix_tree_lm.op7_query),
     "op8_exact_dedup": _over("documents", exact_dedup.op8_query),
+    "op11_source_mixing": _over("documents", mixing.op11_query),
+    "op12_embedding_whitening": _over("embeddings", whitening.op12_query),
+    "op13_centroid_clustering": _over("embeddings", clustering.op13_query),
 }
 
-ORACLES: dict[str, str] = {"op3_embedding_near_dedup": embedding_dedup.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_embedding_near_dedup": embedding_dedup.OP3_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op13_centroid_clustering": clustering.OP13_SQL}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import paths, sizes
 from palimpsest.operators import audits, deltas, lookups, mutators, trees
 from palimpsest.oracle_tables import enc, sql
-from palimpsest.plans import purge, restore, sync
+from palimpsest.plans import purge, replica_sets, restore, sync
 from palimpsest.schema import TABLES, Catalog
 from palimpsest.sources import derived, tables
 
@@ -447,9 +447,45 @@ def _(c):
     return sync.sync_present(c, c.listing)
 
 
+def each_replica(plan: DataFrame) -> DataFrame:
+    """The parts of the three replicas of the derived catalog."""
+    first, *rest = [replica_sets.of_replica(plan, r[0]) for r in derived.REPLICA_ROWS]
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
+def sets_sql(name: str, rows: str, columns: str, known: str, key: str) -> str:
+    """Rows of ``rows`` with the sets of all replicas but those of ``known`` (key, replica_id)."""
+    return (
+        f"{name}_b AS (SELECT {key}, CAST(replica_id // {replica_sets.BLOCK} AS INT) AS block, string_agg(CAST(replica_id AS VARCHAR), ',' ORDER BY replica_id) AS members FROM (SELECT DISTINCT {key}, replica_id FROM {known}) GROUP BY ALL), "
+        f"{name} AS (SELECT {columns}, 'block' AS replica_set, b.block, b.members FROM {rows} r JOIN {name}_b b USING ({key}) "
+        f"UNION ALL SELECT {columns}, 'rest', NULL, coalesce((SELECT string_agg(CAST(b.block AS VARCHAR), ',' ORDER BY b.block) FROM {name}_b b WHERE b.{key} = r.{key}), '') FROM {rows} r)"
+    )
+
+
+def flat_members(plan: DataFrame) -> DataFrame:
+    return plan.withColumn("members", F.array_join(F.transform("members", lambda i: i.cast("string")), ","))
+
+
+SPREAD = "wsync AS (SELECT file_id, replica_id + 700 * (file_id % 3) AS replica_id FROM last_sync WHERE file_id IN (SELECT file_id FROM existing) UNION ALL SELECT x.file_id, l.replica_id FROM listing l JOIN existing x USING (path))"
+
+
+@register("I2_never_synced_sets", "SELECT file_id, path, replica_set, block, members FROM never", SPREAD + ", " + sets_sql("never", "existing", "r.file_id, r.path", "wsync", "file_id"), whole=True)
+def _(spark, sf_dir):
+    """A replica for each customer; sync rows of replicas from several blocks of ids."""
+    from dataclasses import replace
+
+    c = derived.many_replicas(spark, sf_dir)
+    spread = c.last_sync.withColumn("replica_id", (F.col("replica_id") + 700 * (F.col("file_id") % 3)).cast("int"))
+    return flat_members(sync.never_synced(replace(c, last_sync=spread), c.listing)).select("file_id", "path", "replica_set", "block", "members")
+
+
 @register("I2_sync_absent", "SELECT * FROM i2", ABSENT)
 def _(c):
-    return sync.sync_absent(c, c.listing)
+    """Each replica's part of the rows by replica and of those by set."""
+    plan = sync.sync_absent(c, c.listing).select(*sync.COLUMNS[1:], *replica_sets.one())
+    return each_replica(plan.unionByName(sync.never_synced(c, c.listing)))
 
 
 @register("I3_sync_new_local", "SELECT * FROM i3", NEW)
@@ -459,43 +495,69 @@ def _(c):
 
 @register("I4_sync_plan", "SELECT * FROM (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3) WHERE CASE replica_id WHEN 1 THEN regexp_full_match(path, 'g[^/]/u1[^/]*(/.*)?') WHEN 2 THEN (path LIKE '%.doc' OR path LIKE '%.ods') AND path NOT LIKE 'g0/%' ELSE path NOT LIKE '%.tmp' END", f"{PRESENT}, {ABSENT}, {NEW}")
 def _(c):
-    return sync.sync_plan(c, c.listing)
+    first, *rest = [sync.sync_plan_of(c, c.listing, r[0]) for r in derived.REPLICA_ROWS]
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
+@register("I4_sync_plan_sets", "SELECT file_id, path, decision, reason, version_id, replica_id, 'one' AS replica_set, CAST(NULL AS INT) AS block, CAST(NULL AS VARCHAR) AS members FROM (SELECT * FROM i1 UNION ALL SELECT * FROM i2 WHERE reason <> 'never synced' UNION ALL SELECT * FROM i3) WHERE CASE replica_id WHEN 1 THEN regexp_full_match(path, 'g[^/]/u1[^/]*(/.*)?') WHEN 2 THEN (path LIKE '%.doc' OR path LIKE '%.ods') AND path NOT LIKE 'g0/%' ELSE path NOT LIKE '%.tmp' END UNION ALL SELECT file_id, path, 'DISCARD', 'never synced', NULL, NULL, replica_set, block, members FROM never", f"{PRESENT}, {ABSENT}, {NEW}, {SPREAD.replace(' + 700 * (file_id % 3)', '')}, " + sets_sql("never", "existing", "r.file_id, r.path", "wsync", "file_id"))
+def _(c):
+    """All replicas' plan as it is kept: a row for a replica where it has something of its own, one for a set where it has not."""
+    return flat_members(sync.sync_plan(c, c.listing))
 
 
 @register("I4_sync_plan_by_ids", "SELECT * FROM (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3) WHERE file_id IN (SELECT file_id FROM rfiles WHERE path LIKE 'moved/%')", f"{PRESENT}, {ABSENT}, {NEW}")
 def _(c):
-    return sync.sync_plan(c, c.listing, file_ids=derived.renamed(c).files.where("path LIKE 'moved/%'"))
+    return each_replica(sync.sync_plan(c, c.listing, file_ids=derived.renamed(c).files.where("path LIKE 'moved/%'"))).select(*sync.COLUMNS)
 
 
 @register("I2_sync_absent_with_rows", "SELECT * FROM i2 WHERE reason <> 'never synced'", ABSENT)
 def _(c):
-    return sync.sync_absent(c, c.listing, never_synced=False)
+    return sync.sync_absent(c, c.listing)
 
 
 @register("I5_restore_plan", "SELECT r.replica_id, w.path, w.file_id, w.version_id, CASE WHEN w.size IS NOT NULL THEN 'WRITE' WHEN l.path IS NOT NULL THEN 'DELETE' ELSE 'NONE' END AS action FROM winner w CROSS JOIN replicas r LEFT JOIN listing l ON l.replica_id = r.replica_id AND l.path = w.path UNION ALL SELECT replica_id, path, NULL, NULL, 'DELETE_EXTRA' FROM listing WHERE path NOT IN (SELECT path FROM winner)", as_of(T) + ", " + WINNER)
 def _(c):
-    return restore.restore_plan(c, c.listing, T, "**")
+    return each_replica(restore.restore_plan(c, c.listing, T, "**"))
+
+
+I5_ONE = "CAST(NULL AS INT) AS block, CAST(NULL AS VARCHAR) AS members"
+
+
+@register(
+    "I5_restore_plan_sets",
+    "SELECT path, file_id, version_id, 'NONE' AS action, CAST(NULL AS INT) AS replica_id, replica_set, block, members FROM none UNION ALL SELECT path, file_id, version_id, 'WRITE', NULL, 'rest', NULL, '' FROM winner WHERE size IS NOT NULL "
+    f"UNION ALL SELECT DISTINCT w.path, w.file_id, w.version_id, 'DELETE', l.replica_id, 'one', {I5_ONE} FROM winner w JOIN listing l USING (path) WHERE w.size IS NULL UNION ALL SELECT DISTINCT path, NULL, NULL, 'DELETE_EXTRA', replica_id, 'one', {I5_ONE} FROM listing WHERE path NOT IN (SELECT path FROM winner)",
+    as_of(T) + ", " + WINNER + ", wmark AS (SELECT path, file_id, version_id FROM winner WHERE size IS NULL), " + sets_sql("none", "wmark", "r.path, r.file_id, r.version_id", "(SELECT path, replica_id FROM listing WHERE path IN (SELECT path FROM wmark))", "path"),
+)
+def _(c):
+    return flat_members(restore.restore_plan(c, c.listing, T))
 
 
-@register("I6_restore_snapshot_plan", "SELECT path, file_id, version_id, size, path IN (SELECT path FROM listing WHERE replica_id = 3) AS blocked FROM winner WHERE size IS NOT NULL", as_of(T) + ", " + WINNER)
+@register("I6_restore_snapshot_plan", "SELECT path, file_id, version_id, size, path IN (SELECT path FROM listing WHERE replica_id = 3) AS blocked, path LIKE 'g3/u%' AS refused FROM winner WHERE size IS NOT NULL", as_of(T) + ", " + WINNER)
 def _(c):
-    return restore.restore_snapshot_plan(c, c.listing.where("replica_id = 3"), T)
+    """The replica that restores lies below the folder that it restores to, at g3: what would go there is refused."""
+    from dataclasses import replace
+
+    nested = replace(c, replicas=c.replicas.withColumn("root", F.concat(F.lit("/out/g"), F.col("replica_id").cast("string"), F.lit("/"))))
+    return restore.restore_snapshot_plan(nested, c.listing.where("replica_id = 3"), T, dest="/out/", replica_id=3)
 
 
 ONE = (
     "req AS (SELECT path || '#' || k AS request_id, path, CASE WHEN k IN ('v', 'both') THEN 2 END AS version_id, CASE WHEN k IN ('t', 'both') THEN TIMESTAMP '2024-01-10' END AS moment FROM (SELECT DISTINCT path FROM listing), (VALUES ('now'), ('v'), ('t'), ('both')) t(k)), "
-    "one AS (SELECT path, count(DISTINCT file_id) AS n, min(file_id) AS file_id FROM rel GROUP BY path), "
-    "res AS (SELECT q.*, o.n, o.file_id, CASE WHEN o.n = 1 THEN CASE WHEN q.version_id IS NOT NULL THEN q.version_id WHEN q.moment IS NOT NULL THEN (SELECT arg_max(v.version_id, v.modified) FROM versions v WHERE v.file_id = o.file_id AND v.modified <= q.moment) ELSE (SELECT current_version_id FROM files f WHERE f.file_id = o.file_id) END END AS wanted FROM req q LEFT JOIN one o USING (path)), "
-    "st AS (SELECT r.*, CASE WHEN r.version_id IS NOT NULL AND r.moment IS NOT NULL THEN 'INVALID' WHEN n IS NULL THEN 'UNKNOWN_PATH' WHEN n > 1 THEN 'AMBIGUOUS' WHEN v.file_id IS NULL THEN 'MISSING' WHEN v.size IS NULL THEN 'DELETED' ELSE 'WRITE' END AS status, x.file_id AS living FROM res r LEFT JOIN versions v ON v.file_id = r.file_id AND v.version_id = r.wanted LEFT JOIN (SELECT f.path, f.file_id FROM rfiles f JOIN existing e USING (file_id)) x ON x.path = r.path)"
+    "one AS (SELECT path, count(*) AS n, min(file_id) AS file_id, array_to_string(list(file_id ORDER BY file_id)[1:3], ', ') || CASE WHEN count(*) > 3 THEN ', etc.' ELSE '' END AS candidates FROM (SELECT DISTINCT path, file_id FROM rel) GROUP BY path), "
+    "res AS (SELECT q.*, o.n, o.file_id, o.candidates, CASE WHEN o.n = 1 THEN CASE WHEN q.version_id IS NOT NULL THEN q.version_id WHEN q.moment IS NOT NULL THEN (SELECT arg_max(v.version_id, v.modified) FROM versions v WHERE v.file_id = o.file_id AND v.modified <= q.moment) ELSE (SELECT current_version_id FROM files f WHERE f.file_id = o.file_id) END END AS wanted FROM req q LEFT JOIN one o USING (path)), "
+    "st AS (SELECT r.*, CASE WHEN r.version_id IS NOT NULL AND r.moment IS NOT NULL THEN 'INVALID' WHEN n IS NULL THEN 'UNKNOWN_PATH' WHEN n > 1 THEN 'AMBIGUOUS' WHEN v.file_id IS NULL THEN 'MISSING' WHEN coalesce(v.path, v.now_path) <> r.path THEN 'OTHER_NAME' WHEN v.size IS NULL THEN 'DELETED' ELSE 'WRITE' END AS status, x.file_id AS living FROM res r LEFT JOIN rversions v ON v.file_id = r.file_id AND v.version_id = r.wanted LEFT JOIN (SELECT f.path, f.file_id FROM rfiles f JOIN existing e USING (file_id)) x ON x.path = r.path)"
 )
 
 
-@register("I7_restore_one_plan", "SELECT request_id, path, status, CASE WHEN status = 'WRITE' THEN file_id END AS file_id, CASE WHEN status = 'WRITE' THEN wanted END AS version_id, CASE WHEN status = 'WRITE' AND living <> file_id THEN living END AS replaces FROM st", RELATED + ", " + ONE)
+@register("I7_restore_one_plan", "SELECT request_id, path, status, CASE WHEN status = 'WRITE' THEN file_id END AS file_id, CASE WHEN status = 'WRITE' THEN wanted END AS version_id, CASE WHEN status = 'WRITE' AND living <> file_id THEN living END AS replaces, CASE WHEN status = 'AMBIGUOUS' THEN candidates END AS candidates FROM st", RELATED + ", " + ONE)
 def _(c):
     kinds = F.explode(F.array(*map(F.lit, ("now", "v", "t", "both")))).alias("k")
     r = local_paths(c).select("path", kinds)
     r = r.select(F.concat_ws("#", "path", "k").alias("request_id"), "path", F.when(F.col("k").isin("v", "both"), 2).alias("version_id"), F.when(F.col("k").isin("t", "both"), F.lit(EARLY).cast("timestamp_ntz")).alias("moment"))
-    return restore.restore_one_plan(derived.renamed(c), r)
+    return restore.restore_one_plan(derived.renamed(c), r, 3)
 
 
 UNDO = (
@@ -511,6 +573,29 @@ def _(c):
     return restore.undo_plan(derived.renamed(c), EARLY, UNDO_NOW)
 
 
+UNDO_KEYS = (
+    "ureq AS (SELECT file_id || ':first' AS request_id, file_id, CAST(1 AS INT) AS version_id FROM existing UNION ALL SELECT file_id || ':gone', file_id, NULL FROM existing UNION ALL SELECT file_id || ':last', file_id, current_version_id FROM cur WHERE file_id % 5 = 0 "
+    "UNION ALL SELECT file_id || ':before', file_id, greatest(1, current_version_id - 1) FROM cur WHERE size IS NULL UNION ALL SELECT file_id || ':version', file_id, 999 FROM existing WHERE file_id % 3 = 0 UNION ALL SELECT file_id || ':file', file_id + 10000000, 1 FROM existing WHERE file_id % 3 = 1), "
+    "ut AS (SELECT q.request_id, q.file_id, f.path, f.current_version_id, q.version_id, v.size, v.modified, c.size AS csize, c.modified AS cmod, coalesce(v.path, f.path) AS tpath, CASE WHEN f.file_id IS NULL THEN 'NO_FILE' WHEN q.version_id IS NOT NULL AND v.file_id IS NULL THEN 'NO_VERSION' END AS refusal FROM ureq q LEFT JOIN rfiles f USING (file_id) LEFT JOIN rversions v ON v.file_id = q.file_id AND v.version_id = q.version_id LEFT JOIN cur c ON c.file_id = q.file_id), "
+    "ua AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal WHEN version_id = current_version_id THEN 'SKIP' WHEN size IS NULL AND csize IS NULL THEN 'SKIP' WHEN size IS NULL THEN 'MARK_DELETED' ELSE 'REVERT' END AS action FROM ut)"
+)
+
+
+def undo_requests(c: Catalog) -> DataFrame:
+    """Existing files to their first version and to none; some to the current one; deleted ones to the version before the mark; and what is not there."""
+    x, id_ = c.existing, F.col("file_id").cast("string")
+    ask = lambda rows, what, version, file="file_id": rows.select(F.concat(id_, F.lit(f":{what}")).alias("request_id"), F.expr(file).alias("file_id"), F.expr(version).cast("int").alias("version_id"))
+    out = ask(x, "first", "1").unionByName(ask(x, "gone", "NULL")).unionByName(ask(c.current.where("file_id % 5 = 0"), "last", "current_version_id"))
+    out = out.unionByName(ask(c.current.where("size IS NULL"), "before", "greatest(1, current_version_id - 1)"))
+    return out.unionByName(ask(x.where("file_id % 3 = 0"), "version", "999")).unionByName(ask(x.where("file_id % 3 = 1"), "file", "1", "file_id + 10000000"))
+
+
+@register("I8_undo_versions_plan", f"SELECT a.request_id, a.file_id, a.action, CASE WHEN action = 'REVERT' THEN version_id END AS target_version_id, CASE WHEN action = 'REVERT' THEN greatest(TIMESTAMP '{UNDO_NOW}', CASE WHEN a.modified >= '{UNDO_NOW}' THEN a.modified + INTERVAL 1 MILLISECOND END, CASE WHEN a.cmod >= '{UNDO_NOW}' THEN a.cmod + INTERVAL 1 MILLISECOND END) WHEN action = 'MARK_DELETED' THEN greatest(TIMESTAMP '{UNDO_NOW}', CASE WHEN a.cmod >= '{UNDO_NOW}' THEN a.cmod + INTERVAL 1 MILLISECOND END) END AS new_modified, CASE WHEN action = 'REVERT' AND x.file_id <> a.file_id THEN x.file_id END AS replaces, CASE WHEN action = 'REVERT' AND tpath <> a.path THEN tpath END AS rename_to FROM ua a LEFT JOIN (SELECT f.path, f.file_id FROM rfiles f JOIN existing e USING (file_id)) x ON x.path = a.tpath", UNDO_KEYS)
+def _(c):
+    r = derived.renamed(c)
+    return restore.undo_versions_plan(r, undo_requests(r), UNDO_NOW)
+
+
 PURGE = (
     f"pv AS (SELECT v.file_id, v.version_id, v.base_version_id, v.modified >= '{T}' OR v.version_id = f.current_version_id OR EXISTS (SELECT 1 FROM versions m WHERE m.file_id = v.file_id AND m.base_version_id = v.version_id AND m.size IS NULL) AS k FROM versions v JOIN cur f USING (file_id) WHERE NOT (f.size IS NULL AND f.modified < '{T}')), "
     "ph AS (SELECT c.file_id, c.ancestor AS version_id, count(*) AS held FROM closure c JOIN pv ON pv.file_id = c.file_id AND pv.version_id = c.descendant AND pv.k GROUP BY ALL), "
@@ -548,9 +633,16 @@ def _(c):
     return purge.purge_sync_unlink_plan(c, tables.materialize(purge.purge_versions_plan(c, T)))
 
 
-@register("I14_purge_log", "SELECT entry FROM op_log WHERE started >= '1997-01-01'")
+@register("I14_purge_log", "SELECT 'log' AS what, CAST(entry AS VARCHAR) AS value FROM op_log WHERE started >= '1997-01-01' UNION ALL SELECT 'param', entry || ':' || name || ':' || value FROM op_log_params WHERE entry NOT IN (SELECT entry FROM op_log WHERE started < '1997-01-01')")
+def _(c):
+    out = purge.purge_log(c, "1997-01-01", NOW)
+    return told("log", out.op_log, "entry").unionByName(told("param", out.op_log_params, "entry", "name", "value"))
+
+
+@register("K12_purge_counts", f"SELECT count(*) AS n_versions, (SELECT count(*) FROM cur WHERE size IS NULL AND modified < '{T}') AS n_files, (SELECT count(*) FROM last_sync s JOIN pp USING (file_id, version_id) WHERE NOT pp.kept) AS n_unlinked FROM versions v LEFT JOIN pp USING (file_id, version_id) WHERE pp.kept IS NULL OR NOT pp.kept", PURGE)
 def _(c):
-    return purge.purge_log(c, "1997-01-01", NOW).select("entry")
+    """What a purge removes; a version without a row in the plan goes with its file."""
+    return purge.purge_counts(c, tables.materialize(purge.purge_versions_plan(c, T)), T)
 
 
 # deltas
@@ -738,11 +830,36 @@ def _(c):
     return refused.unionByName(told("version", out.versions, "file_id", "version_id", "size", "modified", "base_version_id")).unionByName(told("file", out.files, "file_id", "current_version_id"))
 
 
-@register("K5_add_files", "SELECT path, CAST(size AS BIGINT) AS size, 1 AS version_id FROM (SELECT path, any_value(size) AS size FROM listing WHERE path LIKE 'new/%' GROUP BY path)")
+K5 = "fresh AS (SELECT path, max_by(size, (mtime, size)) AS size, path IN (SELECT path FROM existing) AS refused FROM listing GROUP BY path), numbered AS (SELECT path, size, (SELECT max(file_id) FROM files) + row_number() OVER (ORDER BY path) AS file_id FROM fresh WHERE NOT refused)"
+
+
+@register(
+    "K5_add_files",
+    " UNION ALL ".join([
+        told_sql("asked", "fresh LEFT JOIN numbered USING (path)", "path", "refused", "numbered.file_id"), told_sql("file", "files", "file_id", "path", "current_version_id"), told_sql("file", "numbered", "file_id", "path", "1"),
+        told_sql("version", "versions", "file_id", "version_id", "size"), told_sql("version", "numbered", "file_id", "1", "size"), told_sql("sync", "last_sync", "file_id", "replica_id", "version_id"), told_sql("sync", "numbered", "file_id", "1", "1"),
+    ]),
+    K5,
+)
 def _(c):
-    out = mutators.add_files(c, c.listing.where("path LIKE 'new/%' OR replica_id = 9").withColumnRenamed("mtime", "modified"), 1)
-    new = out.files.join(c.files.select("file_id"), "file_id", "left_anti").join(out.last_sync.select("file_id", F.col("version_id").alias("synced")), "file_id")
-    return new.join(out.versions.select("file_id", "version_id", "size"), "file_id").where("synced = version_id").select("path", "size", "version_id")
+    """All local files offered as new ones: those at a taken path are refused, the others get the next ids in order."""
+    rows = c.listing.withColumnRenamed("mtime", "modified")
+    asked, out = mutators.new_files(c, rows), mutators.add_files(c, rows, 1)
+    files = told("asked", asked, "path", "refused", "file_id").unionByName(told("file", out.files, "file_id", "path", "current_version_id"))
+    return files.unionByName(told("version", out.versions, "file_id", "version_id", "size")).unionByName(told("sync", out.last_sync, "file_id", "replica_id", "version_id"))
+
+
+@register(
+    "K6_apply_undo",
+    "SELECT f.file_id, CASE WHEN w.file_id IS NOT NULL THEN w.tpath ELSE f.path END AS path, f.current_version_id + CASE WHEN w.file_id IS NOT NULL OR g.file_id IS NOT NULL THEN 1 ELSE 0 END AS current_version_id, CASE WHEN w.file_id IS NOT NULL THEN w.size WHEN g.file_id IS NULL THEN c.size END AS size "
+    "FROM rfiles f JOIN cur c USING (file_id) LEFT JOIN uwin w USING (file_id) LEFT JOIN ugone g USING (file_id)",
+    UNDO + ", uliving AS (SELECT f.path, f.file_id FROM rfiles f JOIN existing e USING (file_id)), uwin AS (SELECT * FROM ua WHERE action = 'REVERT' QUALIFY row_number() OVER (PARTITION BY tpath ORDER BY file_id DESC) = 1), "
+    "ugone AS (SELECT file_id FROM ua WHERE action = 'MARK_DELETED' UNION SELECT x.file_id FROM uwin w JOIN uliving x ON x.path = w.tpath WHERE x.file_id NOT IN (SELECT file_id FROM uwin))",
+)
+def _(c):
+    """An undo carried out whole: marks, files that give way, dummy versions, names."""
+    r = derived.renamed(c)
+    return mutators.apply_undo(r, restore.undo_plan(r, EARLY, UNDO_NOW), UNDO_NOW).current.select("file_id", "path", "current_version_id", "size")
 
 
 @register("K6_add_dummy_versions", "SELECT f.file_id, CASE WHEN a.action = 'REVERT' AND tpath <> a.path THEN tpath ELSE f.path END AS path, CASE WHEN a.action = 'REVERT' THEN f.current_version_id + 1 ELSE f.current_version_id END AS current_version_id, CASE WHEN a.action = 'REVERT' THEN a.size ELSE c.size END AS size FROM rfiles f JOIN cur c USING (file_id) LEFT JOIN ua a USING (file_id)", UNDO)

@@ -3,14 +3,26 @@ data) and REVERSE (rev_off, data). Offsets count characters of string images, by
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size, encoded_size
-from palimpsest.operators.trees import chain_edges, first_hops, image_distances
+from palimpsest.operators.footprints import footprints, units
+from palimpsest.operators.trees import KEY, ROUNDS, chain_edges, first_hops
 from palimpsest.schema import Catalog
+from palimpsest.sources.tables import materialize, release
 
 FOOTPRINT = 12
+#: Neighbours on each side that a marked window's hash is compared with.
+SPREAD = 32
 #: Offsets are bucketed by this length where fragments are joined by overlap.
 OVERLAP_BUCKET = 1 << 16
 
@@ -20,53 +32,105 @@ def piece(content: str, start: Column, length: Column) -> Column:
     return F.substring(F.col(content), (start + 1).cast("int"), length.cast("int"))
 
 
-def footprints(images: DataFrame, key: list[str], content: str = "content", k: int = FOOTPRINT, sample_mod: int = 1) -> DataFrame:
-    """(key, pos, hash) of every window of k units; with sample_mod m, only of those whose hash is divisible by m."""
-    # four bytes a character: a window is then found by arithmetic and not by walking through the text
-    text = dict(images.dtypes)[content] == "string"
-    raw, unit = (F.encode(F.col(content), "UTF-32"), 4) if text else (F.col(content), 1)
-    places = F.sequence(F.lit(0), F.length(content) - k)
-    # the outer transform binds the bytes once for all windows
-    windows = F.transform(F.array(raw), lambda r: F.transform(places, lambda i: F.xxhash64(F.substring(r, i * unit + 1, F.lit(k * unit)))))
-    windows = F.when(F.length(content) >= k, F.element_at(windows, 1))
-    rows = images.select(*key, F.posexplode(windows).alias("pos", "hash"))
-    return rows.where(F.pmod("hash", F.lit(sample_mod)) == 0) if sample_mod > 1 else rows
-
-
-def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT) -> DataFrame:
+def longest_chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of (f, r) that goes up in both, by patience sorting."""
+    ends: list[int] = []
+    best: list[int] = []
+    last: list[int] = []
+    places = sorted(places, key=lambda p: (p[0], -p[1]))
+    for i, (_, r) in enumerate(places):
+        at = bisect_left(ends, r)
+        ends[at : at + 1], best[at : at + 1] = [r], [i]
+        last.append(best[at - 1] if at else -1)
+    out, i = [], best[-1] if best else -1
+    while i >= 0:
+        out.append(places[i])
+        i = last[i]
+    return out[::-1]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common start."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        off = np.flatnonzero(a[at : min(n, at + step)] != b[at : min(n, at + step)])
+        if len(off):
+            return at + int(off[0])
+        at, step = at + step, step * 4
+    return n
+
+
+def common_runs(rev: np.ndarray, fwd: np.ndarray, chain: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """(r, f, n) of equal stretches of k units and more that go up on both sides: what the images begin and end with, and the places of
+    the chain, each stretched to both sides as far as units are equal and no other stretch is."""
+    first = shared(rev, fwd)
+    first = first if first >= k else 0
+    end_r, end_f = len(rev), len(fwd)
+    last = shared(rev[first:][::-1], fwd[first:][::-1])
+    last = last if last >= k else 0
+    runs = [(0, 0, first)] if first else []
+    r0, f0, r1, f1 = first, first, end_r - last, end_f - last
+    inner = [(f, r) for f, r in chain if f >= f0 and r >= r0 and f + k <= f1 and r + k <= r1 and (rev[r : r + k] == fwd[f : f + k]).all()]
+    for f, r in inner:
+        if f < f0 or r < r0:
+            continue  # already covered
+        back = shared(rev[r0:r][::-1], fwd[f0:f][::-1])
+        on = shared(rev[r + k : r1], fwd[f + k : f1])
+        r, f, n = r - back, f - back, back + k + on
+        if runs and runs[-1][0] + runs[-1][2] == r and runs[-1][1] + runs[-1][2] == f:
+            r, f, n = runs[-1][0], runs[-1][1], runs[-1][2] + n
+            runs.pop()
+        runs.append((r, f, n))
+        r0, f0 = r + n, f + n
+    if last:
+        if runs and (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]) == (r1, f1):
+            r, f, n = runs.pop()
+            runs.append((r, f, n + last))
+        else:
+            runs.append((r1, f1, last))
+    return runs
+
+
+def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: int = SPREAD) -> DataFrame:
     """(key, kind, rev_off, fwd_off, len, data) for rows (key, rev, fwd).
 
-    Windows of the forward image are looked up among the first places of the reverse image's windows; neighbours on a
-    diagonal form maximal runs; runs are taken longest first unless they cross or overlap one taken before; what no
-    run covers is directional. So COMMON fragments are at least k long and go forward on both sides, and the fragments
-    tile both images."""
-    rev = footprints(pairs, key, "rev", k).groupBy(*key, "hash").agg(F.min("pos").alias("r"))
-    hits = footprints(pairs, key, "fwd", k).withColumnRenamed("pos", "f").join(rev, [*key, "hash"]).select(*key, "f", "r", (F.col("f") - F.col("r")).alias("diagonal"))
-    nth = F.row_number().over(Window.partitionBy(*key, "diagonal").orderBy("f"))
-    runs = hits.withColumn("run", F.col("f") - nth).groupBy(*key, "diagonal", "run").agg(F.min("f").cast("long").alias("f"), F.min("r").cast("long").alias("r"), (F.count("*") + (k - 1)).alias("n"))
-    real = runs.join(pairs, key).where(piece("rev", F.col("r"), F.col("n")) == piece("fwd", F.col("f"), F.col("n")))
-    listed = real.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "f", "r", "n"))).alias("runs"))
-
-    def take(taken: Column, run: Column) -> Column:
-        apart = lambda a: ((run["f"] + run["n"] <= a["f"]) & (run["r"] + run["n"] <= a["r"])) | ((a["f"] + a["n"] <= run["f"]) & (a["r"] + a["n"] <= run["r"]))
-        return F.when(F.forall(taken, apart), F.array_append(taken, F.struct(run["f"].alias("f"), run["r"].alias("r"), run["n"].alias("n")))).otherwise(taken)
-
-    chosen = listed.select(*key, F.array_sort(F.aggregate("runs", F.expr("CAST(array() AS ARRAY<STRUCT<f: BIGINT, r: BIGINT, n: BIGINT>>)"), take)).alias("runs"))
-    # the empty run at the end closes the last gap
-    full = pairs.join(chosen, key, "left").withColumn("end", F.struct(F.length("fwd").cast("long").alias("f"), F.length("rev").cast("long").alias("r"), F.lit(0).cast("long").alias("n")))
-    full = full.withColumn("runs", F.array_append(F.coalesce("runs", F.expr("CAST(array() AS ARRAY<STRUCT<f: BIGINT, r: BIGINT, n: BIGINT>>)")), F.col("end")))
-    each = full.select(*key, "rev", "fwd", F.posexplode("runs").alias("i", "x"), "runs")
-    before = F.when(F.col("i") > 0, F.element_at("runs", F.col("i"))).otherwise(F.struct(F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("n")))
-    each = each.withColumn("b", before).withColumn("f0", F.col("b.f") + F.col("b.n")).withColumn("r0", F.col("b.r") + F.col("b.n"))
-    null = F.lit(None)
-    fragment = lambda kind, r, f, n, data: F.struct(F.lit(kind).alias("kind"), r.cast("long").alias("rev_off"), f.cast("long").alias("fwd_off"), n.alias("len"), data.alias("data"))
-    text = dict(pairs.dtypes)["fwd"]
-    gap_f, gap_r = F.col("x.f") - F.col("f0"), F.col("x.r") - F.col("r0")
-    parts = F.array(
-        fragment("COMMON", F.col("x.r"), F.col("x.f"), F.col("x.n"), null.cast(text)), fragment("FORWARD", null, F.col("f0"), gap_f, piece("fwd", F.col("f0"), gap_f)),
-        fragment("REVERSE", F.col("r0"), null, gap_r, piece("rev", F.col("r0"), gap_r)),
-    )
-    return each.select(*key, F.explode(parts).alias("p")).select(*key, "p.*").where("len > 0")
+    Both images are marked at the windows of k units whose hash is the least of their neighbours, one in 2 * spread + 1; equal marks, the
+    nth of one side with the nth of the other, are joined by hash, and of a pair's marks the longest chain that goes up on both sides is kept.
+    Marks are then compared as text and stretched as far as it is equal (``common_runs``); what no stretch covers is directional. So COMMON fragments are at least k
+    long and go forward on both sides, and the fragments tile both images. A pair moves marks, an image's length / (2 * spread + 1), and
+    no row for a unit; its texts are read in the row they are in. A null image is empty."""
+    nth = F.row_number().over(Window.partitionBy(*key, "hash").orderBy("pos"))
+    marks = lambda side, name: footprints(pairs, key, side, k, spread).withColumn("nth", nth).withColumnRenamed("pos", name)
+    hits = marks("fwd", "f").join(marks("rev", "r"), [*key, "hash", "nth"]).select(*key, "f", "r")
+    keys = [pairs.schema[c] for c in key]
+    chained = StructType([*keys, StructField("f", ArrayType(IntegerType())), StructField("r", ArrayType(IntegerType()))])
+
+    def chain(own: pd.DataFrame) -> pd.DataFrame:
+        found = longest_chain(list(zip(own.f.tolist(), own.r.tolist(), strict=True)))
+        return pd.DataFrame({**{c: [own[c].iloc[0]] for c in key}, "f": [[x[0] for x in found]], "r": [[x[1] for x in found]]})
+
+    full = pairs.select(*key, "rev", "fwd").join(hits.groupBy(*key).applyInPandas(chain, chained), key, "left")
+    text = pairs.schema["fwd"].dataType
+    schema = StructType([*keys, StructField("kind", StringType()), *(StructField(c, LongType()) for c in ("rev_off", "fwd_off", "len")), StructField("data", text)])
+    arrow = to_arrow_schema(schema)
+    empty = b"" if isinstance(text, BinaryType) else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                rev, fwd, f, r = (b.column(len(key) + j)[i].as_py() for j in range(4))
+                rev, fwd = empty if rev is None else rev, empty if fwd is None else fwd
+                rows, r0, f0 = [], 0, 0
+                for at_r, at_f, n in [*common_runs(units(rev), units(fwd), list(zip(f or [], r or [], strict=True)), k), (len(rev), len(fwd), 0)]:
+                    rows += [("FORWARD", None, f0, at_f - f0, fwd[f0:at_f])] if at_f > f0 else []
+                    rows += [("REVERSE", r0, None, at_r - r0, rev[r0:at_r])] if at_r > r0 else []
+                    rows += [("COMMON", at_r, at_f, n, None)] if n else []
+                    r0, f0 = at_r + n, at_f + n
+                same = pa.array(np.full(len(rows), i))
+                own = [pa.array([x[j] for x in rows], t) for j, t in enumerate(arrow.types[len(key) :])]
+                yield pa.RecordBatch.from_arrays([*(b.column(j).take(same) for j in range(len(key))), *own], schema=arrow)
+
+    return full.mapInArrow(run, schema)
 
 
 def fragment_size() -> Column:
@@ -113,31 +177,42 @@ def changed_paths(c: Catalog, start: str, end: str) -> DataFrame:
 def compose_deltas(lower: DataFrame, upper: DataFrame, key: list[str], bucket: int = OVERLAP_BUCKET) -> DataFrame:
     """One delta base -> new from base -> middle (``lower``) and middle -> new (``upper``): COMMON and FORWARD fragments.
 
-    An interval join: both sides are dealt to the buckets of the middle image that they touch, and a pair is made in the
-    first bucket that both have."""
+    A merge of two tilings of the middle image: the starts of both sides' fragments in one order, each meeting the fragment of the other side that
+    lies there. Both are dealt to the buckets of offsets that they touch, so a long chain is as many tasks as it has buckets, and rows
+    grow with the fragments of both sides and not with their pairs. A pair is made where it begins."""
     text = dict(lower.dtypes)["data"]
-    span = lambda at: F.explode(F.sequence(F.floor(at / bucket), F.floor((at + F.col("len") - 1) / bucket)))
-    low = lower.where("kind <> 'REVERSE' AND len > 0").select(*key, F.col("kind").alias("low_kind"), F.col("rev_off").alias("low_rev"), F.col("fwd_off").alias("at"), F.col("len").alias("low_len"), F.col("data").alias("low_data"), span(F.col("fwd_off")).alias("bucket"))
-    top = upper.where("kind = 'COMMON' AND len > 0").select(*key, F.col("rev_off").alias("from"), F.col("fwd_off").alias("to"), "len", span(F.col("rev_off")).alias("bucket"))
-    both = top.join(low, [*key, "bucket"]).withColumn("first", F.greatest("from", "at")).withColumn("stop", F.least(F.col("from") + F.col("len"), F.col("at") + F.col("low_len"))).where("first < stop")
-    both = both.where(F.col("bucket") == F.floor(F.col("first") / bucket))
-    n, skip = F.col("stop") - F.col("first"), F.col("first") - F.col("at")
-    common = F.col("low_kind") == "COMMON"
-    cut = both.select(
-        *key, "low_kind", F.when(common, F.col("low_rev") + skip).alias("rev_off"), (F.col("to") + F.col("first") - F.col("from")).alias("fwd_off"), n.alias("len"),
-        F.when(~common, piece("low_data", skip, n)).cast(text).alias("data"),
-    ).withColumnRenamed("low_kind", "kind")
-    return cut.unionByName(upper.where("kind = 'FORWARD'").select(*key, "kind", "rev_off", "fwd_off", "len", "data"))
+    touched = lambda at: F.explode(F.sequence(F.floor(at / bucket), F.floor((at + F.col("len") - 1) / bucket)))
+    low = lower.where("kind <> 'REVERSE' AND len > 0").select(*key, touched(F.col("fwd_off")).alias("bucket"), F.struct("kind", "rev_off", F.col("fwd_off").alias("at"), "len", F.col("data").cast(text).alias("data")).alias("low"))
+    top = upper.where("kind = 'COMMON' AND len > 0").select(*key, touched(F.col("rev_off")).alias("bucket"), F.struct(F.col("rev_off").alias("at"), F.col("fwd_off").alias("to"), "len").alias("top"))
+    # where a fragment begins in its bucket
+    begin = lambda side: F.greatest(F.col(f"{side}.at"), F.col("bucket") * bucket)
+    both = low.withColumn("place", begin("low")).unionByName(top.withColumn("place", begin("top")), allowMissingColumns=True)
+    w = Window.partitionBy(*key, "bucket").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col("top").isNotNull()
+    met = both.withColumn("own", own).withColumn("low", F.last("low", True).over(w)).withColumn("top", F.last("top", True).over(w))
+    stop = F.least(F.col("low.at") + F.col("low.len"), F.col("top.at") + F.col("top.len"))
+    first = F.greatest("low.at", "top.at")
+    # a place where both begin is the row of the upper one
+    met = met.withColumn("first", first).withColumn("stop", stop).where((F.col("place") == F.col("first")) & (F.col("first") < F.col("stop")) & (F.col("own") == (F.col("top.at") == F.col("first"))))
+    n, skip, common = F.col("stop") - F.col("first"), F.col("first") - F.col("low.at"), F.col("low.kind") == "COMMON"
+    cut = met.select(
+        *key, F.col("low.kind").alias("kind"), F.when(common, F.col("low.rev_off") + skip).alias("rev_off"), (F.col("top.to") + F.col("first") - F.col("top.at")).alias("fwd_off"), n.alias("len"),
+        F.when(~common, piece("low.data", skip, n)).cast(text).alias("data"),
+    )
+    return cut.unionByName(upper.where("kind = 'FORWARD' AND len > 0").select(*key, "kind", "rev_off", "fwd_off", "len", "data"))
 
 
 def apply_delta(images: DataFrame, fragments: DataFrame, key: list[str], reverse: bool = False) -> DataFrame:
-    """(key, content): the other image of each edge, from the base image or, in ``reverse``, from the derived one."""
+    """(key, content): the other image of each edge, from the base image or, in ``reverse``, from the derived one.
+
+    An image meets the list of its fragments once; both are of one row of the result."""
     own, source, target = ("REVERSE", "fwd_off", "rev_off") if reverse else ("FORWARD", "rev_off", "fwd_off")
-    parts = fragments.where(F.col("kind").isin("COMMON", own)).join(images.select(*key, "content"), key)
-    data = F.when(F.col("kind") == "COMMON", piece("content", F.col(source), F.col("len"))).otherwise(F.col("data"))
-    rows = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(target).alias("at"), data.alias("data")))).alias("parts"))
-    joined = F.array_join(F.transform("parts", lambda p: p["data"]), "")
-    return images.select(*key).join(rows, key, "left").select(*key, F.coalesce(joined, F.lit("")).alias("content"))
+    part = F.struct(F.col(target).alias("at"), F.when(F.col("kind") == "COMMON", F.col(source)).alias("source"), "len", "data")
+    rows = fragments.where(F.col("kind").isin("COMMON", own)).groupBy(*key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    text = dict(images.dtypes)["content"] == "string"
+    data = lambda p: F.when(p["source"].isNull(), p["data"]).otherwise(F.substring("content", (p["source"] + 1).cast("int"), p["len"].cast("int")))
+    joined = F.array_join(F.transform("parts", data), "") if text else F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(data(p))), ""))
+    return images.select(*key, "content").join(rows, key, "left").select(*key, F.coalesce(joined, F.lit("") if text else F.lit(b"")).alias("content"))
 
 
 def validate_delta(fragments: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
@@ -180,24 +255,44 @@ def storage_policy(c: Catalog, chain_sizes: DataFrame, stats: DataFrame | None =
     return v.select("file_id", "version_id", chain.alias("new_chain"), decision.alias("decision"))
 
 
+def turned(fragments: DataFrame, hops: DataFrame) -> DataFrame:
+    """Fragments of the deltas that ``hops`` use, as deltas next -> version: COMMON and FORWARD, whichever way they were stored."""
+    edges = hops.select("file_id", "version_id", "edge_version_id", "direction")
+    used = fragments.withColumnRenamed("version_id", "edge_version_id").join(edges, ["file_id", "edge_version_id"])
+    ahead = F.col("direction") == "FORWARD"
+    kept = (F.col("kind") == "COMMON") | (F.col("kind") == F.col("direction"))
+    common = F.col("kind") == "COMMON"
+    source = F.when(common, F.when(ahead, F.col("rev_off")).otherwise(F.col("fwd_off")))
+    target = F.when(ahead, F.col("fwd_off")).otherwise(F.col("rev_off"))
+    return used.where(kept & (F.col("len") > 0)).select("file_id", "version_id", F.when(common, "COMMON").otherwise("FORWARD").alias("kind"), source.alias("rev_off"), target.alias("fwd_off"), "len", "data")
+
+
 def rebuild_images(versions: DataFrame, images: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(file_id, version_id, content) of all versions: stored images, and the others hop by hop from the nearest one.
-
-    A hop rebuilds all versions of all files that are equally far from an image."""
-    from palimpsest.sources.tables import materialize
-
-    first = materialize(chain_edges(first_hops(versions), versions).join(image_distances(versions).select("file_id", F.col("version_id").alias("source"), "far"), ["file_id", "source"]).select("file_id", F.col("source").alias("version_id"), "next", "direction", "edge_version_id", "far"))
-    level = images.join(versions.where("has_image").select("file_id", "version_id"), ["file_id", "version_id"], "left_semi").select("file_id", "version_id", "content")
-    done, d = level, 1
-    deepest = first.agg(F.max("far")).first()[0]
-    while deepest is not None and d <= deepest:
-        step = first.where(F.col("far") == d)
-        edge = ["file_id", "version_id"]
-        sources = step.join(level.select("file_id", F.col("version_id").alias("next"), "content"), ["file_id", "next"]).select("file_id", "version_id", "edge_version_id", "direction", "content")
-        used = fragments.withColumnRenamed("version_id", "edge_version_id").join(sources.select("file_id", "version_id", "edge_version_id", "direction"), ["file_id", "edge_version_id"])
-        ahead = apply_delta(sources.where("direction = 'FORWARD'"), used.where("direction = 'FORWARD'"), edge)
-        back = apply_delta(sources.where("direction = 'REVERSE'"), used.where("direction = 'REVERSE'"), edge, reverse=True)
-        level = materialize(ahead.unionByName(back))
-        done = done.unionByName(level)
-        d += 1
-    return done
+    """(file_id, version_id, content) of all versions that have a way to a stored image.
+
+    Doubling: each version has the delta from a version on its way, first the next one. A round composes it with the delta that this
+    one has, which doubles how far it reaches; versions whose delta begins at an image are done. So a chain of n versions takes
+    log2(n) rounds, and each image is written once, from the stored one."""
+    first = chain_edges(first_hops(versions), versions)
+    hops = materialize(first.where("direction <> 'BROKEN'").select("file_id", F.col("source").alias("version_id"), F.col("next").alias("up"), "direction", "edge_version_id"))
+    deltas = materialize(turned(fragments, hops))
+    # a version without a row here has an image
+    up = materialize(hops.select("file_id", "version_id", "up"))
+    release(hops)
+    for _ in range(ROUNDS):
+        on = up.select("file_id", F.col("version_id").alias("up"), F.col("up").alias("higher"))
+        open_ = materialize(up.join(on, ["file_id", "up"]).select("file_id", "version_id", "up", "higher"))
+        if open_.isEmpty():
+            release(open_)
+            break
+        lower = deltas.withColumnRenamed("version_id", "up").join(open_.select("file_id", "version_id", "up"), ["file_id", "up"]).drop("up")
+        upper = deltas.join(open_.select("file_id", "version_id"), KEY, "left_semi")
+        done = deltas.join(open_.select("file_id", "version_id"), KEY, "left_anti")
+        fields = ["file_id", "version_id", "kind", "rev_off", "fwd_off", "len", "data"]
+        new = materialize(done.select(*fields).unionByName(compose_deltas(lower, upper, KEY).select(*fields)))
+        new_up = materialize(up.join(open_.select("file_id", "version_id", "higher"), KEY, "left").select("file_id", "version_id", F.coalesce("higher", "up").alias("up")))
+        release(deltas, up, open_)
+        deltas, up = new, new_up
+    stored = images.join(versions.where("has_image").select(*KEY), KEY, "left_semi").select("file_id", "version_id", "content")
+    sources = up.join(stored.withColumnRenamed("version_id", "up"), ["file_id", "up"]).select("file_id", "version_id", "content")
+    return stored.unionByName(apply_delta(sources, deltas, KEY))

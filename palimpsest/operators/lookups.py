@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.paths import effective_filter, prefixes
 from palimpsest.functions.sizes import TOLERANCE_MS, in_time_frame, same_time
 from palimpsest.schema import Catalog
+from palimpsest.sources.tables import materialize
 
 
 def is_deletion_mark(size: Column | str = "size") -> Column:
@@ -181,12 +182,24 @@ def list_filters(c: Catalog, replica_id: int) -> DataFrame:
 
 
 def version_as_of(c: Catalog, moments: DataFrame) -> DataFrame:
-    """Last version of each requested (file_id, moment) at or before the moment, marks included; null if none."""
-    v = c.versions.select("file_id", "version_id", "size", "modified")
-    joined = moments.select("file_id", "moment").distinct().join(v, "file_id", "left")
-    known = F.col("modified") <= F.col("moment")
-    best = F.max_by(F.struct("version_id", "size", "modified"), F.when(known, F.struct("modified", "version_id"))).alias("v")
-    return joined.groupBy("file_id", "moment").agg(best).select("file_id", "moment", "v.*")
+    """Last version of each requested (file_id, moment) at or before the moment, marks included; null if none.
+
+    A merge: versions and moments in one order of file and time, each moment taking the last version before it. The order is dealt to
+    ranges, so a file with very many of either is dealt to several; what a range ends with is carried to the file's next ones."""
+    asked = moments.select("file_id", "moment").distinct()
+    own = F.struct("version_id", "size", "modified").alias("v")
+    v = c.versions.where("modified IS NOT NULL").join(asked.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.col("modified").alias("at"), F.lit(0).alias("kind"), "version_id", own)
+    m = asked.select("file_id", F.col("moment").alias("at"), F.lit(1).alias("kind"))
+    order = ["file_id", "at", "kind", "version_id"]
+    rows = v.unionByName(m, allowMissingColumns=True).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = materialize(rows)
+    inside = F.last("v", True).over(Window.partitionBy("file_id", "part").orderBy(*order[1:]))
+    ends = rows.groupBy("file_id", "part").agg(F.max_by("v", F.when(F.col("kind") == 0, F.struct("at", "version_id"))).alias("v"))
+    before = F.last("v", True).over(Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = ends.select("file_id", "part", before.alias("earlier"))
+    found = rows.withColumn("inside", inside).where("kind = 1").join(earlier, ["file_id", "part"], "left")
+    best = F.coalesce("inside", "earlier").alias("v")
+    return found.select("file_id", F.col("at").alias("moment"), best).select("file_id", "moment", "v.*")
 
 
 def snapshot_as_of(c: Catalog, t: str) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size
 from palimpsest.operators.lookups import next_version_id
+from palimpsest.operators.numbering import numbered
 from palimpsest.plans.purge import purge_files_plan, purge_image_plan, purge_reroot_plan, purge_sync_unlink_plan, purged
 from palimpsest.plans.restore import raised
 from palimpsest.schema import Catalog
 
 MS = "INTERVAL '0.001' SECOND"
-ID_SALTS = 64
 
 
 def fill(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -27,12 +27,10 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(fill(rows, target))
 
 
-def new_ids(rows: DataFrame, key: str, above: DataFrame, id_col: str) -> DataFrame:
-    """Adds ids above the largest in ``above``: unique, not gapless, ranked within a hash of the key so that no task ranks all."""
-    salt = F.pmod(F.xxhash64(key), F.lit(ID_SALTS))
-    nth = F.row_number().over(Window.partitionBy("__salt").orderBy(key)) - 1
-    top = above.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    return rows.withColumn("__salt", salt).withColumn("__nth", nth).join(F.broadcast(top)).withColumn(id_col, F.col("__top") + 1 + F.col("__nth") * ID_SALTS + F.col("__salt")).drop("__salt", "__nth", "__top")
+def new_ids(rows: DataFrame, order: list[str], above: DataFrame, id_col: str) -> DataFrame:
+    """Adds the ids that follow the largest in ``above``, gapless and in the given order, whatever the partitions of rows."""
+    top = above.agg(F.max(id_col)).first()[0] or 0
+    return numbered(rows, [F.col(c) for c in order], id_col, top + 1)
 
 
 def record_sync(c: Catalog, rows: DataFrame) -> Catalog:
@@ -77,10 +75,18 @@ def add_versions(c: Catalog, rows: DataFrame, now: str) -> Catalog:
     return replace(c, versions=c.versions.unionByName(fill(new, c.versions)), files=repoint(c, new))
 
 
+def new_files(c: Catalog, rows: DataFrame) -> DataFrame:
+    """(path, size, modified, refused, file_id) of rows (path, size, modified): ``refused`` where an existing file has the path, else with the
+    id of the new file. Of several rows of one path the latest counts, then the larger; ids follow the order of the paths."""
+    last = rows.groupBy("path").agg(F.max(F.struct("modified", "size")).alias("r")).select("path", "r.size", "r.modified")
+    taken = c.existing.select("path")
+    free = new_ids(last.join(taken, "path", "left_anti"), ["path"], c.files, "file_id").withColumn("refused", F.lit(False))
+    return free.unionByName(last.join(taken, "path", "left_semi").withColumn("refused", F.lit(True)), allowMissingColumns=True)
+
+
 def add_files(c: Catalog, rows: DataFrame, replica_id: int) -> Catalog:
-    """(path, size, modified) as new files with a stored first version and a sync row; paths of existing files are refused."""
-    free = rows.select("path", "size", "modified").dropDuplicates(["path"]).join(c.existing.select("path"), "path", "left_anti")
-    new = new_ids(free, "path", c.files, "file_id").withColumn("version_id", F.lit(1)).withColumn("current_version_id", F.lit(1)).withColumn("has_image", F.lit(True))
+    """(path, size, modified) as new files with a stored first version and a sync row; paths of existing files are refused (``new_files``)."""
+    new = new_files(c, rows).where("NOT refused").withColumn("version_id", F.lit(1)).withColumn("current_version_id", F.lit(1)).withColumn("has_image", F.lit(True))
     sync = new.select("file_id", F.lit(replica_id).alias("replica_id"), "version_id")
     return replace(c, files=c.files.unionByName(fill(new, c.files)), versions=c.versions.unionByName(fill(new.drop("path"), c.versions)), last_sync=c.last_sync.unionByName(fill(sync, c.last_sync)))
 
@@ -107,9 +113,21 @@ def add_dummy_versions(c: Catalog, plan: DataFrame) -> Catalog:
     return replace(named, versions=named.versions.unionByName(fill(new, c.versions)), files=repoint(named, new))
 
 
+def apply_undo(c: Catalog, plan: DataFrame, now: str) -> Catalog:
+    """Carry out an undo plan of one row a file: files at a target's path give way, marks are appended, targets come back on top.
+
+    Where several files are taken back to one path, the one with the highest id has it and the others stay as they are."""
+    back = plan.where("action = 'REVERT'").join(c.files.select("file_id", "path"), "file_id").withColumn("__to", F.coalesce("rename_to", "path"))
+    winners = back.groupBy("__to").agg(F.max("file_id").alias("file_id")).select("file_id")
+    reverted = plan.where("action = 'REVERT'").join(winners, "file_id", "left_semi")
+    gone = plan.where("action = 'MARK_DELETED'").select("file_id").unionByName(reverted.where("replaces IS NOT NULL").select(F.col("replaces").alias("file_id"))).distinct()
+    return add_dummy_versions(mark_deleted(c, gone.join(winners, "file_id", "left_anti"), now), reverted)
+
+
 def register_replicas(c: Catalog, rows: DataFrame) -> Catalog:
-    """(host, user, root) not there yet, with new ids."""
-    new = new_ids(rows.select("host", "user", "root").distinct().join(c.replicas, ["host", "user", "root"], "left_anti").withColumn("__key", F.concat_ws("\n", "host", "user", "root")), "__key", c.replicas, "replica_id")
+    """(host, user, root) not there yet, with the next ids in that order."""
+    key = ["host", "user", "root"]
+    new = new_ids(rows.select(*key).distinct().join(c.replicas, key, "left_anti"), key, c.replicas, "replica_id")
     return replace(c, replicas=c.replicas.unionByName(fill(new, c.replicas)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,18 @@ def purge_sync_unlink_plan(c: Catalog, plan: DataFrame) -> DataFrame:
     return rows.select("file_id", "replica_id", F.col("version_id").alias("old_version_id"), F.col("v_size").alias("size"), F.col("v_modified").alias("modified"), F.coalesce("v_path", "f_path").alias("path"))
 
 
-def purge_log(c: Catalog, epoch: str, now: str, filter_name: str = "all", inverted: bool = False) -> DataFrame:
-    """Entries that stay. Only a purge of everything (filter ``all``, not inverted) cleans the log, up to 1100 ms ago."""
+def purge_log(c: Catalog, epoch: str, now: str, filter_name: str = "all", inverted: bool = False) -> Catalog:
+    """The log without old entries and their parameters. Only a purge of everything (filter ``all``, not inverted) cleans it, up to 1100 ms ago."""
     if filter_name != "all" or inverted:
-        return c.op_log
+        return c
     limit = F.least(F.lit(epoch).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL '1.1' SECOND"))
-    return c.op_log.where(F.col("started") >= limit)
+    old = c.op_log.where(F.col("started") < limit).select("entry")
+    return replace(c, op_log=c.op_log.where(F.coalesce(F.col("started") >= limit, F.lit(True))), op_log_params=c.op_log_params.join(old, "entry", "left_anti").select(*c.op_log_params.columns))
+
+
+def purge_counts(c: Catalog, plan: DataFrame, epoch: str) -> DataFrame:
+    """One row (n_versions, n_files, n_unlinked) of what a purge removes: versions, those of whole files among them, files, and sync links."""
+    files = purge_files_plan(c, epoch).agg(F.coalesce(F.sum("n_versions"), F.lit(0)).alias("whole"), F.count("*").alias("n_files"))
+    single = plan.agg(F.count_if(~F.col("kept")).alias("single"))
+    links = purge_sync_unlink_plan(c, plan).agg(F.count("*").alias("n_unlinked"))
+    return files.select((F.col("whole") + single.scalar()).alias("n_versions"), "n_files", links.scalar().alias("n_unlinked"))

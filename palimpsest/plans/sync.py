@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import effective_filter, filter_rules, matches, passes_rules
 from palimpsest.operators.lookups import ancestor_file_conflicts, best_match, descendant_file_conflicts, sync_records
+from palimpsest.plans import replica_sets
+from palimpsest.plans.replica_sets import all_but, of_replica, one
 from palimpsest.schema import Catalog
 
 COLUMNS = ("replica_id", "path", "file_id", "decision", "reason", "version_id")
@@ -42,25 +44,26 @@ def sync_present(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN"
     return rows.withColumn("decision", decision).withColumn("reason", reason).select("replica_id", "path", "file_id", "decision", "reason", record.alias("version_id"))
 
 
-def sync_absent(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN", never_synced: bool = True) -> DataFrame:
-    """Existing files without a local file, for every replica that has a sync row of them.
-
-    With ``never_synced`` also for the replicas that have none, which get the file: a row for each such file and replica, since
-    each is an action; without it the plan grows with the sync rows only."""
-    existing = c.existing.select("path", "file_id", "current_version_id")
-    rows = existing.join(_synced(c), "file_id")
-    if never_synced:
-        has = c.last_sync.groupBy("file_id").agg(F.collect_set("replica_id").alias("has"))
-        ids = c.replicas.agg(F.coalesce(F.collect_set("replica_id"), F.array().cast("array<int>")).alias("ids")).scalar()
-        lacking = existing.join(has, "file_id", "left").withColumn("replica_id", F.explode(F.array_except(ids, F.coalesce("has", F.array().cast("array<int>"))))).drop("has")
-        rows = rows.unionByName(lacking, allowMissingColumns=True)
+def sync_absent(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN") -> DataFrame:
+    """Existing files without a local file, for every replica that has a sync row of them; for those without one see ``never_synced``."""
+    rows = c.existing.select("path", "file_id", "current_version_id").join(_synced(c), "file_id")
     rows = rows.join(listing.select("replica_id", "path"), ["replica_id", "path"], "left_anti")
     same = F.col("synced_version") == F.col("current_version_id")
-    decision = F.when(F.col("has_sync").isNull() | F.col("synced_deleted"), "DISCARD").when(same, "UPDATE").otherwise(_otherwise(default_action))
-    reason = F.when(F.col("has_sync").isNull(), "never synced").when(F.col("synced_deleted"), "was deleted").when(same, "deleted locally").when(F.col("synced_version").isNull(), "deleted, purged version").otherwise("deleted, older version")
+    decision = F.when(F.col("synced_deleted"), "DISCARD").when(same, "UPDATE").otherwise(_otherwise(default_action))
+    reason = F.when(F.col("synced_deleted"), "was deleted").when(same, "deleted locally").when(F.col("synced_version").isNull(), "deleted, purged version").otherwise("deleted, older version")
     return rows.select("replica_id", "path", "file_id", decision.alias("decision"), reason.alias("reason"), F.lit(None).cast("int").alias("version_id"))
 
 
+def never_synced(c: Catalog, listing: DataFrame) -> DataFrame:
+    """Existing files for the replicas that have neither a sync row of them nor a local file: these get the file.
+
+    A row for each file with the set of those replicas (``replica_sets``): all but the ones that have a sync row or something at the path."""
+    existing = c.existing.select("path", "file_id")
+    known = c.last_sync.select("file_id", "replica_id").join(existing, "file_id", "left_semi").unionByName(listing.select("path", "replica_id").join(existing, "path").select("file_id", "replica_id"))
+    rows = existing.select("path", "file_id", F.lit("DISCARD").alias("decision"), F.lit("never synced").alias("reason"), F.lit(None).cast("int").alias("version_id"))
+    return all_but(rows, known, "file_id")
+
+
 def sync_new_local(c: Catalog, listing: DataFrame) -> DataFrame:
     """Local files whose path no existing file has. ``version_id``: for DELETE_LOCAL the mark to record, if the file is deleted."""
     new = listing.join(c.existing.select("path"), "path", "left_anti")
@@ -75,14 +78,31 @@ def sync_new_local(c: Catalog, listing: DataFrame) -> DataFrame:
     return rows.withColumn("decision", kind).withColumn("reason", reason).select("replica_id", "path", F.col("match_file").alias("file_id"), "decision", "reason", mark.alias("version_id"))
 
 
+def _passing(c: Catalog, plan: DataFrame) -> DataFrame:
+    """Rows (replica_id, path) that pass their replica's effective filter."""
+    rules = effective_filter(c.replicas, c.filters).join(filter_rules(c.filter_elements), "filter_id", "left").select("replica_id", "include", "exclude")
+    return plan.join(rules, "replica_id", "left").where(passes_rules("path")).drop("include", "exclude")
+
+
 def sync_plan(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN", pattern: str | None = None, filtered: bool = True, file_ids: DataFrame | None = None) -> DataFrame:
-    """Decisions for all replicas after the pattern and each replica's effective filter; by ids the filter is skipped."""
-    plan = sync_present(c, listing, default_action).unionByName(sync_absent(c, listing, default_action)).unionByName(sync_new_local(c, listing))
+    """Decisions for all replicas after the pattern and each replica's effective filter; by ids the filter is skipped.
+
+    Rows that are for one replica have passed its filter. A row for a set of replicas holds for those of them whose own filter passes the path:
+    ``sync_plan_of`` applies it. The plan grows with local files, sync rows and files, not with files times replicas."""
+    rows = sync_present(c, listing, default_action).unionByName(sync_absent(c, listing, default_action)).unionByName(sync_new_local(c, listing))
+    never = never_synced(c, listing)
     if file_ids is not None:
-        return plan.join(file_ids.select("file_id"), "file_id", "left_semi").select(*COLUMNS)
-    if pattern:
-        plan = plan.where(matches("path", pattern))
-    if filtered:
-        rules = effective_filter(c.replicas, c.filters).join(filter_rules(c.filter_elements), "filter_id", "left").select("replica_id", "include", "exclude")
-        plan = plan.join(rules, "replica_id", "left").where(passes_rules("path"))
-    return plan.select(*COLUMNS)
+        ids = file_ids.select("file_id").distinct()
+        rows, never = rows.join(ids, "file_id", "left_semi"), never.join(ids, "file_id", "left_semi")
+    elif pattern:
+        rows, never = rows.where(matches("path", pattern)), never.where(matches("path", pattern))
+    if filtered and file_ids is None:
+        rows = _passing(c, rows)
+    sets = list(replica_sets.COLUMNS)
+    return rows.select(*COLUMNS[1:], *one()).unionByName(never.select(*COLUMNS[1:], *sets))
+
+
+def sync_plan_of(c: Catalog, listing: DataFrame, replica_id: int, default_action: str = "UNKNOWN", pattern: str | None = None, filtered: bool = True, file_ids: DataFrame | None = None) -> DataFrame:
+    """One replica's part of ``sync_plan``, all rows filtered."""
+    own = of_replica(sync_plan(c, listing, default_action, pattern, filtered, file_ids), replica_id)
+    return (_passing(c, own) if filtered and file_ids is None else own).select(*COLUMNS)

@@ -232,6 +232,17 @@ def _(c):
     return lookups.ancestor_file_conflicts(c, local_paths(c))
 
 
+@register("C11_ancestors_of_nested_paths", "SELECT p.path, CASE WHEN p.k = 2 THEN f.path || '/deep' ELSE f.path END AS ancestor_path, CASE WHEN p.k = 2 THEN f.id + 50000000 ELSE f.id END AS ancestor_file_id FROM (SELECT path, min(file_id) AS id FROM files GROUP BY path) f, LATERAL (SELECT f.path || '/x.txt' AS path, 1 AS k UNION ALL SELECT f.path || '/deep/y/z.txt', CASE WHEN f.id % 2 = 0 THEN 2 ELSE 1 END) p")
+def _(c):
+    """Two paths below every file, and a record between for every second: the nearest is reported."""
+    from dataclasses import replace
+
+    f = c.files.groupBy("path").agg(F.min("file_id").alias("file_id"))
+    between = f.where("file_id % 2 = 0").select((F.col("file_id") + 50_000_000).alias("file_id"), F.concat("path", F.lit("/deep")).alias("path"), F.lit(1).alias("current_version_id"))
+    asked = f.select(F.concat("path", F.lit("/x.txt")).alias("path")).unionByName(f.select(F.concat("path", F.lit("/deep/y/z.txt")).alias("path")))
+    return lookups.ancestor_file_conflicts(replace(c, files=c.files.unionByName(between)), asked)
+
+
 @register("C12_descendant_file_conflicts", "SELECT q.path, f.file_id, f.path AS descendant_path FROM (SELECT DISTINCT prefix AS path FROM parts WHERE depth < n) q JOIN files f ON starts_with(f.path, q.path || '/')")
 def _(c):
     above = c.files.select(F.explode(paths.prefixes("path", proper=True)).alias("path"))
@@ -407,6 +418,25 @@ def _(c):
     return trees.version_closure(c.versions)
 
 
+LABELS = (
+    "lway(file_id, version_id, way) AS (SELECT file_id, version_id, printf('%08d', version_id) FROM versions WHERE base_version_id IS NULL UNION ALL SELECT v.file_id, v.version_id, w.way || printf('%08d', v.version_id) FROM lway w JOIN versions v ON v.file_id = w.file_id AND v.base_version_id = w.version_id), "
+    "labels AS (SELECT file_id, version_id, row_number() OVER (PARTITION BY file_id ORDER BY way) - 1 AS first, CAST(length(way) // 8 - 1 AS INT) AS depth FROM lway)"
+)
+
+
+@register("H4_version_labels", "SELECT l.file_id, l.version_id, l.first, l.first + (SELECT count(*) FROM closure c WHERE c.file_id = l.file_id AND c.ancestor = l.version_id) - 1 AS last, l.depth FROM labels l", LABELS)
+def _(c):
+    """The version trees as intervals, a row a version."""
+    return trees.version_labels(c.versions)
+
+
+@register("H4_is_ancestor", "SELECT v.file_id, v.version_id AS ancestor, f.current_version_id AS descendant, EXISTS (SELECT 1 FROM closure c WHERE c.file_id = v.file_id AND c.ancestor = v.version_id AND c.descendant = f.current_version_id) AS related FROM versions v JOIN files f USING (file_id)")
+def _(c):
+    """Which versions does the current one derive from?"""
+    pairs = c.versions.select("file_id", F.col("version_id").alias("ancestor")).join(c.files.select("file_id", F.col("current_version_id").alias("descendant")), "file_id")
+    return trees.is_ancestor(trees.version_labels(c.versions), pairs)
+
+
 EDGES = "tree_edge AS (SELECT v.file_id, v.version_id AS a, v.base_version_id AS b, 0 AS down FROM versions v WHERE v.size IS NOT NULL AND v.base_version_id IS NOT NULL UNION ALL SELECT v.file_id, v.base_version_id, v.version_id, 1 FROM versions v WHERE v.size IS NOT NULL AND v.base_version_id IS NOT NULL)"
 WALK = (
     EDGES
@@ -722,6 +752,34 @@ def _(c):
     return deltas.content_changed(c)
 
 
+def stored_dummies(c: Catalog) -> DataFrame:
+    """Fragments of undo versions as they are stored: the dummy delta of the base, but every fifth file's skips one unit of the base, which is as long."""
+    base = c.versions.select("file_id", F.col("version_id").alias("base_version_id"), F.col("size").alias("base_size"))
+    undo = c.versions.where("NOT has_image AND base_version_id IS NOT NULL").join(base, ["file_id", "base_version_id"])
+    dummies = deltas.dummy_delta(undo.select("file_id", "version_id", F.col("base_size").alias("size")))
+    return dummies.withColumn("rev_off", F.when(F.col("file_id") % 5 == 0, F.lit(1)).otherwise(F.col("rev_off")).cast("long"))
+
+
+@register(
+    "J5_content_changed_by_fragments",
+    "SELECT * FROM changed UNION ALL SELECT v.file_id, v.version_id, v.modified FROM versions v JOIN versions b ON b.file_id = v.file_id AND b.version_id = v.base_version_id WHERE v.size IS NOT NULL AND (v.file_id, v.version_id) NOT IN (SELECT (file_id, version_id) FROM changed) AND v.file_id % 5 = 0 AND b.size > 0",
+    CHANGED,
+)
+def _(c):
+    """Deltas of the dummy's lengths that are not the dummy are told by what they hold."""
+    return deltas.content_changed(c, stored_dummies(c))
+
+
+@register("J3_stats_of_diffs", PAIRED.replace("sha256(text) AS fwd_sha256, sha256(prev) AS rev_sha256, 0 AS n_problems", "length(text) AS from_common_and_forward, length(prev) AS from_common_and_reverse, true AS consistent"), whole=True)
+def _(spark, sf_dir):
+    """Real diffs counted: data of COMMON and FORWARD fragments make up the one image, COMMON and REVERSE the other."""
+    pairs = tables.materialize(neighbours(spark, sf_dir))
+    n = pairs.select("doc_id", F.length("rev").cast("long").alias("rev_size"), F.length("fwd").cast("long").alias("fwd_size"))
+    stats = deltas.diff_stats(deltas.diff_images(pairs, ["doc_id"]), ["doc_id"], n).join(n, "doc_id")
+    sound = (F.col("total") >= F.col("data_forward") + F.col("data_reverse")) & (F.col("aborted") == (F.col("total") >= F.greatest("rev_size", "fwd_size")))
+    return stats.select("doc_id", "rev_size", "fwd_size", (F.col("data_common") + F.col("data_forward")).alias("from_common_and_forward"), (F.col("data_common") + F.col("data_reverse")).alias("from_common_and_reverse"), sound.alias("consistent"))
+
+
 @register("J6_compose_deltas", "SELECT * FROM (SELECT file_id, 'COMMON' AS kind, 0 AS rev_off, 0 AS fwd_off, q AS len, NULL AS data FROM d UNION ALL SELECT file_id, 'COMMON', 2 * q, q, h - 2 * q, NULL FROM d UNION ALL SELECT file_id, 'COMMON', h, h + m - q, n - h, NULL FROM d UNION ALL SELECT file_id, 'FORWARD', NULL, h - q, m, marker FROM d) WHERE len > 0", DOCS, whole=True)
 def _(spark, sf_dir):
     _, _, f = edits(spark, sf_dir)
@@ -759,6 +817,22 @@ def _(c):
     return deltas.storage_policy(c, trees.chain_size(c.versions), stats, 0.01, 100)
 
 
+@register(
+    "J10_storage_policy_of_diffs",
+    "SELECT v.file_id, v.version_id, v.chain AS new_chain, CASE WHEN v.total >= greatest(v.rev_size, v.fwd_size) THEN CASE WHEN v.version_id = 2 THEN 'IMAGE' ELSE 'IMAGE_AND_BASE_IMAGE' END WHEN v.chain <= 0.5 * v.fwd_size THEN 'DELTAS' WHEN v.version_id = 2 THEN 'IMAGE' ELSE 'DELTAS_AND_IMAGE' END AS decision "
+    "FROM (SELECT sz.*, coalesce(x.size_common, 7) + coalesce(x.size_forward, 7) + coalesce(x.size_reverse, 7) AS total, coalesce(x.size_common, 7) + coalesce(x.size_forward, 7) + CASE WHEN version_id = 3 THEN (SELECT coalesce(sum(y.size_common + y.size_forward), 14) FROM ds y WHERE y.file_id = sz.file_id AND y.version_id = 2) ELSE 0 END AS chain FROM sz LEFT JOIN ds x USING (file_id, version_id)) v",
+    STATS,
+    whole=True,
+)
+def _(spark, sf_dir):
+    """The edits of every document: their diffs' own sizes decide, and diffs that reach the larger image are aborted."""
+    v, images, fragments = edits(spark, sf_dir)
+    stats = tables.materialize(deltas.diff_stats(fragments, KEY, chain_sizes_of(images)))
+    v = v.join(stats.select(*KEY, F.col("size_common").alias("cdelta_len"), F.col("size_forward").alias("fdelta_len"), F.col("size_reverse").alias("rdelta_len")), KEY, "left")
+    v = tables.materialize(v)
+    return deltas.storage_policy(Catalog(v.select("file_id"), v), trees.chain_size(v), stats)
+
+
 @register("J11_rebuild_images", "SELECT file_id, 1 AS version_id, sha256(text) AS content_sha256 FROM s2 UNION ALL SELECT file_id, 2, sha256(second) FROM s2 UNION ALL SELECT file_id, 3, sha256(substring(second, 1, q) || substring(second, 2 * q + 1)) FROM s2", FRAGMENTS, whole=True)
 def _(spark, sf_dir):
     v, images, f = edits(spark, sf_dir)
@@ -1000,11 +1074,25 @@ def _(c):
     return audits.audit_path_nesting(spoiled(c))
 
 
-@register("M5_audit_restorability", "SELECT v.file_id, v.version_id, 'no way' AS reason FROM versions v WHERE v.file_id % 73 = 0 AND v.size IS NOT NULL")
+HOLES = (
+    WALK.replace("FROM versions", "FROM hversions").replace("JOIN versions", "JOIN hversions")
+    + ", used AS (SELECT w.file_id, w.source, h.cdelta_len IS NULL OR CASE w.down WHEN 0 THEN h.fdelta_len ELSE h.rdelta_len END IS NULL AS hole FROM way w JOIN hversions h ON h.file_id = w.file_id AND h.version_id = CASE w.down WHEN 0 THEN w.pos ELSE w.next END)"
+)
+HOLED = (
+    "hversions AS (SELECT file_id, version_id, size, base_version_id, has_image AND file_id % 73 <> 0 AS has_image, CASE WHEN file_id % 11 = 0 AND version_id = 2 THEN NULL ELSE cdelta_len END AS cdelta_len, "
+    "CASE WHEN file_id % 13 = 0 AND version_id = 3 THEN NULL ELSE fdelta_len END AS fdelta_len, CASE WHEN file_id % 17 = 0 THEN NULL ELSE rdelta_len END AS rdelta_len FROM versions), "
+)
+
+
+@register("M5_audit_restorability", "SELECT v.file_id, v.version_id, CASE WHEN u.hole IS NULL THEN 'no way' ELSE 'missing delta' END AS reason FROM hversions v LEFT JOIN (SELECT file_id, source, bool_or(hole) AS hole FROM used GROUP BY ALL) u ON u.file_id = v.file_id AND u.source = v.version_id WHERE v.size IS NOT NULL AND NOT v.has_image AND (u.hole IS NULL OR u.hole)", HOLED + HOLES)
 def _(c):
+    """Files without an image, and stored deltas of each kind that are gone."""
     from dataclasses import replace
 
-    return audits.audit_restorability(replace(c, versions=c.versions.withColumn("has_image", F.col("has_image") & (F.col("file_id") % 73 != 0))))
+    drop = lambda column, when: F.when(~F.expr(when), F.col(column))
+    gone = {"cdelta_len": "file_id % 11 = 0 AND version_id = 2", "fdelta_len": "file_id % 13 = 0 AND version_id = 3", "rdelta_len": "file_id % 17 = 0"}
+    v = c.versions.withColumns({**{k: drop(k, w) for k, w in gone.items()}, "has_image": F.col("has_image") & (F.col("file_id") % 73 != 0)})
+    return audits.audit_restorability(replace(c, versions=v))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

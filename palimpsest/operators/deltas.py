@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size, encoded_size
+from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size, encoded_size, in_time_frame
 from palimpsest.operators.footprints import footprints, units
 from palimpsest.operators.trees import KEY, ROUNDS, chain_edges, first_hops
 from palimpsest.schema import Catalog
@@ -158,19 +158,33 @@ def dummy_delta(versions: DataFrame) -> DataFrame:
     return versions.where("size > 0").select("file_id", "version_id", F.lit("COMMON").alias("kind"), n(0).alias("rev_off"), n(0).alias("fwd_off"), F.col("size").alias("len"), F.lit(None).cast("string").alias("data"))
 
 
-def content_changed(c: Catalog) -> DataFrame:
-    """Versions that brought new content: no mark, and stored whole, or a root, or with deltas other than the dummy one."""
+def fragment_digests(fragments: DataFrame) -> DataFrame:
+    """(file_id, version_id, n, fragments_digest): the number of a delta's fragments and a sum of their hashes, whatever their order."""
+    h = F.xxhash64("kind", "rev_off", "fwd_off", "len", "data").cast("decimal(20,0)")
+    return fragments.groupBy("file_id", "version_id").agg(F.count("*").alias("n"), F.sum(h).alias("fragments_digest"))
+
+
+def content_changed(c: Catalog, fragments: DataFrame | None = None) -> DataFrame:
+    """Versions that brought new content: no mark, and stored whole, or a root, or with deltas other than the dummy one of their base.
+
+    Stored lengths are compared, and with ``fragments`` what they hold too: a delta may be as long as the dummy and say something else. Only versions
+    whose lengths leave it open meet their fragments; the dummy's digest comes from the base's size."""
     base = c.versions.select("file_id", F.col("version_id").alias("base_version_id"), F.col("size").alias("base_size"))
     v = c.versions.join(base, ["file_id", "base_version_id"], "left")
     same = F.col("cdelta_len").eqNullSafe(dummy_common_size(F.col("base_size"))) & F.col("fdelta_len").eqNullSafe(F.lit(EMPTY_DELTA)) & F.col("rdelta_len").eqNullSafe(F.lit(EMPTY_DELTA))
+    if fragments is not None:
+        open_ = v.where(same & ~F.col("has_image")).select("file_id", "version_id")
+        found = fragment_digests(fragments.join(open_, ["file_id", "version_id"], "left_semi"))
+        zero, nothing = F.lit(0).cast("long"), F.lit(None).cast(fragments.schema["data"].dataType)
+        dummy = F.when(F.col("base_size") > 0, F.xxhash64(F.lit("COMMON"), zero, zero, F.col("base_size"), nothing).cast("decimal(20,0)"))
+        v = v.join(found, ["file_id", "version_id"], "left")
+        same = same & F.coalesce("n", F.lit(0)).eqNullSafe((F.col("base_size") > 0).cast("long")) & F.col("fragments_digest").eqNullSafe(dummy)
     return v.where(F.col("size").isNotNull() & (F.col("has_image") | F.col("base_version_id").isNull() | ~same)).select("file_id", "version_id", "modified")
 
 
-def changed_paths(c: Catalog, start: str, end: str) -> DataFrame:
+def changed_paths(c: Catalog, start: str, end: str, fragments: DataFrame | None = None) -> DataFrame:
     """Paths with a version in the frame that changed content, depth first."""
-    from palimpsest.functions.sizes import in_time_frame
-
-    hit = content_changed(c).where(in_time_frame(F.col("modified"), start, end)).select("file_id").distinct()
+    hit = content_changed(c, fragments).where(in_time_frame(F.col("modified"), start, end)).select("file_id").distinct()
     return c.files.join(hit, "file_id", "left_semi").select("path").distinct().orderBy(F.split("path", "/"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import prefixes
@@ -35,23 +35,6 @@ def subtree(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.withColumn("root", F.explode(prefixes("path"))).join(roots.select("root").distinct(), "root").select("root", "node_id", "path")
 
 
-def version_closure(versions: DataFrame) -> DataFrame:
-    """(file_id, ancestor, descendant, depth) over base_version_id, each version with itself at depth 0.
-
-    Pointer doubling: with all ancestors up to 2**k steps known, one join on (file, version) doubles the reach. Only the
-    rows at the border, exactly 2**k steps up, are joined again, so no pair is made twice."""
-    v = versions.select("file_id", "version_id", "base_version_id")
-    own = v.select("file_id", F.col("version_id").alias("ancestor"), F.col("version_id").alias("descendant"), F.lit(0).alias("depth"))
-    known = materialize(v.where("base_version_id IS NOT NULL").select("file_id", F.col("base_version_id").alias("ancestor"), F.col("version_id").alias("descendant"), F.lit(1).alias("depth")))
-    reach = 1
-    while not (border := known.where(F.col("depth") == reach)).isEmpty():
-        up = known.select("file_id", F.col("descendant").alias("ancestor"), F.col("ancestor").alias("higher"), F.col("depth").alias("more"))
-        new = border.join(up, ["file_id", "ancestor"]).select("file_id", F.col("higher").alias("ancestor"), "descendant", (F.col("depth") + F.col("more")).alias("depth"))
-        known = materialize(known.unionByName(new))
-        reach *= 2
-    return own.unionByName(known)
-
-
 KEY = ["file_id", "version_id"]
 #: Rounds of doubling, more than any depth needs; a chain of bases that runs in a circle ends here too.
 ROUNDS = 40
@@ -86,6 +69,66 @@ def subtree_sums(nodes: DataFrame) -> DataFrame:
     return s.select(*KEY, "amount")
 
 
+#: Siblings and labels that are counted together.
+LABELS = 256
+
+
+def _sums_before(rows: DataFrame, group: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows of the group with a smaller ``order``, in two levels: of blocks, and within a block."""
+    before = lambda by, at: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__block", F.floor(F.col(order) / LABELS))
+    blocks = rows.groupBy(*group, "__block").agg(F.sum(value).alias(value)).select(*group, "__block", before(group, "__block").alias("__earlier"))
+    inside = rows.withColumn("__inside", before([*group, "__block"], order)).join(blocks, [*group, "__block"])
+    return inside.withColumn(name, F.col("__earlier") + F.col("__inside")).drop("__block", "__earlier", "__inside")
+
+
+def version_labels(versions: DataFrame) -> DataFrame:
+    """(file_id, version_id, first, last, depth): one row a version. A version is an ancestor of those of its file whose ``first`` lies from its
+    own first to its last; itself is one of them.
+
+    ``first`` is the place in preorder, children by id, from subtree sizes and their sums over elder siblings, summed up along the way
+    to the root. A version whose base is not there is a root."""
+    v = versions.select(*KEY, "base_version_id")
+    there = v.select("file_id", F.col("version_id").alias("base_version_id"), F.lit(True).alias("__there"))
+    tree = materialize(v.join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base_version_id")))
+    sizes = subtree_sums(tree.withColumn("amount", F.lit(1)))
+    rows = tree.join(sizes.withColumnRenamed("amount", "size"), KEY).withColumn("parent", F.coalesce("base_version_id", F.lit(-1)))
+    rows = materialize(_sums_before(rows, ["file_id", "parent"], "version_id", "size", "elder"))
+    # both sums of the way in one number: the place in the lower half, the versions on the way in the upper
+    step = F.col("elder") + F.col("base_version_id").isNotNull().cast("long") + F.lit(1 << 32)
+    ways = way_sums(rows.select(*KEY, F.col("base_version_id").alias("next"), step.alias("amount")))
+    first = F.col("amount").bitwiseAND(F.lit((1 << 32) - 1))
+    out = materialize(ways.join(rows.select(*KEY, "size"), KEY).select(*KEY, first.alias("first"), (first + F.col("size") - 1).alias("last"), (F.shiftright("amount", 32) - 1).cast("int").alias("depth")))
+    release(tree, rows)
+    return out
+
+
+def descendants(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """(file_id, ancestor, descendant, depth) for the asked (file_id, version_id), each with itself at depth 0.
+
+    An interval is dealt to the blocks of places that it covers and meets their versions by file and block, so a file of very many
+    versions is several tasks and rows grow with the answer."""
+    own = labels.join(asked.select(*KEY).distinct(), KEY, "left_semi")
+    block = lambda c: F.floor(F.col(c) / LABELS)
+    above = own.select("file_id", F.col("version_id").alias("ancestor"), F.col("first").alias("from"), F.col("last").alias("to"), F.col("depth").alias("above"), F.explode(F.sequence(block("first"), block("last"))).alias("block"))
+    below = labels.select("file_id", F.col("version_id").alias("descendant"), "first", F.col("depth").alias("below"), block("first").alias("block"))
+    return above.join(below, ["file_id", "block"]).where("first BETWEEN from AND to").select("file_id", "ancestor", "descendant", (F.col("below") - F.col("above")).alias("depth"))
+
+
+def is_ancestor(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(file_id, ancestor, descendant) with ``related``: is the one above the other, or the same? False for versions that are not there."""
+    a = labels.select("file_id", F.col("version_id").alias("ancestor"), F.col("first").alias("from"), F.col("last").alias("to"))
+    d = labels.select("file_id", F.col("version_id").alias("descendant"), "first")
+    joined = pairs.select("file_id", "ancestor", "descendant").join(a, ["file_id", "ancestor"], "left").join(d, ["file_id", "descendant"], "left")
+    return joined.select("file_id", "ancestor", "descendant", F.coalesce(F.col("first").between(F.col("from"), F.col("to")), F.lit(False)).alias("related"))
+
+
+def version_closure(versions: DataFrame) -> DataFrame:
+    """(file_id, ancestor, descendant, depth) over base_version_id, each version with itself at depth 0: all pairs, from the labels."""
+    labels = version_labels(versions)
+    return descendants(labels, labels)
+
+
 def image_distances(versions: DataFrame) -> DataFrame:
     """(file_id, version_id, next, far): edges to the nearest version with an image, in either direction of the tree, and
     the first version on the way; next is null at images (far 0), no row where there is no way.

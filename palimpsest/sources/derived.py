@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size
 from palimpsest.schema import Catalog
-from palimpsest.sources.tables import load_catalog, materialize, new_folder, save_catalog
+from palimpsest.sources.tables import file_states, load_catalog, materialize, new_folder, save_catalog
 
 REPLICA_ROWS = [(1, "h1", "ann", "/r1", None), (2, "h1", "ann", "/r2", 2), (3, "h2", "bob", "/r3", 3)]
 DEFAULT_ROWS = [("h1", "ann", 2)]
@@ -105,18 +105,21 @@ def catalog(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFr
     )
 
 
-#: Saved catalogs by application and tables.
-SAVED: dict[tuple[str, str], str] = {}
+#: Tables that the catalog is derived from.
+SOURCES = ("events", "orders", "lineitem")
+#: Folder of the saved catalog by application and tables, with the state that the tables had.
+SAVED: dict[tuple[str, str], tuple[list, str]] = {}
 
 
 def saved_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The same, written as a snapshot folder once in a session, so that no query plans the derivation again."""
+    """The same, written as a snapshot folder once in a session, so that no query plans the derivation again; anew when a source table's files change."""
     of = (spark.sparkContext.applicationId, sf_dir)
-    if of not in SAVED:
+    state = [file_states(spark, f"{sf_dir}/{name}.parquet") for name in SOURCES]
+    if SAVED.get(of, (None, ""))[0] != state:
         folder = new_folder(spark, "catalog")
         save_catalog(catalog(spark, sf_dir, materialize), folder)
-        SAVED[of] = folder
-    return load_catalog(spark, SAVED[of])
+        SAVED[of] = state, folder
+    return load_catalog(spark, SAVED[of][1])
 
 
 def many_replicas(spark: SparkSession, sf_dir: str) -> Catalog:

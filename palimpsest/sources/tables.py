@@ -49,6 +49,16 @@ def release(*made: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, time of change) of a table's files, in order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def scan_listing(spark: SparkSession, root: str, pattern: str | None = None, elements: list[tuple[str, str]] | None = None) -> DataFrame:
     """(path, size, mtime) of all files below a folder, paths relative to it. No content is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")

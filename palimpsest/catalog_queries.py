@@ -479,6 +479,7 @@ def _(c):
 
 def each_replica(plan: DataFrame) -> DataFrame:
     """The parts of the three replicas of the derived catalog."""
+    plan = tables.materialize(plan)
     first, *rest = [replica_sets.of_replica(plan, r[0]) for r in derived.REPLICA_ROWS]
     for more in rest:
         first = first.unionByName(more)
@@ -525,7 +526,8 @@ def _(c):
 
 @register("I4_sync_plan", "SELECT * FROM (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3) WHERE CASE replica_id WHEN 1 THEN regexp_full_match(path, 'g[^/]/u1[^/]*(/.*)?') WHEN 2 THEN (path LIKE '%.doc' OR path LIKE '%.ods') AND path NOT LIKE 'g0/%' ELSE path NOT LIKE '%.tmp' END", f"{PRESENT}, {ABSENT}, {NEW}")
 def _(c):
-    first, *rest = [sync.sync_plan_of(c, c.listing, r[0]) for r in derived.REPLICA_ROWS]
+    plan = tables.materialize(sync.sync_plan(c, c.listing))
+    first, *rest = [sync.sync_plan_of(c, plan, r[0]) for r in derived.REPLICA_ROWS]
     for more in rest:
         first = first.unionByName(more)
     return first
@@ -786,14 +788,17 @@ def _(spark, sf_dir):
     return deltas.compose_deltas(f.where("version_id = 2").drop("version_id"), f.where("version_id = 3").drop("version_id"), ["file_id"])
 
 
-@register("J7_apply_delta", "SELECT file_id, sha256(second) AS forward_sha256, sha256(text) AS reverse_sha256 FROM s2", FRAGMENTS, whole=True)
+THIRD = "s3 AS (SELECT *, substring(second, 1, q) || substring(second, 2 * q + 1) AS third FROM s2)"
+
+
+@register("J7_apply_delta", "SELECT file_id, 2 AS version_id, sha256(second) AS forward_sha256, sha256(text) AS reverse_sha256 FROM s3 UNION ALL SELECT file_id, 3, sha256(third), sha256(second) FROM s3", FRAGMENTS + ", " + THIRD, whole=True)
 def _(spark, sf_dir):
+    """Both edges of every chain, each from the one image to the other."""
     _, images, f = edits(spark, sf_dir)
-    edge = f.where("version_id = 2").drop("version_id")
-    of = lambda v: images.where(F.col("version_id") == v).select("file_id", "content")
-    ahead = deltas.apply_delta(of(1), edge, ["file_id"]).select("file_id", F.sha2("content", 256).alias("forward_sha256"))
-    back = deltas.apply_delta(of(2), edge, ["file_id"], reverse=True).select("file_id", F.sha2("content", 256).alias("reverse_sha256"))
-    return ahead.join(back, "file_id")
+    base = images.where("version_id < 3").select("file_id", (F.col("version_id") + 1).alias("version_id"), "content")
+    ahead = deltas.apply_delta(base, f, KEY).select(*KEY, F.sha2("content", 256).alias("forward_sha256"))
+    back = deltas.apply_delta(images.where("version_id > 1"), f, KEY, reverse=True).select(*KEY, F.sha2("content", 256).alias("reverse_sha256"))
+    return ahead.join(back, KEY)
 
 
 @register("J8_validate_delta", "SELECT file_id, version_id, side, problem FROM (SELECT file_id, 2 AS version_id, h AS first FROM s2 UNION ALL SELECT file_id, 3, q FROM s2), (VALUES ('forward', 'gap'), ('reverse', 'gap')) t(side, problem) WHERE first > 0", FRAGMENTS + ", " + SIZES, whole=True)
@@ -803,6 +808,34 @@ def _(spark, sf_dir):
     return deltas.validate_delta(f.where("NOT (kind = 'COMMON' AND fwd_off = 0)"), KEY, chain_sizes_of(images)).distinct()
 
 
+#: What is done to the deltas of a file, by file_id % 5.
+HARM = (
+    "SELECT file_id, 2 AS version_id, 'forward' AS side, 'wrong length' AS problem FROM s2 WHERE file_id % 5 = 0 UNION ALL "
+    "SELECT file_id, 2, 'forward', CASE WHEN n = h THEN 'wrong end' ELSE 'overlap' END FROM s2 WHERE file_id % 5 = 1 UNION ALL "
+    "SELECT file_id, 3, side, 'wrong end' FROM s2, (VALUES ('forward'), ('reverse')) t(side) WHERE file_id % 5 = 2 AND n + m - 2 * q > 1 UNION ALL "
+    "SELECT file_id, 2, side, problem FROM s2, (VALUES ('reverse', 'wrong end'), ('reverse', 'gap'), ('forward', 'source too short')) t(side, problem) WHERE file_id % 5 = 3 AND n > h"
+)
+
+
+@register("J8_validate_harmed", HARM, FRAGMENTS, whole=True)
+def _(spark, sf_dir):
+    """Data cut short, a fragment too long, an end that is missing, a copy from one unit further on: each told, and nothing else."""
+    _, images, f = edits(spark, sf_dir)
+    sizes = chain_sizes_of(images)
+    r, common = F.col("file_id") % 5, F.col("kind") == "COMMON"
+    last = F.max(F.when(common, F.col("fwd_off"))).over(Window.partitionBy(*KEY))
+    f = f.withColumn("last", common & (F.col("fwd_off") == last) & (F.col("fwd_off") > 0))
+    grown = (r == 1) & (F.col("version_id") == 2) & (F.col("kind") == "FORWARD")
+    cut = (r == 2) & (F.col("version_id") == 3) & F.col("last") & (F.col("len") > 1)
+    beyond = (r == 3) & (F.col("version_id") == 2) & F.col("last")
+    harmed = f.withColumns({
+        "data": F.when((r == 0) & (F.col("version_id") == 2) & (F.col("kind") == "FORWARD"), F.expr("substring(data, 2)")).when(grown, F.concat("data", F.lit("x"))).otherwise(F.col("data")),
+        "len": F.when(grown, F.col("len") + 1).when(cut, F.col("len") - 1).otherwise(F.col("len")),
+        "rev_off": F.when(beyond, F.col("rev_off") + 1).otherwise(F.col("rev_off")),
+    })
+    return deltas.validate_delta(harmed, KEY, sizes).distinct()
+
+
 @register("J9_encoded_size", f"SELECT file_id, version_id, {enc('size')} AS bytes, {enc('size * 1000003')} AS bytes_large FROM versions WHERE size IS NOT NULL")
 def _(c):
     return c.versions.where("size IS NOT NULL").select("file_id", "version_id", sizes.encoded_size(F.col("size")).alias("bytes"), sizes.encoded_size(F.col("size") * 1000003).alias("bytes_large"))
@@ -933,7 +966,7 @@ def _(c):
 def _(c):
     """An undo carried out whole: marks, files that give way, dummy versions, names."""
     r = derived.renamed(c)
-    return mutators.apply_undo(r, restore.undo_plan(r, EARLY, UNDO_NOW), UNDO_NOW).current.select("file_id", "path", "current_version_id", "size")
+    return mutators.apply_undo(r, tables.materialize(restore.undo_plan(r, EARLY, UNDO_NOW)), UNDO_NOW).current.select("file_id", "path", "current_version_id", "size")
 
 
 @register("K6_add_dummy_versions", "SELECT f.file_id, CASE WHEN a.action = 'REVERT' AND tpath <> a.path THEN tpath ELSE f.path END AS path, CASE WHEN a.action = 'REVERT' THEN f.current_version_id + 1 ELSE f.current_version_id END AS current_version_id, CASE WHEN a.action = 'REVERT' THEN a.size ELSE c.size END AS size FROM rfiles f JOIN cur c USING (file_id) LEFT JOIN ua a USING (file_id)", UNDO)

@@ -102,7 +102,7 @@ def sync_plan(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN", p
     return rows.select(*COLUMNS[1:], *one()).unionByName(never.select(*COLUMNS[1:], *sets))
 
 
-def sync_plan_of(c: Catalog, listing: DataFrame, replica_id: int, default_action: str = "UNKNOWN", pattern: str | None = None, filtered: bool = True, file_ids: DataFrame | None = None) -> DataFrame:
-    """One replica's part of ``sync_plan``, all rows filtered."""
-    own = of_replica(sync_plan(c, listing, default_action, pattern, filtered, file_ids), replica_id)
-    return (_passing(c, own) if filtered and file_ids is None else own).select(*COLUMNS)
+def sync_plan_of(c: Catalog, plan: DataFrame, replica_id: int, filtered: bool = True) -> DataFrame:
+    """One replica's part of a ``sync_plan``, rows for sets of replicas filtered as well."""
+    own = of_replica(plan, replica_id)
+    return (_passing(c, own) if filtered else own).select(*COLUMNS)

@@ -94,7 +94,7 @@ def common_runs(rev: np.ndarray, fwd: np.ndarray, chain: list[tuple[int, int]],
 def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: int = SPREAD) -> DataFrame:
     """(key, kind, rev_off, fwd_off, len, data) for rows (key, rev, fwd).
 
-    Both images are marked at the windows of k units whose hash is the least of their neighbours, one in 2 * spread + 1; equal marks, the
+    Both images are marked at the windows of k units whose hash is the least of their neighbours, one in 2 * spread + 1, and at both ends; equal marks, the
     nth of one side with the nth of the other, are joined by hash, and of a pair's marks the longest chain that goes up on both sides is kept.
     Marks are then compared as text and stretched as far as it is equal (``common_runs``); what no stretch covers is directional. So COMMON fragments are at least k
     long and go forward on both sides, and the fragments tile both images. A pair moves marks, an image's length / (2 * spread + 1), and

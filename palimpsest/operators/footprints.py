@@ -41,26 +41,25 @@ def rolling(u: np.ndarray, k: int) -> np.ndarray:
 
 
 def least_of_neighbours(h: np.ndarray, spread: int) -> np.ndarray:
-    """Places whose hash is below those of the ``spread`` windows before and not above those of the ``spread`` after.
+    """Places whose hash is below those of the ``spread`` windows before and not above those of the ``spread`` after, and the ``spread`` places
+    at either end, which have fewer neighbours.
 
     So equal stretches of two images have the same such places, but for ``spread`` at their ends, on average one in 2 * spread + 1."""
     if not spread or not len(h):
         return np.arange(len(h))
     top = np.full(spread, np.iinfo(np.uint64).max, np.uint64)
-    around = np.concatenate((top, h, top))
+    least, reach = np.concatenate((top, h, top)), 1
     # the least of each run of ``spread`` by doubling
-    least, reach = around, 1
     while reach < spread:
         step = min(reach, spread - reach)
         least, reach = np.minimum(least[: len(least) - step], least[step:]), reach + step
-    before, after = least[: len(h)], least[spread + 1 : spread + 1 + len(h)]
-    # a place without windows before it has none that is below it
-    first = np.arange(len(h)) == 0
-    return np.flatnonzero(((h < before) | first) & (h <= after))
+    marked = (h < least[: len(h)]) & (h <= least[spread + 1 : spread + 1 + len(h)])
+    marked[:spread] = marked[-spread:] = True
+    return np.flatnonzero(marked)
 
 
 def footprints(images: DataFrame, key: list[str], content: str = "content", k: int = 12, spread: int = 0, sample_mod: int = 1) -> DataFrame:
-    """(key, pos, hash) of windows of k units: of all, or with ``spread`` of those that are least among their neighbours, or with
+    """(key, pos, hash) of windows of k units: of all, or with ``spread`` of those that ``least_of_neighbours`` marks, or with
     ``sample_mod`` m of those whose hash is divisible by m. No row is made for a window that is not kept; null images have none."""
     keys = StructType([images.schema[c] for c in key])
     schema = StructType([*keys.fields, StructField("pos", IntegerType()), StructField("hash", LongType())])

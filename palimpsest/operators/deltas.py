@@ -7,12 +7,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size, encoded_size, in_time_frame
 from palimpsest.operators.footprints import footprints, units
@@ -103,13 +102,9 @@ def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: in
     marks = lambda side, name: footprints(pairs, key, side, k, spread).withColumn("nth", nth).withColumnRenamed("pos", name)
     hits = marks("fwd", "f").join(marks("rev", "r"), [*key, "hash", "nth"]).select(*key, "f", "r")
     keys = [pairs.schema[c] for c in key]
-    chained = StructType([*keys, StructField("f", ArrayType(IntegerType())), StructField("r", ArrayType(IntegerType()))])
-
-    def chain(own: pd.DataFrame) -> pd.DataFrame:
-        found = longest_chain(list(zip(own.f.tolist(), own.r.tolist(), strict=True)))
-        return pd.DataFrame({**{c: [own[c].iloc[0]] for c in key}, "f": [[x[0] for x in found]], "r": [[x[1] for x in found]]})
-
-    full = pairs.select(*key, "rev", "fwd").join(hits.groupBy(*key).applyInPandas(chain, chained), key, "left")
+    # of one pair as many as its shorter image has marks
+    listed = hits.groupBy(*key).agg(F.collect_list("f").alias("f"), F.collect_list("r").alias("r"))
+    full = pairs.select(*key, "rev", "fwd").join(listed, key, "left")
     text = pairs.schema["fwd"].dataType
     schema = StructType([*keys, StructField("kind", StringType()), *(StructField(c, LongType()) for c in ("rev_off", "fwd_off", "len")), StructField("data", text)])
     arrow = to_arrow_schema(schema)
@@ -121,7 +116,7 @@ def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: in
                 rev, fwd, f, r = (b.column(len(key) + j)[i].as_py() for j in range(4))
                 rev, fwd = empty if rev is None else rev, empty if fwd is None else fwd
                 rows, r0, f0 = [], 0, 0
-                for at_r, at_f, n in [*common_runs(units(rev), units(fwd), list(zip(f or [], r or [], strict=True)), k), (len(rev), len(fwd), 0)]:
+                for at_r, at_f, n in [*common_runs(units(rev), units(fwd), longest_chain(list(zip(f or [], r or [], strict=True))), k), (len(rev), len(fwd), 0)]:
                     rows += [("FORWARD", None, f0, at_f - f0, fwd[f0:at_f])] if at_f > f0 else []
                     rows += [("REVERSE", r0, None, at_r - r0, rev[r0:at_r])] if at_r > r0 else []
                     rows += [("COMMON", at_r, at_f, n, None)] if n else []

@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, sample_docs: int = 20_000, max_grams: int = 50_000,
 
     Fitted on a sample that is bounded for each language: all rows of a language that has at most ``sample_docs``, about
     so many of others, chosen by a hash of id and text. Each language keeps about ``max_grams`` of its most frequent
-    n-grams at most, so the model grows with the number of languages only. No language with an n-gram is lost: one whose
+    n-grams at most, ties cut by a hash, so the model grows with the number of languages only. No language with an n-gram is lost: one whose
     n-grams are all rarer than ``min_count`` keeps these, one that has none of its own keeps all."""
     key = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string") if "doc_id" in labelled.columns else F.lit(None), "text")
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(key, F.lit(1 << 30)).alias("key"))
@@ -135,8 +135,12 @@ def fit(labelled: DataFrame, sample_docs: int = 20_000, max_grams: int = 50_000,
     histogram = marked.groupBy("lang", "own", "n").agg(F.count("*").alias("c"))
     some = histogram.groupBy("lang").agg(F.max("own").alias("some"))
     ranked = histogram.join(some, "lang").where("own = some").withColumn("upto", F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
-    least = ranked.where((F.col("upto") <= max_grams) | (F.col("upto") == F.col("c"))).groupBy("lang", "own").agg(F.min("n").alias("least"), F.sum("c").alias("c"))
-    kept = join_split(marked, least, ["lang", "own"], "c", rows).where("n >= least")
+    # of the count at which they become too many, n-grams with small hashes
+    ranked = ranked.withColumn("part", F.least(F.lit(1.0), (F.lit(max_grams) - F.col("upto") + F.col("c")) / F.col("c")))
+    taken = F.when(F.col("part") > 0, F.col("n"))
+    least = ranked.groupBy("lang", "own").agg(F.min(taken).alias("least"), F.min_by("part", taken).alias("part"), F.sum("c").alias("c"))
+    tie = F.pmod(F.xxhash64(F.lit("tie"), "gram"), F.lit(1 << 30)) < F.col("part") * F.lit(1 << 30)
+    kept = join_split(marked, least, ["lang", "own"], "c", rows).where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & tie))
     grams: dict[str, list[int]] = {}
     for lang, gram in kept.select("lang", "gram").toLocalIterator():  # about max_grams for each language
         grams.setdefault(lang, []).append(gram)

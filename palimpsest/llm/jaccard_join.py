@@ -8,14 +8,15 @@ every one of several orders, and only pairs that pass all of them are compared i
    match nothing, so they are dropped from the set and from its prefix (the set keeps its size n). A document with fewer than
    ``ceil(t n)`` shared tokens cannot have a partner and leaves here with most others, before anything but packed fingerprints has moved.
 2. Equal sets are one node from here on, whatever their number.
-3. Links for the large groups: under each hashed order, sets with the same first token are sorted by size and
-   compared with their predecessors. Every link is a verified one. This joins near copies into components.
+3. Links for the large groups: under each hashed order, sets with the same first token are sorted by their tokens in that
+   order and compared with their predecessors. Every link is a verified one. This joins near copies into components.
 4. The rest, exactly. Prefix tokens under the rarest-first order that span more than one component give the candidates:
    pairs of different components that fit in size must share prefix tokens under the hashed orders too, then are compared in full.
    A token of more than ``HOT`` sets does not give pairs but families: sets that are connected by such tokens and then, within a family, by
    prefix tokens under a hashed order. A family's similar sets share tokens under both orders, so none is lost; they are
    compared in full, block against block of similar size, in matrix products that give back a spanning tree of links, never
-   pairs. Its cost grows with the square of the sets that are in one family without being equal.
+   pairs. Those of the family's largest component are not compared with each other, so its cost grows with the sets outside of that
+   times the family.
 
 Only which sets are connected is kept, which is all that components need; no link between components is lost.
 """
@@ -41,6 +42,8 @@ RAREST = None
 ORDERS = (0x1B873593, 0x38495AB5, 0x5BD1E995)
 #: Predecessors under the same first token that a set is compared with in step 3.
 NEIGHBOURS = 3
+#: Tokens by which sets are dealt to ranges there.
+LEAD = 32
 #: Bytes of sets that are taken up at once.
 SLICE = 4 << 20
 #: A prefix token of more sets than this is frequent.
@@ -107,6 +110,11 @@ def prefix(tokens: np.ndarray, n: int, percent: int, seed: int | None, most: int
     return tokens[np.argpartition(mix(tokens ^ np.uint64(seed)), length - 1)[:length]]
 
 
+def in_order(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """All tokens of a set under a hashed order."""
+    return tokens[np.argsort(mix(tokens ^ np.uint64(seed)))]
+
+
 def document_sets(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, shared, tokens) of every row; ``tokens``: the shared ones, of rows that can have a partner, else null."""
     rows, n_chunks = chunked(docs, id_col, text_col)
@@ -164,8 +172,15 @@ def links_by_head(nodes: DataFrame, percent: int) -> DataFrame:
     # only tokens that head several sets; the counts are combined map-side
     common = heads.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     near = heads.join(common, ["k", "token"]).join(nodes.select("id", "tokens"), "id").select("k", "token", "n", "id", "tokens")
-    # ranges also split a token that heads a third of all sets
-    near = near.repartitionByRange("k", "token", "n", "id").sortWithinPartitions("k", "token", "n", "id")
+
+    def put_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for batch in batches for x in slices(batch, SLICE, 4)):
+            under = [in_order(np.frombuffer(x, dtype="<u8"), ORDERS[k]).tobytes() for k, x in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(under, pa.binary())], names=b.schema.names)
+
+    near = near.mapInArrow(put_in_order, "k int, token bigint, n bigint, id bigint, tokens binary").withColumn("lead", F.substring("tokens", 1, 8 * LEAD))
+    # ranges also split a token that heads a third of all sets; neighbours have the longest beginnings in common
+    near = near.repartitionByRange("k", "token", "lead", "id").sortWithinPartitions("k", "token", "tokens", "id").drop("lead")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, before = None, []
@@ -219,17 +234,31 @@ def families(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def family_links(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links that join all similar sets among those that share frequent prefix tokens, rows (token, id, n, component)."""
-    member = families(rows, nodes, percent)
+    member = families(rows, nodes, percent).join(rows.select("id", "component").distinct(), "id")
+    largest = member.groupBy("family", "component").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("c"))
     # similar sets lie in one size class or in neighbouring ones
-    sized = materialize(member.join(nodes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")).drop("n"))
+    sized = materialize(
+        join_split(member, largest, ["family"], "c", member.count())
+        .join(nodes.select("id", "n"), "id")
+        .select("id", "family", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int").alias("class"), (F.col("component") == F.col("main")).alias("joined"))
+    )
     total, of = sized.count(), ["family", "class"]
-    blocks = materialize(sized.groupBy(*of).agg(F.count("*").alias("c"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    own = materialize(join_split(sized, blocks, of, "c", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    neighbour = lambda step, name: blocks.select("family", (F.col("class") - step).alias("class"), F.col("blocks").alias(name)).join(blocks.drop("blocks"), of)
-    beside = lambda step, name: join_split(own, neighbour(step, name), of, "c", total).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(name) - 1)))
-    inner = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.col("class").alias("c1"), F.least("block", "other").alias("i"), F.col("class").alias("c2"), F.greatest("block", "other").alias("j"), "id")
-    low = beside(1, "above").select("family", F.col("class").alias("c1"), F.col("block").alias("i"), (F.col("class") + 1).alias("c2"), F.col("other").alias("j"), "id")
-    high = beside(-1, "below").select("family", (F.col("class") - 1).alias("c1"), F.col("other").alias("i"), F.col("class").alias("c2"), F.col("block").alias("j"), "id")
+    # the blocks of each class: first those of the largest component, then the others
+    of_main = F.ceil(F.count_if("joined") / BLOCK).cast("int")
+    blocks = materialize(sized.groupBy(*of).agg(F.count("*").alias("c"), of_main.alias("split"), (of_main + F.ceil(F.count_if(~F.col("joined")) / BLOCK)).cast("int").alias("blocks")))
+    place = lambda n: F.pmod(F.xxhash64("id"), n)
+    own = materialize(join_split(sized, blocks, of, "c", total).withColumn("block", F.when(F.col("joined"), place(F.col("split"))).otherwise(F.col("split") + place(F.col("blocks") - F.col("split"))).cast("int")))
+
+    def against(rows: DataFrame, split: str, last: str) -> DataFrame:
+        """Each row with the blocks that it is compared with: those of the largest component with others only."""
+        first = F.when(F.col("joined"), F.col(split)).otherwise(0)
+        return rows.withColumn("other", F.explode(F.when(first < F.col(last), F.sequence(first, F.col(last) - 1))))
+
+    neighbour = lambda step: blocks.select("family", (F.col("class") - step).alias("class"), F.col("split").alias("s"), F.col("blocks").alias("b")).join(blocks.drop("blocks", "split"), of)
+    beside = lambda step: against(join_split(own, neighbour(step), of, "c", total), "s", "b")
+    inner = against(own, "split", "blocks").select("family", F.col("class").alias("c1"), F.least("block", "other").alias("i"), F.col("class").alias("c2"), F.greatest("block", "other").alias("j"), "id")
+    low = beside(1).select("family", F.col("class").alias("c1"), F.col("block").alias("i"), (F.col("class") + 1).alias("c2"), F.col("other").alias("j"), "id")
+    high = beside(-1).select("family", (F.col("class") - 1).alias("c1"), F.col("other").alias("i"), F.col("class").alias("c2"), F.col("block").alias("j"), "id")
     dealt = inner.unionByName(low).unionByName(high).join(nodes.select("id", "n", "tokens"), "id")
 
     def compare(t: pa.Table) -> pa.Table:

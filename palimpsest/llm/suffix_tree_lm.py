@@ -148,14 +148,14 @@ def received(t: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def answers_to(asks: DataFrame, kind: str, step: int, resolve) -> DataFrame:
-    """(step, bucket, chunk, data): for each message the sums of its hashes' values over all chunks, as resolve gives them."""
+    """(step, bucket, chunk, data): for each message what resolve makes of its hashes' sums over all chunks and its own values."""
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")  # sums of doubles do not depend on the order of arrival
         at, values, hashes, ends = received(t, kind)
         sums = np.zeros(len(hashes), "<f8" if kind == "<f4" else kind)
         np.add.at(sums, at, values)
-        parts = [bundle(x) for x in np.split(resolve(sums)[at], ends)]
+        parts = [bundle(x) for x in np.split(resolve(sums[at], values), ends)]
         return pa.table([pa.array([step] * len(parts), pa.int32()), t["bucket"], t["chunk"], pa.array(parts, pa.binary())], names=["step", "bucket", "chunk", "data"])
 
     return materialize(asks.groupBy("bucket").applyInArrow(answer, "step int, bucket int, chunk int, data binary"))
@@ -213,10 +213,15 @@ class ChunkGrams:
         grams = mix(self.context[at] * np.uint64(0xC2B2AE3D27D4EB4F) + self.named[self.tokens[at]])
         return at, *numbered(grams >> self.short << self.short)
 
+    def own(self, at: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """How often this chunk's training texts have each of n grams."""
+        return np.bincount(gram[self.train[at]], minlength=n).astype("<i8")
+
     def count(self) -> None:
+        """The answer says what the other chunks have, mostly nothing: it is small, and every later step reads it again."""
         at, hashes, gram = self.deepen()
         seen = np.zeros(len(self.tokens), np.int64)
-        seen[at] = self.answered(2 * len(self.seen) - 1, hashes, "<i8")[gram]
+        seen[at] = (self.answered(2 * len(self.seen) - 1, hashes, "<i8") + self.own(at, gram, len(hashes)))[gram]
         self.seen.append(seen)
 
     def possible(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,7 +237,7 @@ class ChunkGrams:
 
     def ask_counts(self, chunk: int) -> list[tuple[int, int, bytes]]:
         at, hashes, gram = self.deepen()
-        return asked(hashes, np.bincount(gram[self.train[at]], minlength=len(hashes)).astype("<i8"), chunk, self.n)
+        return asked(hashes, self.own(at, gram, len(hashes)), chunk, self.n)
 
     def ask_gains(self, chunk: int) -> list[tuple[int, int, bytes]]:
         """Code length that each of the deepest contexts saves in this chunk's training texts."""
@@ -326,8 +331,8 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
 
     known = docs.sparkSession.createDataFrame([], "step int, bucket int, chunk int, data binary")
     for step in range(1, 2 * DEPTH, 2):
-        known = known.unionByName(answers_to(asks(known, step - 1, ChunkGrams.ask_counts), "<i8", step, lambda x: x))
-        known = known.unionByName(answers_to(asks(known, step, ChunkGrams.ask_gains), "<f4", step + 1, lambda x: (x >= min_gain).astype("|u1")))
+        known = known.unionByName(answers_to(asks(known, step - 1, ChunkGrams.ask_counts), "<i8", step, lambda total, own: total - own))
+        known = known.unionByName(answers_to(asks(known, step, ChunkGrams.ask_gains), "<f4", step + 1, lambda saved, own: (saved >= min_gain).astype("|u1")))
 
     def score(t: pa.Table, back: pa.Table) -> pa.Table:
         each = grams(t, back, 2 * DEPTH).log_probs()

@@ -14,6 +14,8 @@ from palimpsest import schema
 from palimpsest.functions.paths import apply_filter, glob_match
 from palimpsest.schema import Catalog
 
+#: Spark's setting by which a finished query deletes its shuffle files.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folder of each materialised frame.
 WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -34,9 +36,16 @@ def new_folder(spark: SparkSession, kind: str = "palimpsest") -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, columnar and compressed."""
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, columnar and compressed.
+
+    Once it is written, nothing reads the query's shuffle files: they go at once and not when the driver collects garbage."""
+    path, conf = new_folder(df.sparkSession), df.sparkSession.conf
+    before = conf.get(CLEAN_UP)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     WRITTEN[back] = path
     return back

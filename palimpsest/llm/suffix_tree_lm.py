@@ -95,6 +95,7 @@ def fit(texts: DataFrame, min_count: int = 50, min_gain: float = 30.0, weight: f
 
 
 END_WORD = b"\n"  # no word holds white space
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def bundle(*arrays: np.ndarray) -> bytes:
@@ -118,20 +119,22 @@ class ChunkWords:
     """The documents of a chunk as word numbers; distinct words in ascending order of their hashes. The end is a word."""
 
     def __init__(self, t: pa.Table):
-        number: dict[bytes, int] = {}
-        parts = []
-        for text in t["text"].to_pylist():  # one text's words at a time
-            (words,) = words_of([text])
-            words.append(END_WORD)
-            for w in set(words).difference(number):
-                number[w] = len(number)
-            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        texts = [x.lower() for x in t["text"].cast(pa.large_binary()).to_pylist()]
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # each text ends in white space
+        inner = ~SPACE[raw]
+        edge = np.flatnonzero(np.diff(inner, prepend=False))  # where words begin and end, by turns
+        before, cut = edge[::2], np.concatenate(([0], np.cumsum(edge[1::2] - edge[::2])))
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(before), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw[inner])])
+        coded = flat.dictionary_encode()
+        _, ends, letters = coded.dictionary.buffers()
+        at, letters = np.frombuffer(ends, np.int64, len(coded.dictionary) + 1).tolist() if ends else [0], letters.to_pybytes() if letters else b""
+        hashes = np.array([*(xxhash.xxh3_64_intdigest(letters[a:b]) for a, b in zip(at, at[1:], strict=False)), xxhash.xxh3_64_intdigest(END_WORD)], np.uint64)
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        self.hashes, self.words = hashes[order], rank[np.concatenate(parts)]
-        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        upto = np.searchsorted(before, np.cumsum([len(x) + 1 for x in texts]))  # words up to the end of each text
+        self.hashes, self.words = hashes[order], np.insert(rank[coded.indices.to_numpy()], upto, rank[-1])
+        self.sizes = np.diff(upto, prepend=0) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
 
 

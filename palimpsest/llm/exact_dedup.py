@@ -38,14 +38,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they came. Repeated rows of one winning id collapse into one, and so do
-    equal texts that have null ids only."""
+    """The rows of ``docs`` that stay, all columns as they came, whatever their names. Repeated rows of one winning id
+    collapse into one. Of equal texts that have null ids only, the smallest by bytes stays (then the row with the smallest
+    hash). Null text counts as empty; an empty table gives an
+    empty result; texts are compared whole, however long."""
     groups = exact_groups(docs, id_col, text_col, salts)
+    sha = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so nobody else's
+    row = sha + "_"
     stay = with_ids(docs, groups.where("kept AND doc_id IS NOT NULL").select("doc_id"), id_col)
-    text = F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256)
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__sha", text).dropDuplicates(["__sha"])
-    alone = groups.where("kept AND doc_id IS NULL").select(F.col("text_sha256").alias("__sha"))
-    return stay.unionByName(nameless.join(alone, "__sha", "left_semi").drop("__sha"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    nameless = docs.where(F.col(id_col).isNull()).groupBy(F.sha2(F.coalesce(ascii_lower(F.col(text_col)), F.lit("")), 256).alias(sha))
+    nameless = nameless.agg(F.min_by(whole, F.struct(F.coalesce(text_col, F.lit("")), F.xxhash64(F.to_json(whole)))).alias(row)).select(sha, f"{row}.*")
+    alone = groups.where("kept AND doc_id IS NULL").select(F.col("text_sha256").alias(sha))
+    return stay.unionByName(nameless.join(alone, sha, "left_semi").drop(sha))
 
 
 def op8_query(docs: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm import jaccard_join, langid, packing, pii
+from palimpsest.llm.common import materialize
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = {"en": "the of and that with from river stone house water light under morning garden".split(), "de": "der die und nicht mit einem wasser schloss straße morgen garten haus über schön".split()}
@@ -76,3 +78,24 @@ def test_stages_keep_the_columns(spark, tables):
 
 def test_no_documents(spark, tables):
     assert corpus_pipeline.run(spark, f"{tables}/none").count() == 0
+
+
+CLASHING = ("__sha", "sha", "chunk", "bucket", "data", "kind", "norm", "salt", "h2", "keep_id", "group_size", "kept", "id", "node", "component", "component_id", "n_shingles", "token", "k", "n", "score", "lang_pred", "spans", "key")
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    text = "the river and the stone house that lies under morning light with water from the garden "
+    rows = [(None, None), (None, text), (None, text), (None, text.upper()), (1, text * 2), (2, text * 2), (2, text * 2), (3, ""), (4, None), (5, "17 4"), (6, "garden that lies with the light " * 4000), (7, "the house of the river a.b@example.org")]
+    plain = spark.createDataFrame([(i, t, "en" if i else None, "s", len(t or "")) for i, t in rows], SCHEMA)
+    wide = plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHING})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, old = materialize(stage(spark, plain, "")), wide
+        wide = materialize(stage(spark, wide, ""))
+        assert wide.dtypes == old.dtypes
+        found = wide.collect()
+        assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(r.doc_id), r.text) for r in plain.collect())
+        assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in found for c in CLASHING)
+    assert [r.text for r in found if r.doc_id is None] == [text.upper()]
+    assert {r.doc_id for r in found} >= {6, 7} and 1 not in {r.doc_id for r in found}
+    packed = corpus_pipeline.STAGES[-1][1](spark, wide, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in found}

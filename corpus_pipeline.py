@@ -1,7 +1,8 @@
 """The corpus pipeline over ``documents``: language ID, exact and near dedup, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of ``documents``.
+one's docs. All but the last return the columns of ``documents``, and any others that there are, as they came and whatever
+their names. Texts are read whole, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that was learned from the labelled ones stay; null texts and those without a letter go."""
+    """Texts in a language that was learned from the labelled ones stay; null and empty texts and those without a letter go.
+    Repeated rows are judged each for itself; null ids and languages do no harm."""
     return langid.identified(docs, LEAST_LANGUAGE_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest doc_id stays."""
+    """Of texts that are equal but for the case of A-Z, the one with the largest doc_id stays; where all ids
+    are null, the smallest text by bytes. Null text counts as empty, repeated rows of one id collapse into one."""
     return exact_dedup.dedup(docs)
 
 

@@ -17,7 +17,7 @@ def audit_duplicate_paths(c: Catalog) -> DataFrame:
 
 def audit_references(c: Catalog) -> DataFrame:
     """(rule, key): references to rows that are not there, and filter names that are not lower-case or not unique."""
-    versions = c.versions.select("file_id", "version_id")
+    versions = c.versions.select("file_id", "version_id").hint("merge")
 
     def offenders(rule: str, rows: DataFrame, key: Column) -> DataFrame:
         return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
@@ -28,7 +28,7 @@ def audit_references(c: Catalog) -> DataFrame:
     pair = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
     return (
         missing("current", c.files.select("file_id", F.col("current_version_id").alias("version_id")), versions, ["file_id", "version_id"], F.col("file_id"))
-        .unionByName(missing("version file", c.versions, c.files.select("file_id"), ["file_id"], pair("file_id", "version_id")))
+        .unionByName(missing("version file", c.versions, c.files.select("file_id").hint("merge"), ["file_id"], pair("file_id", "version_id")))
         .unionByName(missing("base", c.versions.where("base_version_id IS NOT NULL").select("file_id", F.col("base_version_id").alias("version_id"), F.col("version_id").alias("child")), versions, ["file_id", "version_id"], pair("file_id", "child")))
         .unionByName(missing("sync version", c.last_sync.where("version_id IS NOT NULL"), versions, ["file_id", "version_id"], pair("file_id", "replica_id")))
         .unionByName(missing("sync replica", c.last_sync, c.replicas.select("replica_id"), ["replica_id"], pair("file_id", "replica_id")))
@@ -41,8 +41,8 @@ def audit_references(c: Catalog) -> DataFrame:
 def audit_version_order(c: Catalog) -> DataFrame:
     """(rule, file_id, version_id): older than its base, a mark for a base, or newer than its file's current version."""
     base = c.versions.select("file_id", F.col("version_id").alias("base_version_id"), F.col("modified").alias("base_time"), F.col("size").alias("base_size"))
-    child = c.versions.where("base_version_id IS NOT NULL").join(base, ["file_id", "base_version_id"])
-    newer = c.versions.join(c.current.select("file_id", F.col("modified").alias("current_time")), "file_id").where("modified > current_time")
+    child = c.versions.where("base_version_id IS NOT NULL").hint("merge").join(base, ["file_id", "base_version_id"])
+    newer = c.versions.hint("merge").join(c.current.select("file_id", F.col("modified").alias("current_time")), "file_id").where("modified > current_time")
     row = lambda rule, rows: rows.select(F.lit(rule).alias("rule"), "file_id", "version_id")
     return row("older than base", child.where("modified < base_time")).unionByName(row("base is mark", child.where("base_size IS NULL"))).unionByName(row("newer than current", newer))
 
@@ -50,7 +50,7 @@ def audit_version_order(c: Catalog) -> DataFrame:
 def audit_path_nesting(c: Catalog) -> DataFrame:
     """Distinct (ancestor_path, path) of file records that lie below another."""
     below = c.files.select("path").distinct().withColumn("ancestor_path", F.explode(prefixes("path", proper=True)))
-    return below.join(c.files.select(F.col("path").alias("ancestor_path")).distinct(), "ancestor_path", "left_semi").select("ancestor_path", "path")
+    return below.hint("merge").join(c.files.select(F.col("path").alias("ancestor_path")).distinct(), "ancestor_path", "left_semi").select("ancestor_path", "path")
 
 
 def audit_restorability(c: Catalog) -> DataFrame:
@@ -59,6 +59,6 @@ def audit_restorability(c: Catalog) -> DataFrame:
     d = c.versions.select("file_id", F.col("version_id").alias("edge_version_id"), "cdelta_len", "fdelta_len", "rdelta_len")
     lacking = F.col("cdelta_len").isNull() | F.when(F.col("direction") == "FORWARD", F.col("fdelta_len").isNull()).otherwise(F.col("rdelta_len").isNull())
     bad = F.coalesce(lacking, F.lit(True)) | (F.col("direction") == "BROKEN")
-    ways = way_sums(hops.join(d, ["file_id", "edge_version_id"], "left").select("file_id", F.col("source").alias("version_id"), "next", bad.cast("long").alias("amount"))).withColumnRenamed("amount", "bad")
-    need = c.versions.where("size IS NOT NULL AND NOT has_image").select("file_id", "version_id").join(ways, ["file_id", "version_id"], "left")
+    ways = way_sums(hops.hint("merge").join(d, ["file_id", "edge_version_id"], "left").select("file_id", F.col("source").alias("version_id"), "next", bad.cast("long").alias("amount"))).withColumnRenamed("amount", "bad")
+    need = c.versions.where("size IS NOT NULL AND NOT has_image").select("file_id", "version_id").hint("merge").join(ways, ["file_id", "version_id"], "left")
     return need.where("bad IS NULL OR bad > 0").select("file_id", "version_id", F.when(F.col("bad").isNull(), "no way").otherwise("missing delta").alias("reason"))

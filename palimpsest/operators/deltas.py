@@ -100,11 +100,11 @@ def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: in
     no row for a unit; its texts are read in the row they are in. A null image is empty."""
     nth = F.row_number().over(Window.partitionBy(*key, "hash").orderBy("pos"))
     marks = lambda side, name: footprints(pairs, key, side, k, spread).withColumn("nth", nth).withColumnRenamed("pos", name)
-    hits = marks("fwd", "f").join(marks("rev", "r"), [*key, "hash", "nth"]).select(*key, "f", "r")
+    hits = marks("fwd", "f").hint("merge").join(marks("rev", "r"), [*key, "hash", "nth"]).select(*key, "f", "r")
     keys = [pairs.schema[c] for c in key]
     # of one pair as many as its shorter image has marks
     listed = hits.groupBy(*key).agg(F.collect_list("f").alias("f"), F.collect_list("r").alias("r"))
-    full = pairs.select(*key, "rev", "fwd").join(listed, key, "left")
+    full = pairs.select(*key, "rev", "fwd").hint("merge").join(listed, key, "left")
     text = pairs.schema["fwd"].dataType
     schema = StructType([*keys, StructField("kind", StringType()), *(StructField(c, LongType()) for c in ("rev_off", "fwd_off", "len")), StructField("data", text)])
     arrow = to_arrow_schema(schema)
@@ -140,7 +140,7 @@ def diff_stats(fragments: DataFrame, key: list[str], sizes: DataFrame) -> DataFr
     ``sizes``: (key, rev_size, fwd_size) of every pair, also of pairs without fragments."""
     kinds = ("COMMON", "FORWARD", "REVERSE")
     of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, c)), F.lit(0)).cast("long")
-    agg = sizes.join(fragments, key, "left").groupBy(*key, "rev_size", "fwd_size").agg(
+    agg = sizes.hint("merge").join(fragments, key, "left").groupBy(*key, "rev_size", "fwd_size").agg(
         *[x for kind in kinds for x in (of(kind, F.lit(1)).alias(f"n_{kind.lower()}"), of(kind, F.col("len")).alias(f"data_{kind.lower()}"), (of(kind, fragment_size()) + EMPTY_DELTA).alias(f"size_{kind.lower()}"))]
     )
     total = F.col("size_common") + F.col("size_forward") + F.col("size_reverse")
@@ -165,14 +165,14 @@ def content_changed(c: Catalog, fragments: DataFrame | None = None) -> DataFrame
     Stored lengths are compared, and with ``fragments`` what they hold too: a delta may be as long as the dummy and say something else. Only versions
     whose lengths leave it open meet their fragments; the dummy's digest comes from the base's size."""
     base = c.versions.select("file_id", F.col("version_id").alias("base_version_id"), F.col("size").alias("base_size"))
-    v = c.versions.join(base, ["file_id", "base_version_id"], "left")
+    v = c.versions.hint("merge").join(base, ["file_id", "base_version_id"], "left")
     same = F.col("cdelta_len").eqNullSafe(dummy_common_size(F.col("base_size"))) & F.col("fdelta_len").eqNullSafe(F.lit(EMPTY_DELTA)) & F.col("rdelta_len").eqNullSafe(F.lit(EMPTY_DELTA))
     if fragments is not None:
         open_ = v.where(same & ~F.col("has_image")).select("file_id", "version_id")
-        found = fragment_digests(fragments.join(open_, ["file_id", "version_id"], "left_semi"))
+        found = fragment_digests(fragments.hint("merge").join(open_, ["file_id", "version_id"], "left_semi"))
         zero, nothing = F.lit(0).cast("long"), F.lit(None).cast(fragments.schema["data"].dataType)
         dummy = F.when(F.col("base_size") > 0, F.xxhash64(F.lit("COMMON"), zero, zero, F.col("base_size"), nothing).cast("decimal(20,0)"))
-        v = v.join(found, ["file_id", "version_id"], "left")
+        v = v.hint("merge").join(found, ["file_id", "version_id"], "left")
         same = same & F.coalesce("n", F.lit(0)).eqNullSafe((F.col("base_size") > 0).cast("long")) & F.col("fragments_digest").eqNullSafe(dummy)
     return v.where(F.col("size").isNotNull() & (F.col("has_image") | F.col("base_version_id").isNull() | ~same)).select("file_id", "version_id", "modified")
 
@@ -180,7 +180,7 @@ def content_changed(c: Catalog, fragments: DataFrame | None = None) -> DataFrame
 def changed_paths(c: Catalog, start: str, end: str, fragments: DataFrame | None = None) -> DataFrame:
     """Paths with a version in the frame that changed content, depth first."""
     hit = content_changed(c, fragments).where(in_time_frame(F.col("modified"), start, end)).select("file_id").distinct()
-    return c.files.join(hit, "file_id", "left_semi").select("path").distinct().orderBy(F.split("path", "/"))
+    return c.files.hint("merge").join(hit, "file_id", "left_semi").select("path").distinct().orderBy(F.split("path", "/"))
 
 
 def compose_deltas(lower: DataFrame, upper: DataFrame, key: list[str], bucket: int = OVERLAP_BUCKET) -> DataFrame:
@@ -221,7 +221,7 @@ def apply_delta(images: DataFrame, fragments: DataFrame, key: list[str], reverse
     text = dict(images.dtypes)["content"] == "string"
     data = lambda p: F.when(p["source"].isNull(), p["data"]).otherwise(F.substring("content", (p["source"] + 1).cast("int"), p["len"].cast("int")))
     joined = F.array_join(F.transform("parts", data), "") if text else F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(data(p))), ""))
-    return images.select(*key, "content").join(rows, key, "left").select(*key, F.coalesce(joined, F.lit("") if text else F.lit(b"")).alias("content"))
+    return images.select(*key, "content").hint("merge").join(rows, key, "left").select(*key, F.coalesce(joined, F.lit("") if text else F.lit(b"")).alias("content"))
 
 
 def validate_delta(fragments: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def validate_delta(fragments: DataFrame, key: list[str], sizes: DataFrame) -> Da
     out = None
     for side, own, off, other, size in (("forward", "FORWARD", "fwd_off", "rev_off", "fwd_size"), ("reverse", "REVERSE", "rev_off", "fwd_off", "rev_size")):
         w = Window.partitionBy(*key).orderBy(off)
-        rows = fragments.where(F.col("kind").isin("COMMON", own)).join(sizes, key)
+        rows = fragments.where(F.col("kind").isin("COMMON", own)).hint("merge").join(sizes, key)
         nxt = F.lead(off).over(w)
         # the last COMMON before a fragment, for the order of their sources
         last = F.max(F.when(F.col("kind") == "COMMON", F.col(other))).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -254,8 +254,8 @@ def storage_policy(c: Catalog, chain_sizes: DataFrame, stats: DataFrame | None =
     base has an image, else DELTAS_AND_IMAGE; after an aborted diff IMAGE, or IMAGE_AND_BASE_IMAGE if the base has none."""
     base = c.versions.select("file_id", F.col("version_id").alias("base_version_id"), F.col("has_image").alias("base_image"))
     chains = chain_sizes.withColumnRenamed("version_id", "base_version_id")
-    v = c.versions.where("size IS NOT NULL AND base_version_id IS NOT NULL AND cdelta_len IS NOT NULL").join(base, ["file_id", "base_version_id"]).join(chains, ["file_id", "base_version_id"], "left")
-    v = v.join(stats.select("file_id", "version_id", "aborted"), ["file_id", "version_id"], "left") if stats is not None else v.withColumn("aborted", F.lit(False))
+    v = c.versions.where("size IS NOT NULL AND base_version_id IS NOT NULL AND cdelta_len IS NOT NULL").hint("merge").join(base, ["file_id", "base_version_id"]).hint("merge").join(chains, ["file_id", "base_version_id"], "left")
+    v = v.hint("merge").join(stats.select("file_id", "version_id", "aborted"), ["file_id", "version_id"], "left") if stats is not None else v.withColumn("aborted", F.lit(False))
     chain = F.coalesce("chain_size", F.lit(0)) + F.col("cdelta_len") + F.col("fdelta_len")
     fits = chain <= max_share * F.col("size")
     fits = fits & (chain <= cumulative_limit) if cumulative_limit is not None else fits
@@ -267,7 +267,7 @@ def storage_policy(c: Catalog, chain_sizes: DataFrame, stats: DataFrame | None =
 def turned(fragments: DataFrame, hops: DataFrame) -> DataFrame:
     """Fragments of the deltas that ``hops`` use, as deltas next -> version: COMMON and FORWARD, whichever way they were stored."""
     edges = hops.select("file_id", "version_id", "edge_version_id", "direction")
-    used = fragments.withColumnRenamed("version_id", "edge_version_id").join(edges, ["file_id", "edge_version_id"])
+    used = fragments.withColumnRenamed("version_id", "edge_version_id").hint("merge").join(edges, ["file_id", "edge_version_id"])
     ahead = F.col("direction") == "FORWARD"
     kept = (F.col("kind") == "COMMON") | (F.col("kind") == F.col("direction"))
     common = F.col("kind") == "COMMON"
@@ -290,18 +290,18 @@ def rebuild_images(versions: DataFrame, images: DataFrame, fragments: DataFrame)
     release(hops)
     for _ in range(ROUNDS):
         on = up.select("file_id", F.col("version_id").alias("up"), F.col("up").alias("higher"))
-        open_ = materialize(up.join(on, ["file_id", "up"]).select("file_id", "version_id", "up", "higher"))
+        open_ = materialize(up.hint("merge").join(on, ["file_id", "up"]).select("file_id", "version_id", "up", "higher"))
         if open_.isEmpty():
             release(open_)
             break
-        lower = deltas.withColumnRenamed("version_id", "up").join(open_.select("file_id", "version_id", "up"), ["file_id", "up"]).drop("up")
-        upper = deltas.join(open_.select("file_id", "version_id"), KEY, "left_semi")
-        done = deltas.join(open_.select("file_id", "version_id"), KEY, "left_anti")
+        lower = deltas.withColumnRenamed("version_id", "up").hint("merge").join(open_.select("file_id", "version_id", "up"), ["file_id", "up"]).drop("up")
+        upper = deltas.hint("merge").join(open_.select("file_id", "version_id"), KEY, "left_semi")
+        done = deltas.hint("merge").join(open_.select("file_id", "version_id"), KEY, "left_anti")
         fields = ["file_id", "version_id", "kind", "rev_off", "fwd_off", "len", "data"]
         new = materialize(done.select(*fields).unionByName(compose_deltas(lower, upper, KEY).select(*fields)))
-        new_up = materialize(up.join(open_.select("file_id", "version_id", "higher"), KEY, "left").select("file_id", "version_id", F.coalesce("higher", "up").alias("up")))
+        new_up = materialize(up.hint("merge").join(open_.select("file_id", "version_id", "higher"), KEY, "left").select("file_id", "version_id", F.coalesce("higher", "up").alias("up")))
         release(deltas, up, open_)
         deltas, up = new, new_up
-    stored = images.join(versions.where("has_image").select(*KEY), KEY, "left_semi").select("file_id", "version_id", "content")
-    sources = up.join(stored.withColumnRenamed("version_id", "up"), ["file_id", "up"]).select("file_id", "version_id", "content")
+    stored = images.hint("merge").join(versions.where("has_image").select(*KEY), KEY, "left_semi").select("file_id", "version_id", "content")
+    sources = up.hint("merge").join(stored.withColumnRenamed("version_id", "up"), ["file_id", "up"]).select("file_id", "version_id", "content")
     return stored.unionByName(apply_delta(sources, deltas, KEY))

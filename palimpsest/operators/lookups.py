@@ -18,24 +18,24 @@ def is_deletion_mark(size: Column | str = "size") -> Column:
 def versions_with_effective_path(c: Catalog) -> DataFrame:
     """Versions with ``effective_path``: their own old path, else their file's; and the file's own ``file_path``."""
     f = c.files.select("file_id", F.col("path").alias("file_path"), "current_version_id")
-    return c.versions.join(f, "file_id").withColumn("effective_path", F.coalesce("path", "file_path"))
+    return c.versions.hint("merge").join(f, "file_id").withColumn("effective_path", F.coalesce("path", "file_path"))
 
 
 def existing_file_at(c: Catalog, paths: DataFrame) -> DataFrame:
     """The existing file of each requested (path)."""
-    return c.existing.join(paths.select("path").distinct(), "path").select("path", "file_id", "current_version_id")
+    return c.existing.hint("merge").join(paths.select("path").distinct(), "path").select("path", "file_id", "current_version_id")
 
 
 def files_at(c: Catalog, paths: DataFrame) -> DataFrame:
     """All records at each requested (path); ``deleted_at``: time of the current deletion mark."""
-    at = c.current.join(paths.select("path").distinct(), "path")
+    at = c.current.hint("merge").join(paths.select("path").distinct(), "path")
     return at.select("path", "file_id", "current_version_id", F.when(is_deletion_mark(), F.col("modified")).alias("deleted_at"))
 
 
 def renamed_files_with_versions_at(c: Catalog, paths: DataFrame) -> DataFrame:
     """Distinct files that had a version at a requested (path) and lie elsewhere now."""
-    old = c.versions.where("path IS NOT NULL").select("file_id", "path").distinct().join(paths.select("path").distinct(), "path")
-    return old.join(c.files.select("file_id", F.col("path").alias("path_now")), "file_id").where("path <> path_now").select("path", "file_id", "path_now")
+    old = c.versions.where("path IS NOT NULL").select("file_id", "path").distinct().hint("merge").join(paths.select("path").distinct(), "path")
+    return old.hint("merge").join(c.files.select("file_id", F.col("path").alias("path_now")), "file_id").where("path <> path_now").select("path", "file_id", "path_now")
 
 
 def files_related_to(c: Catalog, paths: DataFrame) -> DataFrame:
@@ -52,20 +52,20 @@ def file_versions(c: Catalog, path: str | None = None) -> DataFrame:
 def derived_versions(c: Catalog) -> DataFrame:
     """(file_id, version_id, child_id): children in the version tree."""
     child = c.versions.select("file_id", F.col("base_version_id").alias("version_id"), F.col("version_id").alias("child_id")).where("version_id IS NOT NULL")
-    return c.versions.select("file_id", "version_id").join(child, ["file_id", "version_id"])
+    return c.versions.select("file_id", "version_id").hint("merge").join(child, ["file_id", "version_id"])
 
 
 def match_versions(c: Catalog, listing: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
     """Versions that a local file may be: same effective path and size, time within the tolerance; deleted files' too."""
     v = versions_with_effective_path(c).where("size IS NOT NULL").select(F.col("effective_path").alias("path"), "size", "file_id", "version_id", "modified", "current_version_id")
-    return listing.join(v, ["path", "size"]).where(same_time(F.col("modified"), F.col("mtime"), tolerance_ms))
+    return listing.hint("merge").join(v, ["path", "size"]).where(same_time(F.col("modified"), F.col("mtime"), tolerance_ms))
 
 
 def versions_at_within(c: Catalog, paths: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Versions in the time frame of files that are now named as requested."""
-    files = c.files if paths is None else c.files.join(paths.select("path").distinct(), "path", "left_semi")
+    files = c.files if paths is None else c.files.hint("merge").join(paths.select("path").distinct(), "path", "left_semi")
     v = c.versions.where(in_time_frame(F.col("modified"), start, end)).drop("path")
-    return v.join(files.select("file_id", "path"), "file_id")
+    return v.hint("merge").join(files.select("file_id", "path"), "file_id")
 
 
 def ancestor_file_conflicts(c: Catalog, paths: DataFrame) -> DataFrame:
@@ -73,19 +73,19 @@ def ancestor_file_conflicts(c: Catalog, paths: DataFrame) -> DataFrame:
     asked = paths.select("path").distinct().withColumn("ancestor_path", F.explode(prefixes("path", proper=True)))
     records = c.files.groupBy(F.col("path").alias("ancestor_path")).agg(F.min("file_id").alias("ancestor_file_id"))
     nearest = F.max_by(F.struct("ancestor_path", "ancestor_file_id"), F.length("ancestor_path")).alias("a")
-    return asked.join(records, "ancestor_path").groupBy("path").agg(nearest).select("path", "a.*")
+    return asked.hint("merge").join(records, "ancestor_path").groupBy("path").agg(nearest).select("path", "a.*")
 
 
 def descendant_file_conflicts(c: Catalog, paths: DataFrame) -> DataFrame:
     """File records strictly below a requested (path)."""
     below = c.files.select("file_id", F.col("path").alias("descendant_path"), F.explode(prefixes("path", proper=True)).alias("path"))
-    return below.join(paths.select("path").distinct(), "path").select("path", "file_id", "descendant_path")
+    return below.hint("merge").join(paths.select("path").distinct(), "path").select("path", "file_id", "descendant_path")
 
 
 def sync_records(c: Catalog) -> DataFrame:
     """Last-sync rows; ``deleted``: the linked version is a mark, or it was unlinked with no size."""
     v = c.versions.select("file_id", "version_id", F.col("size").alias("version_size"), F.lit(True).alias("__linked"))
-    joined = c.last_sync.join(v, ["file_id", "version_id"], "left")
+    joined = c.last_sync.hint("merge").join(v, ["file_id", "version_id"], "left")
     deleted = F.when(F.col("version_id").isNull(), is_deletion_mark()).otherwise(F.col("__linked").isNotNull() & F.col("version_size").isNull())
     return joined.select("file_id", "replica_id", "version_id", "size", "modified", "path", deleted.alias("deleted"))
 
@@ -93,12 +93,12 @@ def sync_records(c: Catalog) -> DataFrame:
 def operation_log(c: Catalog, start: str | None = None, end: str | None = None) -> DataFrame:
     """Log entries in the frame with replica address, filter name, parameters as a map and status class."""
     log = c.op_log.where(in_time_frame(F.col("started"), start, end))
-    params = c.op_log_params.join(log.select("entry"), "entry", "left_semi").groupBy("entry").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("params"))
+    params = c.op_log_params.hint("merge").join(log.select("entry"), "entry", "left_semi").groupBy("entry").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("params"))
     uri = F.concat(F.lit("file://"), "user", F.lit("@"), "host", "root")
     r = c.replicas.select("replica_id", uri.alias("replica_uri"))
     f = c.filters.select("filter_id", F.col("name").alias("filter_name"))
     outcome = F.when(F.col("status").isNull(), "NA").when(F.col("status") == "", "OK").otherwise("ER")
-    joined = log.join(r, "replica_id", "left").join(f, "filter_id", "left").join(params, "entry", "left")
+    joined = log.join(r, "replica_id", "left").join(f, "filter_id", "left").hint("merge").join(params, "entry", "left")
     return joined.select("entry", "started", "operation", "replica_uri", "filter_name", "filter_inverted", "params", outcome.alias("outcome"))
 
 
@@ -112,13 +112,13 @@ def replicas_of(c: Catalog) -> DataFrame:
 def find_files(c: Catalog, ids: DataFrame) -> DataFrame:
     """Requested (file_id) with ``found``, path and current version."""
     f = c.files.select("file_id", "path", "current_version_id", F.lit(True).alias("__found"))
-    return ids.select("file_id").distinct().join(f, "file_id", "left").select("file_id", "path", "current_version_id", F.col("__found").isNotNull().alias("found"))
+    return ids.select("file_id").distinct().hint("merge").join(f, "file_id", "left").select("file_id", "path", "current_version_id", F.col("__found").isNotNull().alias("found"))
 
 
 def find_versions(c: Catalog, keys: DataFrame) -> DataFrame:
     """Requested (file_id, version_id) with ``found``, size and time."""
     v = c.versions.select("file_id", "version_id", "size", "modified", F.lit(True).alias("__found"))
-    return keys.select("file_id", "version_id").distinct().join(v, ["file_id", "version_id"], "left").select("file_id", "version_id", "size", "modified", F.col("__found").isNotNull().alias("found"))
+    return keys.select("file_id", "version_id").distinct().hint("merge").join(v, ["file_id", "version_id"], "left").select("file_id", "version_id", "size", "modified", F.col("__found").isNotNull().alias("found"))
 
 
 def count_versions(c: Catalog) -> DataFrame:
@@ -128,7 +128,7 @@ def count_versions(c: Catalog) -> DataFrame:
 def next_version_id(c: Catalog) -> DataFrame:
     """1 for a file without versions."""
     last = c.versions.groupBy("file_id").agg(F.max("version_id").alias("last"))
-    return c.files.select("file_id").join(last, "file_id", "left").select("file_id", (F.coalesce("last", F.lit(0)) + 1).alias("next_version_id"))
+    return c.files.select("file_id").hint("merge").join(last, "file_id", "left").select("file_id", (F.coalesce("last", F.lit(0)) + 1).alias("next_version_id"))
 
 
 def filter_usage(c: Catalog) -> DataFrame:
@@ -155,7 +155,7 @@ def image_census(c: Catalog) -> DataFrame:
 def needs_transfer(c: Catalog) -> DataFrame:
     """Versions that hold the only image of their file and are not its only version."""
     lone = image_census(c).where("n_images = 1 AND n_versions > 1").select("file_id")
-    return c.versions.where("has_image").join(lone, "file_id", "left_semi").select("file_id", "version_id")
+    return c.versions.where("has_image").hint("merge").join(lone, "file_id", "left_semi").select("file_id", "version_id")
 
 
 def list_paths(c: Catalog) -> DataFrame:
@@ -170,9 +170,9 @@ def touched_paths(c: Catalog, start: str | None = None, end: str | None = None)
 def file_history(c: Catalog, paths: DataFrame) -> DataFrame:
     """Versions of all files related to a path, with the relation and whether the version is current."""
     related = files_related_to(c, paths)
-    v = c.versions.join(c.files.select("file_id", "current_version_id"), "file_id")
+    v = c.versions.hint("merge").join(c.files.select("file_id", "current_version_id"), "file_id")
     size = F.when(is_deletion_mark(), "deleted").otherwise(F.col("size").cast("string"))
-    rows = related.join(v.drop("path"), "file_id").select("path", "relation", "file_id", "version_id", "base_version_id", size.alias("size"), "modified", (F.col("version_id") == F.col("current_version_id")).alias("is_current"))
+    rows = related.hint("merge").join(v.drop("path"), "file_id").select("path", "relation", "file_id", "version_id", "base_version_id", size.alias("size"), "modified", (F.col("version_id") == F.col("current_version_id")).alias("is_current"))
     return rows.orderBy("path", "file_id", "version_id")
 
 
@@ -188,7 +188,7 @@ def version_as_of(c: Catalog, moments: DataFrame) -> DataFrame:
     ranges, so a file with very many of either is dealt to several; what a range ends with is carried to the file's next ones."""
     asked = moments.select("file_id", "moment").distinct()
     own = F.struct("version_id", "size", "modified").alias("v")
-    v = c.versions.where("modified IS NOT NULL").join(asked.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.col("modified").alias("at"), F.lit(0).alias("kind"), "version_id", own)
+    v = c.versions.where("modified IS NOT NULL").hint("merge").join(asked.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.col("modified").alias("at"), F.lit(0).alias("kind"), "version_id", own)
     m = asked.select("file_id", F.col("moment").alias("at"), F.lit(1).alias("kind"))
     order = ["file_id", "at", "kind", "version_id"]
     rows = v.unionByName(m, allowMissingColumns=True).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
@@ -197,7 +197,7 @@ def version_as_of(c: Catalog, moments: DataFrame) -> DataFrame:
     ends = rows.groupBy("file_id", "part").agg(F.max_by("v", F.when(F.col("kind") == 0, F.struct("at", "version_id"))).alias("v"))
     before = F.last("v", True).over(Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     earlier = ends.select("file_id", "part", before.alias("earlier"))
-    found = rows.withColumn("inside", inside).where("kind = 1").join(earlier, ["file_id", "part"], "left")
+    found = rows.withColumn("inside", inside).where("kind = 1").hint("merge").join(earlier, ["file_id", "part"], "left")
     best = F.coalesce("inside", "earlier").alias("v")
     return found.select("file_id", F.col("at").alias("moment"), best).select("file_id", "moment", "v.*")
 
@@ -206,13 +206,13 @@ def snapshot_as_of(c: Catalog, t: str) -> DataFrame:
     """The last version of every file at or before t, marks included; of equal times the highest version."""
     v = c.versions.where(F.col("modified") <= F.lit(t).cast("timestamp_ntz"))
     latest = v.groupBy("file_id").agg(F.max_by(F.struct("version_id", "size", "modified"), F.struct("modified", "version_id")).alias("v")).select("file_id", "v.*")
-    return latest.join(c.files, "file_id").select("file_id", "path", "current_version_id", "version_id", "size", "modified")
+    return latest.hint("merge").join(c.files, "file_id").select("file_id", "path", "current_version_id", "version_id", "size", "modified")
 
 
 def snapshot_as_of_with_current(c: Catalog, t: str) -> DataFrame:
     """The snapshot, and existing files that have no version by then (version columns null)."""
     snap = snapshot_as_of(c, t)
-    later = c.existing.select("file_id", "path", "current_version_id").join(snap.select("file_id"), "file_id", "left_anti")
+    later = c.existing.select("file_id", "path", "current_version_id").hint("merge").join(snap.select("file_id"), "file_id", "left_anti")
     null = lambda t, n: F.lit(None).cast(t).alias(n)
     return snap.unionByName(later.select("file_id", "path", "current_version_id", null("int", "version_id"), null("bigint", "size"), null("timestamp_ntz", "modified")))
 
@@ -223,7 +223,7 @@ def best_match(c: Catalog, listing: DataFrame, tolerance_ms: int = TOLERANCE_MS)
     found = match_versions(c, listing, tolerance_ms)
     alive = c.existing.select("file_id", F.lit(True).alias("__alive"))
     synced = c.last_sync.where("version_id IS NOT NULL").select("file_id", "replica_id", "version_id", F.lit(True).alias("__synced"))
-    ranked = found.join(alive, "file_id", "left").join(synced, ["file_id", "replica_id", "version_id"], "left")
+    ranked = found.hint("merge").join(alive, "file_id", "left").hint("merge").join(synced, ["file_id", "replica_id", "version_id"], "left")
     order = [F.col("__alive").isNotNull().desc(), F.col("__synced").isNotNull().desc(), F.col("modified").desc(), F.col("file_id").desc(), F.col("version_id").desc()]
     first = F.row_number().over(Window.partitionBy("replica_id", "path").orderBy(*order))
     return ranked.withColumn("__rank", first).where("__rank = 1").select("replica_id", "path", "file_id", "version_id", "current_version_id", F.col("__alive").isNotNull().alias("alive"), F.col("__synced").isNotNull().alias("synced"))
@@ -231,7 +231,7 @@ def best_match(c: Catalog, listing: DataFrame, tolerance_ms: int = TOLERANCE_MS)
 
 def image_transfer_target(c: Catalog, epoch: str) -> DataFrame:
     """Of the versions that stay (from the epoch on, or current; no marks) the smallest, then the one with the highest id."""
-    v = c.versions.join(c.files.select("file_id", "current_version_id"), "file_id")
+    v = c.versions.hint("merge").join(c.files.select("file_id", "current_version_id"), "file_id")
     stay = v.where((F.col("modified") >= F.lit(epoch).cast("timestamp_ntz")) | (F.col("version_id") == F.col("current_version_id"))).where("size IS NOT NULL")
     return stay.groupBy("file_id").agg(F.min_by(F.struct("version_id", "size"), F.struct(F.col("size"), -F.col("version_id"))).alias("v")).select("file_id", "v.*")
 

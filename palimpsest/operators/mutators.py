@@ -24,7 +24,7 @@ def fill(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(fill(rows, target))
+    return target.hint("merge").join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(fill(rows, target))
 
 
 def new_ids(rows: DataFrame, order: list[str], above: DataFrame, id_col: str) -> DataFrame:
@@ -40,20 +40,20 @@ def record_sync(c: Catalog, rows: DataFrame) -> Catalog:
 
 def delete_sync(c: Catalog, files: DataFrame, replica_id: int | None = None) -> Catalog:
     """The sync rows of the files, of one replica or all."""
-    gone = c.last_sync.join(files.select("file_id"), "file_id", "left_semi")
+    gone = c.last_sync.hint("merge").join(files.select("file_id"), "file_id", "left_semi")
     gone = gone if replica_id is None else gone.where(F.col("replica_id") == replica_id)
-    return replace(c, last_sync=c.last_sync.join(gone.select("file_id", "replica_id"), ["file_id", "replica_id"], "left_anti").select(*c.last_sync.columns))
+    return replace(c, last_sync=c.last_sync.hint("merge").join(gone.select("file_id", "replica_id"), ["file_id", "replica_id"], "left_anti").select(*c.last_sync.columns))
 
 
 def repoint(c: Catalog, current: DataFrame) -> DataFrame:
     """Files with the current version of ``current`` (file_id, version_id) where it has one."""
     new = current.select("file_id", F.col("version_id").alias("__new"))
-    return c.files.join(new, "file_id", "left").select("file_id", "path", F.coalesce("__new", "current_version_id").cast("int").alias("current_version_id"))
+    return c.files.hint("merge").join(new, "file_id", "left").select("file_id", "path", F.coalesce("__new", "current_version_id").cast("int").alias("current_version_id"))
 
 
 def mark_deleted(c: Catalog, files: DataFrame, when: str, replica_id: int | None = None) -> Catalog:
     """Append a deletion mark on the current version of the given existing files and make it current; with a replica, record its sync."""
-    target = c.existing.join(files.select("file_id").distinct(), "file_id", "left_semi").join(next_version_id(c), "file_id")
+    target = c.existing.hint("merge").join(files.select("file_id").distinct(), "file_id", "left_semi").hint("merge").join(next_version_id(c), "file_id")
     at = F.lit(when).cast("timestamp_ntz")
     marks = target.select("file_id", F.col("next_version_id").alias("version_id"), F.col("current_version_id").alias("base_version_id"), raised(at, "modified").alias("modified"), F.lit(False).alias("has_image"))
     out = replace(c, versions=c.versions.unionByName(fill(marks, c.versions)), files=repoint(c, marks))
@@ -64,7 +64,7 @@ def new_versions(c: Catalog, rows: DataFrame, now: str) -> DataFrame:
     """(file_id, size, modified) as versions on top of the current ones, with ``refused`` where that is a mark.
 
     A time in the future becomes the operation time; one before the base's, 1 ms after it."""
-    r = rows.select("file_id", F.col("size").alias("new_size"), F.col("modified").alias("new_time")).join(c.current.select("file_id", "current_version_id", "size", "modified"), "file_id").join(next_version_id(c), "file_id")
+    r = rows.select("file_id", F.col("size").alias("new_size"), F.col("modified").alias("new_time")).hint("merge").join(c.current.select("file_id", "current_version_id", "size", "modified"), "file_id").hint("merge").join(next_version_id(c), "file_id")
     at = F.least("new_time", F.lit(now).cast("timestamp_ntz"))
     time = F.when(at < F.col("modified"), F.col("modified") + F.expr(MS)).otherwise(at)
     return r.select("file_id", F.col("next_version_id").cast("int").alias("version_id"), F.col("new_size").alias("size"), time.alias("modified"), F.col("current_version_id").alias("base_version_id"), F.lit(True).alias("has_image"), F.col("size").isNull().alias("refused"))
@@ -80,8 +80,8 @@ def new_files(c: Catalog, rows: DataFrame) -> DataFrame:
     id of the new file. Of several rows of one path the latest counts, then the larger; ids follow the order of the paths."""
     last = rows.groupBy("path").agg(F.max(F.struct("modified", "size")).alias("r")).select("path", "r.size", "r.modified")
     taken = c.existing.select("path")
-    free = new_ids(last.join(taken, "path", "left_anti"), ["path"], c.files, "file_id").withColumn("refused", F.lit(False))
-    return free.unionByName(last.join(taken, "path", "left_semi").withColumn("refused", F.lit(True)), allowMissingColumns=True)
+    free = new_ids(last.hint("merge").join(taken, "path", "left_anti"), ["path"], c.files, "file_id").withColumn("refused", F.lit(False))
+    return free.unionByName(last.hint("merge").join(taken, "path", "left_semi").withColumn("refused", F.lit(True)), allowMissingColumns=True)
 
 
 def add_files(c: Catalog, rows: DataFrame, replica_id: int) -> Catalog:
@@ -93,11 +93,11 @@ def add_files(c: Catalog, rows: DataFrame, replica_id: int) -> Catalog:
 
 def rename_files(c: Catalog, rows: DataFrame) -> Catalog:
     """(file_id, new_path). Versions and unlinked sync rows without a path of their own keep the old one."""
-    old = c.files.join(rows.select("file_id", "new_path"), "file_id").where("path <> new_path").select("file_id", F.col("path").alias("__old"), "new_path")
-    versions = c.versions.join(old.select("file_id", "__old"), "file_id", "left").withColumn("path", F.coalesce("path", "__old")).select(*c.versions.columns)
+    old = c.files.hint("merge").join(rows.select("file_id", "new_path"), "file_id").where("path <> new_path").select("file_id", F.col("path").alias("__old"), "new_path")
+    versions = c.versions.hint("merge").join(old.select("file_id", "__old"), "file_id", "left").withColumn("path", F.coalesce("path", "__old")).select(*c.versions.columns)
     unlinked = F.when(F.col("version_id").isNull(), F.coalesce("path", "__old")).otherwise(F.col("path"))
-    sync = c.last_sync.join(old.select("file_id", "__old"), "file_id", "left").withColumn("path", unlinked).select(*c.last_sync.columns)
-    files = c.files.join(old, "file_id", "left").select("file_id", F.coalesce("new_path", "path").alias("path"), "current_version_id")
+    sync = c.last_sync.hint("merge").join(old.select("file_id", "__old"), "file_id", "left").withColumn("path", unlinked).select(*c.last_sync.columns)
+    files = c.files.hint("merge").join(old, "file_id", "left").select("file_id", F.coalesce("new_path", "path").alias("path"), "current_version_id")
     return replace(c, files=files, versions=versions, last_sync=sync)
 
 
@@ -105,7 +105,7 @@ def add_dummy_versions(c: Catalog, plan: DataFrame) -> Catalog:
     """Apply the REVERT rows of an undo plan: a child of the target with its content, made current; files renamed back."""
     revert = plan.where("action = 'REVERT'")
     target = c.versions.select("file_id", F.col("version_id").alias("target_version_id"), "size", "digest")
-    new = revert.join(target, ["file_id", "target_version_id"]).join(next_version_id(c), "file_id").select(
+    new = revert.hint("merge").join(target, ["file_id", "target_version_id"]).hint("merge").join(next_version_id(c), "file_id").select(
         "file_id", F.col("next_version_id").cast("int").alias("version_id"), "size", "digest", F.col("new_modified").alias("modified"), F.col("target_version_id").alias("base_version_id"), F.lit(False).alias("has_image"),
         dummy_common_size(F.col("size")).alias("cdelta_len"), F.lit(EMPTY_DELTA).alias("fdelta_len"), F.lit(EMPTY_DELTA).alias("rdelta_len"),
     )
@@ -117,11 +117,11 @@ def apply_undo(c: Catalog, plan: DataFrame, now: str) -> Catalog:
     """Carry out an undo plan of one row a file: files at a target's path give way, marks are appended, targets come back on top.
 
     Where several files are taken back to one path, the one with the highest id has it and the others stay as they are."""
-    back = plan.where("action = 'REVERT'").join(c.files.select("file_id", "path"), "file_id").withColumn("__to", F.coalesce("rename_to", "path"))
+    back = plan.where("action = 'REVERT'").hint("merge").join(c.files.select("file_id", "path"), "file_id").withColumn("__to", F.coalesce("rename_to", "path"))
     winners = back.groupBy("__to").agg(F.max("file_id").alias("file_id")).select("file_id")
-    reverted = plan.where("action = 'REVERT'").join(winners, "file_id", "left_semi")
+    reverted = plan.where("action = 'REVERT'").hint("merge").join(winners, "file_id", "left_semi")
     gone = plan.where("action = 'MARK_DELETED'").select("file_id").unionByName(reverted.where("replaces IS NOT NULL").select(F.col("replaces").alias("file_id"))).distinct()
-    return add_dummy_versions(mark_deleted(c, gone.join(winners, "file_id", "left_anti"), now), reverted)
+    return add_dummy_versions(mark_deleted(c, gone.hint("merge").join(winners, "file_id", "left_anti"), now), reverted)
 
 
 def register_replicas(c: Catalog, rows: DataFrame) -> Catalog:
@@ -189,7 +189,7 @@ def log_operations(c: Catalog, rows: DataFrame) -> Catalog:
 def set_status(c: Catalog, rows: DataFrame) -> Catalog:
     """(entry, status): '' for success, a message for a failure."""
     new = rows.select("entry", F.col("status").alias("__status"), F.lit(True).alias("__set"))
-    log = c.op_log.join(new, "entry", "left").withColumn("status", F.when(F.col("__set"), F.col("__status")).otherwise(F.col("status"))).select(*c.op_log.columns)
+    log = c.op_log.hint("merge").join(new, "entry", "left").withColumn("status", F.when(F.col("__set"), F.col("__status")).otherwise(F.col("status"))).select(*c.op_log.columns)
     return replace(c, op_log=log)
 
 
@@ -198,12 +198,12 @@ def migrate_soft_deletes(c: Catalog, deleted: DataFrame, sync_deleted: DataFrame
 
     Each such file gets a deletion mark as its last version; flagged sync rows point at their file's latest mark, or go if
     it has none."""
-    marks = deleted.where("deleted IS NOT NULL").join(c.files, "file_id").join(next_version_id(c), "file_id").select("file_id", F.col("next_version_id").cast("int").alias("version_id"), F.col("current_version_id").alias("base_version_id"), F.col("deleted").alias("modified"), F.lit(False).alias("has_image"))
+    marks = deleted.where("deleted IS NOT NULL").hint("merge").join(c.files, "file_id").hint("merge").join(next_version_id(c), "file_id").select("file_id", F.col("next_version_id").cast("int").alias("version_id"), F.col("current_version_id").alias("base_version_id"), F.col("deleted").alias("modified"), F.lit(False).alias("has_image"))
     versions = c.versions.unionByName(fill(marks, c.versions))
     latest = versions.where("size IS NULL").groupBy("file_id").agg(F.max("version_id").alias("__mark"))
     flagged = sync_deleted.select("file_id", "replica_id")
-    kept = c.last_sync.join(flagged, ["file_id", "replica_id"], "left_anti").select(*c.last_sync.columns)
-    moved = c.last_sync.join(flagged, ["file_id", "replica_id"], "left_semi").join(latest, "file_id").select("file_id", "replica_id", F.col("__mark").alias("version_id"))
+    kept = c.last_sync.hint("merge").join(flagged, ["file_id", "replica_id"], "left_anti").select(*c.last_sync.columns)
+    moved = c.last_sync.hint("merge").join(flagged, ["file_id", "replica_id"], "left_semi").hint("merge").join(latest, "file_id").select("file_id", "replica_id", F.col("__mark").alias("version_id"))
     return replace(c, versions=versions, files=repoint(c, marks), last_sync=kept.unionByName(fill(moved, c.last_sync)))
 
 
@@ -212,13 +212,13 @@ def apply_purge(c: Catalog, plan: DataFrame, epoch: str) -> Catalog:
 
     A file that would lose its last image with no version to move it to stays as it is."""
     blocked = purge_image_plan(c, plan, epoch).where("blocked").select("file_id", F.lit(True).alias("__blocked"))
-    plan = plan.join(blocked, "file_id", "left").select("file_id", "version_id", (F.col("kept") | F.coalesce("__blocked", F.lit(False))).alias("kept"))
+    plan = plan.hint("merge").join(blocked, "file_id", "left").select("file_id", "version_id", (F.col("kept") | F.coalesce("__blocked", F.lit(False))).alias("kept"))
     files_gone = purge_files_plan(c, epoch).select("file_id")
     gone, reroot, images, unlink = purged(plan), purge_reroot_plan(c, plan), purge_image_plan(c, plan, epoch), purge_sync_unlink_plan(c, plan)
     roots = reroot.select("file_id", "version_id", F.lit(True).alias("__root"))
     stored = images.where("NOT blocked").select("file_id", F.col("target_version_id").alias("version_id"), F.lit(True).alias("__image"))
-    v = c.versions.join(files_gone, "file_id", "left_anti").join(gone, ["file_id", "version_id"], "left_anti").join(roots, ["file_id", "version_id"], "left").join(stored, ["file_id", "version_id"], "left")
+    v = c.versions.hint("merge").join(files_gone, "file_id", "left_anti").hint("merge").join(gone, ["file_id", "version_id"], "left_anti").hint("merge").join(roots, ["file_id", "version_id"], "left").hint("merge").join(stored, ["file_id", "version_id"], "left")
     clear: dict[str, Column] = {n: F.when(F.col("__root").isNull(), F.col(n)) for n in ("base_version_id", "cdelta_len", "fdelta_len", "rdelta_len")}
     v = v.withColumns({**clear, "has_image": F.col("has_image") | F.coalesce("__image", F.lit(False))}).select(*c.versions.columns)
-    sync = upsert(c.last_sync.join(files_gone, "file_id", "left_anti").select(*c.last_sync.columns), unlink.drop("old_version_id"), ["file_id", "replica_id"])
-    return replace(c, files=c.files.join(files_gone, "file_id", "left_anti"), versions=v, last_sync=sync)
+    sync = upsert(c.last_sync.hint("merge").join(files_gone, "file_id", "left_anti").select(*c.last_sync.columns), unlink.drop("old_version_id"), ["file_id", "replica_id"])
+    return replace(c, files=c.files.hint("merge").join(files_gone, "file_id", "left_anti"), versions=v, last_sync=sync)

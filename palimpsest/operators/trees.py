@@ -24,7 +24,7 @@ def resolve_names(nodes: DataFrame) -> DataFrame:
     done = level
     while not level.isEmpty():
         above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"), "depth")
-        level = materialize(n.join(above, "parent_id").select("node_id", F.concat_ws("/", "above", "rdn").alias("path"), (F.col("depth") + 1).alias("depth")))
+        level = materialize(n.hint("merge").join(above, "parent_id").select("node_id", F.concat_ws("/", "above", "rdn").alias("path"), (F.col("depth") + 1).alias("depth")))
         done = done.unionByName(level)
     return done
 
@@ -32,7 +32,7 @@ def resolve_names(nodes: DataFrame) -> DataFrame:
 def subtree(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node_id, path): every node at or below each requested (root) path, by an equi join on exploded prefixes."""
     nodes = build_name_tree(paths).select("node_id", "path")
-    return nodes.withColumn("root", F.explode(prefixes("path"))).join(roots.select("root").distinct(), "root").select("root", "node_id", "path")
+    return nodes.withColumn("root", F.explode(prefixes("path"))).hint("merge").join(roots.select("root").distinct(), "root").select("root", "node_id", "path")
 
 
 KEY = ["file_id", "version_id"]
@@ -48,10 +48,10 @@ def _doubled(s: DataFrame, down: Column | None, value: str, combine, up_value: C
     """One round over (file_id, version_id, up, value), where ``up`` is the version 2**k steps above: ``down`` aggregates the
     values of those that point to a version, ``up_value`` is taken from the version pointed to; ``up`` doubles its reach."""
     above = s.select("file_id", F.col("version_id").alias("up"), F.col("up").alias("__up"), *([up_value.alias("__more")] if up_value is not None else []))
-    new = s.join(above, ["file_id", "up"], "left")
+    new = s.hint("merge").join(above, ["file_id", "up"], "left")
     if down is not None:
         below = s.where("up IS NOT NULL").groupBy("file_id", F.col("up").alias("version_id")).agg(down.alias("__more"))
-        new = new.join(below, KEY, "left")
+        new = new.hint("merge").join(below, KEY, "left")
     out = materialize(new.select(*KEY, F.col("__up").alias("up"), combine(F.col(value), F.col("__more")).alias(value)))
     release(s)
     return out
@@ -78,7 +78,7 @@ def _sums_before(rows: DataFrame, group: list[str], order: str, value: str, name
     before = lambda by, at: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("__block", F.floor(F.col(order) / LABELS))
     blocks = rows.groupBy(*group, "__block").agg(F.sum(value).alias(value)).select(*group, "__block", before(group, "__block").alias("__earlier"))
-    inside = rows.withColumn("__inside", before([*group, "__block"], order)).join(blocks, [*group, "__block"])
+    inside = rows.withColumn("__inside", before([*group, "__block"], order)).hint("merge").join(blocks, [*group, "__block"])
     return inside.withColumn(name, F.col("__earlier") + F.col("__inside")).drop("__block", "__earlier", "__inside")
 
 
@@ -90,15 +90,15 @@ def version_labels(versions: DataFrame) -> DataFrame:
     to the root. A version whose base is not there is a root."""
     v = versions.select(*KEY, "base_version_id")
     there = v.select("file_id", F.col("version_id").alias("base_version_id"), F.lit(True).alias("__there"))
-    tree = materialize(v.join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base_version_id")))
+    tree = materialize(v.hint("merge").join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base_version_id")))
     sizes = subtree_sums(tree.withColumn("amount", F.lit(1)))
-    rows = tree.join(sizes.withColumnRenamed("amount", "size"), KEY).withColumn("parent", F.coalesce("base_version_id", F.lit(-1)))
+    rows = tree.hint("merge").join(sizes.withColumnRenamed("amount", "size"), KEY).withColumn("parent", F.coalesce("base_version_id", F.lit(-1)))
     rows = materialize(_sums_before(rows, ["file_id", "parent"], "version_id", "size", "elder"))
     # both sums of the way in one number: the place in the lower half, the versions on the way in the upper
     step = F.col("elder") + F.col("base_version_id").isNotNull().cast("long") + F.lit(1 << 32)
     ways = way_sums(rows.select(*KEY, F.col("base_version_id").alias("next"), step.alias("amount")))
     first = F.col("amount").bitwiseAND(F.lit((1 << 32) - 1))
-    out = materialize(ways.join(rows.select(*KEY, "size"), KEY).select(*KEY, first.alias("first"), (first + F.col("size") - 1).alias("last"), (F.shiftright("amount", 32) - 1).cast("int").alias("depth")))
+    out = materialize(ways.hint("merge").join(rows.select(*KEY, "size"), KEY).select(*KEY, first.alias("first"), (first + F.col("size") - 1).alias("last"), (F.shiftright("amount", 32) - 1).cast("int").alias("depth")))
     release(tree, rows)
     return out
 
@@ -108,18 +108,18 @@ def descendants(labels: DataFrame, asked: DataFrame) -> DataFrame:
 
     An interval is dealt to the blocks of places that it covers and meets their versions by file and block, so a file of very many
     versions is several tasks and rows grow with the answer."""
-    own = labels.join(asked.select(*KEY).distinct(), KEY, "left_semi")
+    own = labels.hint("merge").join(asked.select(*KEY).distinct(), KEY, "left_semi")
     block = lambda c: F.floor(F.col(c) / LABELS)
     above = own.select("file_id", F.col("version_id").alias("ancestor"), F.col("first").alias("from"), F.col("last").alias("to"), F.col("depth").alias("above"), F.explode(F.sequence(block("first"), block("last"))).alias("block"))
     below = labels.select("file_id", F.col("version_id").alias("descendant"), "first", F.col("depth").alias("below"), block("first").alias("block"))
-    return above.join(below, ["file_id", "block"]).where("first BETWEEN from AND to").select("file_id", "ancestor", "descendant", (F.col("below") - F.col("above")).alias("depth"))
+    return above.hint("merge").join(below, ["file_id", "block"]).where("first BETWEEN from AND to").select("file_id", "ancestor", "descendant", (F.col("below") - F.col("above")).alias("depth"))
 
 
 def is_ancestor(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(file_id, ancestor, descendant) with ``related``: is the one above the other, or the same? False for versions that are not there."""
     a = labels.select("file_id", F.col("version_id").alias("ancestor"), F.col("first").alias("from"), F.col("last").alias("to"))
     d = labels.select("file_id", F.col("version_id").alias("descendant"), "first")
-    joined = pairs.select("file_id", "ancestor", "descendant").join(a, ["file_id", "ancestor"], "left").join(d, ["file_id", "descendant"], "left")
+    joined = pairs.select("file_id", "ancestor", "descendant").hint("merge").join(a, ["file_id", "ancestor"], "left").hint("merge").join(d, ["file_id", "descendant"], "left")
     return joined.select("file_id", "ancestor", "descendant", F.coalesce(F.col("first").between(F.col("from"), F.col("to")), F.lit(False)).alias("related"))
 
 
@@ -137,26 +137,26 @@ def image_distances(versions: DataFrame) -> DataFrame:
     its base, then the child with the lowest id. Deletion marks have no content and lead nowhere."""
     v = versions.where("size IS NOT NULL").select(*KEY, "base_version_id", "has_image")
     there = v.select("file_id", F.col("version_id").alias("base_version_id"), F.lit(True).alias("__there"))
-    tree = materialize(v.join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base"), F.when(F.col("has_image"), F.lit(0)).cast("long").alias("far")))
+    tree = materialize(v.hint("merge").join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base"), F.when(F.col("has_image"), F.lit(0)).cast("long").alias("far")))
     s = materialize(tree.select(*KEY, F.col("base").alias("up"), "far"))
     for k in range(ROUNDS):
         if not _pointers_left(s):
             break
         s = _doubled(s, F.min("far") + F.lit(1 << k), "far", lambda own, more: F.least(own, more), None)
     below = s
-    s = materialize(below.drop("up").join(tree.select(*KEY, F.col("base").alias("up")), KEY).select(*KEY, "up", "far"))
+    s = materialize(below.drop("up").hint("merge").join(tree.select(*KEY, F.col("base").alias("up")), KEY).select(*KEY, "up", "far"))
     release(below)
     for k in range(ROUNDS):
         if not _pointers_left(s):
             break
         s = _doubled(s, None, "far", lambda own, more: F.least(own, more), F.col("far") + F.lit(1 << k))
-    near = materialize(s.where("far IS NOT NULL").select(*KEY, "far").join(tree.select(*KEY, "base"), KEY))
+    near = materialize(s.where("far IS NOT NULL").select(*KEY, "far").hint("merge").join(tree.select(*KEY, "base"), KEY))
     release(s, tree)
     over = near.select("file_id", F.col("version_id").alias("base"), F.col("far").alias("base_far"))
-    both = near.join(over, ["file_id", "base"], "left")
+    both = near.hint("merge").join(over, ["file_id", "base"], "left")
     child = both.where("base_far = far + 1").groupBy("file_id", F.col("base").alias("version_id")).agg(F.min("version_id").alias("child"))
     step = F.when(F.col("base_far") == F.col("far") - 1, F.col("base")).otherwise(F.col("child"))
-    return materialize(both.join(child, KEY, "left").select(*KEY, F.when(F.col("far") > 0, step).alias("next"), "far"))
+    return materialize(both.hint("merge").join(child, KEY, "left").select(*KEY, F.when(F.col("far") > 0, step).alias("next"), "far"))
 
 
 def nearest_image_path(versions: DataFrame) -> DataFrame:
@@ -164,15 +164,15 @@ def nearest_image_path(versions: DataFrame) -> DataFrame:
 
     Versions with an image, and those without a way, have no rows. The ways double in length with each join."""
     hop = materialize(image_distances(versions).where("next IS NOT NULL").select("file_id", F.col("version_id").alias("at"), "next"))
-    jump = hop.join(hop.select("file_id", F.col("at").alias("next")), ["file_id", "next"], "left_semi").select("file_id", "at", F.col("next").alias("to"))
+    jump = hop.hint("merge").join(hop.select("file_id", F.col("at").alias("next")), ["file_id", "next"], "left_semi").select("file_id", "at", F.col("next").alias("to"))
     ways, jump, reach = hop.select("file_id", F.col("at").alias("source"), F.lit(0).alias("step"), "at"), materialize(jump), 1
     while not jump.isEmpty():
-        more = ways.join(jump, ["file_id", "at"]).select("file_id", "source", (F.col("step") + reach).alias("step"), F.col("to").alias("at"))
+        more = ways.hint("merge").join(jump, ["file_id", "at"]).select("file_id", "source", (F.col("step") + reach).alias("step"), F.col("to").alias("at"))
         ways = materialize(ways.unionByName(more))
-        last, jump = jump, materialize(jump.join(jump.select("file_id", F.col("at").alias("to"), F.col("to").alias("on")), ["file_id", "to"]).select("file_id", "at", F.col("on").alias("to")))
+        last, jump = jump, materialize(jump.hint("merge").join(jump.select("file_id", F.col("at").alias("to"), F.col("to").alias("on")), ["file_id", "to"]).select("file_id", "at", F.col("on").alias("to")))
         release(last)
         reach *= 2
-    return ways.join(hop, ["file_id", "at"]).select("file_id", "source", "step", "at", "next")
+    return ways.hint("merge").join(hop, ["file_id", "at"]).select("file_id", "source", "step", "at", "next")
 
 
 def way_sums(hops: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def chain_edges(ways: DataFrame, versions: DataFrame) -> DataFrame:
     From ``at`` to ``next``: FORWARD if next is at's base, REVERSE if at is next's base, BROKEN otherwise."""
     base = versions.select("file_id", F.col("version_id").alias("at"), F.col("base_version_id").alias("at_base"))
     back = versions.select("file_id", F.col("version_id").alias("next"), F.col("base_version_id").alias("next_base"))
-    j = ways.join(base, ["file_id", "at"], "left").join(back, ["file_id", "next"], "left")
+    j = ways.hint("merge").join(base, ["file_id", "at"], "left").hint("merge").join(back, ["file_id", "next"], "left")
     direction = F.when(F.col("at_base") == F.col("next"), "FORWARD").when(F.col("next_base") == F.col("at"), "REVERSE").otherwise("BROKEN")
     edge = F.when(F.col("at_base") == F.col("next"), F.col("at")).when(F.col("next_base") == F.col("at"), F.col("next"))
     return j.select("file_id", "source", "step", "at", "next", direction.alias("direction"), edge.alias("edge_version_id"))
@@ -213,6 +213,6 @@ def chain_size(versions: DataFrame) -> DataFrame:
     hops = chain_edges(first_hops(versions), versions)
     d = delta_lengths(versions).withColumnRenamed("version_id", "edge_version_id")
     cost = F.col("cdelta_len") + F.when(F.col("direction") == "FORWARD", F.col("fdelta_len")).otherwise(F.col("rdelta_len"))
-    sums = way_sums(hops.join(d, ["file_id", "edge_version_id"]).select("file_id", F.col("source").alias("version_id"), "next", cost.alias("amount")))
+    sums = way_sums(hops.hint("merge").join(d, ["file_id", "edge_version_id"]).select("file_id", F.col("source").alias("version_id"), "next", cost.alias("amount")))
     stored = versions.where("has_image AND size IS NOT NULL").select("file_id", "version_id", F.lit(0).cast("long").alias("chain_size"))
     return stored.unionByName(sums.withColumnRenamed("amount", "chain_size"))

@@ -21,18 +21,18 @@ def purge_versions_plan(c: Catalog, epoch: str, elements: list[tuple[str, str]]
     with K = versions from the epoch on, current, or with a mark for a child: a version stays if its subtree meets K,
     unless it is not in K itself, its subtree holds all of K, and one child's subtree alone meets K (then it is on the
     single stem above K, from which roots are cut off)."""
-    live = c.files.join(obsolete_files(c, epoch), "file_id", "left_anti")
+    live = c.files.hint("merge").join(obsolete_files(c, epoch), "file_id", "left_anti")
     live = live.where(passes("path", elements)) if elements else live
-    v = c.versions.drop("path").join(live.select("file_id", "current_version_id"), "file_id")
+    v = c.versions.drop("path").hint("merge").join(live.select("file_id", "current_version_id"), "file_id")
     marks = v.where("size IS NULL AND base_version_id IS NOT NULL").select("file_id", F.col("base_version_id").alias("version_id")).distinct().withColumn("__over_mark", F.lit(True))
     fixed = (F.col("modified") >= F.lit(epoch).cast("timestamp_ntz")) | (F.col("version_id") == F.col("current_version_id")) | F.col("__over_mark").isNotNull()
-    v = v.join(marks, ["file_id", "version_id"], "left").select("file_id", "version_id", "base_version_id", fixed.alias("fixed"))
+    v = v.hint("merge").join(marks, ["file_id", "version_id"], "left").select("file_id", "version_id", "base_version_id", fixed.alias("fixed"))
     v = materialize(v)
     held = subtree_sums(v.select("file_id", "version_id", "base_version_id", F.col("fixed").cast("long").alias("amount"))).withColumnRenamed("amount", "held")
     total = v.groupBy("file_id").agg(F.count_if("fixed").alias("total"))
-    rows = v.join(held, ["file_id", "version_id"], "left").join(total, "file_id")
+    rows = v.hint("merge").join(held, ["file_id", "version_id"], "left").hint("merge").join(total, "file_id")
     branches = rows.where("held > 0 AND base_version_id IS NOT NULL").groupBy("file_id", F.col("base_version_id").alias("version_id")).agg(F.count("*").alias("branches"))
-    rows = rows.join(branches, ["file_id", "version_id"], "left")
+    rows = rows.hint("merge").join(branches, ["file_id", "version_id"], "left")
     stem = ~F.col("fixed") & (F.col("held") == F.col("total")) & (F.coalesce("branches", F.lit(0)) == 1)
     return rows.select("file_id", "version_id", (F.coalesce("held", F.lit(0)).cast("long") > 0).alias("__meets"), stem.alias("__stem")).select("file_id", "version_id", (F.col("__meets") & ~F.coalesce("__stem", F.lit(False))).alias("kept"))
 
@@ -47,30 +47,30 @@ def purge_files_plan(c: Catalog, epoch: str, elements: list[tuple[str, str]] | N
     gone = gone.where(passes("path", elements)) if elements else gone
     versions = c.versions.groupBy("file_id").agg(F.count("*").alias("n_versions"))
     sync = c.last_sync.groupBy("file_id").agg(F.count("*").alias("n_sync_rows"))
-    return gone.join(versions, "file_id", "left").join(sync, "file_id", "left").select("file_id", "path", F.coalesce("n_versions", F.lit(0)).alias("n_versions"), F.coalesce("n_sync_rows", F.lit(0)).alias("n_sync_rows"))
+    return gone.hint("merge").join(versions, "file_id", "left").hint("merge").join(sync, "file_id", "left").select("file_id", "path", F.coalesce("n_versions", F.lit(0)).alias("n_versions"), F.coalesce("n_sync_rows", F.lit(0)).alias("n_sync_rows"))
 
 
 def purge_reroot_plan(c: Catalog, plan: DataFrame) -> DataFrame:
     """Versions that stay while their base goes: they become roots and lose their deltas."""
     gone = purged(plan).withColumnRenamed("version_id", "base_version_id")
     kept = plan.where("kept").select("file_id", "version_id")
-    return c.versions.select("file_id", "version_id", "base_version_id").join(kept, ["file_id", "version_id"]).join(gone, ["file_id", "base_version_id"], "left_semi").select("file_id", "version_id", F.col("base_version_id").alias("old_base_version_id"))
+    return c.versions.select("file_id", "version_id", "base_version_id").hint("merge").join(kept, ["file_id", "version_id"]).hint("merge").join(gone, ["file_id", "base_version_id"], "left_semi").select("file_id", "version_id", F.col("base_version_id").alias("old_base_version_id"))
 
 
 def purge_image_plan(c: Catalog, plan: DataFrame, epoch: str) -> DataFrame:
     """Files that lose all images while versions stay: the version that gets one, or ``blocked`` if there is none."""
-    v = c.versions.select("file_id", "version_id", "has_image", "size").join(plan, ["file_id", "version_id"])
+    v = c.versions.select("file_id", "version_id", "has_image", "size").hint("merge").join(plan, ["file_id", "version_id"])
     counts = v.groupBy("file_id").agg(F.count_if(F.col("has_image") & F.col("kept")).alias("images"), F.count_if(F.col("kept") & F.col("size").isNotNull()).alias("stay"))
     lost = counts.where("images = 0 AND stay > 0").select("file_id")
     target = image_transfer_target(c, epoch)
-    return lost.join(target, "file_id", "left").select("file_id", F.col("version_id").alias("target_version_id"), F.col("version_id").isNull().alias("blocked"))
+    return lost.hint("merge").join(target, "file_id", "left").select("file_id", F.col("version_id").alias("target_version_id"), F.col("version_id").isNull().alias("blocked"))
 
 
 def purge_sync_unlink_plan(c: Catalog, plan: DataFrame) -> DataFrame:
     """Sync rows that point at a purged version: unlinked, with the version's attributes copied."""
     v = c.versions.select("file_id", "version_id", F.col("size").alias("v_size"), F.col("modified").alias("v_modified"), F.col("path").alias("v_path"))
     f = c.files.select("file_id", F.col("path").alias("f_path"))
-    rows = c.last_sync.select("file_id", "replica_id", "version_id").join(purged(plan), ["file_id", "version_id"], "left_semi").join(v, ["file_id", "version_id"]).join(f, "file_id")
+    rows = c.last_sync.select("file_id", "replica_id", "version_id").hint("merge").join(purged(plan), ["file_id", "version_id"], "left_semi").hint("merge").join(v, ["file_id", "version_id"]).hint("merge").join(f, "file_id")
     return rows.select("file_id", "replica_id", F.col("version_id").alias("old_version_id"), F.col("v_size").alias("size"), F.col("v_modified").alias("modified"), F.coalesce("v_path", "f_path").alias("path"))
 
 
@@ -80,7 +80,7 @@ def purge_log(c: Catalog, epoch: str, now: str, filter_name: str = "all", invert
         return c
     limit = F.least(F.lit(epoch).cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL '1.1' SECOND"))
     old = c.op_log.where(F.col("started") < limit).select("entry")
-    return replace(c, op_log=c.op_log.where(F.coalesce(F.col("started") >= limit, F.lit(True))), op_log_params=c.op_log_params.join(old, "entry", "left_anti").select(*c.op_log_params.columns))
+    return replace(c, op_log=c.op_log.where(F.coalesce(F.col("started") >= limit, F.lit(True))), op_log_params=c.op_log_params.hint("merge").join(old, "entry", "left_anti").select(*c.op_log_params.columns))
 
 
 def purge_counts(c: Catalog, plan: DataFrame, epoch: str) -> DataFrame:

@@ -37,9 +37,9 @@ def all_but(rows: DataFrame, exceptions: DataFrame, key: str) -> DataFrame:
     """``rows``, one for each key, with the set of all replicas but those of (key, replica_id) ``exceptions``."""
     no_id = F.lit(None).cast("int").alias("replica_id")
     blocks = exceptions.groupBy(key, block_of(F.col("replica_id")).alias("block")).agg(F.array_sort(F.collect_set("replica_id")).alias("members"))
-    inside = rows.join(blocks, key).select(*rows.columns, no_id, F.lit("block").alias("replica_set"), "block", "members")
+    inside = rows.hint("merge").join(blocks, key).select(*rows.columns, no_id, F.lit("block").alias("replica_set"), "block", "members")
     named = blocks.groupBy(key).agg(F.array_sort(F.collect_set("block")).alias("members"))
-    rest = rows.join(named, key, "left").select(*rows.columns, no_id, F.lit("rest").alias("replica_set"), F.lit(None).cast("int").alias("block"), F.coalesce("members", F.array().cast("array<int>")).alias("members"))
+    rest = rows.hint("merge").join(named, key, "left").select(*rows.columns, no_id, F.lit("rest").alias("replica_set"), F.lit(None).cast("int").alias("block"), F.coalesce("members", F.array().cast("array<int>")).alias("members"))
     return rest.unionByName(inside)
 
 

@@ -30,10 +30,10 @@ def restore_plan(c: Catalog, listing: DataFrame, t: str, pattern: str | None = N
     target = restore_target(c, t, pattern, elements)
     local = listing.where(_chosen("path", pattern, elements)).select("replica_id", "path").distinct()
     write = target.where("size IS NOT NULL").select("path", "file_id", "version_id", F.lit("WRITE").alias("action"), *all_replicas())
-    delete = target.where("size IS NULL").join(local, "path").select("path", "file_id", "version_id", F.lit("DELETE").alias("action"), *one())
+    delete = target.where("size IS NULL").hint("merge").join(local, "path").select("path", "file_id", "version_id", F.lit("DELETE").alias("action"), *one())
     marks = target.where("size IS NULL").select("path", "file_id", "version_id", F.lit("NONE").alias("action"))
-    none = all_but(marks, local.join(marks, "path", "left_semi"), "path")
-    extra = local.join(target.select("path"), "path", "left_anti").select("path", F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("int").alias("version_id"), F.lit("DELETE_EXTRA").alias("action"), *one())
+    none = all_but(marks, local.hint("merge").join(marks, "path", "left_semi"), "path")
+    extra = local.hint("merge").join(target.select("path"), "path", "left_anti").select("path", F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("int").alias("version_id"), F.lit("DELETE_EXTRA").alias("action"), *one())
     return write.unionByName(delete).unionByName(none).unionByName(extra)
 
 
@@ -44,7 +44,7 @@ def restore_snapshot_plan(c: Catalog, dest_listing: DataFrame, t: str, pattern:
     snapshot must not change it. Both may be nested in either way; ``.`` and ``..`` are not resolved."""
     target = path_collision_winner(snapshot_as_of(c, t).where(_chosen("path", pattern, elements))).where("size IS NOT NULL")
     there = dest_listing.select("path").distinct().withColumn("__there", F.lit(True))
-    rows = target.join(there, "path", "left").select("path", "file_id", "version_id", "size", F.col("__there").isNotNull().alias("blocked"))
+    rows = target.hint("merge").join(there, "path", "left").select("path", "file_id", "version_id", "size", F.col("__there").isNotNull().alias("blocked"))
     if dest is None or replica_id is None:
         return rows.withColumn("refused", F.lit(False))
     root = c.replicas.where(F.col("replica_id") == replica_id).agg(F.concat(F.max(F.regexp_replace("root", "/+$", "")), F.lit("/"))).scalar()
@@ -67,15 +67,15 @@ def restore_one_plan(c: Catalog, requests: DataFrame, most_ids: int = MOST_IDS)
     few = related.withColumn("__nth", nth).where(F.col("__nth") <= most_ids + 1)
     listed = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("file_id")), 1, most_ids), lambda i: i.cast("string")), ", ")
     n = few.groupBy("path").agg(F.count("*").alias("n"), F.min("file_id").alias("file_id"), F.concat(listed, F.when(F.count("*") > most_ids, ", etc.").otherwise("")).alias("candidates"))
-    r = requests.join(n, "path", "left")
+    r = requests.hint("merge").join(n, "path", "left")
     dated = r.where("moment IS NOT NULL AND n = 1").select("file_id", "moment")
     as_of = version_as_of(c, dated).select("file_id", "moment", F.col("version_id").alias("dated_version"))
-    r = r.join(as_of, ["file_id", "moment"], "left").join(c.files.select("file_id", "current_version_id", F.col("path").alias("__now")), "file_id", "left")
+    r = r.hint("merge").join(as_of, ["file_id", "moment"], "left").hint("merge").join(c.files.select("file_id", "current_version_id", F.col("path").alias("__now")), "file_id", "left")
     wanted = F.when(F.col("version_id").isNotNull(), F.col("version_id")).when(F.col("moment").isNotNull(), F.col("dated_version")).otherwise(F.col("current_version_id"))
     r = r.withColumn("wanted", F.when(F.col("n") == 1, wanted))
     v = c.versions.select("file_id", F.col("version_id").alias("wanted"), "size", F.col("path").alias("__old"), F.lit(True).alias("__found"))
     living = c.existing.select("path", F.col("file_id").alias("living"))
-    r = r.join(v, ["file_id", "wanted"], "left").join(living, "path", "left")
+    r = r.hint("merge").join(v, ["file_id", "wanted"], "left").hint("merge").join(living, "path", "left")
     status = (
         F.when(F.col("version_id").isNotNull() & F.col("moment").isNotNull(), "INVALID").when(F.col("n").isNull(), "UNKNOWN_PATH").when(F.col("n") > 1, "AMBIGUOUS")
         .when(F.col("__found").isNull(), "MISSING").when(F.coalesce("__old", "__now") != F.col("path"), "OTHER_NAME").when(F.col("size").isNull(), "DELETED").otherwise("WRITE")
@@ -98,7 +98,7 @@ def _undone(c: Catalog, targets: DataFrame, now: str, key: list[str]) -> DataFra
     """What an undo does for rows (key, file_id, path, current_version_id, version_id?, size?, modified?, old_path?, refusal?) of target versions."""
     cur = c.current.select("file_id", F.col("size").alias("current_size"), F.col("modified").alias("current_time"))
     living = c.existing.select(F.col("path").alias("target_path"), F.col("file_id").alias("living"))
-    r = targets.join(cur, "file_id", "left").withColumn("target_path", F.coalesce("old_path", "path")).join(living, "target_path", "left")
+    r = targets.hint("merge").join(cur, "file_id", "left").withColumn("target_path", F.coalesce("old_path", "path")).hint("merge").join(living, "target_path", "left")
     gone = F.col("version_id").isNull() | F.col("size").isNull()
     action = F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(F.col("version_id") == F.col("current_version_id"), "SKIP").when(gone & F.col("current_size").isNull(), "SKIP").when(gone, "MARK_DELETED").otherwise("REVERT")
     r = r.withColumn("action", action)
@@ -118,7 +118,7 @@ def undo_plan(c: Catalog, t: str, now: str, pattern: str | None = None, elements
     version; ``replaces`` is another existing file at the target's path, ``rename_to`` that path if the file has another now."""
     snap = snapshot_as_of_with_current(c, t).where(_chosen("path", pattern, elements))
     old = c.versions.select("file_id", "version_id", F.col("path").alias("old_path"))
-    return _undone(c, snap.join(old, ["file_id", "version_id"], "left").withColumn("refusal", F.lit(None).cast("string")), now, [])
+    return _undone(c, snap.hint("merge").join(old, ["file_id", "version_id"], "left").withColumn("refusal", F.lit(None).cast("string")), now, [])
 
 
 def undo_versions_plan(c: Catalog, requests: DataFrame, now: str) -> DataFrame:
@@ -128,6 +128,6 @@ def undo_versions_plan(c: Catalog, requests: DataFrame, now: str) -> DataFrame:
     NO_VERSION. Requests are answered one by one against the catalog as it is; two of one file are alternatives."""
     f = c.files.select("file_id", "path", "current_version_id", F.lit(True).alias("__file"))
     v = c.versions.select("file_id", "version_id", "size", "modified", F.col("path").alias("old_path"), F.lit(True).alias("__version"))
-    r = requests.select("request_id", "file_id", F.col("version_id").cast("int").alias("version_id")).join(f, "file_id", "left").join(v, ["file_id", "version_id"], "left")
+    r = requests.select("request_id", "file_id", F.col("version_id").cast("int").alias("version_id")).hint("merge").join(f, "file_id", "left").hint("merge").join(v, ["file_id", "version_id"], "left")
     refusal = F.when(F.col("__file").isNull(), "NO_FILE").when(F.col("version_id").isNotNull() & F.col("__version").isNull(), "NO_VERSION")
     return _undone(c, r.withColumn("refusal", refusal), now, ["request_id"])

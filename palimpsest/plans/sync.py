@@ -34,8 +34,8 @@ def _synced(c: Catalog) -> DataFrame:
 
 def sync_present(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN") -> DataFrame:
     """Existing files that have a local file. ``version_id``: the one to record as synced where no row says so yet."""
-    rows = listing.join(c.existing.select("path", "file_id", "current_version_id", "modified"), "path")
-    rows = rows.join(_matched(c, listing), ["replica_id", "path"], "left").join(_synced(c), ["file_id", "replica_id"], "left")
+    rows = listing.hint("merge").join(c.existing.select("path", "file_id", "current_version_id", "modified"), "path")
+    rows = rows.hint("merge").join(_matched(c, listing), ["replica_id", "path"], "left").hint("merge").join(_synced(c), ["file_id", "replica_id"], "left")
     current = (F.col("match_file") == F.col("file_id")) & (F.col("match_version") == F.col("current_version_id"))
     newer = (F.col("synced_version") == F.col("current_version_id")) & (F.col("modified") < F.col("mtime"))
     decision = F.when(current, "NONE").when(F.col("match_file").isNotNull(), "DISCARD").when(newer, "UPDATE").otherwise(_otherwise(default_action))
@@ -46,8 +46,8 @@ def sync_present(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN"
 
 def sync_absent(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN") -> DataFrame:
     """Existing files without a local file, for every replica that has a sync row of them; for those without one see ``never_synced``."""
-    rows = c.existing.select("path", "file_id", "current_version_id").join(_synced(c), "file_id")
-    rows = rows.join(listing.select("replica_id", "path"), ["replica_id", "path"], "left_anti")
+    rows = c.existing.select("path", "file_id", "current_version_id").hint("merge").join(_synced(c), "file_id")
+    rows = rows.hint("merge").join(listing.select("replica_id", "path"), ["replica_id", "path"], "left_anti")
     same = F.col("synced_version") == F.col("current_version_id")
     decision = F.when(F.col("synced_deleted"), "DISCARD").when(same, "UPDATE").otherwise(_otherwise(default_action))
     reason = F.when(F.col("synced_deleted"), "was deleted").when(same, "deleted locally").when(F.col("synced_version").isNull(), "deleted, purged version").otherwise("deleted, older version")
@@ -59,18 +59,18 @@ def never_synced(c: Catalog, listing: DataFrame) -> DataFrame:
 
     A row for each file with the set of those replicas (``replica_sets``): all but the ones that have a sync row or something at the path."""
     existing = c.existing.select("path", "file_id")
-    known = c.last_sync.select("file_id", "replica_id").join(existing, "file_id", "left_semi").unionByName(listing.select("path", "replica_id").join(existing, "path").select("file_id", "replica_id"))
+    known = c.last_sync.select("file_id", "replica_id").hint("merge").join(existing, "file_id", "left_semi").unionByName(listing.select("path", "replica_id").hint("merge").join(existing, "path").select("file_id", "replica_id"))
     rows = existing.select("path", "file_id", F.lit("DISCARD").alias("decision"), F.lit("never synced").alias("reason"), F.lit(None).cast("int").alias("version_id"))
     return all_but(rows, known, "file_id")
 
 
 def sync_new_local(c: Catalog, listing: DataFrame) -> DataFrame:
     """Local files whose path no existing file has. ``version_id``: for DELETE_LOCAL the mark to record, if the file is deleted."""
-    new = listing.join(c.existing.select("path"), "path", "left_anti")
+    new = listing.hint("merge").join(c.existing.select("path"), "path", "left_anti")
     nested = ancestor_file_conflicts(c, new).select("path").unionByName(descendant_file_conflicts(c, new).select("path")).distinct().withColumn("nested", F.lit(True))
-    rows = new.join(nested, "path", "left").join(_matched(c, new), ["replica_id", "path"], "left")
+    rows = new.hint("merge").join(nested, "path", "left").hint("merge").join(_matched(c, new), ["replica_id", "path"], "left")
     other = c.current.select(F.col("file_id").alias("match_file"), F.col("path").alias("match_path"), F.col("size").alias("match_size"), F.col("current_version_id").alias("match_current"))
-    rows = rows.join(other, "match_file", "left")
+    rows = rows.hint("merge").join(other, "match_file", "left")
     here = F.col("match_alive") & (F.col("match_path") == F.col("path"))
     kind = F.when(F.col("nested"), "ERROR").when(F.col("match_file").isNull(), "ADD").when(here, "SKIP").when(F.col("match_synced"), "DELETE_LOCAL").otherwise("ADD")
     reason = F.when(F.col("nested"), "path conflict").when(F.col("match_file").isNull(), "new").when(here, "added meanwhile").when(F.col("match_synced"), "moved or deleted elsewhere").otherwise("time touched")
@@ -93,7 +93,7 @@ def sync_plan(c: Catalog, listing: DataFrame, default_action: str = "UNKNOWN", p
     never = never_synced(c, listing)
     if file_ids is not None:
         ids = file_ids.select("file_id").distinct()
-        rows, never = rows.join(ids, "file_id", "left_semi"), never.join(ids, "file_id", "left_semi")
+        rows, never = rows.hint("merge").join(ids, "file_id", "left_semi"), never.hint("merge").join(ids, "file_id", "left_semi")
     elif pattern:
         rows, never = rows.where(matches("path", pattern)), never.where(matches("path", pattern))
     if filtered and file_ids is None:

@@ -57,7 +57,7 @@ class Catalog:
     def current(self) -> DataFrame:
         """Each file with its current version; ``is_broken`` where that is missing."""
         v = self.versions.select("file_id", F.col("version_id").alias("current_version_id"), "size", "modified", "has_image", F.lit(True).alias("__there"))
-        joined = self.files.join(v, ["file_id", "current_version_id"], "left")
+        joined = self.files.hint("merge").join(v, ["file_id", "current_version_id"], "left")
         return joined.select("file_id", "path", "current_version_id", "size", "modified", "has_image", F.col("__there").isNull().alias("is_broken"))
 
     @cached_property

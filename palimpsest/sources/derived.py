@@ -52,7 +52,7 @@ def versions_with_paths(events: DataFrame) -> DataFrame:
 def last_sync(files: DataFrame, versions: DataFrame) -> DataFrame:
     rows = files.withColumn("replica_id", F.explode(F.array(*[F.lit(r[0]) for r in REPLICA_ROWS]))).where(F.pmod(F.col("file_id") * 7 + F.col("replica_id"), F.lit(5)) != 0)
     rows = rows.withColumn("version_id", F.greatest(F.lit(1), F.col("current_version_id") - F.pmod(F.col("file_id") + F.col("replica_id"), F.lit(3))).cast("int"))
-    rows = rows.join(versions.select("file_id", "version_id", "size", "modified"), ["file_id", "version_id"])
+    rows = rows.hint("merge").join(versions.select("file_id", "version_id", "size", "modified"), ["file_id", "version_id"])
     cut = F.pmod(F.col("file_id") + F.col("replica_id"), F.lit(11)) == 0
     return rows.select(
         "file_id", "replica_id", F.when(~cut, F.col("version_id")).alias("version_id"), F.when(cut, F.col("size")).alias("size"), F.lit(None).cast("binary").alias("digest"),
@@ -62,18 +62,18 @@ def last_sync(files: DataFrame, versions: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, files: DataFrame, versions: DataFrame, synced: DataFrame) -> DataFrame:
     at = versions.select("file_id", "version_id", "size", "modified")
-    cur = files.join(at.withColumnRenamed("version_id", "current_version_id"), ["file_id", "current_version_id"])
+    cur = files.hint("merge").join(at.withColumnRenamed("version_id", "current_version_id"), ["file_id", "current_version_id"])
     existing = cur.where("size IS NOT NULL")
     hour, two = F.expr("INTERVAL '1' HOUR"), F.expr("INTERVAL '2' SECOND")
     own = at.select("file_id", F.col("version_id").alias("synced"), F.col("size").alias("vs"), F.col("modified").alias("vm"))
     case = F.pmod(F.col("file_id") * 3 + F.col("replica_id"), F.lit(6))
-    rows = synced.select("file_id", "replica_id", "synced").join(existing, "file_id").join(own, ["file_id", "synced"]).withColumn("c", case).where("c <> 0")
+    rows = synced.select("file_id", "replica_id", "synced").hint("merge").join(existing, "file_id").hint("merge").join(own, ["file_id", "synced"]).withColumn("c", case).where("c <> 0")
     size = F.when(F.col("c") == 1, F.col("size") + 1).when(F.col("c") == 2, F.col("vs")).when(F.col("c") == 4, F.col("size") + 7).otherwise(F.col("size"))
     time = F.when(F.col("c") == 1, F.col("modified") + hour).when(F.col("c") == 2, F.col("vm")).when(F.col("c") == 3, F.col("modified") + two).when(F.col("c") == 4, F.col("modified") - hour).otherwise(F.col("modified"))
     main = rows.select("replica_id", "path", size.alias("size"), time.alias("mtime"))
-    gone = files.join(existing.select("path"), "path", "left_anti")
+    gone = files.hint("merge").join(existing.select("path"), "path", "left_anti")
     newest = gone.groupBy("path").agg(F.max(F.struct("file_id", "current_version_id")).alias("f")).select("path", "f.file_id", F.greatest(F.lit(1), F.col("f.current_version_id") - 1).alias("version_id"))
-    dead = synced.select("file_id", "replica_id").join(newest, "file_id").join(at, ["file_id", "version_id"]).select("replica_id", "path", "size", F.col("modified").alias("mtime"))
+    dead = synced.select("file_id", "replica_id").hint("merge").join(newest, "file_id").hint("merge").join(at, ["file_id", "version_id"]).select("replica_id", "path", "size", F.col("modified").alias("mtime"))
     stamp = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     fresh = spark.range(20).withColumn("replica_id", F.explode(F.array(*[F.lit(r[0]) for r in REPLICA_ROWS]))).select("replica_id", F.concat(F.lit("new/r"), F.col("replica_id").cast("string"), F.lit("/u"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), (F.col("id") * 10).alias("size"), stamp.alias("mtime"))
     under = existing.agg(F.min("path").alias("p")).where("p IS NOT NULL").select(F.lit(1).alias("replica_id"), F.concat("p", F.lit("/under.txt")).alias("path"), F.lit(1).cast("long").alias("size"), stamp.alias("mtime"))
@@ -138,7 +138,7 @@ def renamed(c: Catalog) -> Catalog:
     moved = (F.col("file_id") % 7 == 0) & (F.col("current_version_id") >= 2)
     files = c.files.select("file_id", F.when(moved, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path")).alias("path"), "current_version_id")
     old = c.files.where(moved).select("file_id", F.col("path").alias("old"), "current_version_id")
-    v = c.versions.join(old, "file_id", "left").withColumn("path", F.when(F.col("version_id") < F.col("current_version_id"), F.col("old")))
+    v = c.versions.hint("merge").join(old, "file_id", "left").withColumn("path", F.when(F.col("version_id") < F.col("current_version_id"), F.col("old")))
     return Catalog(files, v.select(*c.versions.columns), c.last_sync, c.replicas, c.replica_defaults, c.filters, c.filter_elements, c.op_log, c.op_log_params, c.listing)
 
 

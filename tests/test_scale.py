@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 import os
 import random
+import re
 import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import catalog_queries
 from palimpsest.operators import lookups, trees
 from palimpsest.operators.numbering import numbered
 from palimpsest.plans import replica_sets
@@ -137,3 +139,12 @@ def test_a_changed_table_is_derived_again(spark, tmp_path):
     assert 0 < c.versions.count() < before
     assert c.versions.count() == derived.catalog(spark, str(tmp_path)).versions.count()
     assert tables.file_states(spark, str(path)) == tables.file_states(spark, str(path))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["I3_sync_new_local", "I4_sync_plan_sets", "K1_record_sync", "I14_purge_log", "M2_audit_references", "K3_mark_deleted", "F3_changed_paths"])
+def test_no_table_of_the_catalog_is_broadcast(spark, name):
+    """Files, versions, sync rows, local files and log entries meet by shuffles, however few they are; only replicas' filters may go through the driver."""
+    plan = catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search("SortMergeJoin", plan)
+    assert not re.findall(r"BroadcastHashJoin \[(?:knownfloatingpointnormalized\()?(?:file_id|path|entry|match_file)#", plan)

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from palimpsest.sources.tables import materialize
+
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E37_79B9_7F4A_7C15
 #: Windows that are sent on at once.
@@ -80,3 +83,29 @@ def footprints(images: DataFrame, key: list[str], content: str = "content", k: i
                     yield pa.RecordBatch.from_arrays([*(b.column(j).take(same) for j in range(len(key))), pa.array(part.astype(np.int32)), pa.array(h[part].view(np.int64))], schema=arrow)
 
     return images.select(*key, content).mapInArrow(run, schema)
+
+
+def footprint_counts(images: DataFrame, key: list[str], content: str = "content", k: int = 12) -> DataFrame:
+    """(key, n_windows, positions, n_distinct) of keys with windows of k units: their number, the sum of their places and how many hashes differ.
+
+    An image's windows are counted where its text is, and a row for each image is summed by key. Only for keys of several images, whose hashes
+    have to meet, are windows dealt as rows."""
+    keys = StructType([images.schema[c] for c in key])
+    names = ("n_windows", "positions", "n_distinct")
+    schema = StructType([*keys.fields, *(StructField(c, LongType()) for c in names)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            image = b.column(len(key))
+            hashes = (rolling(units(image[i].as_py() or ""), k) for i in range(b.num_rows))
+            told = np.array([(len(h), len(h) * (len(h) - 1) // 2, len(np.unique(h))) for h in hashes], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(len(key))), *(pa.array(told[:, j]) for j in range(3))], schema=arrow)
+
+    own = images.select(*key, content).mapInArrow(run, schema).where("n_windows > 0").groupBy(*key)
+    sums = own.agg(F.sum("n_windows").alias("n_windows"), F.sum("positions").alias("positions"), F.max("n_distinct").alias("most"))
+    several = materialize(images.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"))
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
+    rows = footprints(images.join(several, same(images, several), "left_semi"), key, content, k)
+    met = rows.groupBy(*key).agg(F.count_distinct("hash").alias("met"))
+    return sums.join(met, same(sums, met), "left").select(*(sums[c] for c in key), "n_windows", "positions", F.coalesce("met", "most").alias("n_distinct"))

@@ -165,3 +165,18 @@ def test_chain_of_a_thousand_versions(spark, monkeypatch, image):
     got = {r.version_id: r.content for r in deltas.rebuild_images(versions, stored, spark.createDataFrame(fragments, "file_id bigint, version_id int, kind string, rev_off bigint, fwd_off bigint, len bigint, data string")).collect()}
     assert got == dict(enumerate(contents, 1))
     assert len(rounds) <= 12
+
+
+def test_footprints_are_counted_where_the_images_are(spark):
+    """Repeated and null keys, short and null images."""
+    rng = random.Random(4)
+    rows = [(i % 40 if i % 3 else None if i % 9 else 100 + i, None if i % 11 == 0 else "".join(rng.choice("ab") for _ in range(i))) for i in range(90)]
+    want: dict = {}
+    for key, text in rows:
+        at = range(len(text or "") - 11)
+        n, places, seen = want.setdefault(key, (0, 0, set()))
+        want[key] = n + len(at), places + sum(at), seen | {text[i : i + 12] for i in at}
+    got = footprints.footprint_counts(spark.createDataFrame(rows, "file_id bigint, content string").repartition(5), ["file_id"])
+    found = got.collect()
+    assert len(found) == len({r.file_id for r in found})
+    assert {r.file_id: (r.n_windows, r.positions, r.n_distinct) for r in found} == {k: (n, p, len(s)) for k, (n, p, s) in want.items() if n}

@@ -16,14 +16,16 @@ The vocabulary's scores are ranks, not probabilities; a piece of rank r has the
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_rows
@@ -35,6 +37,8 @@ UNITS = re.compile(r" *[^ ]+| +")
 NEXT_UNIT = re.compile(r"(?<=[^ ])(?= )")
 #: Characters of text that are drawn at once; characters of filtered units that a worker keeps, at about 60 bytes each.
 BLOCK, TABLE_NODES = 1 << 20, 2 << 20
+#: Characters of units that are filtered together: their edges, some four each, are arrays of 64-bit numbers meanwhile.
+LEARNED = 1 << 18
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 #: log weight of a byte piece.
 BYTE_WEIGHT = -12.0
@@ -47,6 +51,18 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def portions(units: list[str], chars: int) -> Iterator[list[str]]:
+    """The units in order, in lists of about ``chars`` characters, one unit at least."""
+    start, held = 0, 0
+    for i, unit in enumerate(units):
+        if held and held + len(unit) > chars:
+            yield units[start:i]
+            start, held = i, 0
+        held += len(unit)
+    if units:
+        yield units[start:]
+
+
 class Growing:
     """An array that is added to."""
 
@@ -213,7 +229,8 @@ class Lattice:
             if self.edge.size > TABLE_NODES:
                 self.forget()
                 new = set(units)
-            self.learn(sorted(new))
+            for part in portions(sorted(new), LEARNED):
+                self.learn(part)
         occ = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
         edge, share, piece, length = self.edge.all, self.share.all, self.piece.all, self.length.all
         # backward: all units step together
@@ -305,19 +322,27 @@ def row_key(doc: object, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(str(doc).encode(), seed)
 
 
+def drawn(docs: DataFrame, path: str, columns: str, made: Callable[[Lattice, list, list], list], theta: float, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id and the columns that ``made`` has for the lattice, a slice's texts and their ids."""
+
+    def run(cols: list) -> list:
+        ids, texts = cols
+        known = lattice(path, theta)
+        return [ids, *made(known, texts, known.sample([t or "" for t in texts], [row_key(d, seed) for d in ids]))]
+
+    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, {columns}", run, BLOCK)
+
+
 def encode(docs: DataFrame, path: str, theta: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, ids array<int>). Null text: null, empty text: no ids. Rows with one id, null included,
     draw the same numbers. Texts are encoded whole, however long. Other columns are ignored, whatever their names; an empty table gives an
     empty result."""
 
-    def run(cols: list) -> list:
-        ids, texts = cols
-        drawn = lattice(path, theta).sample([t or "" for t in texts], [row_key(d, seed) for d in ids])
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in drawn]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(offsets, np.concatenate([*drawn, np.zeros(0, np.int32)]), mask=pa.array([t is None for t in texts]))
-        return [ids, lists]
+    def lists(known: Lattice, texts: list, ids: list) -> list:
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        return [pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.zeros(0, np.int32)]), mask=pa.array([t is None for t in texts]))]
 
-    return map_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {dict(docs.dtypes)[id_col]}, ids array<int>", run, BLOCK)
+    return drawn(docs, path, "ids array<int>", lists, theta, seed, id_col, text_col)
 
 
 def decoder(path: str, theta: float = 1.0):
@@ -331,17 +356,13 @@ def decoder(path: str, theta: float = 1.0):
     return decode
 
 
-def checksum(ids: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def crc(values):
-        return values.map(lambda x: zlib.crc32(b"" if x is None else np.asarray(x, dtype="<u4").tobytes()))
+def op6_query(docs: DataFrame) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (unsigned little-endian ids), text_sha256 of the decoded text (null: empty).
 
-    return crc(ids)
+    A slice's ids are told where they are drawn, so that no second worker holds the vocabulary and batches of ids."""
 
+    def told(known: Lattice, texts: list, ids: list) -> list:
+        decoded = (known.decode(x.tolist()).encode("utf-8", "surrogatepass") for x in ids)
+        return [[len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], [hashlib.sha256(t).hexdigest() for t in decoded]]
 
-def op6_query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (unsigned little-endian ids), text_sha256 of the decoded text (null: empty)."""
-    path = model_path()
-    coded = encode(docs, path)
-    text = F.coalesce(decoder(path)(F.col("ids")), F.lit(""))
-    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), checksum(F.col("ids")).alias("ids_crc32"), F.sha2(text, 256).alias("text_sha256"))
+    return drawn(docs, model_path(), "n_pieces bigint, ids_crc32 bigint, text_sha256 string", told, 1.0, 0, "doc_id", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -64,3 +65,24 @@ def test_long_texts(lattice):
         (ids,) = lattice.sample([text], [1])
         assert lattice.decode(ids.tolist()) == text
         assert ids.dtype == np.int32
+
+
+def test_units_are_filtered_in_portions(monkeypatch):
+    """Portions hold all units in order, none much over the bound, and give the same segmentations."""
+    units = [" a" * n for n in range(1, 60)] + ["x" * 500, " b"]
+    parts = list(ps.portions(units, 100))
+    assert [u for p in parts for u in p] == units and all(sum(map(len, p)) <= 100 or len(p) == 1 for p in parts) and list(ps.portions([], 5)) == []
+    texts = [" the stone and the river " * 20, "über das Feld 日本語 " * 9, ""]
+    want = [x.tolist() for x in ps.Lattice(ps.model_path(), 1.0).sample(texts, [1, 2, 3])]
+    monkeypatch.setattr(ps, "LEARNED", 7)
+    assert [x.tolist() for x in ps.Lattice(ps.model_path(), 1.0).sample(texts, [1, 2, 3])] == want
+
+
+def test_one_worker_draws_and_tells(spark):
+    """The query has one Python step; its digests are those of the operator's ids."""
+    docs = spark.createDataFrame([(1, "the stone"), (2, None), (3, ""), (4, "a😀b river")], "doc_id bigint, text string")
+    got = ps.op6_query(docs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    ids = {r.doc_id: r.ids or [] for r in ps.encode(docs, ps.model_path()).collect()}
+    assert {r.doc_id: (r.n_pieces, r.ids_crc32) for r in got.collect()} == {k: (len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for k, v in ids.items()}

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size, encoded_size, in_time_frame
-from palimpsest.operators.footprints import footprints, units
+from palimpsest.operators.footprints import least_of_neighbours, rolling, units
 from palimpsest.operators.trees import KEY, ROUNDS, chain_edges, first_hops
 from palimpsest.schema import Catalog
 from palimpsest.sources.tables import materialize, release
@@ -90,21 +90,32 @@ def common_runs(rev: np.ndarray, fwd: np.ndarray, chain: list[tuple[int, int]],
     return runs
 
 
+def matched(rev: np.ndarray, fwd: np.ndarray, k: int, spread: int) -> list[tuple[int, int]]:
+    """Places (f, r) of the marks of both images with equal hashes, the nth of one side with the nth of the other."""
+
+    def marks(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = rolling(u, k)
+        at = least_of_neighbours(h, spread)
+        order = np.argsort(h[at], kind="stable")
+        return h[at][order], at[order]
+
+    (hash_f, f), (hash_r, r) = marks(fwd), marks(rev)
+    nth = np.arange(len(f)) - np.searchsorted(hash_f, hash_f)
+    at = np.searchsorted(hash_r, hash_f) + nth
+    met = np.flatnonzero(at < len(r))
+    met = met[hash_r[at[met]] == hash_f[met]]
+    return list(zip(f[met].tolist(), r[at[met]].tolist(), strict=True))
+
+
 def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: int = SPREAD) -> DataFrame:
     """(key, kind, rev_off, fwd_off, len, data) for rows (key, rev, fwd).
 
     Both images are marked at the windows of k units whose hash is the least of their neighbours, one in 2 * spread + 1, and at both ends; equal marks, the
     nth of one side with the nth of the other, are joined by hash, and of a pair's marks the longest chain that goes up on both sides is kept.
     Marks are then compared as text and stretched as far as it is equal (``common_runs``); what no stretch covers is directional. So COMMON fragments are at least k
-    long and go forward on both sides, and the fragments tile both images. A pair moves marks, an image's length / (2 * spread + 1), and
-    no row for a unit; its texts are read in the row they are in. A null image is empty."""
-    nth = F.row_number().over(Window.partitionBy(*key, "hash").orderBy("pos"))
-    marks = lambda side, name: footprints(pairs, key, side, k, spread).withColumn("nth", nth).withColumnRenamed("pos", name)
-    hits = marks("fwd", "f").hint("merge").join(marks("rev", "r"), [*key, "hash", "nth"]).select(*key, "f", "r")
+    long and go forward on both sides, and the fragments tile both images. A pair's marks are met in its own row (``matched``): nothing is shuffled,
+    neither marks nor texts. A null image is empty."""
     keys = [pairs.schema[c] for c in key]
-    # of one pair as many as its shorter image has marks
-    listed = hits.groupBy(*key).agg(F.collect_list("f").alias("f"), F.collect_list("r").alias("r"))
-    full = pairs.select(*key, "rev", "fwd").hint("merge").join(listed, key, "left")
     text = pairs.schema["fwd"].dataType
     schema = StructType([*keys, StructField("kind", StringType()), *(StructField(c, LongType()) for c in ("rev_off", "fwd_off", "len")), StructField("data", text)])
     arrow = to_arrow_schema(schema)
@@ -113,10 +124,9 @@ def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                rev, fwd, f, r = (b.column(len(key) + j)[i].as_py() for j in range(4))
-                rev, fwd = empty if rev is None else rev, empty if fwd is None else fwd
-                rows, r0, f0 = [], 0, 0
-                for at_r, at_f, n in [*common_runs(units(rev), units(fwd), longest_chain(list(zip(f or [], r or [], strict=True))), k), (len(rev), len(fwd), 0)]:
+                rev, fwd = (empty if x is None else x for x in (b.column(len(key) + j)[i].as_py() for j in range(2)))
+                u, v, rows, r0, f0 = units(rev), units(fwd), [], 0, 0
+                for at_r, at_f, n in [*common_runs(u, v, longest_chain(matched(u, v, k, spread)), k), (len(rev), len(fwd), 0)]:
                     rows += [("FORWARD", None, f0, at_f - f0, fwd[f0:at_f])] if at_f > f0 else []
                     rows += [("REVERSE", r0, None, at_r - r0, rev[r0:at_r])] if at_r > r0 else []
                     rows += [("COMMON", at_r, at_f, n, None)] if n else []
@@ -125,7 +135,7 @@ def diff_images(pairs: DataFrame, key: list[str], k: int = FOOTPRINT, spread: in
                 own = [pa.array([x[j] for x in rows], t) for j, t in enumerate(arrow.types[len(key) :])]
                 yield pa.RecordBatch.from_arrays([*(b.column(j).take(same) for j in range(len(key))), *own], schema=arrow)
 
-    return full.mapInArrow(run, schema)
+    return pairs.select(*key, "rev", "fwd").mapInArrow(run, schema)
 
 
 def fragment_size() -> Column:

@@ -180,3 +180,14 @@ def test_footprints_are_counted_where_the_images_are(spark):
     found = got.collect()
     assert len(found) == len({r.file_id for r in found})
     assert {r.file_id: (r.n_windows, r.positions, r.n_distinct) for r in found} == {k: (n, p, len(s)) for k, (n, p, s) in want.items() if n}
+
+
+def test_a_pair_is_compared_in_its_row(spark):
+    """Diffs shuffle neither marks nor texts; rows of one key do not get each other's marks."""
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdef ") for _ in range(4000))
+    pairs = spark.createDataFrame([(1, text, edited(rng, text, 5)), (1, text[::-1], edited(rng, text[::-1], 5)), (2, None, text)], "id int, rev string, fwd string")
+    made = deltas.diff_images(pairs, ["id"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.where("id = 1 AND kind = 'COMMON'").agg(F.sum("len")).first()[0] > 0.8 * 2 * len(text)
+    assert [(r.kind, r.data) for r in made.where("id = 2").collect()] == [("FORWARD", text)]

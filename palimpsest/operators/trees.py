@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,35 +44,151 @@ KEY = ["file_id", "version_id"]
 ROUNDS = 40
 
 
-def _pointers_left(s: DataFrame) -> bool:
-    return not s.where("up IS NOT NULL").isEmpty()
+#: Versions of a file that are solved together in a task.
+BLOCK = 4096
+#: Longer than any way.
+FAR = 1 << 40
+LOCAL = "file_id bigint, version_id int, up int, reach bigint, amount bigint"
 
 
-def _doubled(s: DataFrame, down: Column | None, value: str, combine, up_value: Column | None) -> DataFrame:
-    """One round over (file_id, version_id, up, value), where ``up`` is the version 2**k steps above: ``down`` aggregates the
-    values of those that point to a version, ``up_value`` is taken from the version pointed to; ``up`` doubles its reach."""
-    above = s.select("file_id", F.col("version_id").alias("up"), F.col("up").alias("__up"), *([up_value.alias("__more")] if up_value is not None else []))
-    new = s.hint("merge").join(above, ["file_id", "up"], "left")
-    if down is not None:
-        below = s.where("up IS NOT NULL").groupBy("file_id", F.col("up").alias("version_id")).agg(down.alias("__more"))
-        new = new.hint("merge").join(below, KEY, "left")
-    out = materialize(new.select(*KEY, F.col("__up").alias("up"), combine(F.col(value), F.col("__more")).alias(value)))
-    release(s)
-    return out
-
+def _pointers_left(s: DataFrame) -> bool:
+    return not s.where("up IS NOT NULL").isEmpty()
 
-def subtree_sums(nodes: DataFrame) -> DataFrame:
-    """(file_id, version_id, amount) summed over each version's subtree, itself included; from these and base_version_id.
 
-    Doubling: a version knows the sum of what lies less than 2**k steps below it; those exactly 2**k steps below add theirs."""
-    s = materialize(nodes.select(*KEY, F.col("base_version_id").alias("up"), F.col("amount").cast("long").alias("amount")))
+def _solve(file: np.ndarray, version: np.ndarray, up: np.ndarray, has_up: np.ndarray, amount: np.ndarray, what: str) -> tuple[np.ndarray, ...]:
+    """(leaves, up, reach, amount) of whole blocks in order: the version outside of the block that a way leads to and in how many steps,
+    and the amounts of the subtree (``sum``, ``nearest``) or the way (``way_sum``, ``way_nearest``) as far as they lie in the block."""
+    n, block = len(version), version // BLOCK
+    group = np.concatenate([[0], np.cumsum((file[1:] != file[:-1]) | (block[1:] != block[:-1]))])
+    place, wanted = group * BLOCK + version - block * BLOCK, group * BLOCK + up - block * BLOCK
+    inside = has_up & (up // BLOCK == block)
+    at = np.minimum(np.searchsorted(place, wanted), n - 1)
+    # the end of all ways is one more place, n
+    to = np.append(np.where(inside & (place[at] == wanted), at, n), n)
+    root, hops = np.where(to == n, np.arange(n + 1), to), (to != n).astype(np.int64)
+    value = np.append(amount, FAR if "nearest" in what else 0)
+    for k in range(BLOCK.bit_length()):
+        if (to == n).all():
+            break
+        seen, from_ = value[to], np.flatnonzero(to != n)
+        if what == "sum":
+            value = value.copy()
+            np.add.at(value, to[from_], value[from_].copy())
+        elif what == "nearest":
+            more = value[from_] + (1 << k)
+            value = value.copy()
+            np.minimum.at(value, to[from_], more)
+        elif what == "way_sum":
+            value = value + seen
+        else:
+            value = np.minimum(value, seen + (1 << k))
+        hops, root, to = hops + hops[to], root[root], to[to]
+    root, ended = root[:n], to[:n] == n
+    leaves = ended & (has_up & ~inside)[root]
+    return leaves, up[root], hops[:n] + 1, value[:n]
+
+
+def _solver(what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Solves a sorted stream of (file_id, version_id, up, amount, inflow) block by block; an inflow row adds to the version that follows it."""
+    none = FAR if "nearest" in what else 0
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        get = lambda c, null=0: t.column(c).combine_chunks().fill_null(null).to_numpy(zero_copy_only=False)
+        file, version, up, amount, inflow = get("file_id"), get("version_id").astype(np.int64), get("up").astype(np.int64), get("amount", none), t.column("inflow").combine_chunks().to_numpy(zero_copy_only=False)
+        has_up = ~np.asarray(t.column("up").combine_chunks().is_null().to_numpy(zero_copy_only=False))
+        own = np.flatnonzero(~inflow)
+        if len(own) < len(file):
+            given = np.flatnonzero(inflow)
+            amount = amount.copy()
+            (np.minimum if what == "nearest" else np.add).at(amount, given + 1, amount[given])
+            file, version, up, has_up, amount = (x[own] for x in (file, version, up, has_up, amount))
+        leaves, to, reach, amount = _solve(file, version, up, has_up, amount, what)
+        gone = amount >= FAR if "nearest" in what else np.zeros(len(amount), bool)
+        columns = [pa.array(file), pa.array(version, pa.int32()), pa.array(to, pa.int32(), mask=~leaves), pa.array(reach, pa.int64(), mask=~leaves), pa.array(amount, pa.int64(), mask=gone)]
+        return pa.RecordBatch.from_arrays(columns, names=["file_id", "version_id", "up", "reach", "amount"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not t.num_rows:
+                continue
+            file, block = t.column("file_id").to_numpy(), t.column("version_id").to_numpy() // BLOCK
+            cut = int(np.flatnonzero((file != file[-1]) | (block != block[-1]))[-1]) + 1 if (file[0] != file[-1] or block[0] != block[-1]) else 0
+            if cut:
+                yield solved(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield solved(held)
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, what: str, inflow: DataFrame | None = None) -> DataFrame:
+    """``rows`` (file_id, version_id, up, amount) after what can be solved inside blocks of versions: a shuffle by file and block, and a stream."""
+    r = rows.where("file_id IS NOT NULL AND version_id IS NOT NULL").select(*KEY, F.col("up").cast("int").alias("up"), F.col("amount").cast("long").alias("amount"), F.lit(False).alias("inflow"))
+    if inflow is not None:
+        r = r.unionByName(inflow.select(*KEY, F.lit(None).cast("int").alias("up"), "amount", F.lit(True).alias("inflow")))
+    dealt = r.repartition(F.col("file_id"), F.floor(F.col("version_id") / BLOCK)).sortWithinPartitions("file_id", "version_id", F.col("inflow").desc())
+    return materialize(dealt.mapInArrow(_solver(what), LOCAL))
+
+
+def _ports(local: DataFrame, what: str, amounts: DataFrame | None = None) -> DataFrame:
+    """(file_id, version_id, amount) of the versions that ways from other blocks lead to, by doubling over these alone.
+
+    ``amounts``: theirs, where they are not those of ``local``."""
+    near = "nearest" in what
+    asked = local.where("up IS NOT NULL").select("file_id", F.col("up").alias("version_id")).distinct()
+    s = local.hint("merge").join(asked, KEY, "left_semi")
+    s = materialize(s if amounts is None else s.drop("amount").hint("merge").join(amounts, KEY, "left"))
     for _ in range(ROUNDS):
         if not _pointers_left(s):
             break
-        s = _doubled(s, F.sum("amount"), "amount", lambda own, more: own + F.coalesce(more, F.lit(0)), None)
+        above = s.select("file_id", F.col("version_id").alias("up"), F.col("up").alias("__up"), F.col("reach").alias("__reach"), F.col("amount").alias("__amount"))
+        new, more = s.hint("merge").join(above, ["file_id", "up"], "left"), F.col("__amount")
+        if amounts is not None:
+            below = s.where("up IS NOT NULL").groupBy("file_id", F.col("up").alias("version_id")).agg((F.min(F.col("amount") + F.col("reach")) if near else F.sum("amount")).alias("__more"))
+            new, more = new.hint("merge").join(below, KEY, "left"), F.col("__more")
+        elif near:
+            more = more + F.col("reach")
+        total = F.least("amount", more) if near else F.coalesce("amount", F.lit(0)) + F.coalesce(more, F.lit(0))
+        out = materialize(new.select(*KEY, F.col("__up").alias("up"), (F.col("reach") + F.col("__reach")).alias("reach"), total.alias("amount")))
+        release(s)
+        s = out
     return s.select(*KEY, "amount")
 
 
+def _over_subtrees(nodes: DataFrame, what: str) -> DataFrame:
+    """(file_id, version_id, amount): the sum of the subtree of each of (file_id, version_id, up, amount), or the ``nearest``: the least of amounts plus steps.
+
+    Blocks of a file's versions are solved in one task each. What leaves a block enters its ``up`` in another; these, few, are solved by doubling,
+    and blocks are solved again with what enters them."""
+    local = _in_blocks(nodes, what)
+    if not _pointers_left(local):
+        return local.select(*KEY, "amount")
+    entering = local.where("reach = 1").groupBy("file_id", F.col("up").alias("version_id")).agg((F.min("amount") + 1 if what == "nearest" else F.sum("amount")).alias("amount"))
+    given = _ports(local, what, entering).where("amount IS NOT NULL")
+    out = _in_blocks(nodes, what, given).select(*KEY, "amount")
+    release(local)
+    return out
+
+
+def _over_ways(nodes: DataFrame, what: str) -> DataFrame:
+    """(file_id, version_id, amount): the sum along the way of each of (file_id, version_id, up, amount), itself included, or the least of amounts plus steps."""
+    local = _in_blocks(nodes, what)
+    if not _pointers_left(local):
+        return local.select(*KEY, "amount")
+    ports = _ports(local, what).select("file_id", F.col("version_id").alias("up"), F.col("amount").alias("__amount"))
+    far = local.where("up IS NOT NULL").hint("merge").join(ports, ["file_id", "up"], "left")
+    total = F.least("amount", F.col("__amount") + F.col("reach")) if what == "way_nearest" else F.col("amount") + F.coalesce("__amount", F.lit(0))
+    return local.where("up IS NULL").select(*KEY, "amount").unionByName(far.select(*KEY, total.alias("amount")))
+
+
+def subtree_sums(nodes: DataFrame) -> DataFrame:
+    """(file_id, version_id, amount) summed over each version's subtree, itself included; from these and base_version_id."""
+    return _over_subtrees(nodes.select(*KEY, F.col("base_version_id").alias("up"), "amount"), "sum")
+
+
 #: Siblings and labels that are counted together.
 LABELS = 256
 
@@ -133,25 +253,16 @@ def image_distances(versions: DataFrame) -> DataFrame:
     """(file_id, version_id, next, far): edges to the nearest version with an image, in either direction of the tree, and
     the first version on the way; next is null at images (far 0), no row where there is no way.
 
-    Doubling again: first the nearest image below each version, then that of its ancestors. Of equally near ways a version takes
+    First the nearest image below each version, then that of its ancestors. Of equally near ways a version takes
     its base, then the child with the lowest id. Deletion marks have no content and lead nowhere."""
     v = versions.where("size IS NOT NULL").select(*KEY, "base_version_id", "has_image")
     there = v.select("file_id", F.col("version_id").alias("base_version_id"), F.lit(True).alias("__there"))
     tree = materialize(v.hint("merge").join(there, ["file_id", "base_version_id"], "left").select(*KEY, F.when(F.col("__there"), F.col("base_version_id")).alias("base"), F.when(F.col("has_image"), F.lit(0)).cast("long").alias("far")))
-    s = materialize(tree.select(*KEY, F.col("base").alias("up"), "far"))
-    for k in range(ROUNDS):
-        if not _pointers_left(s):
-            break
-        s = _doubled(s, F.min("far") + F.lit(1 << k), "far", lambda own, more: F.least(own, more), None)
-    below = s
-    s = materialize(below.drop("up").hint("merge").join(tree.select(*KEY, F.col("base").alias("up")), KEY).select(*KEY, "up", "far"))
-    release(below)
-    for k in range(ROUNDS):
-        if not _pointers_left(s):
-            break
-        s = _doubled(s, None, "far", lambda own, more: F.least(own, more), F.col("far") + F.lit(1 << k))
+    up = tree.select(*KEY, F.col("base").alias("up"), F.col("far").alias("amount"))
+    below = _over_subtrees(up, "nearest")
+    s = _over_ways(below.hint("merge").join(up.drop("amount"), KEY), "way_nearest").withColumnRenamed("amount", "far")
     near = materialize(s.where("far IS NOT NULL").select(*KEY, "far").hint("merge").join(tree.select(*KEY, "base"), KEY))
-    release(s, tree)
+    release(tree)
     over = near.select("file_id", F.col("version_id").alias("base"), F.col("far").alias("base_far"))
     both = near.hint("merge").join(over, ["file_id", "base"], "left")
     child = both.where("base_far = far + 1").groupBy("file_id", F.col("base").alias("version_id")).agg(F.min("version_id").alias("child"))
@@ -159,11 +270,8 @@ def image_distances(versions: DataFrame) -> DataFrame:
     return materialize(both.hint("merge").join(child, KEY, "left").select(*KEY, F.when(F.col("far") > 0, step).alias("next"), "far"))
 
 
-def nearest_image_path(versions: DataFrame) -> DataFrame:
-    """(file_id, source, step, at, next): the way of ``image_distances`` hop by hop, for each version without an image (no marks).
-
-    Versions with an image, and those without a way, have no rows. The ways double in length with each join."""
-    hop = materialize(image_distances(versions).where("next IS NOT NULL").select("file_id", F.col("version_id").alias("at"), "next"))
+def _along(hop: DataFrame) -> DataFrame:
+    """The ways that begin at each ``at`` of (file_id, at, next, ...), hop by hop: (file_id, source, step, at, next, ...). They double in length with each join."""
     jump = hop.hint("merge").join(hop.select("file_id", F.col("at").alias("next")), ["file_id", "next"], "left_semi").select("file_id", "at", F.col("next").alias("to"))
     ways, jump, reach = hop.select("file_id", F.col("at").alias("source"), F.lit(0).alias("step"), "at"), materialize(jump), 1
     while not jump.isEmpty():
@@ -172,17 +280,24 @@ def nearest_image_path(versions: DataFrame) -> DataFrame:
         last, jump = jump, materialize(jump.hint("merge").join(jump.select("file_id", F.col("at").alias("to"), F.col("to").alias("on")), ["file_id", "to"]).select("file_id", "at", F.col("on").alias("to")))
         release(last)
         reach *= 2
-    return ways.hint("merge").join(hop, ["file_id", "at"]).select("file_id", "source", "step", "at", "next")
+    return ways.hint("merge").join(hop, ["file_id", "at"]).select("file_id", "source", "step", *[c for c in hop.columns if c != "file_id"])
+
+
+def nearest_image_path(versions: DataFrame) -> DataFrame:
+    """(file_id, source, step, at, next): the way of ``image_distances`` hop by hop, for each version without an image (no marks).
+
+    Versions with an image, and those without a way, have no rows."""
+    return _along(materialize(image_distances(versions).where("next IS NOT NULL").select("file_id", F.col("version_id").alias("at"), "next")))
+
+
+def nearest_image_edges(versions: DataFrame) -> DataFrame:
+    """The same with ``chain_edges``, which are told once for each version and not for each way that leads over it."""
+    return _along(materialize(chain_edges(first_hops(versions), versions).drop("source", "step")))
 
 
 def way_sums(hops: DataFrame) -> DataFrame:
     """(file_id, version_id, amount): the amounts of (file_id, version_id, next, amount) summed along each version's way."""
-    s = materialize(hops.select(*KEY, F.col("next").alias("up"), F.col("amount").cast("long").alias("amount")))
-    for _ in range(ROUNDS):
-        if not _pointers_left(s):
-            break
-        s = _doubled(s, None, "amount", lambda own, more: own + F.coalesce(more, F.lit(0)), F.col("amount"))
-    return s.select(*KEY, "amount")
+    return _over_ways(hops.select(*KEY, F.col("next").alias("up"), "amount"), "way_sum")
 
 
 def first_hops(versions: DataFrame) -> DataFrame:

@@ -109,6 +109,46 @@ def test_labels_of_trees(spark):
     assert all(r.related == (r.descendant in {j for j, _ in pairs[r.file_id, r.ancestor]}) for r in trees.is_ancestor(labels, asks).collect())
 
 
+def test_trees_of_several_blocks(spark, partitions, monkeypatch):
+    """Sums and nearest images in trees of more than one block of versions, against plain Python; the states written do not grow with the depth."""
+    partitions(3)
+    rng, n = random.Random(5), 9500
+    up = {1: [i - 1 for i in range(1, n)], 2: [0] + [1] * (n - 2), 3: [rng.randrange(max(0, i - 5000), i) for i in range(1, n)], 4: [i + 1 for i in range(1, n - 1)] + [0], 5: [0, 1, 77, 2]}
+    rows = [(f, i, b or None, rng.randrange(-5, 10**15), rng.random() < 0.0005, None if rng.random() < 0.001 else 5) for f, bases in up.items() for i, b in enumerate(bases, 1)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "file_id bigint, version_id int, base_version_id int, amount bigint, has_image boolean, size bigint")
+    own = {(f, i): (b, a, image, size) for f, i, b, a, image, size in rows}
+    sums, ways = {k: x[1] for k, x in own.items()}, {}
+    order = sorted(own, key=lambda k: (k[0], -k[1] if k[0] == 4 else k[1]))
+    for f, i in reversed(order):
+        if (f, own[f, i][0]) in own:
+            sums[f, own[f, i][0]] += sums[f, i]
+    for f, i in order:
+        ways[f, i] = own[f, i][1] + ways.get((f, own[f, i][0]), 0)
+    states = []
+    monkeypatch.setattr(trees, "materialize", lambda df: states.append(1) or tables.materialize(df))
+    got = trees.subtree_sums(d).collect()
+    assert {(r.file_id, r.version_id): r.amount for r in got} == sums and len(got) == len(rows)
+    got = trees.way_sums(d.withColumnRenamed("base_version_id", "next")).collect()
+    assert {(r.file_id, r.version_id): r.amount for r in got} == ways and len(got) == len(rows)
+    assert len(states) < 16
+
+    live = {k: x for k, x in own.items() if x[3] is not None}
+    edges: dict = {}
+    for (f, i), x in live.items():
+        if (f, x[0]) in live:
+            edges.setdefault((f, i), []).append((f, x[0]))
+            edges.setdefault((f, x[0]), []).append((f, i))
+    far = {k: 0 for k, x in live.items() if x[2]}
+    ring = list(far)
+    while ring:
+        ring = [m for k in ring for m in edges.get(k, []) if m not in far and not far.update({m: far[k] + 1})]
+    got = trees.image_distances(d).collect()
+    assert {(r.file_id, r.version_id): r.far for r in got} == far and len(got) == len(far)
+    for r in got:
+        assert (r.next is None) == (r.far == 0) and (r.next is None or far[r.file_id, r.next] == r.far - 1)
+
+
 def test_sets_of_replicas(spark):
     """Each replica's part is the product less the exceptions; rows grow with files and exceptions."""
     rng = random.Random(2)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, release
 from palimpsest.llm.exchange import MESSAGE, PACKING, buckets, chunked, messages, mix
 from palimpsest.llm.langid import held_out
 
@@ -173,6 +174,16 @@ def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], place[codes]
 
 
+def by_frequency(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of n symbols, the first one first and the others by how often tokens have them, and the tokens as places in it.
+
+    So most tokens are small numbers, which take a fifth less when they are packed."""
+    order = np.concatenate(([0], 1 + np.argsort(-np.bincount(tokens, minlength=n)[1:], kind="stable")))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return order, place[tokens]
+
+
 class ChunkGrams:
     """The symbols of a chunk's documents in their contexts, and what the answers so far tell of them.
 
@@ -293,7 +304,8 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
         own = [[int(x)] + [0] * (t.num_rows - 1) for x in found]
         return pa.table([t["bucket"], t["chunk"], pa.array(parts, pa.binary()), *(pa.array(x, pa.int64()) for x in own)], names=["bucket", "chunk", "data", *sums])
 
-    counted = by_chunk.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(count, schema)
+    # written, so that the questions are gone and the texts are dealt anew before states are written beside them
+    counted = materialize(by_chunk.applyInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(count, schema))
     totals = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums])
     answers = counted.select("bucket", "chunk", "data", *[totals.select(c).scalar().alias(c) for c in sums])
     id_type = dict(rows.dtypes)["doc_id"]
@@ -309,8 +321,9 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
         within = np.where(symbol == OTHER, np.log10(np.where(known > 0, known, once + 1)) - np.log10(common + once + 1), 0.0)
         ids, first, place = np.unique(symbol, return_index=True, return_inverse=True)
         counts = np.where(ids == OTHER, common, known[first])
+        order, tokens = by_frequency(place[c.words], len(ids))
         train = ~t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-        state = bundle(ids, counts, place[c.words].astype("<u4"), c.sizes, train.astype(np.uint8), np.array([total, symbols + 2]))
+        state = bundle(ids[order], counts[order], tokens.astype("<u4"), c.sizes, train.astype(np.uint8), np.array([total, symbols + 2]))
         n_known, bases, withins = (np.add.reduceat(x, c.starts) for x in ((known > 0)[c.words].astype(np.int64), base, within[c.words]))
         made = [t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(c.sizes), pa.array(n_known), pa.array(np.full(len(c.sizes), total)), pa.array(bases), pa.array(withins)]
         ends = pa.array([0, len(c.sizes)], pa.int32())
@@ -318,6 +331,7 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
 
     kinds = [id_type, "boolean", "bigint", "bigint", "bigint", "double", "double"]
     chunks = materialize(by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(number, "chunk int, state binary, " + ", ".join(f"{c} array<{k}>" for c, k in zip(columns, kinds, strict=True))))
+    release(counted)
     states = chunks.select("chunk", "state")
 
     def grams(t: pa.Table, back: pa.Table, answers: int) -> ChunkGrams:
@@ -332,9 +346,17 @@ def score_texts(docs: DataFrame, folds: int = 10, fold: int = 0, id_col: str = "
 
         return states.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, MESSAGE)
 
-    known = docs.sparkSession.createDataFrame([], "step int, bucket int, chunk int, data binary")
+    def first_asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nothing is answered yet, so states are read where they lie."""
+        for b in batches:
+            for chunk, state in zip(b.column(0), b.column(1), strict=True):
+                yield from messages(ChunkGrams(state.as_py(), n, min_count, weight, short).ask_counts(chunk.as_py())).to_batches()
+
+    known = None
     for step in range(1, 2 * DEPTH, 2):
-        known = known.unionByName(answers_to(asks(known, step - 1, ChunkGrams.ask_counts), "<i8", step, lambda total, own: total - own))
+        questions = states.mapInArrow(first_asks, MESSAGE) if known is None else asks(known, step - 1, ChunkGrams.ask_counts)
+        counts = answers_to(questions, "<i8", step, lambda total, own: total - own)
+        known = counts if known is None else known.unionByName(counts)
         known = known.unionByName(answers_to(asks(known, step, ChunkGrams.ask_gains), "<f4", step + 1, lambda saved, own: (saved >= min_gain).astype("|u1")))
 
     def score(t: pa.Table, back: pa.Table) -> pa.Table:

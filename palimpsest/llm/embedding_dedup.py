@@ -6,8 +6,9 @@ the cosine are verified links; passes with other projections find what one pass
 passes' links gives the components. A pass keeps only links that join two groups of its task, so a dense cluster
 gives a tree and not all its pairs. Windows go on across the borders of range partitions, so links do not depend on these.
 
-The number of passes and the window follow from the data (``plan_passes``): on a sample of each label, pairs at exactly the least cosine are made
-and hashed with it, and it is counted how often their first bits agree, and how often those of two sampled vectors do. A pair
+The number of passes and the window follow from the data (``plan_passes``): for each vector of every label, pairs at exactly the least cosine are made
+and hashed with it, and it is counted how often their first bits agree, and how often those of the vector and the others of its block do, into which
+a hash deals the label. A pair
 meets in a window when as many leading bits agree as thin its label out to half a window. As many passes are made as leave such
 a pair apart with probability ``MISS`` at most. Vectors in a cone, as text embedders give, are spread by taking the mean away, and agree in
 fewer bits than others at the same cosine, so they get more passes.
@@ -35,8 +36,8 @@ from palimpsest.llm.components import components
 WINDOWS = (32, 128, 512, 2048)
 #: What hashing and sorting a vector costs in a pass, in comparisons.
 SORTING = 128
-#: Sampled vectors in all, of 8 MB at most, and the fewest of a label that tell about it.
-SAMPLE, FEWEST = 2048, 16
+#: Vectors of a label that are compared with each other to plan its passes, and those of a group, which holds whole blocks.
+PLANNED, PLANNED_GROUP = 256, 4096
 HASH_BITS = 64
 MISS = 1e-4
 #: Vectors in a block of a component; a group compares two blocks at most.
@@ -48,13 +49,11 @@ def planes(p: int, d: int) -> np.ndarray:
     return np.random.default_rng((SEED, p)).standard_normal((d, HASH_BITS))
 
 
-def agreement(x: np.ndarray, mean: np.ndarray, least: float, trials: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """For L = 0 to HASH_BITS: how often a pair at the least cosine agrees in its first L bits, and how often two of the vectors x do
-    that are no such pair themselves.
-
-    Where too few pairs agree to count, the decline of the last bits that can be counted goes on."""
+def agreeing(x: np.ndarray, mean: np.ndarray, least: float, trials: int = 8, block: int = 0) -> np.ndarray:
+    """Counts of one block of vectors x, which add up over blocks: of pairs made at the least cosine, in all and, for L = 0 to HASH_BITS, those that agree
+    in their first L bits; of ordered pairs of the vectors, in all and those that agree in just L bits and are no such pair themselves."""
     m, d = x.shape
-    rng = np.random.default_rng(SEED)
+    rng = np.random.default_rng((SEED, block))
     u = rng.standard_normal((m, d))
     u -= (u * x).sum(axis=1, keepdims=True) * x
     u /= np.maximum(np.sqrt((u * u).sum(axis=1, keepdims=True)), 1e-300)
@@ -64,15 +63,24 @@ def agreement(x: np.ndarray, mean: np.ndarray, least: float, trials: int = 8) ->
     for _ in range(trials):
         plane = rng.standard_normal((d, HASH_BITS))
         a, b = (x - mean) @ plane > 0, (y - mean) @ plane > 0
-        near += np.concatenate(([m], np.cumprod(a == b, axis=1).sum(axis=0))) / (m * trials)
+        near += np.concatenate(([m], np.cumprod(a == b, axis=1).sum(axis=0)))
         key = np.packbits(a, axis=1).view(">u8")[:, 0].astype(np.uint64)
         for lo in range(0, m, 256):
             apart = key[lo : lo + 256, None] ^ key[None, :]
             shared = np.maximum(0, HASH_BITS - np.frexp(apart.astype(np.float64))[1])
-            far += np.bincount(shared[strangers[lo : lo + 256]], minlength=HASH_BITS + 1)[: HASH_BITS + 1] / (m * (m - 1.0) * trials)
-    # so far by the number of bits shared, from now on of those that share as many and more
-    far = np.cumsum(far[::-1])[::-1].copy()
-    for seen, cases in ((near, trials * m), (far, trials * m * (m - 1))):
+            far += np.bincount(shared[strangers[lo : lo + 256]], minlength=HASH_BITS + 1)[: HASH_BITS + 1]
+    return np.concatenate(([trials * m], near, [trials * m * (m - 1.0)], far))
+
+
+def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(near, far) of counts of ``agreeing``, for L = 0 to HASH_BITS: how often a pair at the least cosine agrees in its first L bits, and how often
+    two vectors do that are no such pair.
+
+    Where too few pairs agree to count, the decline of the last bits that can be counted goes on."""
+    (made, *near), (pairs, *far) = np.split(counts, 2)
+    near = np.array(near) / made
+    far = np.cumsum(far[::-1])[::-1] / max(1.0, pairs)
+    for seen, cases in ((near, made), (far, pairs)):
         if not len(known := np.flatnonzero(seen * cases >= 50)):
             continue
         last = int(known[-1])
@@ -81,6 +89,11 @@ def agreement(x: np.ndarray, mean: np.ndarray, least: float, trials: int = 8) ->
     return near, far
 
 
+def agreement(x: np.ndarray, mean: np.ndarray, least: float, trials: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """``shares`` of one block."""
+    return shares(agreeing(x, mean, least, trials))
+
+
 def passes_for(n: int, near: np.ndarray, far: np.ndarray, miss: float = MISS) -> tuple[int, int]:
     """(passes, window) of least work for a label of n vectors; 4 passes at least."""
     best = None
@@ -124,32 +137,34 @@ def label_means(nodes: DataFrame) -> DataFrame:
     return nodes.select("label", "vector").mapInArrow(sums, ddl).groupBy("label").applyInArrow(total, ddl)
 
 
-def plan_passes(nodes: DataFrame, means: DataFrame, least: float) -> tuple[int, int]:
-    """(passes, window) that the most demanding label needs: of the sampled ones with ``FEWEST`` vectors in the sample each by its own, and all
-    others by the most demanding of them at the size of the largest other. The sample is the vectors with the smallest hashes."""
-    longest = nodes.agg(F.max(F.octet_length("vector"))).first()[0]
-    if not longest:
-        return 4, WINDOWS[0]
-    size = max(FEWEST, min(SAMPLE, (8 << 20) // longest))
-    sample = nodes.orderBy(F.xxhash64("vector", F.lit(SEED)), "id").limit(size).select("label", "vector").collect()
-    by: dict[str, list] = {}
-    for r in sample:
-        by.setdefault(r.label, []).append(bytes(r.vector))
-    known = means.join(F.broadcast(nodes.sparkSession.createDataFrame([(k,) for k in by], "label string")), "label").collect()
-    plans, told = [(4, WINDOWS[0])], {}
-    for r in known:
-        if len(own := by[r.label]) >= FEWEST:
-            told[r.label] = agreement(unit(own), np.frombuffer(r["mean"], np.float64), least)
-            plans.append(passes_for(r.n, *told[r.label]))
-    rest = means.where(~F.col("label").isin(list(told))).agg(F.max("n")).first()[0] or 0
-    plans += [passes_for(rest, *t) for t in told.values()]
-    if not told and rest > WINDOWS[0]:
-        # many small labels: all vectors less their means tell for all
-        of = {r.label: np.frombuffer(r["mean"], np.float64) for r in known}
-        same = [(v, k) for k, vs in by.items() for v in vs if len(v) == longest]
-        x, mean = unit([v for v, _ in same]), np.array([of[k] for _, k in same])
-        plans.append(passes_for(rest, *agreement(x, mean, least)) if len(same) > 1 else (4, WINDOWS[0]))
-    return max(p for p, _ in plans), max(w for _, w in plans)
+def plan_passes(centred: DataFrame, total: int, least: float) -> tuple[int, int]:
+    """(passes, window) that the most demanding label needs, each planned by all of its own vectors; centred: ``total`` rows (label, vector, id, mean, n).
+
+    A label that the smallest window covers needs none. A hash deals the others to blocks of about ``PLANNED`` vectors; a block's counts are added up by label."""
+    wide = centred.where(F.col("n") > WINDOWS[0])
+    block = F.pmod(F.xxhash64("vector", F.lit(SEED)), F.ceil(F.col("n") / PLANNED))
+    dealt = wide.select("label", "vector", "id", "mean", "n", block.alias("block")).withColumn("part", F.pmod(F.xxhash64("label", "block"), F.lit(max(1, total // PLANNED_GROUP))))
+
+    def count(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("label", "ascending"), ("block", "ascending"), ("id", "ascending")])
+        labels, blocks, data = (t[c].to_pylist() for c in ("label", "block", "vector"))
+        cuts = [0, *(i for i in range(1, len(labels)) if (labels[i], blocks[i]) != (labels[i - 1], blocks[i - 1])), len(labels)]
+        held: dict[str, list] = {}
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            counts = agreeing(unit(data[lo:hi]), np.frombuffer(t["mean"][lo].as_py(), np.float64), least, block=blocks[lo])
+            n, old = t["n"][lo].as_py(), held.get(labels[lo])
+            held[labels[lo]] = [n, counts if old is None else old[1] + counts]
+        rows = [(k, n, v.tobytes()) for k, (n, v) in held.items()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["label", "n", "counts"])
+
+    def plan(t: pa.Table) -> pa.Table:
+        counts = np.sum([np.frombuffer(x, np.float64) for x in t["counts"].to_pylist()], axis=0)
+        passes, window = passes_for(t["n"][0].as_py(), *shares(counts))
+        return pa.table([pa.array([passes], pa.int32()), pa.array([window], pa.int32())], names=["passes", "window"])
+
+    plans = dealt.groupBy("part").applyInArrow(count, "label string, n bigint, counts binary").groupBy("label").applyInArrow(plan, "passes int, window int")
+    most = plans.agg(F.max("passes"), F.max("window")).first()
+    return most[0] or 4, most[1] or WINDOWS[0]
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -352,8 +367,8 @@ def near_duplicates(rows: DataFrame, least: float = 0.98, passes: int | None = N
     nodes = materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
     means = materialize(label_means(nodes))
     total = means.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    planned = plan_passes(nodes, means, least) if passes is None or window is None else (passes, window)
-    centred = join_split(nodes, means, ["label"], "n", total)
+    centred = join_split(nodes, means.withColumn("size", F.col("n")), ["label"], "size", total)
+    planned = plan_passes(centred, total, least) if passes is None or window is None else (passes, window)
     groups = materialize(components(window_links(centred, least, passes or planned[0], window or planned[1])))
     release(means)
     members = materialize(nodes.join(groups.withColumnRenamed("node", "id"), "id"))

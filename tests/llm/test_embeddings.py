@@ -143,3 +143,16 @@ def test_odd_vectors(spark):
     want = [(i, 0, i, True) for i in range(2, 9)] + [(None, 0, None, True), (None, 3, None, False)] + [(1, 3, 1, True), (9, 3, 1, False), (10, 3, 1, False)]
     # a null id links as any other, and its component is null
     assert sorted((i or -1, n, c or -1) for i, n, c, _ in got) == sorted((i or -1, n, c or -1) for i, n, c, _ in want)
+
+
+def test_every_label_plans_for_itself(spark, monkeypatch):
+    """One label of 60 in a cone among 500 of 24 vectors that no window cuts: its own vectors, 1 of 200, tell which window it needs."""
+    rng = np.random.default_rng(8)
+    easy = [(i, v, i // 24) for i, v in enumerate(rng.standard_normal((12_000, 32)).tolist())]
+    hard = [(12_000 + i, v, 500) for i, v in enumerate(spread(0.97, 60, 32).tolist())]
+    made, links = [], ed.window_links
+    monkeypatch.setattr(ed, "window_links", lambda nodes, least, passes, window: made.append((passes, window)) or links(nodes, least, passes, window))
+    assert ed.op3_query(spark.createDataFrame(easy + hard, "vec_id bigint, embedding array<double>, label int")).count() == 12_060
+    x = spread(0.97, 60, 32)
+    own = ed.passes_for(60, *ed.agreement(x, x.mean(axis=0), 0.98))
+    assert made == [own] and own[1] > ed.WINDOWS[0]

@@ -30,3 +30,37 @@ def test_states_and_first_questions(spark, monkeypatch):
         assert len(often) > 20 and (np.diff(often) <= 0).all()
     assert at == 1 and "hashpartitioning(bucket" not in written[at][0]
     assert "hashpartitioning(bucket" in written[at + 1][0] and "hashpartitioning(chunk" not in written[at + 1][0]
+
+
+def test_places_are_numbered_and_only_distinct_grams_hashed(monkeypatch):
+    """Each step reads the answers before anew, so what it does for every place must be little."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2, 1, 500, 3, 493])
+    tokens = rng.integers(1, 9, sizes.sum()).astype("<u4")
+    tokens[np.cumsum(sizes) - 1] = suffix_tree_lm.END
+    ids = np.arange(9, dtype="<u8") * 7
+    state = suffix_tree_lm.bundle(ids, np.bincount(tokens, minlength=9), tokens, sizes, np.ones(len(sizes), np.uint8), np.array([len(tokens), 9]))
+    hashed, mix = [], suffix_tree_lm.mix
+    monkeypatch.setattr(suffix_tree_lm, "mix", lambda x: (hashed.append(len(x)), mix(x))[1])
+    g = suffix_tree_lm.ChunkGrams(state, 1, 1, 8.0, np.uint64(0))
+    padded = [[0, 0, 0, *tokens[e - n : e].tolist()] for n, e in zip(sizes, np.cumsum(sizes), strict=True)]
+    for depth in (1, 2):
+        at, hashes, gram = g.deepen()
+        want = [tuple(t[i - depth : i + 1]) for t in padded for i in range(3, len(t))]
+        assert at.tolist() == list(range(len(tokens)))
+        # one number for each gram of symbols, and one gram for each number
+        assert len(set(zip(want, gram.tolist(), strict=True))) == len(set(want)) == len(set(gram.tolist())) == len(hashes)
+        assert (np.diff(hashes) > 0).all()
+        _, contexts, number = g.possible()
+        assert len(set(zip([w[:-1] for w in want], number.tolist(), strict=True))) == len(set(number.tolist())) == len(contexts)
+        g.seen.append(g.own(at, gram, len(hashes))[gram])
+        g.state.append(np.ones(len(tokens), bool))
+    assert max(hashed) < len(tokens)
+
+
+def test_numbers_of_keys_too_long_for_one_sort():
+    keys = np.array([5, 1, 5, 9, 1, 0])
+    for bound in (10, 1 << 62):
+        first, number = suffix_tree_lm.numbered(keys, bound)
+        assert first.tolist() == [5, 1, 0, 3] and number.tolist() == [2, 1, 2, 3, 1, 0]
+    assert [len(x) for x in suffix_tree_lm.numbered(keys[:0], 10)] == [0, 0]

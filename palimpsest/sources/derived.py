@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.functions.sizes import EMPTY_DELTA, dummy_common_size
 from palimpsest.schema import Catalog
-from palimpsest.sources.tables import file_states, load_catalog, materialize, new_folder, save_catalog
+from palimpsest.sources.tables import file_states, load_tables, materialize, new_folder, save_catalog
 
 REPLICA_ROWS = [(1, "h1", "ann", "/r1", None), (2, "h1", "ann", "/r2", 2), (3, "h2", "bob", "/r3", 3)]
 DEFAULT_ROWS = [("h1", "ann", 2)]
@@ -107,19 +107,29 @@ def catalog(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFr
 
 #: Tables that the catalog is derived from.
 SOURCES = ("events", "orders", "lineitem")
-#: Folder of the saved catalog by application and tables, with the state that the tables had.
-SAVED: dict[tuple[str, str], tuple[list, str]] = {}
+#: The log tables, derived from the last two of them; most queries use only the others.
+LOGS = ("op_log", "op_log_params")
+#: Folder of saved tables by application, source folder and tables, with the state that their sources had.
+SAVED: dict[tuple[str, str, tuple[str, ...]], tuple[list, str]] = {}
 
 
-def saved_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The same, written as a snapshot folder once in a session, so that no query plans the derivation again; anew when a source table's files change."""
-    of = (spark.sparkContext.applicationId, sf_dir)
-    state = [file_states(spark, f"{sf_dir}/{name}.parquet") for name in SOURCES]
+def saved(spark: SparkSession, sf_dir: str, sources: tuple[str, ...], names: tuple[str, ...], make: Callable[[], Catalog]) -> dict[str, DataFrame]:
+    """The named tables of what ``make`` derives, written once in a session; anew when a source table's files change."""
+    of = (spark.sparkContext.applicationId, sf_dir, names)
+    state = [file_states(spark, f"{sf_dir}/{name}.parquet") for name in sources]
     if SAVED.get(of, (None, ""))[0] != state:
         folder = new_folder(spark, "catalog")
-        save_catalog(catalog(spark, sf_dir, materialize), folder)
+        save_catalog(make(), folder, names)
         SAVED[of] = state, folder
-    return load_catalog(spark, SAVED[of][1])
+    return load_tables(spark, SAVED[of][1], names)
+
+
+def saved_catalog(spark: SparkSession, sf_dir: str, logs: bool = False) -> Catalog:
+    """The same, written as a snapshot folder, so that no query plans the derivation again. The log tables are written only for
+    queries that say that they use them; for others they stay lazy, so no query waits for a table that it does not read."""
+    c = Catalog(**saved(spark, sf_dir, SOURCES[:1], tuple(name for name in schema.TABLES if name not in LOGS), lambda: catalog(spark, sf_dir, materialize)))
+    lazy = dict(zip(LOGS, op_log(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")), strict=True))
+    return replace(c, **(saved(spark, sf_dir, SOURCES[1:], LOGS, lambda: replace(c, **lazy)) if logs else lazy))
 
 
 def many_replicas(spark: SparkSession, sf_dir: str) -> Catalog:

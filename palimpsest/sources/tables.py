@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +80,20 @@ def scan_listing(spark: SparkSession, root: str, pattern: str | None = None, ele
     return apply_filter(rows, elements) if elements else rows
 
 
+def load_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """The named tables of a folder with their fixed schemas."""
+    return {name: spark.read.schema(schema.TABLES[name]).parquet(f"{folder}/{name}") for name in names}
+
+
 def load_catalog(spark: SparkSession, folder: str) -> Catalog:
     """Open the tables of a folder with their fixed schemas."""
-    return Catalog(**{name: spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in schema.TABLES.items()})
+    return Catalog(**load_tables(spark, folder, schema.TABLES))
 
 
-def save_catalog(c: Catalog, folder: str) -> None:
-    """Write all tables as a new snapshot folder."""
-    for name, ddl in schema.TABLES.items():
-        columns = [x.split()[0] for x in ddl.split(", ")]
+def save_catalog(c: Catalog, folder: str, names: Iterable[str] = tuple(schema.TABLES)) -> None:
+    """Write all tables, or the named ones, as a new snapshot folder."""
+    for name in names:
+        columns = [x.split()[0] for x in schema.TABLES[name].split(", ")]
         getattr(c, name).select(*columns).write.parquet(f"{folder}/{name}")
 
 

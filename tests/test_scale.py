@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest import catalog_queries
+from palimpsest import catalog_queries, schema
 from palimpsest.operators import lookups, trees
 from palimpsest.operators.numbering import numbered
 from palimpsest.plans import replica_sets
@@ -197,3 +197,22 @@ def test_a_loaded_catalog_is_derived_once(spark, monkeypatch):
     monkeypatch.setattr(tables, "save_catalog", lambda c, folder: saved.append(c) or save(c, folder))
     assert catalog_queries.QUERIES["A2_load_catalog"](spark, "/root/testdata/sf0.001").count() > 0
     assert not any("events.parquet" in f for f in saved[0].listing.inputFiles())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_log_tables_are_written_only_for_queries_that_use_them(spark, tmp_path, monkeypatch):
+    for name in derived.SOURCES:
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    written, save = [], derived.save_catalog
+    monkeypatch.setattr(derived, "save_catalog", lambda c, folder, *names: written.append(*names or [tuple(schema.TABLES)]) or save(c, folder, *names))
+    for name in ("F3_changed_paths", "I2_sync_absent", "E3_snapshot_as_of_with_current", "K3_mark_deleted", "C3_existing_file_at"):
+        catalog_queries.QUERIES[name](spark, str(tmp_path))
+    assert len(written) == 1 and not {"op_log", "op_log_params"} & {*written[0]}
+    lazy = derived.saved_catalog(spark, str(tmp_path))
+    for name in ("C14_operation_log", "I14_purge_log", "K9_update_filters", "K10_log_operations"):
+        catalog_queries.QUERIES[name](spark, str(tmp_path))
+    assert written[1:] == [("op_log", "op_log_params")]
+    kept = derived.saved_catalog(spark, str(tmp_path), logs=True)
+    for name in ("op_log", "op_log_params"):
+        a, b = (sorted(map(str, getattr(c, name).collect())) for c in (lazy, kept))
+        assert a == b and a

@@ -23,14 +23,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def versions_with_paths(events: DataFrame) -> DataFrame:
-    """The version table with the file's path beside it."""
+#: Bytes of a source table's files for each partition that its rows are dealt to, 100,000 to 250,000 events.
+PARTITION_BYTES = 2 << 20
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> Callable[[DataFrame], DataFrame]:
+    """Deals rows of a source table by keys to partitions in number with the table; a small one is left to the session's settings."""
+    n = -(-sum(size for _, size, _ in file_states(spark, f"{sf_dir}/{name}.parquet")) // PARTITION_BYTES)
+    return lambda df: df.repartition(n, *keys) if n > spark.sparkContext.defaultParallelism else df
+
+
+def versions_with_paths(events: DataFrame, deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The version table with the file's path beside it. ``deal``: spreads the rows by path."""
     user, k = F.col("user_id"), F.get_json_object("props", "$.k").cast("int")
     ext = F.element_at(F.array(*map(F.lit, (".txt", ".doc", ".ods", ".tmp"))), (user % 4 + 1).cast("int"))
     path = F.concat(F.lit("g"), (user % 10).cast("string"), F.lit("/u"), user.cast("string"), F.lit("/d"), (k % 5).cast("string"), ext)
     order = Window.partitionBy("path").orderBy("ts", "event_id")
     e = events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value", path.alias("path"))
-    e = e.withColumn("before", F.lag("event_type").over(order)).withColumn("mark", F.col("event_type") == "error")
+    e = deal(e).withColumn("before", F.lag("event_type").over(order)).withColumn("mark", F.col("event_type") == "error")
     kept = e.where("NOT mark OR (before IS NOT NULL AND before <> 'error')")
     kept = kept.withColumn("life", F.coalesce(F.sum(F.col("mark").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     life = Window.partitionBy("path", "life")
@@ -93,7 +103,7 @@ def op_log(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame
 
 def catalog(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Catalog:
     """All tables, lazily; an operator that uses two of them plans only those. ``keep`` stores what several are derived from."""
-    full = keep(versions_with_paths(read(spark, sf_dir, "events")))
+    full = keep(versions_with_paths(read(spark, sf_dir, "events"), dealt(spark, sf_dir, "events", "path")))
     versions = full.drop("file_path")
     files = keep(full.groupBy("file_id").agg(F.first("file_path").alias("path"), F.max("version_id").alias("current_version_id")))
     replicas = spark.createDataFrame(REPLICA_ROWS, schema.REPLICAS)

@@ -216,3 +216,16 @@ def test_log_tables_are_written_only_for_queries_that_use_them(spark, tmp_path,
     for name in ("op_log", "op_log_params"):
         a, b = (sorted(map(str, getattr(c, name).collect())) for c in (lazy, kept))
         assert a == b and a
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_events_are_dealt_to_partitions_in_number_with_the_table(spark, monkeypatch):
+    """A task that puts versions in order holds a bounded part of the events, whatever the session's number of partitions."""
+    sf = "/root/testdata/sf0.001"
+    before = sorted(map(str, derived.catalog(spark, sf).versions.collect()))
+    monkeypatch.setattr(derived, "PARTITION_BYTES", 1 << 10)
+    n = -(-os.path.getsize(f"{sf}/events.parquet") // (1 << 10))
+    versions = derived.catalog(spark, sf).versions
+    assert n > spark.sparkContext.defaultParallelism
+    assert re.search(rf"hashpartitioning\(path#\d+, {n}\), REPARTITION_BY_NUM", versions._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(str, versions.collect())) == before

@@ -14,6 +14,7 @@ from palimpsest.operators.numbering import numbered
 from palimpsest.plans.purge import purge_files_plan, purge_image_plan, purge_reroot_plan, purge_sync_unlink_plan, purged
 from palimpsest.plans.restore import raised
 from palimpsest.schema import Catalog
+from palimpsest.sources.tables import materialize
 
 MS = "INTERVAL '0.001' SECOND"
 
@@ -51,12 +52,22 @@ def repoint(c: Catalog, current: DataFrame) -> DataFrame:
     return c.files.hint("merge").join(new, "file_id", "left").select("file_id", "path", F.coalesce("__new", "current_version_id").cast("int").alias("current_version_id"))
 
 
-def mark_deleted(c: Catalog, files: DataFrame, when: str, replica_id: int | None = None) -> Catalog:
-    """Append a deletion mark on the current version of the given existing files and make it current; with a replica, record its sync."""
+def deletion_marks(c: Catalog, files: DataFrame, when: str) -> DataFrame:
+    """(file_id, version_id, base_version_id, modified, has_image): a deletion mark on the current version of each given existing file."""
     target = c.existing.hint("merge").join(files.select("file_id").distinct(), "file_id", "left_semi").hint("merge").join(next_version_id(c), "file_id")
     at = F.lit(when).cast("timestamp_ntz")
-    marks = target.select("file_id", F.col("next_version_id").alias("version_id"), F.col("current_version_id").alias("base_version_id"), raised(at, "modified").alias("modified"), F.lit(False).alias("has_image"))
-    out = replace(c, versions=c.versions.unionByName(fill(marks, c.versions)), files=repoint(c, marks))
+    return target.select("file_id", F.col("next_version_id").alias("version_id"), F.col("current_version_id").alias("base_version_id"), raised(at, "modified").alias("modified"), F.lit(False).alias("has_image"))
+
+
+def put_on_top(c: Catalog, new: DataFrame) -> Catalog:
+    """Append versions and make them current."""
+    return replace(c, versions=c.versions.unionByName(fill(new, c.versions)), files=repoint(c, new))
+
+
+def mark_deleted(c: Catalog, files: DataFrame, when: str, replica_id: int | None = None) -> Catalog:
+    """Append a deletion mark on the current version of the given existing files and make it current; with a replica, record its sync."""
+    marks = deletion_marks(c, files, when)
+    out = put_on_top(c, marks)
     return out if replica_id is None else record_sync(out, marks.withColumn("replica_id", F.lit(replica_id)))
 
 
@@ -101,27 +112,40 @@ def rename_files(c: Catalog, rows: DataFrame) -> Catalog:
     return replace(c, files=files, versions=versions, last_sync=sync)
 
 
-def add_dummy_versions(c: Catalog, plan: DataFrame) -> Catalog:
-    """Apply the REVERT rows of an undo plan: a child of the target with its content, made current; files renamed back."""
-    revert = plan.where("action = 'REVERT'")
+def dummy_versions(c: Catalog, revert: DataFrame) -> DataFrame:
+    """A child of each target with its content, for the REVERT rows of an undo plan."""
     target = c.versions.select("file_id", F.col("version_id").alias("target_version_id"), "size", "digest")
-    new = revert.hint("merge").join(target, ["file_id", "target_version_id"]).hint("merge").join(next_version_id(c), "file_id").select(
+    return revert.hint("merge").join(target, ["file_id", "target_version_id"]).hint("merge").join(next_version_id(c), "file_id").select(
         "file_id", F.col("next_version_id").cast("int").alias("version_id"), "size", "digest", F.col("new_modified").alias("modified"), F.col("target_version_id").alias("base_version_id"), F.lit(False).alias("has_image"),
         dummy_common_size(F.col("size")).alias("cdelta_len"), F.lit(EMPTY_DELTA).alias("fdelta_len"), F.lit(EMPTY_DELTA).alias("rdelta_len"),
     )
-    named = rename_files(c, revert.where("rename_to IS NOT NULL").select("file_id", F.col("rename_to").alias("new_path")))
-    return replace(named, versions=named.versions.unionByName(fill(new, c.versions)), files=repoint(named, new))
+
+
+def put_back(c: Catalog, revert: DataFrame, new: DataFrame) -> Catalog:
+    """The dummy versions of REVERT rows made current; files renamed back."""
+    return put_on_top(rename_files(c, revert.where("rename_to IS NOT NULL").select("file_id", F.col("rename_to").alias("new_path"))), new)
+
+
+def add_dummy_versions(c: Catalog, plan: DataFrame) -> Catalog:
+    """Apply the REVERT rows of an undo plan: a child of the target with its content, made current; files renamed back."""
+    revert = plan.where("action = 'REVERT'")
+    return put_back(c, revert, dummy_versions(c, revert))
 
 
 def apply_undo(c: Catalog, plan: DataFrame, now: str) -> Catalog:
     """Carry out an undo plan of one row a file: files at a target's path give way, marks are appended, targets come back on top.
 
-    Where several files are taken back to one path, the one with the highest id has it and the others stay as they are."""
+    Where several files are taken back to one path, the one with the highest id has it and the others stay as they are.
+
+    Marks and dummy versions are written before they are appended: a plan of all steps would derive the versions with their marks again in
+    each, and Spark 4.1 fails on it. A union whose inputs are all dealt by file counts as dealt by file itself, which Spark forgets for an
+    input that turns out to be a shuffle used before, when steps after it are planned already."""
     back = plan.where("action = 'REVERT'").hint("merge").join(c.files.select("file_id", "path"), "file_id").withColumn("__to", F.coalesce("rename_to", "path"))
     winners = back.groupBy("__to").agg(F.max("file_id").alias("file_id")).select("file_id")
-    reverted = plan.where("action = 'REVERT'").hint("merge").join(winners, "file_id", "left_semi")
-    gone = plan.where("action = 'MARK_DELETED'").select("file_id").unionByName(reverted.where("replaces IS NOT NULL").select(F.col("replaces").alias("file_id"))).distinct()
-    return add_dummy_versions(mark_deleted(c, gone.hint("merge").join(winners, "file_id", "left_anti"), now), reverted)
+    reverted = materialize(plan.where("action = 'REVERT'").hint("merge").join(winners, "file_id", "left_semi"))
+    gone = plan.where("action = 'MARK_DELETED'").select("file_id").unionByName(reverted.where("replaces IS NOT NULL").select(F.col("replaces").alias("file_id")))
+    marked = put_on_top(c, materialize(deletion_marks(c, gone.hint("merge").join(reverted, "file_id", "left_anti"), now)))
+    return put_back(marked, reverted, materialize(dummy_versions(marked, reverted)))
 
 
 def register_replicas(c: Catalog, rows: DataFrame) -> Catalog:
